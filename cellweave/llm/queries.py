@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, piece_codec, qda, quality_rules, simhash_variants, toxicity
+from . import langid, mixing, mtree, piece_codec, qda, quality_rules, simhash_variants, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_variants.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,5 +42,5 @@ def op10_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_piece_codec, op6_simhash, op7_mixing, op9_toxicity, op10_qda)}
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op7_mixing": mixing.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_piece_codec, op5_mtree, op6_simhash, op7_mixing, op8_langid, op9_toxicity, op10_qda)}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op5_mtree": mtree.SQL, "op7_mixing": mixing.SQL}
