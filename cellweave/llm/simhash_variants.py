@@ -116,8 +116,7 @@ def fingerprint_roots(fps: DataFrame) -> DataFrame:
     stars = keep(stars.distinct(), "stars")
     first = components(stars)
     rooted = keep(fps.join(first.withColumnRenamed("v", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "first-roots")
-    entry = rooted.select("fp", "root", F.explode(_variants(F.col("fp"))).alias("key")).join(least.select("key"), "key", "left_semi")
-    entry = keep(entry, "variants")
+    entry = rooted.select("fp", "root", F.explode(_variants(F.col("fp"))).alias("key"))
     a, b = (entry.select("key", F.col("fp").alias(f"{x}_fp"), F.col("root").alias(f"{x}_root")) for x in "ab")
     x = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
     # one way round only, by root, so that a pair is verified once; the condition is part of the join, which emits links only
