@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import keep
 
@@ -71,12 +72,9 @@ class Tree:
         pivots = lifted[_farthest_first(lifted, -(-len(x) // PAGE))]
         at = _nearest(lifted, pivots)
         order = np.lexsort((ids, at))
-        cuts = [0]
-        for p in np.unique(at):  # a full page is split
-            n = int((at == p).sum())
-            cuts += [cuts[-1] + min(i + PAGE, n) - i for i in range(0, n, PAGE)]
-        cuts = np.cumsum(np.concatenate([[0], np.diff(cuts)])) if len(cuts) > 1 else np.array([0, len(x)])
-        self.start = cuts
+        full = [int(n) for n in np.unique(at, return_counts=True)[1]]
+        sizes = [min(PAGE, n - i) for n in full for i in range(0, n, PAGE)]  # a full page is split
+        self.start = np.concatenate([[0], np.cumsum(sizes)])
         self.ids, self.x, lifted, at = ids[order], x[order], lifted[order], at[order]
         self.root = lifted.mean(axis=0)
         self.route = pivots[at[self.start[:-1]]]
@@ -145,7 +143,7 @@ def _trees(table: DataFrame) -> DataFrame:
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toPandas()
     pivots = {int(d): (x := np.array(g["v"].tolist()))[_farthest_first(x, min(PIVOTS, max(1, n // (TREE_ROWS // 2))))] for d, g in sample.groupby("dim")}
 
-    @F.arrow_udf("int")
+    @F.arrow_udf(T.IntegerType())
     def nearest(dims: pa.Array, vs: pa.Array) -> pa.Array:
         out = np.full(len(dims), -1, np.int32)
         d = np.array(dims)
@@ -161,7 +159,7 @@ def _trees(table: DataFrame) -> DataFrame:
     region = F.concat_ws(":", F.col("dim").cast("string"), F.col("pivot").cast("string"))
     part = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), trees[region])
 
-    def pack(key, rows: pa.Table) -> pa.Table:
+    def pack(key, rows):
         ids, x = rows.column("vec_id").combine_chunks(), rows.column("v").combine_chunks()
         return pa.table({"dim": [key[0].as_py()], "ids": [np.array(ids).astype("<i8").tobytes()], "x": [np.array(x.flatten()).astype("<f8").tobytes()]}, schema=pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("x", pa.binary())]))
 
