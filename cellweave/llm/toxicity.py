@@ -85,8 +85,8 @@ class Scorer:
         return float(-np.expm1(-harmless))
 
 
-def _sampled(docs: DataFrame, labels: DataFrame) -> tuple[pa.Table, dict[int, float]]:
-    """Labels and features of the training sample, and each class's sampling rate."""
+def _sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """The training sample (label, kinds: distinct features, features and sizes: those of each sentence), and each class's sampling rate."""
     wanted = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", HELD_OUT[0]) != HELD_OUT[1])).select("doc_id", F.col("toxic").cast("int").alias("label"))
     wanted = keep(wanted, "toxic-labels")
     n = {r["label"]: r["count"] for r in wanted.groupBy("label").count().collect()}
@@ -96,60 +96,76 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> tuple[pa.Table, dict[int, fl
 
     def read(batches):
         for b in batches:
-            flat, sizes = [], []
-            for text in b.column(1):
+            for label, text in zip(b.column(0), b.column(1)):
                 own = [sorted({f for w in set(_WORD.findall(s)) for f in word_features(w)}) for s in sentences((text.as_py() or "").lower())]
-                flat.append(np.array([f for s in own for f in s], "<i4").tobytes())
-                sizes.append(np.array([len(s) for s in own], "<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat, pa.binary()), pa.array(sizes, pa.binary())], names=["label", "features", "sizes"])
+                flat = np.array([f for s in own for f in s], "<i4")
+                yield pa.RecordBatch.from_arrays([pa.array([label.as_py()], pa.int32()), pa.array([np.unique(flat)], pa.list_(pa.int32())), pa.array([flat.tobytes()], pa.binary()), pa.array([np.array([len(s) for s in own], "<i4").tobytes()], pa.binary())], names=["label", "kinds", "features", "sizes"])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("label", "text")
-    return texts.mapInArrow(read, "label int, features binary, sizes binary").toArrow(), rate
+    return keep(texts.mapInArrow(read, "label int, kinds array<int>, features binary, sizes binary"), "toxic-sample"), rate
 
 
-def fit(table: pa.Table, rate: dict[int, float]) -> Model:
+def _telling(sample: DataFrame) -> dict[int, float]:
+    """Feature to z-score: log odds of document counts over their standard error, where at least LEAST_Z in at least LEAST_DOCS documents."""
+    total = sample.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("a"), F.count("*").alias("n")).first()
+    a, b = float(total["a"]), float(total["n"] - total["a"])
+    counted = sample.select("label", F.explode("kinds").alias("f")).groupBy("f").agg(F.sum("label").alias("t"), (F.count("*") - F.sum("label")).alias("c"))
+    odds = F.log((F.col("t") + 0.5) / (a - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (b - F.col("c") + 0.5))
+    z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    chosen = counted.where(F.col("t") + F.col("c") >= LEAST_DOCS).select("f", z.alias("z")).where(F.col("z") >= LEAST_Z)
+    return {r["f"]: r["z"] for r in chosen.collect()}  # some thousand of the sample's features
+
+
+def _compact(sample: DataFrame, chosen: np.ndarray) -> pa.Table:
+    """label, n: number of sentences, features and sizes of the sentences that hold a chosen one, others left out."""
+
+    def select(batches):
+        for b in batches:
+            rows = []
+            for x, z in zip(b.column(2), b.column(3)):
+                f, sizes = np.frombuffer(x.as_py(), "<i4"), np.frombuffer(z.as_py(), "<i4")
+                told = np.isin(f, chosen)
+                per = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[told], minlength=len(sizes))
+                rows.append((len(sizes), f[told].tobytes(), per[per > 0].astype("<i4").tobytes()))
+            n, f, sizes = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f, pa.binary()), pa.array(sizes, pa.binary())], names=["label", "n", "features", "sizes"])
+
+    return sample.mapInArrow(select, "label int, n long, features binary, sizes binary").toArrow()
+
+
+def fit(table: pa.Table, rate: dict[int, float], telling: dict[int, float]) -> Model:
     y = table.column("label").to_numpy().astype(float)
     each = np.array([1 / rate[int(c)] for c in y])
-    each /= each.sum() or 1
     if len(set(y)) < 2:
         return Model({}, -700.0, float(min(y.mean() if len(y) else 0.0, 1 - 1e-9)))
+    each /= each.sum()
+    chosen = np.array(sorted(telling), np.int64)
+    none = np.array([], "<i4")
     sizes = [np.frombuffer(x, "<i4") for x in table.column("sizes").to_pylist()]
-    lengths = np.array([len(x) for x in sizes])
-    doc_of = np.repeat(np.arange(len(y)), lengths)  # of each sentence
-    sentence_of = np.repeat(np.arange(len(doc_of)), np.concatenate([*sizes, np.array([], "<i4")]).astype(int))
-    features = np.concatenate([*(np.frombuffer(x, "<i4") for x in table.column("features").to_pylist()), np.array([], "<i4")])
-    # features that tell the classes apart: log odds of document counts over their standard error
-    pairs = np.unique(features.astype(np.int64) << 32 | doc_of[sentence_of])
-    kinds, at = np.unique(pairs >> 32, return_inverse=True)
-    toxic = np.bincount(at, weights=y[pairs & 0xFFFFFFFF], minlength=len(kinds))
-    clean = np.bincount(at, minlength=len(kinds)) - toxic
-    a, b = y.sum(), len(y) - y.sum()
-    odds = np.log((toxic + 0.5) / (a - toxic + 0.5)) - np.log((clean + 0.5) / (b - clean + 0.5))
-    error = np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    chosen = kinds[(toxic + clean >= LEAST_DOCS) & (odds / error >= LEAST_Z)]
-    keep_it = np.isin(features, chosen)
-    f, s = np.searchsorted(chosen, features[keep_it]), sentence_of[keep_it]
-    spoken, s = np.unique(s, return_inverse=True)  # sentences that hold a chosen feature
-    d = doc_of[spoken]
-    rest = lengths - np.bincount(d, minlength=len(y))
-    w, bias = (odds / error)[(toxic + clean >= LEAST_DOCS) & (odds / error >= LEAST_Z)] / 2, BIAS
-    gw = np.full(len(chosen), 1e-8)
+    spoken = np.array([len(x) for x in sizes])  # sentences that hold a chosen feature
+    d = np.repeat(np.arange(len(y)), spoken)
+    s = np.repeat(np.arange(len(d)), np.concatenate([*sizes, none]).astype(int))
+    f = np.searchsorted(chosen, np.concatenate([*(np.frombuffer(x, "<i4") for x in table.column("features").to_pylist()), none]))
+    rest = table.column("n").to_numpy() - spoken
+    w = np.array([telling[int(c)] for c in chosen]) / 2
+    squares = np.full(len(chosen), 1e-8)
     for _ in range(STEPS):
-        z = bias + np.bincount(s, weights=w[f], minlength=len(spoken))
-        harmless = np.bincount(d, weights=np.logaddexp(0, z), minlength=len(y)) + rest * np.logaddexp(0, bias) - np.log1p(-LEAK)
+        z = BIAS + np.bincount(s, weights=w[f], minlength=len(d))
+        harmless = np.bincount(d, weights=np.logaddexp(0, z), minlength=len(y)) + rest * np.logaddexp(0, BIAS) - np.log1p(-LEAK)
         # d log P(y) / d harmless: 1 / (e^h - 1) for toxic documents, -1 for the others
-        slope = each * np.where(y == 1, 1 / np.expm1(np.maximum(harmless, 1e-9)), -1.0)
-        by_sentence = slope[d] / (1 + np.exp(-z))
-        grad = np.bincount(f, weights=by_sentence[s], minlength=len(chosen)) - L2 * w / 100
-        gw += grad**2
-        step = 0.5 / np.sqrt(gw)
+        slope = each * np.where(y == 1, 1 / np.expm1(np.clip(harmless, 1e-9, 700)), -1.0)
+        grad = np.bincount(f, weights=(slope[d] / (1 + np.exp(-z)))[s], minlength=len(chosen)) - L2 * w / 100
+        squares += grad**2
+        step = 0.5 / np.sqrt(squares)
         w = w + step * grad
-        w = np.sign(w) * np.maximum(np.abs(w) - step * L1 / max(len(y), 1), 0)
-    return Model({int(c): float(x) for c, x in zip(chosen, w) if x}, float(bias), LEAK)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * L1 / len(y), 0)
+    return Model({int(c): float(x) for c, x in zip(chosen, w) if x}, BIAS, LEAK)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*_sampled(docs, labels))
+    sample, rate = _sampled(docs, labels)
+    telling = _telling(sample)
+    return fit(_compact(sample, np.array(sorted(telling), np.int32)), rate, telling)
 
 
 _scorers: dict[tuple, Scorer] = {}
