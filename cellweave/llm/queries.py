@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, mtree, piece_codec, qda, quality_rules, simhash_variants, toxicity
+from . import html_paths, langid, mixing, mtree, piece_codec, qda, quality_rules, simhash_variants, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_paths.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -42,5 +46,5 @@ def op10_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_piece_codec, op5_mtree, op6_simhash, op7_mixing, op8_langid, op9_toxicity, op10_qda)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_piece_codec, op4_html_paths, op5_mtree, op6_simhash, op7_mixing, op8_langid, op9_toxicity, op10_qda)}
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op5_mtree": mtree.SQL, "op7_mixing": mixing.SQL}
