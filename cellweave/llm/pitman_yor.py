@@ -3,8 +3,8 @@
 Every context, the previous word hashed into CONTEXTS restaurants, seats the words that follow it; each of its tables
 sends a customer to the one parent restaurant that all contexts share, whose base is uniform over the known words and
 one unknown. Seatings are Gibbs-sampled: with the others fixed, the number of tables of c customers of one dish is
-drawn from its exact conditional (generalised Stirling numbers) up to EXACT customers, beyond which customers are seated in
-geometric strides. Dishes are dealt over tasks, and a sweep uses the context totals of the sweep before, as is usual
+drawn from its exact conditional (generalised Stirling numbers) up to EXACT customers, and from that conditional's
+saddle-point approximation beyond. Dishes are dealt over tasks, and a sweep uses the context totals of the sweep before, as is usual
 for distributed Gibbs sampling. After BURN_IN sweeps, predictive probabilities are averaged over the rest, and a text's score
 is the sum of their logarithms; perplexity is 10 ** (-score / n_tokens).
 
@@ -39,8 +39,8 @@ HELD_OUT = (7, 2)
 CONTEXTS = 1 << 16
 SWEEPS, BURN_IN = 4, 1
 STRENGTH, SEED = 1.0, 11
-EXACT, STRIDE = 64, 32
-CHUNK_TOKENS, CHUNK_DOCS, PART_TOKENS, LEAST_PARTS = 2_000_000, 60_000, 4_000_000, 16
+EXACT = 64
+CHUNK_TOKENS, CHUNK_DOCS, PART_TOKENS, LEAST_PARTS = 1_500_000, 60_000, 1_500_000, 16
 #: Words and pairs of at least this share of some chunk, and half of it over all, are treated as frequent: at most 2 / FREQUENT of each.
 FREQUENT = 1 / 20_000
 SLICE = 4096
@@ -265,6 +265,22 @@ def _log_stirling(discount: float, most: int) -> np.ndarray:
     return s
 
 
+def _seat_many(c: np.ndarray, log_w: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of many customers: tables are clusters of a Poisson process tilted so that their expected sum is c (a saddle point), taken
+    as Poisson where few and normal with the variance given the sum where many. Means are right within 2 % from 64 customers on."""
+    lo, hi = np.full(len(c), -60.0), np.full(len(c), 60.0)  # logit of the tilt z: w z (1 - z)^(discount - 1) = c
+    for _ in range(60):
+        m = (lo + hi) / 2
+        low = log_w - np.logaddexp(0, -m) - (discount - 1) * np.logaddexp(0, m) < np.log(c)
+        lo, hi = np.where(low, m, lo), np.where(low, hi, m)
+    log_rest, z = -np.logaddexp(0, m), 1 / (1 + np.exp(-m))
+    mean = np.exp(log_w) * -np.expm1(discount * log_rest) / discount
+    spread = np.exp(log_w) * (z * np.exp((discount - 1) * log_rest) + z * z * (1 - discount) * np.exp((discount - 2) * log_rest))
+    deviation = np.sqrt(np.maximum(mean - c * c / np.maximum(spread, 1e-300), 1e-12))
+    many = np.rint(mean + (1 - mean / c) + deviation * rng.standard_normal(len(c)))
+    return np.clip(np.where(mean < 20, 1 + rng.poisson(np.minimum(mean, 20)), many), 1, c).astype(np.int64)
+
+
 _stirling: dict[float, np.ndarray] = {}
 
 
@@ -287,14 +303,8 @@ def seat(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Gene
             p = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
             t[mine] = 1 + (p < rng.random(len(mine))[:, None] * p[:, -1:]).sum(axis=1)
     big = (c > EXACT).nonzero()[0]
-    seated = np.full(len(big), EXACT, np.int64)
-    while len(big):
-        stride = np.minimum(np.maximum(seated // STRIDE, 1), c[big] - seated)
-        p = weight[big] / (seated - discount * t[big] + weight[big])
-        t[big] += rng.binomial(stride, np.clip(p, 0, 1))
-        seated = seated + stride
-        left = seated < c[big]
-        big, seated = big[left], seated[left]
+    if len(big):
+        t[big] = _seat_many(c[big].astype(float), log_w[big], discount, rng)
     return t
 
 
