@@ -31,7 +31,7 @@ HELD_OUT = (5, 0)
 PER_CLASS = 4_000
 SPACE_BITS, STARTS, LEAST_DOCS, LEAST_Z = 24, range(3, 9), 3, 3.5
 #: A sentence without features has log odds BIAS, so that length alone makes no text toxic; LEAK stands for labels without cause.
-L1, L2, STEPS, BIAS, LEAK = 0.02, 1e-3, 300, -10.0, 0.01
+L1, L2, STEPS, BIAS, LEAK = 0.02, 1e-3, 300, -13.0, 0.01
 REMEMBERED = 400_000
 _WORD, _SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?\n]+")
 
