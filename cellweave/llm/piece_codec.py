@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Parts and pairs remembered by a worker; beyond it the memory starts afresh. Longer parts than LONG are not kept.
-REMEMBERED, LONG = 600_000, 48
+#: Parts and pairs remembered by a worker; beyond it, at the next text, the memory starts afresh. Longer parts than LONG are not kept.
+REMEMBERED, LONG = 400_000, 48
 
 
 class Model(NamedTuple):
@@ -99,7 +99,8 @@ class Codec:
         cut = "" if any("\n" in p for p in known) else "\n"
         self.parts = re.compile(f"{SPACE}+[^{SPACE}{cut}]*|[^{SPACE}{cut}]+" + (f"|{cut}+" if cut else ""))
         self.pairs: dict[int, bool] = {}
-        self.memory: dict[str, tuple[int, str, str]] = {}
+        self.memory: dict[str, str] = {}  # part to its ids in decimal
+        self.odd: dict[str, str] = {}  # part to what its ids decode to, where that isn't the part
 
     def fits(self, left: int, right: int) -> bool:
         """Whether two tokens stay apart when their text is merged."""
@@ -163,21 +164,20 @@ class Codec:
         return out + self._known(part[begun:]) if begun < len(part) else out
 
     def encode(self, text: str, end: bool = True) -> list[int]:
-        out = [int(x) for p in self._split(text) for x in self._remembered(p)[1].split(" ")]
+        out = [int(x) for p in self._split(text) for x in self._remembered(p).split(" ")]
         return [*out, self.model.end_id] if end else out
 
     def _split(self, text: str) -> list[str]:
         return self.parts.findall((SPACE if self.model.prefix and text else "") + text.replace(" ", SPACE))
 
-    def _remembered(self, part: str) -> tuple[int, str, str]:
-        """Number of ids, the ids in decimal, and the text they decode to."""
+    def _remembered(self, part: str) -> str:
         found = self.memory.get(part)
         if found is None:
             ids = self.encode_part(part)
-            found = (len(ids), " ".join(map(str, ids)), self._plain(ids))
+            found = " ".join(map(str, ids))
+            if (plain := self._plain(ids)) != part.replace(SPACE, " "):
+                self.odd[part] = plain
             if len(part) <= LONG:
-                if len(self.memory) >= REMEMBERED:
-                    self.memory.clear()
                 self.memory[part] = found
         return found
 
@@ -209,11 +209,14 @@ class Codec:
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids and of the decoded text."""
+        if len(self.memory) >= REMEMBERED or len(self.odd) >= REMEMBERED:
+            self.memory.clear()
+            self.odd.clear()
         known, miss = self.memory.get, self._remembered
-        found = [known(p) or miss(p) for p in self._split(text or "")]
-        ids = " ".join([x[1] for x in found] + [str(self.model.end_id)])
-        plain = self._unprefixed("".join([x[2] for x in found]))
-        return sum([x[0] for x in found]) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()
+        parts = self._split(text or "")
+        ids = " ".join([*[known(p) or miss(p) for p in parts], str(self.model.end_id)])
+        plain = "".join([self.odd.get(p, p) for p in parts] if self.odd else parts).replace(SPACE, " ")
+        return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(self._unprefixed(plain).encode()).hexdigest()
 
 
 def _utf8(raw: bytearray) -> str:
