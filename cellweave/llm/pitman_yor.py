@@ -40,7 +40,7 @@ CONTEXTS = 1 << 16
 SWEEPS, BURN_IN = 4, 1
 STRENGTH, SEED = 1.0, 11
 EXACT = 64
-CHUNK_TOKENS, CHUNK_DOCS, PART_TOKENS, LEAST_PARTS = 1_500_000, 60_000, 1_500_000, 16
+CHUNK_TOKENS, CHUNK_DOCS, PART_TOKENS, LEAST_PARTS = 700_000, 60_000, 1_000_000, 16
 #: Words and pairs of at least this share of some chunk, and half of it over all, are treated as frequent: at most 2 / FREQUENT of each.
 FREQUENT = 1 / 20_000
 SLICE = 4096
@@ -164,6 +164,7 @@ def _pack(docs: DataFrame, parts: int, shared) -> DataFrame:
         task = TaskContext.get().partitionId()
         for k, chunk in enumerate(_chunks(batches)):
             hashes, w, u, doc, taught, ids = chunk.arrays()
+            chunk.texts.clear()
             name = task << 24 | k
             key = np.sort(w.astype(np.uint64) << np.uint64(32) | _context(hashes)[u].astype(np.uint64) << np.uint64(16) | doc.astype(np.uint64))
             new = np.concatenate([[True], key[1:] != key[:-1]])
