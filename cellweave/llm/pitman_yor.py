@@ -40,10 +40,13 @@ CONTEXTS = 1 << 16
 SWEEPS, BURN_IN = 4, 1
 STRENGTH, SEED = 1.0, 11
 EXACT = 64
-CHUNK_TOKENS, CHUNK_DOCS, PART_TOKENS, LEAST_PARTS = 700_000, 60_000, 1_000_000, 16
-#: Words and pairs of at least this share of some chunk, and half of it over all, are treated as frequent: at most 2 / FREQUENT of each.
-FREQUENT = 1 / 20_000
-SLICE = 4096
+CHUNK_TOKENS, CHUNK_DOCS, PART_TOKENS, LEAST_PARTS = 700_000, 60_000, 1_400_000, 16
+#: Words and pairs of at least this share of some chunk, and over all of at least half of it or 1 / SPREAD of a part, whichever is more, are
+#: treated as frequent: at most 2 / FREQUENT of each, and no more than parts need for being even.
+FREQUENT, SPREAD = 1 / 20_000, 8
+SLICE, DIRECT = 4096, 256
+#: Binary places that sums of log10 probabilities and of log10 counts keep on their way to their documents.
+SCORE_PLACES, BASE_PLACES = 14, 20
 END, BEGIN = b" end", b" begin"  # no word holds a space
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,6 +68,15 @@ def _unzip(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Non-negative whole numbers as planes of their bytes, of which the upper ones compress to nothing."""
+    return np.ascontiguousarray(x.astype("<i8").view("u1").reshape(-1, 8).T)
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
+
+
 def _hash(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX
     return x ^ (x >> np.uint64(29))
@@ -108,8 +120,8 @@ class _Chunk:
 def _chunks(batches):
     chunk = _Chunk()
     for b in batches:
-        for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary()).to_pylist()):
-            chunk.add(i, h, t)
+        for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary())):
+            chunk.add(i, h, t.as_py())
             if chunk.full():
                 yield chunk
                 chunk = _Chunk()
@@ -122,7 +134,7 @@ def _context(hashes: np.ndarray) -> np.ndarray:
 
 
 def _frequent(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of tokens; hashes of frequent words; frequent pairs as hash of (word, context). What is frequent over all is frequent in some chunk."""
+    """Number of parts; hashes of frequent words; frequent pairs as hash of (word, context). What is frequent over all is frequent in some chunk."""
 
     def partial(batches):
         for chunk in _chunks(batches):
@@ -139,9 +151,10 @@ def _frequent(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
     found = keep(docs.mapInArrow(partial, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "frequent")
     total = found.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = found.where((F.col("kind") < 2) & (F.col("n") >= FREQUENT / 2 * total)).toArrow()  # 2 / FREQUENT words and as many pairs at most
+    parts = max(LEAST_PARTS, -(-total // PART_TOKENS))
+    rows = found.where((F.col("kind") < 2) & (F.col("n") >= max(FREQUENT / 2, 1 / (SPREAD * parts)) * total)).toArrow()  # 2 / FREQUENT words and as many pairs at most
     kind, key = rows.column("kind").to_numpy(), rows.column("key").to_numpy().view(np.uint64)
-    return total, np.sort(key[kind == 0]), np.sort(key[kind == 1])
+    return parts, np.sort(key[kind == 0]), np.sort(key[kind == 1])
 
 
 def _pair(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
@@ -351,14 +364,16 @@ def _parent(c, t, state: _State, fixed: _Fixed):
     return (np.maximum(c - fixed.parent_discount * t, 0) + _base_weight(state, fixed)) / (STRENGTH + state.customers)
 
 
-def _summed(rows: DataFrame, size: int) -> np.ndarray:
-    """Sum of vectors of one size, by slices, so that no task and not the driver holds more than one of each."""
+def _summed(rows: DataFrame, size: int, parts: int) -> np.ndarray:
+    """Sum of vectors of one size, by slices, so that the driver holds one of each; those of many tasks are summed by groups of tasks first."""
 
     def add(key, table):
         total = sum(np.frombuffer(x.as_py(), "<f8") for x in table.column("data"))
         return pa.table({"slice": [key[0].as_py()], "data": [total.tobytes()]}, schema=pa.schema([("slice", pa.int32()), ("data", pa.binary())]))
 
     out = np.zeros(-(-size // SLICE) * SLICE)
+    if parts > DIRECT:
+        rows = rows.groupBy("slice", F.pmod(F.spark_partition_id(), F.lit(int(parts**0.5))).alias("some")).applyInArrow(add, "slice int, data binary")
     for r in rows.groupBy("slice").applyInArrow(add, "slice int, data binary").collect():
         out[r["slice"] * SLICE : r["slice"] * SLICE + SLICE] = np.frombuffer(r["data"], "<f8")
     return out[:size]
@@ -418,11 +433,11 @@ def _merge_parts(packed: DataFrame, shared) -> DataFrame:
     return keep(packed.groupBy("part").applyInArrow(merge, kind), "parts")
 
 
-def _fixed(parts: DataFrame, words: np.ndarray, pairs: np.ndarray) -> tuple[_Fixed, _State]:
+def _fixed(parts: DataFrame, many: int, words: np.ndarray, pairs: np.ndarray) -> tuple[_Fixed, _State]:
     """Counts over all parts, and the state in which every type has one table."""
     w, p = len(words), len(pairs)
     size = 2 * CONTEXTS + 2 * w + 4 * p + 7
-    v = _summed(_accumulated(parts, ["counts"], lambda data: _unzip(data, "<f8")[0]), size)
+    v = _summed(_accumulated(parts, ["counts"], lambda data: _unzip(data, "<f8")[0]), size, many)
     contexts, types, word_counts, word_types, pair_counts, seen, pair_word, pair_context, last = np.split(v, np.cumsum([CONTEXTS, CONTEXTS, w, w, p, p, p, p]))
     tokens, light, n1, n2, m1, m2, light_types = last
     seen = np.maximum(seen, 1)
@@ -491,7 +506,8 @@ def _contributions(parts: DataFrame, shared) -> DataFrame:
                     sums = [np.bincount(doc, times * x[ty]) for x in (logs, base, known)]
                     n = np.bincount(doc, times)
                     some = n.nonzero()[0]
-                    data = _zip(some.astype("<u2"), sums[0][some].astype("<f4"), sums[1][some].astype("<f4"), n[some].astype("<u4"), sums[2][some].astype("<u4"))
+                    score, counted, known_tokens = (x[some] for x in sums)
+                    data = _zip(*map(_planes, (np.diff(some, prepend=0), np.rint(-score * 2**SCORE_PLACES), np.rint(counted * 2**BASE_PLACES), n[some], n[some] - known_tokens)))
                     yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([own.as_py()], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["chunk", "ids", "data"])
 
     return parts.select("part", "repeated", "chunk", "ids", "packs", "taught").mapInArrow(rows, "chunk long, ids array<long>, data binary")
@@ -502,11 +518,10 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     held = (fold("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out")
     texts = docs.select("doc_id", held, "text")
-    total, words, pairs = _frequent(texts)
-    count_parts = max(LEAST_PARTS, -(-total // PART_TOKENS))
+    count_parts, words, pairs = _frequent(texts)
     frequent = spark.sparkContext.broadcast((words, pairs))
     parts = _merge_parts(_pack(texts, count_parts, frequent), frequent)
-    fixed, state = _fixed(parts, words, pairs)
+    fixed, state = _fixed(parts, count_parts, words, pairs)
     states = [state]
     for k in range(1, SWEEPS + 1):
         shared = spark.sparkContext.broadcast((fixed, states))
@@ -518,7 +533,7 @@ def score(docs: DataFrame) -> DataFrame:
                 part.sweep(i, states[i - 1])
             return part.totals()
 
-        v = _summed(_accumulated(parts, ["part", "repeated"], totals), CONTEXTS + len(words) + 2)
+        v = _summed(_accumulated(parts, ["part", "repeated"], totals), CONTEXTS + len(words) + 2, count_parts)
         states = [*states, _next_state(k, fixed, states[-1], v)]
     found = _contributions(parts, spark.sparkContext.broadcast((fixed, states)))
 
@@ -526,9 +541,9 @@ def score(docs: DataFrame) -> DataFrame:
         ids = next(x for x in table.column("ids").to_pylist() if x is not None)
         sums = np.zeros((4, len(ids)))
         for data in table.column("data").to_pylist():
-            at, *columns = _unzip(data, "<u2", "<f4", "<f4", "<u4", "<u4")
-            for row, x in zip(sums, columns):
-                row[at] += x
+            gaps, score, counted, n, unknown = map(_numbers, _unzip(data, *["u1"] * 5))
+            for row, x in zip(sums, (score * -(0.5**SCORE_PLACES), counted * 0.5**BASE_PLACES, n, n - unknown)):
+                row[np.cumsum(gaps)] += x
         tokens = sums[2].astype(np.int64)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": tokens, "n_known": sums[3].astype(np.int64), "logs": sums[1], "score": sums[0]})
 
