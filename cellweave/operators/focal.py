@@ -35,10 +35,10 @@ def _type(dtype: str) -> str:
     return f"row int, col int, value {SPARK_TYPES[dtype]}"
 
 
-def _square(cells: DataFrame, n: int, **aggregates: Column) -> DataFrame:
-    """(row, col, value) with sums of the named columns over (2n + 1)^2 cells."""
-    across = cells.select("row", "col", "value", *[F.sum(c).over(along_row().rangeBetween(-n, n)).alias(k) for k, c in aggregates.items()])
-    return across.select("row", "col", "value", *[F.sum(k).over(along_col().rangeBetween(-n, n)).alias(k) for k in aggregates])
+def _square(cells: DataFrame, reach: int, **aggregates: Column) -> DataFrame:
+    """(row, col, value) with sums of the named columns over (2 * reach + 1)^2 cells."""
+    across = cells.select("row", "col", "value", *[F.sum(c).over(along_row().rangeBetween(-reach, reach)).alias(k) for k, c in aggregates.items()])
+    return across.select("row", "col", "value", *[F.sum(k).over(along_col().rangeBetween(-reach, reach)).alias(k) for k in aggregates])
 
 
 def sum_in_buffer(r: Raster, radius: float, style: str = "circular") -> Raster:

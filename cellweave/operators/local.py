@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -169,16 +171,14 @@ def transform(f: Callable[..., Column], *rasters: Raster, dtype: str | None = No
 
 def transform_arrays(f: Callable, *rasters: Raster, dtype: str | None = None) -> Raster:
     """Same for what expressions can't say: f gets numpy arrays of a batch and gives one. Values go through Arrow, not row by row."""
-    import numpy as np
-    import pyarrow as pa
-
     rs = align(*rasters)
     dtype = dtype or rs[0].dtype
 
     @F.arrow_udf(SPARK_TYPES[dtype])
-    def call(*columns: pa.Array) -> pa.Array:
+    def call(cells: pa.Array) -> pa.Array:
+        columns = cells.flatten()
         known = np.logical_and.reduce([np.asarray(c.is_valid()) for c in columns])
         values = f(*[np.asarray(c.fill_null(0)) for c in columns])
         return pa.array(values, mask=~known).cast({"smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}[SPARK_TYPES[dtype]], safe=False)
 
-    return rs[0].with_value(call(*[r.value for r in rs]), dtype)
+    return rs[0].with_value(call(F.struct(*[r.value.alias(f"v{i}") for i, r in enumerate(rs)])), dtype)

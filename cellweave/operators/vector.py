@@ -21,7 +21,7 @@ from ..raster import Raster, grid
 from .multires import weighted_distribution
 
 
-def _on_grid(found: DataFrame, meta: RasterMeta, dtype: str, empty=None) -> Raster:
+def over_grid(found: DataFrame, meta: RasterMeta, dtype: str, empty=None) -> Raster:
     """found (row, col, x) over the whole grid."""
     value = F.col("x") if empty is None else F.coalesce("x", F.lit(empty))
     return Raster.of(grid(found.sparkSession, meta).join(found, ["row", "col"], "left").select("row", "col", value.alias("value")), meta, dtype)
@@ -39,7 +39,7 @@ def point_sums(points: DataFrame, field: str, meta: RasterMeta) -> DataFrame:
 
 def add_points(points: DataFrame, field: str, meta: RasterMeta) -> Raster:
     """Sum of a field of the points in each cell; 0 where there is none."""
-    return _on_grid(point_sums(points, field, meta), meta, "float64", 0.0)
+    return over_grid(point_sums(points, field, meta), meta, "float64", 0.0)
 
 
 def _segments(lines: DataFrame, *fields: str) -> DataFrame:
@@ -100,7 +100,7 @@ def rasterize(polygons: DataFrame, field: str, meta: RasterMeta, add: bool = Fal
         raise RasterError("adding to NaN")
     p = polygons if constant is None else polygons.withColumn(field, F.lit(float(constant)))
     hit = polygon_cells(p, meta, field).groupBy("row", "col").agg((F.sum(field) if add else F.max_by(field, "fid")).alias("x"))
-    return _on_grid(hit, meta, "float64", 0.0 if add and empty is None else empty)
+    return over_grid(hit, meta, "float64", 0.0 if add and empty is None else empty)
 
 
 def clip_polygon(r: Raster, polygons: DataFrame) -> Raster:
@@ -170,7 +170,7 @@ def polygon_coverage(polygons: DataFrame, meta: RasterMeta, adjust: bool = False
 def rasterize_polygons(polygons: DataFrame, field: str, meta: RasterMeta) -> Raster:
     """Sum over polygons of the field times the share of the polygon in the cell: totals are kept."""
     found = polygon_coverage(polygons, meta).join(polygons.select(F.col("fid").cast("bigint").alias("fid"), F.col(field).alias("__f")), "fid")
-    return _on_grid(found.groupBy("row", "col").agg(F.sum(F.col("coverage") * F.col("__f")).alias("x")), meta, "float64")
+    return over_grid(found.groupBy("row", "col").agg(F.sum(F.col("coverage") * F.col("__f")).alias("x")), meta, "float64")
 
 
 def cutout_polygon(r: Raster, coverage: DataFrame) -> Raster:
@@ -237,13 +237,13 @@ def rasterize_lines_aa(lines: DataFrame, meta: RasterMeta, field: str | None = N
     if field is not None:
         x = x * F.col(field)
     found = w.select("row", "col", x.alias("x")).groupBy("row", "col").agg(F.nullif(F.sum("x"), F.lit(0.0)).alias("x"))
-    return _on_grid(found, meta.replace(nodata=0.0), "float64")
+    return over_grid(found, meta.replace(nodata=0.0), "float64")
 
 
 def line_counts(lines: DataFrame, meta: RasterMeta, field: str | None = None) -> Raster:
     """Number of lines through each cell, or the sum of their field; nodata where there is none."""
     cells = line_cells(lines, meta, *[field] * (field is not None))
-    return _on_grid(cells.groupBy("row", "col").agg((F.count("*").cast("double") if field is None else F.sum(field)).alias("x")), meta.replace(nodata=0.0), "float64")
+    return over_grid(cells.groupBy("row", "col").agg((F.count("*").cast("double") if field is None else F.sum(field)).alias("x")), meta.replace(nodata=0.0), "float64")
 
 
 def linear_distribution(zones: Raster, lines: DataFrame, amounts, anti_aliased: bool = False) -> Raster:
@@ -259,7 +259,7 @@ def proportional_distribution(lines: DataFrame, meta: RasterMeta, field: str, an
     cells = line_cells(lines, meta, field)
     share = F.col(field) / F.count("*").over(Window.partitionBy("line_id"))
     found = cells.select("row", "col", share.alias("x")).groupBy("row", "col").agg(F.sum("x").alias("x"))
-    return _on_grid(found, meta.replace(nodata=0.0), "float64")
+    return over_grid(found, meta.replace(nodata=0.0), "float64")
 
 
 def weighted_proportional_distribution(zones: Raster, lines: DataFrame, field: str, amounts, anti_aliased: bool = False) -> Raster:

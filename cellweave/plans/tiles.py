@@ -77,7 +77,7 @@ def by_tiles(cells: DataFrame, meta: RasterMeta, halo: int, kernel: Callable[[Ti
 
     dealt = cells.withColumn("__tr", F.explode(spread("row", meta.rows))).withColumn("__tc", F.explode(spread("col", meta.cols))) if halo else cells.withColumn("__tr", F.floor(F.col("row") / side).cast("int")).withColumn("__tc", F.floor(F.col("col") / side).cast("int"))
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         out = kernel(Tile(meta, side, halo, key[0].as_py(), key[1].as_py(), names, table))
         return pa.Table.from_batches([out]) if isinstance(out, pa.RecordBatch) else out
 

@@ -146,6 +146,7 @@ def apply_colormap(r: Raster, palette: list[tuple[int, int, int, int]], low: flo
         low, high = x["a"] if low is None else low, x["b"] if high is None else high
     colours = F.array(*[F.struct(*[F.lit(int(v)).cast("smallint").alias(n) for n, v in zip("rgba", c)]) for c in palette])
     index = remap_to_byte(r.value, float(low), float(high), 0, 255) if low is not None else F.lit(None).cast("smallint")
-    found = F.coalesce(F.element_at(colours, index.cast("int") + 1), F.struct(*[F.lit(0).cast("smallint").alias(n) for n in "rgba"]))
+    clear = F.struct(*[F.lit(0).cast("smallint").alias(n) for n in "rgba"])
+    found = F.when(index.isNull(), clear).otherwise(F.element_at(colours, index.cast("int") + 1))
     return r.frame.select("row", "col", found.alias("c")).select("row", "col", "c.*")
 

@@ -20,10 +20,12 @@ def stream_point_sums(points: DataFrame, field: str, meta: RasterMeta, time: str
     return on_map.groupBy("window", "row", "col").agg(F.sum("__f").alias("x"))
 
 
-def sum_points_into(points: DataFrame, field: str, meta: RasterMeta, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch's sums as a Parquet partition batch=n under path, written over if the batch is run again: the raster so far is the sum of them."""
+def sum_points_into(points: DataFrame, field: str, meta: RasterMeta, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Each micro-batch's sums as a Parquet partition batch=n under path, written over if the batch is run again: the raster so far is the sum of them.
+    available_now: end when everything there now is read."""
 
     def batch(df: DataFrame, n: int) -> None:
         point_sums(df, field, meta).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
-    return points.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    writer = points.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
