@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only below this many rows of narrow columns (some 10 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
 
+_BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where the session names none (tests)."""
@@ -27,9 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches to Python end at BATCH bytes, so that a worker's memory doesn't follow the length of texts; a session's own setting stays."""
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, BATCH)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and return that table: lineage ends here, and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -53,6 +62,7 @@ def fold(column: str, modulus: int):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold
+from .common import fold, small_batches
 
 HELD_OUT = (4, 2)
 BITS, ORDERS = 15, (1, 2, 3)
@@ -164,6 +164,7 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame) -> Model:
     """From documents (doc_id, text, lang) whose lang is not null, outside the held-out fold."""
+    small_batches(docs.sparkSession)
     taught = docs.where(F.col("lang").isNotNull() & (fold("doc_id", HELD_OUT[0]) != HELD_OUT[1])).select("doc_id", "lang", "text")
     n = {r["lang"]: r["count"] for r in taught.where("text is not null").groupBy("lang").count().collect()}  # a row for each language
     languages = sorted(n)
@@ -176,12 +177,13 @@ def train(docs: DataFrame) -> Model:
 
     def read(batches):
         for b in batches:
-            keep = [(y.as_py(), d.as_py(), c) for y, d, t in zip(b.column(0), b.column(1), b.column(2)) if (c := counts(t.as_py())) is not None]
-            at = [c.nonzero()[0] for _, _, c in keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([y for y, _, _ in keep], pa.string()), pa.array([d for _, d, _ in keep], pa.int64()), pa.array([a.astype("<u2" if BITS <= 16 else "<u4").tobytes() for a in at], pa.binary()), pa.array([c[a].astype("<i4").tobytes() for a, (_, _, c) in zip(at, keep)], pa.binary())],
-                names=["lang", "draw", "at", "n"],
-            )
+            found = []
+            for y, d, t in zip(*b.columns):
+                if (c := counts(t.as_py())) is not None:
+                    at = c.nonzero()[0]
+                    found.append((y.as_py(), d.as_py(), at.astype("<u2" if BITS <= 16 else "<u4").tobytes(), c[at].astype("<i4").tobytes()))
+            columns = list(zip(*found)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.binary()))], names=["lang", "draw", "at", "n"])
 
     sample = taught.where((draw < rate) & F.col("text").isNotNull()).select("lang", draw.alias("draw"), "text").mapInArrow(read, "lang string, draw long, at binary, n binary")
     rows = []

@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 SPACE = "▁"
 #: Parts and pairs remembered by a worker; beyond it, at the next text, the memory starts afresh. Longer parts than LONG are not kept.
-REMEMBERED, LONG = 400_000, 48
+REMEMBERED, LONG = 150_000, 48
 
 
 class Model(NamedTuple):
@@ -163,7 +165,13 @@ class Codec:
                 begun = i + 1
         return out + self._known(part[begun:]) if begun < len(part) else out
 
+    def _forget(self) -> None:
+        if len(self.memory) >= REMEMBERED or len(self.odd) >= REMEMBERED:
+            self.memory.clear()
+            self.odd.clear()
+
     def encode(self, text: str, end: bool = True) -> list[int]:
+        self._forget()
         out = [int(x) for p in self._split(text) for x in self._remembered(p).split(" ")]
         return [*out, self.model.end_id] if end else out
 
@@ -209,9 +217,7 @@ class Codec:
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids and of the decoded text."""
-        if len(self.memory) >= REMEMBERED or len(self.odd) >= REMEMBERED:
-            self.memory.clear()
-            self.odd.clear()
+        self._forget()
         known, miss = self.memory.get, self._remembered
         parts = self._split(text or "")
         ids = " ".join([*[known(p) or miss(p) for p in parts], str(self.model.end_id)])
@@ -251,6 +257,7 @@ def _codec(key: str, shared) -> Codec:
 
 def _shared(spark: SparkSession, path: str):
     model = load(path)
+    small_batches(spark)
     return hashlib.sha256("\n".join(model.pieces).encode()).hexdigest(), spark.sparkContext.broadcast(model)
 
 

@@ -67,7 +67,7 @@ def features(data: bytes | None) -> tuple[float, ...]:
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def text_features(texts: pa.Array) -> pa.Array:
-    return pa.array([features(x) for x in texts.cast(pa.large_binary()).to_pylist()], pa.list_(pa.float64()))
+    return pa.array([features(t.as_py()) for t in texts.cast(pa.large_binary())], pa.list_(pa.float64()))
 
 
 class Model(NamedTuple):

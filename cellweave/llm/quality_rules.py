@@ -58,7 +58,7 @@ _FIELDS = pa.struct([(c, pa.int64()) for c in COUNTS])
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def text_counts(texts: pa.Array) -> pa.Array:
-    rows = [count_text(x) for x in texts.cast(pa.large_binary()).to_pylist()]
+    rows = [count_text(t.as_py()) for t in texts.cast(pa.large_binary())]
     return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)] or [pa.array([], pa.int64())] * len(COUNTS), fields=list(_FIELDS))
 
 

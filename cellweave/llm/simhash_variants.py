@@ -55,7 +55,7 @@ def fingerprint(data: bytes | None) -> int:
 @F.arrow_udf(T.LongType())
 def simhash(texts: pa.Array) -> pa.Array:
     """Fingerprints as signed longs."""
-    found = np.array([fingerprint(x) for x in texts.cast(pa.large_binary()).to_pylist()], np.uint64)
+    found = np.array([fingerprint(t.as_py()) for t in texts.cast(pa.large_binary())], np.uint64)
     return pa.array(found.view(np.int64))
 
 
