@@ -30,7 +30,7 @@ from .common import small_batches
 
 SPACE = "▁"
 #: Parts and pairs remembered by a worker; beyond it, at the next text, the memory starts afresh. Longer parts than LONG are not kept.
-REMEMBERED, LONG = 150_000, 48
+REMEMBERED, LONG = 300_000, 48
 
 
 class Model(NamedTuple):
