@@ -71,7 +71,7 @@ class Raster:
         kind = {"bool": "uint8", "uint64": "uint32"}.get(str(data.dtype), str(data.dtype))
         dtype = dtype or ("int32" if kind == "int64" else kind)
         r, c = np.mgrid[: meta.rows, : meta.cols]
-        table = pa.table({"row": r.ravel().astype(np.int32), "col": c.ravel().astype(np.int32), "value": pa.array(data.data.astype("f8" if is_float(dtype) else "i8").ravel(), mask=np.ma.getmaskarray(data).ravel())})
+        table = pa.table({"row": r.ravel().astype(np.int32), "col": c.ravel().astype(np.int32), "value": pa.array(data.filled(0).astype("f8" if is_float(dtype) else "i8").ravel(), mask=np.ma.getmaskarray(data).ravel())})
         return cls.ingest(spark.createDataFrame(table), meta, dtype)
 
     # edges
