@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_KEY, BATCH)
 
 
+def give_back() -> None:
+    """A Python worker hands memory that it has freed back to the system: workers live on between tasks, and allocators keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of the C library on Linux only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and return that table: lineage ends here, and survives lost executors."""
     spark = df.sparkSession

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, keep
+from .common import fold, give_back, keep
 
 HELD_OUT = (7, 2)
 CONTEXTS = 1 << 16
@@ -125,8 +125,11 @@ def _chunks(batches):
             if chunk.full():
                 yield chunk
                 chunk = _Chunk()
+                give_back()
     if chunk.ids:
         yield chunk
+    del chunk
+    give_back()
 
 
 def _context(hashes: np.ndarray) -> np.ndarray:
@@ -238,8 +241,12 @@ def _occurrences(packs: list[bytes]) -> _Occurrences:
         times.append(t.astype(np.int32))
         chunk.append(np.full(len(d), k, np.int32))
     distinct, word = np.unique(np.concatenate(words), return_inverse=True)
-    types, at = np.unique(word.astype(np.int64) << 16 | np.concatenate(contexts), return_inverse=True)
-    return _Occurrences(distinct, (types >> 16).astype(np.int64), types & 0xFFFF, np.concatenate(chunk), np.concatenate(docs), np.repeat(at, np.concatenate(per)), np.concatenate(times))
+    del words
+    types, at = np.unique(word << 16 | np.concatenate(contexts), return_inverse=True)
+    del word, contexts
+    kind = np.repeat(at.astype(np.int32), np.concatenate(per))
+    del at, per
+    return _Occurrences(distinct, types >> 16, types & 0xFFFF, np.concatenate(chunk), np.concatenate(docs), kind, np.concatenate(times))
 
 
 class _State(NamedTuple):
@@ -311,8 +318,9 @@ def seat(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Gene
     for v, a, b in zip(values.tolist(), start, [*start[1:], len(order)]):
         if v < 2:
             continue
-        for k in range(a, b, 1 << 16):
-            mine = order[k : min(b, k + (1 << 16))]
+        step = (1 << 18) // v
+        for k in range(a, b, step):
+            mine = order[k : min(b, k + step)]
             logs = _stirling[discount][v, 1 : v + 1] + np.outer(log_w[mine], np.arange(1, v + 1))
             p = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
             t[mine] = 1 + (p < rng.random(len(mine))[:, None] * p[:, -1:]).sum(axis=1)
@@ -425,6 +433,7 @@ def _merge_parts(packed: DataFrame, shared) -> DataFrame:
             np.bincount(pair[one_pair], c[one_pair], len(pairs)), (place[:, 0] > 0).astype(float), place[:, 0], place[:, 1],
             [c.sum(), (known & light).sum(), single.sum(), (alone & (c == 2)).sum(), (light & (by_word == 1)).sum(), (light & (by_word == 2)).sum(), by_word[light].sum()],
         ])
+        give_back()
         data = _zip(o.words.astype("<u8"), np.bincount(o.word[single], minlength=len(o.words)).astype("<u4"), o.word[repeated].astype("<u4"), o.context[repeated].astype("<u2"), c[repeated].astype("<u4"), np.bincount(o.context[single], minlength=CONTEXTS).astype("<u4"))
         schema = pa.schema([("part", pa.int32()), ("repeated", pa.binary()), ("counts", pa.binary()), ("chunk", pa.list_(pa.int64())), ("taught", pa.list_(pa.int32())), ("ids", pa.list_(pa.list_(pa.int64()))), ("packs", pa.list_(pa.binary()))])
         return pa.table({"part": [key[0].as_py()], "repeated": [data], "counts": [_zip(counts)], "chunk": [table.column("chunk").to_pylist()], "taught": [taught], "ids": [table.column("ids").to_pylist()], "packs": [packs]}, schema=schema)
@@ -509,6 +518,8 @@ def _contributions(parts: DataFrame, shared) -> DataFrame:
                     score, counted, known_tokens = (x[some] for x in sums)
                     data = _zip(*map(_planes, (np.diff(some, prepend=0), np.rint(-score * 2**SCORE_PLACES), np.rint(counted * 2**BASE_PLACES), n[some], n[some] - known_tokens)))
                     yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([own.as_py()], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["chunk", "ids", "data"])
+                del part, o, types, key, at, c, often, pair, taught, single, mean, t, parent, logs, seen, base, known, sums
+                give_back()
 
     return parts.select("part", "repeated", "chunk", "ids", "packs", "taught").mapInArrow(rows, "chunk long, ids array<long>, data binary")
 
