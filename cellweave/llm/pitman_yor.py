@@ -1,6 +1,6 @@
 """Language-model scores by a hierarchical Pitman-Yor model with sampled Chinese-restaurant seatings.
 
-Every context, the previous word hashed into CONTEXTS restaurants, seats the words that follow it; each of its tables
+Every context, the previous word by its 64-bit hash, seats the words that follow it; each of its tables
 sends a customer to the one parent restaurant that all contexts share, whose base is uniform over the known words and
 one unknown. Seatings are Gibbs-sampled: with the others fixed, the number of tables of c customers of one dish is
 drawn from its exact conditional (generalised Stirling numbers) up to EXACT customers, and from that conditional's
@@ -13,7 +13,9 @@ all tokens and thus of bounded number; the second packs each chunk of documents
 occurrences sorted by word and context. Words belong to parts by hash; a frequent word is spread by context, a frequent pair
 by document, so no part grows with one word. Parts of about PART_TOKENS tokens are written once; sweeps read
 only their repeated pairs and are pure functions of seeds and earlier totals, so that a lost executor costs a
-recomputation and never a different result. Totals have a fixed size: CONTEXTS, and the frequent words and pairs.
+recomputation and never a different result. Totals on the driver have a bounded size: frequent contexts, words and pairs. Rare contexts,
+whose number grows with the vocabulary, are dealt over buckets by hash: a part sends its tables of each to their bucket, which sends their
+sums over all parts back. Replies lie in the shared folder, a directory for each part, which tasks read themselves.
 
 Defined results: null and empty texts consist of the end alone; rows are scored each, also where ids repeat or are
 null; without training texts every probability is the base's, 1; an empty table gives an empty result. Only doc_id and
@@ -24,26 +26,31 @@ from __future__ import annotations
 
 from collections import defaultdict
 from itertools import count
+from uuid import uuid4
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, give_back, keep
+from .common import fold, give_back, keep, shared_dir
 
 HELD_OUT = (7, 2)
-CONTEXTS = 1 << 16
 SWEEPS, BURN_IN = 4, 1
 STRENGTH, SEED = 1.0, 11
 EXACT = 64
 CHUNK_TOKENS, CHUNK_DOCS, PART_TOKENS, LEAST_PARTS = 700_000, 60_000, 1_400_000, 16
 #: Words and pairs of at least this share of some chunk, and over all of at least half of it or 1 / SPREAD of a part, whichever is more, are
-#: treated as frequent: at most 2 / FREQUENT of each, and no more than parts need for being even.
+#: treated as frequent: at most 2 / FREQUENT of each, and no more than parts need for being even. Contexts of at least half of FREQUENT have
+#: their totals in shared vectors.
 FREQUENT, SPREAD = 1 / 20_000, 8
+#: Parts for each bucket of rare contexts, and what stands for a rare context where frequent ones are numbered.
+BUCKET_PARTS, RARE = 4, 0xFFFF
 SLICE, DIRECT = 4096, 256
 #: Binary places that sums of log10 probabilities and of log10 counts keep on their way to their documents.
 SCORE_PLACES, BASE_PLACES = 14, 20
@@ -132,12 +139,9 @@ def _chunks(batches):
     give_back()
 
 
-def _context(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - CONTEXTS.bit_length() + 1)).astype(np.int64)
-
-
-def _frequent(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of parts; hashes of frequent words; frequent pairs as hash of (word, context). What is frequent over all is frequent in some chunk."""
+def _frequent(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of parts; hashes of frequent words; frequent pairs as hash of (word, context); hashes of frequent contexts, among them those of
+    frequent pairs. What is frequent over all is frequent in some chunk."""
 
     def partial(batches):
         for chunk in _chunks(batches):
@@ -146,7 +150,7 @@ def _frequent(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
             n = np.bincount(w, minlength=len(hashes))
             often = n >= least
             both = often[w] & (often[u] | (u == 1))
-            pairs, m = np.unique(_pair(hashes[w[both]], _context(hashes[u[both]])), return_counts=True)
+            pairs, m = np.unique(_pair(hashes[w[both]], hashes[u[both]]), return_counts=True)
             some = m >= least
             keys = np.concatenate([hashes[often], pairs[some], [np.uint64(0)]]).view(np.int64)
             kind = np.repeat(np.array([0, 1, 2], np.int32), [often.sum(), some.sum(), 1])
@@ -155,13 +159,15 @@ def _frequent(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     found = keep(docs.mapInArrow(partial, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "frequent")
     total = found.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(LEAST_PARTS, -(-total // PART_TOKENS))
-    rows = found.where((F.col("kind") < 2) & (F.col("n") >= max(FREQUENT / 2, 1 / (SPREAD * parts)) * total)).toArrow()  # 2 / FREQUENT words and as many pairs at most
+    rows = found.where((F.col("kind") < 2) & (F.col("n") >= FREQUENT / 2 * total)).toArrow()  # 2 / FREQUENT words and as many pairs at most
     kind, key = rows.column("kind").to_numpy(), rows.column("key").to_numpy().view(np.uint64)
-    return parts, np.sort(key[kind == 0]), np.sort(key[kind == 1])
+    even = rows.column("n").to_numpy() >= max(FREQUENT / 2, 1 / (SPREAD * parts)) * total
+    contexts = np.union1d(key[kind == 0], np.array([xxhash.xxh64_intdigest(BEGIN)], np.uint64))
+    return parts, np.sort(key[(kind == 0) & even]), np.sort(key[(kind == 1) & even]), contexts
 
 
 def _pair(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    return _hash(words ^ (contexts.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    return _hash(words ^ (contexts + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _within(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -176,18 +182,27 @@ def _pack(docs: DataFrame, parts: int, shared) -> DataFrame:
     """part, chunk, taught (documents for training), size (documents), ids (in one part of a chunk), occurrences: by word, context and document."""
 
     def rows(batches):
-        words, pairs = shared.value
+        words, pairs, contexts = shared.value
         task = TaskContext.get().partitionId()
         for k, chunk in enumerate(_chunks(batches)):
             hashes, w, u, doc, taught, ids = chunk.arrays()
             chunk.texts.clear()
             name = task << 24 | k
-            key = np.sort(w.astype(np.uint64) << np.uint64(32) | _context(hashes)[u].astype(np.uint64) << np.uint64(16) | doc.astype(np.uint64))
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            times = np.diff(np.concatenate([new.nonzero()[0], [len(key)]]))
-            key = key[new]
-            w, u, doc = (key >> np.uint64(32)).astype(np.int64), (key >> np.uint64(16)).astype(np.int64) & 0xFFFF, (key & np.uint64(0xFFFF)).astype(np.int64)
-            pair = _pair(hashes[w], u)
+            bits = len(hashes).bit_length()
+            if 2 * bits + 16 < 64:
+                key = np.sort(w.astype(np.int64) << bits + 16 | u.astype(np.int64) << 16 | doc)
+                new = np.concatenate([[True], key[1:] != key[:-1]])
+                key = key[new]
+                w, u, doc = key >> bits + 16, key >> 16 & (1 << bits) - 1, key & 0xFFFF
+                del key
+            else:  # millions of distinct words in one text
+                order = np.lexsort((doc, u, w))
+                w, u, doc = w[order], u[order], doc[order]
+                new = np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1]) | (doc[1:] != doc[:-1])])
+                w, u, doc = w[new], u[new], doc[new]
+            times = np.diff(np.concatenate([new.nonzero()[0], [len(new)]]))
+            number = _within(hashes, contexts)
+            pair = _pair(hashes[w], hashes[u])
             place = _hash(hashes)[w]
             often = (_within(hashes, words) >= 0)[w]
             place[often] = pair[often]
@@ -204,11 +219,11 @@ def _pack(docs: DataFrame, parts: int, shared) -> DataFrame:
                 a, b = w[mine], u[mine]
                 first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(mine) else np.array([], bool)
                 start = first.nonzero()[0]
-                typed = a[start]
+                typed, context = a[start], number[b[start]]
                 first_word = np.concatenate([[True], typed[1:] != typed[:-1]]) if len(typed) else np.array([], bool)
                 at = first_word.nonzero()[0]
                 data = _zip(
-                    hashes[typed[at]].astype("<u8"), np.diff(np.concatenate([at, [len(typed)]])).astype("<u4"), b[start].astype("<u2"),
+                    hashes[typed[at]].astype("<u8"), np.diff(np.concatenate([at, [len(typed)]])).astype("<u4"), np.where(context < 0, RARE, context).astype("<u2"), hashes[b[start][context < 0]].astype("<u8"),
                     np.diff(np.concatenate([start, [len(mine)]])).astype("<u2" if len(ids) < 65536 else "<u4"), doc[mine].astype("<u2"), np.minimum(times[mine], 255).astype("u1"), times[mine][times[mine] >= 255].astype("<u4"),
                 )
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([name], pa.int64()), pa.array([taught], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids if p == name % parts else None], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["part", "chunk", "taught", "size", "ids", "data"])
@@ -217,9 +232,11 @@ def _pack(docs: DataFrame, parts: int, shared) -> DataFrame:
 
 
 class _Occurrences(NamedTuple):
-    """All of a part: distinct words; types (word, context); each entry's chunk, document, type and times."""
+    """All of a part: distinct words and rare contexts; types (word, context), rare contexts numbered after the frequent ones; each entry's
+    chunk, document, type and times."""
 
     words: np.ndarray
+    rare: np.ndarray
     word: np.ndarray
     context: np.ndarray
     chunk: np.ndarray
@@ -228,29 +245,33 @@ class _Occurrences(NamedTuple):
     times: np.ndarray
 
 
-def _occurrences(packs: list[bytes]) -> _Occurrences:
-    words, contexts, per, docs, times, chunk = [], [], [], [], [], []
+def _occurrences(packs: list[bytes], frequent: int) -> _Occurrences:
+    words, contexts, far, per, docs, times, chunk = [], [], [], [], [], [], []
     for k, data in enumerate(packs):
-        h, n, u, m, d, t, more = _unzip(data, "<u8", "<u4", "<u2", "<u2", "<u2", "u1", "<u4")
+        h, n, u, f, m, d, t, more = _unzip(data, "<u8", "<u4", "<u2", "<u8", "<u2", "<u2", "u1", "<u4")
         t = t.astype(np.int64)
         t[t == 255] = more
         words.append(np.repeat(h, n))
         contexts.append(u)
+        far.append(f)
         per.append(m)
         docs.append(d)
         times.append(t.astype(np.int32))
         chunk.append(np.full(len(d), k, np.int32))
     distinct, word = np.unique(np.concatenate(words), return_inverse=True)
     del words
-    types, at = np.unique(word << 16 | np.concatenate(contexts), return_inverse=True)
-    del word, contexts
+    rare, place = np.unique(np.concatenate(far), return_inverse=True)
+    context = np.concatenate(contexts).astype(np.int64)
+    context[context == RARE] = frequent + place
+    types, at = np.unique(word << 32 | context, return_inverse=True)
+    del word, context, contexts, far, place
     kind = np.repeat(at.astype(np.int32), np.concatenate(per))
     del at, per
-    return _Occurrences(distinct, types >> 16, types & 0xFFFF, np.concatenate(chunk), np.concatenate(docs), kind, np.concatenate(times))
+    return _Occurrences(distinct, rare, types >> 32, types & 0xFFFFFFFF, np.concatenate(chunk), np.concatenate(docs), kind, np.concatenate(times))
 
 
 class _State(NamedTuple):
-    """Totals after a sweep: tables of each context; for frequent words customers and tables in the parent; the parent's sums; tables of frequent pairs."""
+    """Totals after a sweep: tables of each frequent context; for frequent words customers and tables in the parent; the parent's sums; tables of frequent pairs."""
 
     tables: np.ndarray
     word_customers: np.ndarray
@@ -261,7 +282,7 @@ class _State(NamedTuple):
 
 
 class _Fixed(NamedTuple):
-    """What training counts fix: frequent words (hash, count) and pairs (hash, count, word, context), customers of contexts, tokens, words, discounts."""
+    """What training counts fix: frequent words (hash, count) and pairs (hash, count, word, context), frequent contexts (hash, customers), tokens, words, discounts."""
 
     words: np.ndarray
     word_counts: np.ndarray
@@ -270,6 +291,7 @@ class _Fixed(NamedTuple):
     pair_word: np.ndarray
     pair_context: np.ndarray
     contexts: np.ndarray
+    context_customers: np.ndarray
     tokens: int
     vocabulary: int
     discount: float
@@ -330,12 +352,83 @@ def seat(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Gene
     return t
 
 
+def _buckets(hashes: np.ndarray, many: int) -> np.ndarray:
+    """Buckets of hashes, in order of hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)).astype(np.int64)
+
+
+def _sent(bucket: np.ndarray, *values: np.ndarray):
+    """(bucket, data) for each bucket with entries; buckets ascend."""
+    start = np.concatenate([[True], bucket[1:] != bucket[:-1]]).nonzero()[0] if len(bucket) else []
+    for a, b in zip(start, [*start[1:], len(bucket)]):
+        yield int(bucket[a]), _zip(*(_planes(x[a:b]) for x in values))
+
+
+def _replied(sent: DataFrame, kinds: int, answer) -> str:
+    """Folder of replies to (bucket, part, data): for all data of a bucket, answer gives each part's reply."""
+
+    def meet(key, table):
+        data = [[_numbers(x) for x in _unzip(d, *["u1"] * kinds)] for d in table.column("data").to_pylist()]
+        ends = np.cumsum([len(d[0]) for d in data])[:-1]
+        found = zip(*(np.split(x, ends) for x in answer(*map(np.concatenate, zip(*data)))))
+        reply = [_zip(*map(_planes, x)) for x in found]
+        give_back()
+        return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "data": pa.array(reply, pa.binary())})
+
+    path = f"{shared_dir(sent.sparkSession)}/replies-{uuid4().hex}"
+    replies = sent.groupBy("bucket").applyInArrow(meet, "part int, bucket int, data binary")
+    replies.repartition("part").write.partitionBy("part").parquet(path)
+    return path
+
+
+def _received(path: str, part: int, kinds: int) -> list[tuple[int, list[np.ndarray]]]:
+    """A part's replies by bucket."""
+    files, root = pafs.FileSystem.from_uri(path)
+    found = files.get_file_info(pafs.FileSelector(f"{root}/part={part}", allow_not_found=True))
+    rows = [r for f in found if f.path.endswith(".parquet") for r in pq.ParquetFile(files.open_input_file(f.path)).read(["bucket", "data"]).to_pylist()]
+    return [(r["bucket"], [_numbers(x) for x in _unzip(r["data"], *["u1"] * kinds)]) for r in sorted(rows, key=lambda r: r["bucket"])]
+
+
+def _meet_first(hashes, *counts):
+    """Over all parts: customers, single types and repeated types of rare contexts; the place of those with repeated types among such, from 1."""
+    place = np.unique(hashes, return_inverse=True)[1]
+    sums = [np.bincount(place, x).astype(np.int64) for x in counts]
+    return [x[place] for x in (*sums, np.where(sums[2] > 0, np.cumsum(sums[2] > 0), 0))]
+
+
+def _meet(place, tables):
+    """Tables of repeated types over all parts."""
+    return [np.bincount(place, tables).astype(np.int64)[place]]
+
+
+class _Rare:
+    """A part's rare contexts, in order of their hashes, as replies over all parts give them."""
+
+    def __init__(self, part: int, paths: list[str]) -> None:
+        self.part, self.paths = part, paths
+        replies = _received(paths[0], part, 4)
+        self.bucket = np.repeat([b for b, _ in replies], [len(x[0]) for _, x in replies]).astype(np.int64)
+        self.customers, self.single, self.repeated, self.place = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*(x for _, x in replies)) if replies else [[]] * 4))
+        self.live = self.place > 0
+
+    def tables(self, k: int) -> np.ndarray:
+        """Tables after sweep k; a context without repeated types keeps one for each type."""
+        if not k:
+            return self.single + self.repeated
+        out = self.single.copy()
+        out[self.live] += np.concatenate([np.zeros(0, np.int64), *(x for _, (x,) in _received(self.paths[k], self.part, 1))])
+        return out
+
+    def message(self, tables: np.ndarray):
+        return _sent(self.bucket[self.live], self.place[self.live], tables[self.live])
+
+
 class _Part:
     """A part's own seating: of repeated pairs; single ones have a table each."""
 
-    def __init__(self, part: int, repeated: bytes, fixed: _Fixed) -> None:
-        self.part, self.fixed = part, fixed
-        self.words, self.singles, self.word, self.context, self.count, self.single_contexts = _unzip(repeated, "<u8", "<u4", "<u4", "<u2", "<u4", "<u4")
+    def __init__(self, part: int, repeated: bytes, fixed: _Fixed, paths: list[str]) -> None:
+        self.part, self.fixed, self.rare = part, fixed, _Rare(part, paths)
+        self.words, self.singles, self.word, self.context, self.count, self.single_contexts = _unzip(repeated, "<u8", "<u4", "<u4", "<u4", "<u4", "<u4")
         self.frequent = _within(self.words, fixed.words)
         self.tables = np.ones(len(self.word), np.int64)
         self._parents()
@@ -351,17 +444,22 @@ class _Part:
         t = np.where(often, state.word_tables[self.frequent] if len(state.word_tables) else 0, self.parent_tables)
         return _parent(c, t, state, self.fixed)
 
+    def context_tables(self, k: int, state: _State) -> np.ndarray:
+        """Tables of all contexts after sweep k, the rare ones of this part last."""
+        return np.concatenate([state.tables, self.rare.tables(k)])
+
     def sweep(self, k: int, before: _State) -> None:
         rng = np.random.default_rng([SEED, self.part, k])
-        others = np.maximum(before.tables[self.context] - self.tables, 0)
+        others = np.maximum(self.context_tables(k - 1, before)[self.context] - self.tables, 0)
         self.tables = seat(self.count.astype(np.int64), (STRENGTH + self.fixed.discount * others) * self.parent(before)[self.word], self.fixed.discount, rng)
         self._parents()
         self.parent_tables = seat(self.customers, np.full(len(self.words), _base_weight(before, self.fixed)), self.fixed.parent_discount, rng)
 
-    def totals(self) -> np.ndarray:
-        often = self.frequent >= 0
-        tables = np.bincount(self.context, self.tables, CONTEXTS) + self.single_contexts
-        return np.concatenate([tables, np.bincount(self.frequent[often], self.customers[often], len(self.fixed.words)), [self.customers[~often].sum(), self.parent_tables[~often].sum()]])
+    def totals(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sums for all; own tables of repeated types in rare contexts."""
+        often, frequent = self.frequent >= 0, len(self.fixed.contexts)
+        tables = np.bincount(self.context, self.tables, frequent + len(self.rare.place)).astype(np.int64)
+        return np.concatenate([tables[:frequent] + self.single_contexts, np.bincount(self.frequent[often], self.customers[often], len(self.fixed.words)), [self.customers[~often].sum(), self.parent_tables[~often].sum()]]), tables[frequent:]
 
 
 def _base_weight(state: _State, fixed: _Fixed) -> float:
@@ -411,14 +509,14 @@ def _merge_parts(packed: DataFrame, shared) -> DataFrame:
     """A row for each part: its packs, and what sweeps need (repeated), and counts to be summed over all (counts)."""
 
     def merge(key, table):
-        words, pairs = shared.value
+        words, pairs, contexts = shared.value
         packs, taught = table.column("data").to_pylist(), np.array(table.column("taught").to_pylist(), np.int64)
-        o = _occurrences(packs)
+        o, many = _occurrences(packs, len(contexts)), len(contexts)
         c = np.bincount(o.type, o.times * (o.doc < taught[o.chunk]), len(o.word)).astype(np.int64)
         often = _within(o.words, words)
         pair = np.full(len(o.word), -1)
-        mine = (often >= 0)[o.word]
-        pair[mine] = _within(_pair(o.words[o.word[mine]], o.context[mine]), pairs)
+        mine = (often >= 0)[o.word] & (o.context < many)
+        pair[mine] = _within(_pair(o.words[o.word[mine]], contexts[o.context[mine]]), pairs)
         alone = pair < 0
         single, repeated = alone & (c == 1), alone & (c > 1)
         known = np.bincount(o.word, c, len(o.words)) > 0
@@ -427,49 +525,66 @@ def _merge_parts(packed: DataFrame, shared) -> DataFrame:
         one_pair = pair >= 0
         place = np.zeros((len(pairs), 2))  # word and context of a frequent pair, where it occurs, by its first part only: largest is taken
         place[pair[one_pair], 0], place[pair[one_pair], 1] = often[o.word[one_pair]] + 1, o.context[one_pair] + 1
+        customers = np.bincount(o.context, c, many + len(o.rare))
+        singles, repeats = (np.bincount(o.context[x], minlength=many + len(o.rare)) for x in (single, repeated))
         counts = np.concatenate([
-            np.bincount(o.context, c, CONTEXTS), np.bincount(o.context[alone & (c > 0)], minlength=CONTEXTS),
+            customers[:many], singles[:many] + repeats[:many],
             np.bincount(often[~light], np.bincount(o.word, c, len(o.words))[~light], len(words)), np.bincount(often[~light], by_word[~light], len(words)),
             np.bincount(pair[one_pair], c[one_pair], len(pairs)), (place[:, 0] > 0).astype(float), place[:, 0], place[:, 1],
             [c.sum(), (known & light).sum(), single.sum(), (alone & (c == 2)).sum(), (light & (by_word == 1)).sum(), (light & (by_word == 2)).sum(), by_word[light].sum()],
         ])
         give_back()
-        data = _zip(o.words.astype("<u8"), np.bincount(o.word[single], minlength=len(o.words)).astype("<u4"), o.word[repeated].astype("<u4"), o.context[repeated].astype("<u2"), c[repeated].astype("<u4"), np.bincount(o.context[single], minlength=CONTEXTS).astype("<u4"))
-        schema = pa.schema([("part", pa.int32()), ("repeated", pa.binary()), ("counts", pa.binary()), ("chunk", pa.list_(pa.int64())), ("taught", pa.list_(pa.int32())), ("ids", pa.list_(pa.list_(pa.int64()))), ("packs", pa.list_(pa.binary()))])
-        return pa.table({"part": [key[0].as_py()], "repeated": [data], "counts": [_zip(counts)], "chunk": [table.column("chunk").to_pylist()], "taught": [taught], "ids": [table.column("ids").to_pylist()], "packs": [packs]}, schema=schema)
+        data = _zip(o.words.astype("<u8"), np.bincount(o.word[single], minlength=len(o.words)).astype("<u4"), o.word[repeated].astype("<u4"), o.context[repeated].astype("<u4"), c[repeated].astype("<u4"), singles[:many].astype("<u4"))
+        rare = _zip(o.rare.astype("<u8"), *(x[many:].astype("<u4") for x in (customers, singles, repeats)))
+        schema = pa.schema([("part", pa.int32()), ("repeated", pa.binary()), ("rare", pa.binary()), ("counts", pa.binary()), ("chunk", pa.list_(pa.int64())), ("taught", pa.list_(pa.int32())), ("ids", pa.list_(pa.list_(pa.int64()))), ("packs", pa.list_(pa.binary()))])
+        return pa.table({"part": [key[0].as_py()], "repeated": [data], "rare": [rare], "counts": [_zip(counts)], "chunk": [table.column("chunk").to_pylist()], "taught": [taught], "ids": [table.column("ids").to_pylist()], "packs": [packs]}, schema=schema)
 
-    kind = "part int, repeated binary, counts binary, chunk array<long>, taught array<int>, ids array<array<long>>, packs array<binary>"
+    kind = "part int, repeated binary, rare binary, counts binary, chunk array<long>, taught array<int>, ids array<array<long>>, packs array<binary>"
     return keep(packed.groupBy("part").applyInArrow(merge, kind), "parts")
 
 
-def _fixed(parts: DataFrame, many: int, words: np.ndarray, pairs: np.ndarray) -> tuple[_Fixed, _State]:
+def _introduced(parts: DataFrame, many: int) -> str:
+    """Folder of the replies that tell parts of their rare contexts."""
+
+    def rows(batches):
+        for b in batches:
+            for number, rare in zip(*b.columns):
+                hashes, *counts = _unzip(rare.as_py(), "<u8", "<u4", "<u4", "<u4")
+                for bucket, data in _sent(_buckets(hashes, many), hashes.view(np.int64), *counts):
+                    yield pa.RecordBatch.from_arrays([pa.array([number.as_py()], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["part", "bucket", "data"])
+
+    return _replied(parts.select("part", "rare").mapInArrow(rows, "part int, bucket int, data binary"), 4, _meet_first)
+
+
+def _fixed(parts: DataFrame, many: int, words: np.ndarray, pairs: np.ndarray, known: np.ndarray) -> tuple[_Fixed, _State]:
     """Counts over all parts, and the state in which every type has one table."""
-    w, p = len(words), len(pairs)
-    size = 2 * CONTEXTS + 2 * w + 4 * p + 7
+    w, p, u = len(words), len(pairs), len(known)
+    size = 2 * u + 2 * w + 4 * p + 7
     v = _summed(_accumulated(parts, ["counts"], lambda data: _unzip(data, "<f8")[0]), size, many)
-    contexts, types, word_counts, word_types, pair_counts, seen, pair_word, pair_context, last = np.split(v, np.cumsum([CONTEXTS, CONTEXTS, w, w, p, p, p, p]))
+    contexts, types, word_counts, word_types, pair_counts, seen, pair_word, pair_context, last = np.split(v, np.cumsum([u, u, w, w, p, p, p, p]))
     tokens, light, n1, n2, m1, m2, light_types = last
     seen = np.maximum(seen, 1)
     pair_word, pair_context = np.round(pair_word / seen).astype(np.int64) - 1, np.round(pair_context / seen).astype(np.int64) - 1
     vocabulary = int(light + (word_counts > 0).sum())
     discount = lambda a, b: float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else 0.5
-    fixed = _Fixed(words, word_counts, pairs, pair_counts, pair_word, pair_context, contexts, int(tokens), vocabulary, discount(n1, n2), discount(m1, m2))
+    fixed = _Fixed(words, word_counts, pairs, pair_counts, pair_word, pair_context, known, contexts, int(tokens), vocabulary, discount(n1, n2), discount(m1, m2))
     one = np.minimum(pair_counts, 1)
     customers = word_types + np.bincount(pair_word[pair_word >= 0], one[pair_word >= 0], w)[:w]
-    tables = types + np.bincount(np.maximum(pair_context, 0), one, CONTEXTS)
+    tables = types + np.bincount(np.maximum(pair_context, 0), one, u)
     return fixed, _State(tables, customers, np.minimum(customers, 1), float(light_types + customers.sum()), float(light + (customers > 0).sum()), one.astype(np.int64))
 
 
 def _next_state(k: int, fixed: _Fixed, before: _State, v: np.ndarray) -> _State:
     """State after sweep k from the parts' totals; frequent pairs and the parent tables of frequent words are seated here."""
     rng = np.random.default_rng([SEED, 2**31, k])
-    tables, customers, (light_customers, light_tables) = v[:CONTEXTS].copy(), v[CONTEXTS:-2].copy(), v[-2:]
+    many = len(fixed.contexts)
+    tables, customers, (light_customers, light_tables) = v[:many].copy(), v[many:-2].copy(), v[-2:]
     pair_tables = before.pair_tables
     if len(fixed.pairs):
         parent = _parent(before.word_customers, before.word_tables, before, fixed)[fixed.pair_word]
         others = np.maximum(before.tables[fixed.pair_context] - before.pair_tables, 0)
         pair_tables = seat(fixed.pair_counts.astype(np.int64), (STRENGTH + fixed.discount * others) * parent, fixed.discount, rng)
-        tables += np.bincount(fixed.pair_context, pair_tables, CONTEXTS)
+        tables += np.bincount(fixed.pair_context, pair_tables, many)
         customers += np.bincount(fixed.pair_word, pair_tables, len(fixed.words))
     word_tables = seat(customers.astype(np.int64), np.full(len(customers), _base_weight(before, fixed)), fixed.parent_discount, rng)
     return _State(tables, customers, word_tables, float(light_customers + customers.sum()), float(light_tables + word_tables.sum()), pair_tables)
@@ -479,17 +594,19 @@ def _contributions(parts: DataFrame, shared) -> DataFrame:
     """chunk, ids, data: for each part and chunk the documents' sums of log10 probabilities, of log10(count + 1), of tokens and known tokens."""
 
     def rows(batches):
-        fixed, states = shared.value
+        fixed, states, paths = shared.value
         for b in batches:
             for number, repeated, chunks, ids, packs, learned in zip(*b.columns):
-                part, o = _Part(number.as_py(), repeated.as_py(), fixed), _occurrences(packs.as_py())
-                key = part.word.astype(np.int64) << 16 | part.context
-                types = o.word << 16 | o.context
+                part, o = _Part(number.as_py(), repeated.as_py(), fixed, paths), _occurrences(packs.as_py(), len(fixed.contexts))
+                key = part.word.astype(np.int64) << 32 | part.context
+                types = o.word << 32 | o.context
                 at = _within(types, key)
                 c = np.where(at >= 0, part.count[at] if len(key) else 0, 0).astype(float)
                 often = part.frequent[o.word]
                 pair = np.full(len(types), -1)
-                pair[often >= 0] = _within(_pair(o.words[o.word[often >= 0]], o.context[often >= 0]), fixed.pairs)
+                mine = (often >= 0) & (o.context < len(fixed.contexts))
+                pair[mine] = _within(_pair(o.words[o.word[mine]], fixed.contexts[o.context[mine]]), fixed.pairs)
+                customers = np.concatenate([fixed.context_customers, part.rare.customers])[o.context]
                 taught = np.bincount(o.type, o.doc < np.array(learned.as_py(), np.int64)[o.chunk], len(types)) > 0
                 c[(at < 0) & (pair < 0) & taught] = 1.0
                 c = np.where(pair >= 0, fixed.pair_counts[pair] if len(fixed.pairs) else 0, c)
@@ -502,7 +619,7 @@ def _contributions(parts: DataFrame, shared) -> DataFrame:
                         t = np.where(at >= 0, part.tables[at] if len(key) else 0, single)
                         t = np.where(pair >= 0, s.pair_tables[pair] if len(fixed.pairs) else 0, t)
                         parent = part.parent(s)[o.word]
-                        mean += (np.maximum(c - fixed.discount * t, 0) + (STRENGTH + fixed.discount * s.tables[o.context]) * parent) / (STRENGTH + fixed.contexts[o.context])
+                        mean += (np.maximum(c - fixed.discount * t, 0) + (STRENGTH + fixed.discount * part.context_tables(k, s)[o.context]) * parent) / (STRENGTH + customers)
                 logs = np.log10(mean / (SWEEPS - BURN_IN))
                 seen = np.bincount(o.word, np.where(pair >= 0, 0, c), len(o.words))
                 seen = np.where(part.frequent >= 0, fixed.word_counts[part.frequent] if len(fixed.words) else 0, seen)
@@ -518,7 +635,7 @@ def _contributions(parts: DataFrame, shared) -> DataFrame:
                     score, counted, known_tokens = (x[some] for x in sums)
                     data = _zip(*map(_planes, (np.diff(some, prepend=0), np.rint(-score * 2**SCORE_PLACES), np.rint(counted * 2**BASE_PLACES), n[some], n[some] - known_tokens)))
                     yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([own.as_py()], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["chunk", "ids", "data"])
-                del part, o, types, key, at, c, often, pair, taught, single, mean, t, parent, logs, seen, base, known, sums
+                del part, o, types, key, at, c, often, mine, pair, customers, taught, single, mean, t, parent, logs, seen, base, known, sums
                 give_back()
 
     return parts.select("part", "repeated", "chunk", "ids", "packs", "taught").mapInArrow(rows, "chunk long, ids array<long>, data binary")
@@ -529,24 +646,35 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     held = (fold("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out")
     texts = docs.select("doc_id", held, "text")
-    count_parts, words, pairs = _frequent(texts)
-    frequent = spark.sparkContext.broadcast((words, pairs))
+    count_parts, words, pairs, contexts = _frequent(texts)
+    frequent = spark.sparkContext.broadcast((words, pairs, contexts))
     parts = _merge_parts(_pack(texts, count_parts, frequent), frequent)
-    fixed, state = _fixed(parts, count_parts, words, pairs)
-    states = [state]
+    fixed, state = _fixed(parts, count_parts, words, pairs, contexts)
+    states, paths = [state], [_introduced(parts, -(-count_parts // BUCKET_PARTS))]
     for k in range(1, SWEEPS + 1):
-        shared = spark.sparkContext.broadcast((fixed, states))
-
-        def totals(number, repeated, shared=shared, k=k):
-            fixed, states = shared.value
-            part = _Part(number, repeated, fixed)
-            for i in range(1, k + 1):
-                part.sweep(i, states[i - 1])
-            return part.totals()
-
-        v = _summed(_accumulated(parts, ["part", "repeated"], totals), CONTEXTS + len(words) + 2, count_parts)
+        shared = spark.sparkContext.broadcast((fixed, states, paths))
+
+        def rows(batches, shared=shared, k=k):
+            fixed, states, paths = shared.value
+            total = None
+            for b in batches:
+                for number, repeated in zip(*b.columns):
+                    part = _Part(number.as_py(), repeated.as_py(), fixed, paths)
+                    for i in range(1, k + 1):
+                        part.sweep(i, states[i - 1])
+                    v, rare = part.totals()
+                    total = v if total is None else total + v
+                    for bucket, data in part.rare.message(rare):
+                        yield pa.RecordBatch.from_arrays([pa.array([number.as_py()], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["part", "slice", "data"])
+            if total is not None:
+                own = _slices(total)
+                yield pa.RecordBatch.from_arrays([pa.nulls(own.num_rows, pa.int32()), *own.columns], names=["part", "slice", "data"])
+
+        swept = keep(parts.select("part", "repeated").mapInArrow(rows, "part int, slice int, data binary"), "swept")
+        v = _summed(swept.where("part is null").drop("part"), len(contexts) + len(words) + 2, count_parts)
+        paths = [*paths, _replied(swept.where("part is not null").withColumnRenamed("slice", "bucket"), 2, _meet)]
         states = [*states, _next_state(k, fixed, states[-1], v)]
-    found = _contributions(parts, spark.sparkContext.broadcast((fixed, states)))
+    found = _contributions(parts, spark.sparkContext.broadcast((fixed, states, paths)))
 
     def gather(key, table):
         ids = next(x for x in table.column("ids").to_pylist() if x is not None)

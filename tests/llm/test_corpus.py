@@ -79,6 +79,22 @@ def test_language_model_prefers_order_it_has_seen(spark):
     assert got[a]["score"] > got[b]["score"] + 10 and math.isclose(got[a]["base_score"], got[b]["base_score"], rel_tol=1e-7)
 
 
+def test_language_model_keeps_contexts_apart(spark):
+    """Two previous words whose hashes agree in their first 16 bits are two contexts, whether frequent or rare."""
+    seen = {}
+    for i in range(100_000):
+        a, b = f"u{i}", seen.setdefault(xxhash.xxh64_intdigest(f"u{i}") >> 48, f"u{i}")
+        if a != b:
+            break
+    filler = [(2000 + i, prose(i, 10_000), None, None, None) for i in range(60) if crc(2000 + i, 7) != 2]
+    x, y = [i for i in range(1000, 1100) if crc(i, 7) == 2][:2]
+    taught = [i for i in range(1000) if crc(i, 7) != 2][:12]
+    pairs = [(i, f"{(a, b)[k % 2]} {('left', 'right')[k % 2]}", None, None, None) for k, i in enumerate(taught)] + [(x, f"{a} left", None, None, None), (y, f"{a} right", None, None, None)]
+    for data in (pairs, pairs + filler):
+        got = {r["doc_id"]: r["score"] for r in rows(pitman_yor.score(spark.createDataFrame(data, SCHEMA)))}
+        assert got[x] > got[y] + 0.5
+
+
 def test_seating_follows_the_exact_conditional():
     rng = np.random.default_rng(3)
     t = pitman_yor.seat(np.full(40_000, 3), np.full(40_000, 0.7), 0.4, rng)
