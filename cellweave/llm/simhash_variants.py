@@ -15,7 +15,10 @@ jumping, links are rewritten to roots, until none is left. All tables stay distr
 
 Defined results: null, empty and wordless texts have fingerprint zero and are linked like any other; repeated rows link
 to each other; a null doc_id takes part but names no component unless all of its ids are null; an empty table gives an
-empty result. ``deduplicate`` keeps one row of each component, the one of smallest (doc_id, row hash), nulls last.
+empty result. ``deduplicate`` keeps one row of each component, the one of smallest (doc_id, row hash), nulls last. Its
+components also link texts whose sets of word shingles are alike (Jaccard): such sets share a shingle among the first
+n - ceil(similarity n) + 1 of any common order, so an equality join on those finds every pair, and the whole sets verify it.
+The order puts shingles that are frequent in a sample last, which changes the work and never the result.
 """
 
 from __future__ import annotations
@@ -30,6 +33,9 @@ from pyspark.sql import types as T
 from .common import keep
 
 SHINGLE, SEED, BITS = 4, 42, 4
+#: Of ``deduplicate``: words of a shingle, and the least Jaccard similarity as a fraction.
+WORDS, ALIKE = 5, (4, 5)
+SAMPLE_ROWS, SAMPLE_LEAST, HOT = 20_000, 3, 100_000
 #: (first bit, width) of the segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 
@@ -138,12 +144,77 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return hashed.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, with its columns."""
+def shingles(data: bytes | None, width: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, ascending; a shorter text is one shingle."""
+    words = (data or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n, found = max(1, len(words) - width + 1), []
+    for i in range(0, n, 1 << 16):
+        found.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[j : j + width]), SEED) for j in range(i, min(n, i + (1 << 16)))], np.uint64)))
+    return np.unique(np.concatenate(found))
+
+
+def _shingled(width: int):
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles(t.as_py(), width).view(np.int64) for t in texts.cast(pa.large_binary())], pa.list_(pa.int64()))
+
+    return sets
+
+
+def _prefixed(width: int, alike: tuple[int, int], hot: np.ndarray):
+    """UDF of (set, n, prefix): a hash of the text's set of shingles, its size and its first shingles; hot ones come last, in their order."""
+    place = np.argsort(hot)
+    known = hot[place]
+
+    @F.arrow_udf(T.StructType([T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
+    def prefixes(texts: pa.Array) -> pa.Array:
+        sets, sizes, first = [], [], []
+        for t in texts.cast(pa.large_binary()):
+            x = shingles(t.as_py(), width)
+            sets.append(xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED))
+            sizes.append(len(x))
+            if len(known) and len(x):
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                common = known[at] == x
+                x = np.concatenate([x[~common], hot[np.sort(place[at[common]])]])
+            first.append(x[: len(x) + alike[0] * len(x) // -alike[1] + 1].view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["set", "n", "prefix"])
+
+    return prefixes
+
+
+def _alike(texts: DataFrame, rows: DataFrame, width: int, alike: tuple[int, int]) -> DataFrame:
+    """Links (a, b) of sets that are alike, for one row of each set: rows (set, n, prefix, row), texts (row, text)."""
+    entry = rows.select("set", "n", F.explode("prefix").alias("key"))
+    a, b = (entry.select("key", F.col("set").alias(x), F.col("n").alias(f"{x}_n")) for x in "ab")
+    size = (alike[1] * F.least("a_n", "b_n") >= alike[0] * F.greatest("a_n", "b_n")) & (F.col("a") < F.col("b"))
+    pairs = keep(a.join(b, "key").where(size).select("a", "b").distinct(), "alike-candidates")
+    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    chosen = keep(rows.select("set", "row").join(wanted, "set"), "alike-rows")
+    sets = keep(texts.join(chosen, "row").dropDuplicates(["set"]).select("set", _shingled(width)("text").alias("items")), "alike-sets")
+    x, y = (sets.select(F.col("set").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
+    both = F.size(F.array_intersect("a_items", "b_items"))
+    return pairs.join(x, "a").join(y, "b").where(alike[1] * both >= alike[0] * (F.size("a_items") + F.size("b_items") - both)).select("a", "b")
+
+
+def deduplicate(docs: DataFrame, width: int = WORDS, alike: tuple[int, int] = ALIKE) -> DataFrame:
+    """One row of docs for each component, with its columns; fingerprints within BITS link, and sets of shingles that are alike."""
     identity = F.xxhash64(*[F.to_json(F.struct(c)) if isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType)) else F.col(c) for c in docs.columns])
-    hashed = keep(docs.select("doc_id", identity.alias("row"), simhash("text").alias("fp")), "simhash")
-    groups = keep(hashed.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("first")), "simhash-groups")
-    named = groups.join(fingerprint_roots(groups.select("fp")), "fp")
-    chosen = keep(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "simhash-chosen")
-    kept = docs.withColumn("__row", identity).join(chosen.distinct(), "__row", "left_semi")
+    sampled = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // SAMPLE_ROWS))) == 0)
+    often = sampled.select(F.explode(_shingled(width)("text")).alias("key")).groupBy("key").count().where(F.col("count") >= SAMPLE_LEAST)
+    hot = often.orderBy(F.desc("count"), "key").limit(HOT).toArrow().column("key").to_numpy().view(np.uint64)[::-1].copy()
+    hashed = docs.select("doc_id", identity.alias("row"), simhash("text").alias("fp"), _prefixed(width, alike, hot)("text").alias("s"))
+    hashed = keep(hashed.select("doc_id", "row", "fp", "s.*"), "simhash")
+    groups = keep(hashed.groupBy("fp", "set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("first")), "simhash-groups")
+    named = keep(groups.join(fingerprint_roots(groups.select("fp").distinct()), "fp").select("set", "root", "first"), "simhash-named")
+    least = named.groupBy("root").agg(F.min("set").alias("a"))
+    stars = named.join(least, "root").select("a", F.col("set").alias("b")).where("a <> b")
+    one = groups.groupBy("set").agg(F.min("first.row").alias("row"))
+    rows = hashed.join(one, ["set", "row"]).dropDuplicates(["set"]).select("set", "n", "prefix", "row")
+    links = stars.union(_alike(docs.select(identity.alias("row"), "text"), keep(rows, "alike-index"), width, alike)).distinct()
+    final = named.join(components(links).select(F.col("v").alias("set"), F.col("root").alias("top")), "set", "left")
+    chosen = final.groupBy(F.coalesce("top", "set").alias("top")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    kept = docs.withColumn("__row", identity).join(keep(chosen, "simhash-chosen").distinct(), "__row", "left_semi")
     return kept.dropDuplicates(["__row"]).select(*docs.columns)

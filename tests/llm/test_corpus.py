@@ -225,6 +225,39 @@ def test_simhash_components(spark, docs, none):
     assert rows(simhash_variants.near_duplicates(none)) == [] and simhash_variants.deduplicate(none).count() == 0
 
 
+def test_deduplicate_links_alike_shingles(spark):
+    """Texts of five-word Jaccard similarity 0.8 or more are near copies, also where more than four bits differ."""
+    r, data = random.Random(12), []
+    for k in range(25):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice([4, 30, 60, 120, 400]))]
+        for j in range(4):
+            near = words[:]
+            for _ in range(r.randint(0, 1 + len(words) // 50)):
+                near[r.randrange(len(near))] = f"x{r.randrange(5000)}"
+            data.append((10 * k + j, " ".join(near), "en", "s0", None))
+    data += [(900, None, "en", "s0", None), (901, "", "en", "s0", None)]
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for _, t, *_ in data]
+    prints = [simple_print(t) for _, t, *_ in data]
+    root = list(range(len(data)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    only = 0
+    for i in range(len(data)):
+        for j in range(i):
+            alike, close = 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]), (prints[i] ^ prints[j]).bit_count() <= 4
+            only += alike and not close
+            if alike or close:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert only
+    got = simhash_variants.deduplicate(spark.createDataFrame(data, SCHEMA))
+    assert sorted(x["doc_id"] for x in rows(got)) == sorted(data[i][0] for i in range(len(data)) if find(i) == i)
+
+
 def test_random_prints_link_within_four_bits(spark):
     r = random.Random(9)
     prints = [r.getrandbits(64) for _ in range(300)]
