@@ -19,7 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only below this many rows of narrow columns (some 10 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
 
-_BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+#: Arrow batches to Python end at 8 MB, so that a worker's memory doesn't follow the length of texts; shuffle files go when their query has ended,
+#: since what is read again is a written table.
+_SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,10 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches to Python end at BATCH bytes, so that a worker's memory doesn't follow the length of texts; a session's own setting stays."""
-    if spark.conf.get(_BATCH_KEY, None) is None:
-        spark.conf.set(_BATCH_KEY, BATCH)
+def prepare(spark: SparkSession) -> None:
+    """Applies _SETTINGS where the session has none of its own."""
+    own = dict(spark.sparkContext.getConf().getAll())
+    for key, value in _SETTINGS.items():
+        if key not in own:
+            spark.conf.set(key, value)
 
 
 def give_back() -> None:
@@ -48,7 +52,7 @@ def give_back() -> None:
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and return that table: lineage ends here, and survives lost executors."""
     spark = df.sparkSession
-    small_batches(spark)
+    prepare(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -72,7 +76,7 @@ def fold(column: str, modulus: int):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

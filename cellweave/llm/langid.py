@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, small_batches
+from .common import fold, prepare
 
 HELD_OUT = (4, 2)
 BITS, ORDERS = 15, (1, 2, 3)
@@ -164,7 +164,7 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame) -> Model:
     """From documents (doc_id, text, lang) whose lang is not null, outside the held-out fold."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     taught = docs.where(F.col("lang").isNotNull() & (fold("doc_id", HELD_OUT[0]) != HELD_OUT[1])).select("doc_id", "lang", "text")
     n = {r["lang"]: r["count"] for r in taught.where("text is not null").groupBy("lang").count().collect()}  # a row for each language
     languages = sorted(n)

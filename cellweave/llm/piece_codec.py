@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import prepare
 
 SPACE = "▁"
 #: Parts and pairs remembered by a worker; beyond it, at the next text, the memory starts afresh. Longer parts than LONG are not kept.
@@ -257,7 +257,7 @@ def _codec(key: str, shared) -> Codec:
 
 def _shared(spark: SparkSession, path: str):
     model = load(path)
-    small_batches(spark)
+    prepare(spark)
     return hashlib.sha256("\n".join(model.pieces).encode()).hexdigest(), spark.sparkContext.broadcast(model)
 
 

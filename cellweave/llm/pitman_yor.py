@@ -1,316 +1,140 @@
 """Language-model scores by a hierarchical Pitman-Yor model with sampled Chinese-restaurant seatings.
 
-Every context, the previous word by its 64-bit hash, seats the words that follow it; each of its tables
+Every context, the previous word by its 64-bit hash, has a restaurant that seats the words following it; each of its tables
 sends a customer to the one parent restaurant that all contexts share, whose base is uniform over the known words and
 one unknown. Seatings are Gibbs-sampled: with the others fixed, the number of tables of c customers of one dish is
-drawn from its exact conditional (generalised Stirling numbers) up to EXACT customers, and from that conditional's
-saddle-point approximation beyond. Dishes are dealt over tasks, and a sweep uses the context totals of the sweep before, as is usual
-for distributed Gibbs sampling. After BURN_IN sweeps, predictive probabilities are averaged over the rest, and a text's score
-is the sum of their logarithms; perplexity is 10 ** (-score / n_tokens).
-
-How it scales. Two passes over the text: the first finds frequent words and word pairs, those above a fixed share of
-all tokens and thus of bounded number; the second packs each chunk of documents into one compressed row for every part, its
-occurrences sorted by word and context. Words belong to parts by hash; a frequent word is spread by context, a frequent pair
-by document, so no part grows with one word. Parts of about PART_TOKENS tokens are written once; sweeps read
-only their repeated pairs and are pure functions of seeds and earlier totals, so that a lost executor costs a
-recomputation and never a different result. Totals on the driver have a bounded size: frequent contexts, words and pairs. Rare contexts,
-whose number grows with the vocabulary, are dealt over buckets by hash: a part sends its tables of each to their bucket, which sends their
-sums over all parts back. Replies lie in the shared folder, a directory for each part, which tasks read themselves.
+drawn from its conditional, by generalised Stirling numbers up to EXACT customers and by the conditional's saddle point beyond.
+A sweep uses the totals of the sweep before, as is usual for distributed Gibbs sampling. After BURN_IN sweeps, predictive
+probabilities are averaged over the rest, and a text's score is the sum of their logarithms; perplexity is
+10 ** (-score / n_tokens). Random numbers come from hashes of (word, context, sweep): results depend neither on how rows
+are dealt to tasks nor on a lost task's second run, but for the order in which doubles are added.
+
+How it scales. Three kinds of groups, each of bounded size, exchange messages by shuffles; nothing but a dozen totals and the
+hashes of hot contexts (HOT for each part at most) reaches the driver.
+
+* A chunk holds up to CHUNK_TOKENS tokens of whole texts, a longer text being cut into pieces, as numbers into its own words.
+  It is written once. It tells the parts of its distinct (context, word) pairs and their counts, and is told their log probabilities.
+* A part holds about PART_ENTRIES such pairs, those of the contexts hashed to it, counted over all chunks. A hot context is
+  spread over parts by word. Pairs are combined within chunks first, so that a part's size does not follow a pair's frequency.
+* A bucket holds the parent restaurant's words in a range of hashes, and the totals of hot contexts. Parts send it
+  their sums, and it sends what all of them add up to.
+
+Messages are whole numbers until the last one, of doubles: nothing is rounded. There are no more of them than distinct pairs in
+chunks, or words in parts, so they grow in proportion to the text.
 
 Defined results: null and empty texts consist of the end alone; rows are scored each, also where ids repeat or are
 null; without training texts every probability is the base's, 1; an empty table gives an empty result. Only doc_id and
-text are read, so other columns do not matter.
+text are read, so other columns do not matter. One word is held in memory whole, however long.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import count
-from uuid import uuid4
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, give_back, keep, shared_dir
+from .common import fold, give_back, keep
 
 HELD_OUT = (7, 2)
 SWEEPS, BURN_IN = 4, 1
 STRENGTH, SEED = 1.0, 11
-EXACT = 64
-CHUNK_TOKENS, CHUNK_DOCS, PART_TOKENS, LEAST_PARTS = 700_000, 60_000, 1_400_000, 16
-#: Words and pairs of at least this share of some chunk, and over all of at least half of it or 1 / SPREAD of a part, whichever is more, are
-#: treated as frequent: at most 2 / FREQUENT of each, and no more than parts need for being even. Contexts of at least half of FREQUENT have
-#: their totals in shared vectors.
-FREQUENT, SPREAD = 1 / 20_000, 8
-#: Parts for each bucket of rare contexts, and what stands for a rare context where frequent ones are numbered.
-BUCKET_PARTS, RARE = 4, 0xFFFF
-SLICE, DIRECT = 4096, 256
-#: Binary places that sums of log10 probabilities and of log10 counts keep on their way to their documents.
-SCORE_PLACES, BASE_PLACES = 14, 20
+EXACT = 256
+CHUNK_TOKENS, CHUNK_DOCS, PART_ENTRIES, LEAST_PARTS = 1_500_000, 60_000, 1_000_000, 8
+#: Parts for each bucket; share of a part at which a context is hot, and the fewest of its pairs in a chunk that count towards it.
+BUCKET_PARTS, HOT, HOT_PAIRS = 4, 4, 16
+PIECE = 1 << 22
 END, BEGIN = b" end", b" begin"  # no word holds a space
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_MIX, _MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+# --- arrays on the wire
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Non-negative whole numbers as planes of their bytes, of which the upper ones compress to nothing."""
+    return np.ascontiguousarray(x.astype("<i8").view("u1").reshape(-1, 8).T)
 
 
 def _zip(*arrays: np.ndarray) -> bytes:
-    """Arrays, compressed; the lengths lead."""
-    raw = [np.ascontiguousarray(a) for a in arrays]
-    head = np.array([a.nbytes for a in raw], "<i8").tobytes()
-    body = head + b"".join(a.tobytes() for a in raw)
+    """Arrays of hashes (unsigned) and of non-negative whole numbers, compressed; the lengths lead."""
+    raw = [np.ascontiguousarray(a, "<u8") if a.dtype == np.uint64 else _planes(a) for a in arrays]
+    body = b"".join([np.array([a.nbytes for a in raw], "<i8").tobytes(), *(a.tobytes() for a in raw)])
     return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
-def _unzip(data: bytes, *kinds: str) -> list[np.ndarray]:
+def _unzip(data: bytes, kinds: str) -> list[np.ndarray]:
+    """The arrays of ``_zip``; kinds has an h for hashes and an n for numbers."""
     body = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-    sizes, at, out = np.frombuffer(body, "<i8", len(kinds)), 8 * len(kinds), []
-    for n, kind in zip(sizes.tolist(), kinds):
-        out.append(np.frombuffer(body, kind, n // np.dtype(kind).itemsize, at))
-        at += n
+    out, at = [], 8 * len(kinds)
+    for size, kind in zip(np.frombuffer(body, "<i8", len(kinds)).tolist(), kinds):
+        raw = np.frombuffer(body, "u1", size, at)
+        out.append(raw.view("<u8") if kind == "h" else np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel())
+        at += size
     return out
 
 
-def _planes(x: np.ndarray) -> np.ndarray:
-    """Non-negative whole numbers as planes of their bytes, of which the upper ones compress to nothing."""
-    return np.ascontiguousarray(x.astype("<i8").view("u1").reshape(-1, 8).T)
+def _cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary value for each slice between bounds."""
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _numbers(planes: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
+def _joined(column, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), kind)
 
 
-def _hash(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MIX
-    return x ^ (x >> np.uint64(29))
+def _bounds(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
-class _Chunk:
-    """Documents of a task, as local word numbers."""
+def _sizes(column, width: int) -> np.ndarray:
+    """Numbers of values of so many bytes in each binary value."""
+    return np.array([len(x) // width for x in column.to_pylist()], np.int64)
 
-    def __init__(self) -> None:
-        self.number: dict[bytes, int] = defaultdict(count().__next__)
-        self.number[END], self.number[BEGIN]
-        self.ids: list = []
-        self.held: list[bool] = []
-        self.texts: list[np.ndarray] = []
-        self.tokens = 0
 
-    def add(self, doc_id, held: bool, text: bytes | None) -> None:
-        words = (text or b"").lower().split()
-        self.texts.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
-        self.ids.append(doc_id)
-        self.held.append(held)
-        self.tokens += len(words) + 1
+def _hash(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    x = (x ^ (x >> np.uint64(29))) * _MIX_2
+    return x ^ (x >> np.uint64(32))
 
-    def full(self) -> bool:
-        return self.tokens >= CHUNK_TOKENS or len(self.ids) >= CHUNK_DOCS
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, list]:
-        """Hashes of local words; each token's word, previous word and document; documents for training; ids. Those for training come first."""
-        order = sorted(range(len(self.ids)), key=self.held.__getitem__)
-        n = np.array([len(self.texts[i]) + 1 for i in order], np.int64)
-        w, stop = np.zeros(self.tokens, np.int32), np.cumsum(n)
-        inside = np.ones(self.tokens, bool)
-        inside[stop - 1] = False
-        w[inside] = np.concatenate([self.texts[i] for i in order])
-        u = np.roll(w, 1)
-        u[stop - n] = 1
-        hashes = np.array([xxhash.xxh64_intdigest(x) for x in self.number], np.uint64)
-        return hashes, w, u, np.repeat(np.arange(len(order)), n), len(order) - sum(self.held), [self.ids[i] for i in order]
 
+def _pair(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return _hash(words ^ _hash(contexts + np.uint64(1)))
 
-def _chunks(batches):
-    chunk = _Chunk()
-    for b in batches:
-        for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary())):
-            chunk.add(i, h, t.as_py())
-            if chunk.full():
-                yield chunk
-                chunk = _Chunk()
-                give_back()
-    if chunk.ids:
-        yield chunk
-    del chunk
-    give_back()
-
-
-def _frequent(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Number of parts; hashes of frequent words; frequent pairs as hash of (word, context); hashes of frequent contexts, among them those of
-    frequent pairs. What is frequent over all is frequent in some chunk."""
-
-    def partial(batches):
-        for chunk in _chunks(batches):
-            hashes, w, u, *_ = chunk.arrays()
-            least = FREQUENT * len(w)
-            n = np.bincount(w, minlength=len(hashes))
-            often = n >= least
-            both = often[w] & (often[u] | (u == 1))
-            pairs, m = np.unique(_pair(hashes[w[both]], hashes[u[both]]), return_counts=True)
-            some = m >= least
-            keys = np.concatenate([hashes[often], pairs[some], [np.uint64(0)]]).view(np.int64)
-            kind = np.repeat(np.array([0, 1, 2], np.int32), [often.sum(), some.sum(), 1])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(keys), pa.array(np.concatenate([n[often], m[some], [len(w)]]).astype(np.int64))], names=["kind", "key", "n"])
-
-    found = keep(docs.mapInArrow(partial, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "frequent")
-    total = found.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(LEAST_PARTS, -(-total // PART_TOKENS))
-    rows = found.where((F.col("kind") < 2) & (F.col("n") >= FREQUENT / 2 * total)).toArrow()  # 2 / FREQUENT words and as many pairs at most
-    kind, key = rows.column("kind").to_numpy(), rows.column("key").to_numpy().view(np.uint64)
-    even = rows.column("n").to_numpy() >= max(FREQUENT / 2, 1 / (SPREAD * parts)) * total
-    contexts = np.union1d(key[kind == 0], np.array([xxhash.xxh64_intdigest(BEGIN)], np.uint64))
-    return parts, np.sort(key[(kind == 0) & even]), np.sort(key[(kind == 1) & even]), contexts
-
-
-def _pair(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    return _hash(words ^ (contexts + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def _within(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Positions of keys in sorted known, or -1."""
-    if not len(known):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[at] == keys, at, -1)
-
-
-def _pack(docs: DataFrame, parts: int, shared) -> DataFrame:
-    """part, chunk, taught (documents for training), size (documents), ids (in one part of a chunk), occurrences: by word, context and document."""
 
-    def rows(batches):
-        words, pairs, contexts = shared.value
-        task = TaskContext.get().partitionId()
-        for k, chunk in enumerate(_chunks(batches)):
-            hashes, w, u, doc, taught, ids = chunk.arrays()
-            chunk.texts.clear()
-            name = task << 24 | k
-            bits = len(hashes).bit_length()
-            if 2 * bits + 16 < 64:
-                key = np.sort(w.astype(np.int64) << bits + 16 | u.astype(np.int64) << 16 | doc)
-                new = np.concatenate([[True], key[1:] != key[:-1]])
-                key = key[new]
-                w, u, doc = key >> bits + 16, key >> 16 & (1 << bits) - 1, key & 0xFFFF
-                del key
-            else:  # millions of distinct words in one text
-                order = np.lexsort((doc, u, w))
-                w, u, doc = w[order], u[order], doc[order]
-                new = np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1]) | (doc[1:] != doc[:-1])])
-                w, u, doc = w[new], u[new], doc[new]
-            times = np.diff(np.concatenate([new.nonzero()[0], [len(new)]]))
-            number = _within(hashes, contexts)
-            pair = _pair(hashes[w], hashes[u])
-            place = _hash(hashes)[w]
-            often = (_within(hashes, words) >= 0)[w]
-            place[often] = pair[often]
-            both = np.zeros(len(w), bool)
-            both[often] = _within(pair[often], pairs) >= 0
-            place[both] = _hash(pair[both] ^ (doc[both] + (name << 16)).astype(np.uint64) * _MIX)
-            part = (place % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in range(parts):
-                mine = order[bounds[p] : bounds[p + 1]]
-                if not len(mine) and p != name % parts:
-                    continue
-                a, b = w[mine], u[mine]
-                first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(mine) else np.array([], bool)
-                start = first.nonzero()[0]
-                typed, context = a[start], number[b[start]]
-                first_word = np.concatenate([[True], typed[1:] != typed[:-1]]) if len(typed) else np.array([], bool)
-                at = first_word.nonzero()[0]
-                data = _zip(
-                    hashes[typed[at]].astype("<u8"), np.diff(np.concatenate([at, [len(typed)]])).astype("<u4"), np.where(context < 0, RARE, context).astype("<u2"), hashes[b[start][context < 0]].astype("<u8"),
-                    np.diff(np.concatenate([start, [len(mine)]])).astype("<u2" if len(ids) < 65536 else "<u4"), doc[mine].astype("<u2"), np.minimum(times[mine], 255).astype("u1"), times[mine][times[mine] >= 255].astype("<u4"),
-                )
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([name], pa.int64()), pa.array([taught], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids if p == name % parts else None], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["part", "chunk", "taught", "size", "ids", "data"])
-
-    return docs.mapInArrow(rows, "part int, chunk long, taught int, size int, ids array<long>, data binary")
-
-
-class _Occurrences(NamedTuple):
-    """All of a part: distinct words and rare contexts; types (word, context), rare contexts numbered after the frequent ones; each entry's
-    chunk, document, type and times."""
-
-    words: np.ndarray
-    rare: np.ndarray
-    word: np.ndarray
-    context: np.ndarray
-    chunk: np.ndarray
-    doc: np.ndarray
-    type: np.ndarray
-    times: np.ndarray
-
-
-def _occurrences(packs: list[bytes], frequent: int) -> _Occurrences:
-    words, contexts, far, per, docs, times, chunk = [], [], [], [], [], [], []
-    for k, data in enumerate(packs):
-        h, n, u, f, m, d, t, more = _unzip(data, "<u8", "<u4", "<u2", "<u8", "<u2", "<u2", "u1", "<u4")
-        t = t.astype(np.int64)
-        t[t == 255] = more
-        words.append(np.repeat(h, n))
-        contexts.append(u)
-        far.append(f)
-        per.append(m)
-        docs.append(d)
-        times.append(t.astype(np.int32))
-        chunk.append(np.full(len(d), k, np.int32))
-    distinct, word = np.unique(np.concatenate(words), return_inverse=True)
-    del words
-    rare, place = np.unique(np.concatenate(far), return_inverse=True)
-    context = np.concatenate(contexts).astype(np.int64)
-    context[context == RARE] = frequent + place
-    types, at = np.unique(word << 32 | context, return_inverse=True)
-    del word, context, contexts, far, place
-    kind = np.repeat(at.astype(np.int32), np.concatenate(per))
-    del at, per
-    return _Occurrences(distinct, rare, types >> 32, types & 0xFFFFFFFF, np.concatenate(chunk), np.concatenate(docs), kind, np.concatenate(times))
-
-
-class _State(NamedTuple):
-    """Totals after a sweep: tables of each frequent context; for frequent words customers and tables in the parent; the parent's sums; tables of frequent pairs."""
-
-    tables: np.ndarray
-    word_customers: np.ndarray
-    word_tables: np.ndarray
-    customers: float
-    parent_tables: float
-    pair_tables: np.ndarray
-
-
-class _Fixed(NamedTuple):
-    """What training counts fix: frequent words (hash, count) and pairs (hash, count, word, context), frequent contexts (hash, customers), tokens, words, discounts."""
-
-    words: np.ndarray
-    word_counts: np.ndarray
-    pairs: np.ndarray
-    pair_counts: np.ndarray
-    pair_word: np.ndarray
-    pair_context: np.ndarray
-    contexts: np.ndarray
-    context_customers: np.ndarray
-    tokens: int
-    vocabulary: int
-    discount: float
-    parent_discount: float
+def uniform(keys: np.ndarray, sweep: int, salt: int) -> np.ndarray:
+    """A number in (0, 1) for each 32-bit key, by sweep and salt."""
+    x = _hash(_hash(keys.astype(np.uint64) + (np.uint64(SEED) << np.uint64(32))) ^ np.uint64(2 * sweep + salt))
+    return ((x >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
+
+
+# --- seating
 
 
 def _log_stirling(discount: float, most: int) -> np.ndarray:
     s = np.full((most + 1, most + 1), -np.inf)
     s[0, 0] = 0.0
     for c in range(most):
-        for t in range(1, c + 2):
-            stay = np.log(c - discount * t) + s[c, t] if t <= c else -np.inf
-            s[c + 1, t] = np.logaddexp(s[c, t - 1], stay)
+        t = np.arange(1, c + 1)
+        s[c + 1, 1 : c + 1] = np.logaddexp(s[c, :c], np.log(c - discount * t) + s[c, 1 : c + 1])
+        s[c + 1, c + 1] = s[c, c]
     return s
 
 
-def _seat_many(c: np.ndarray, log_w: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+def _seat_many(c: np.ndarray, log_w: np.ndarray, discount: float, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Tables of many customers: tables are clusters of a Poisson process tilted so that their expected sum is c (a saddle point), taken
-    as Poisson where few and normal with the variance given the sum where many. Means are right within 2 % from 64 customers on."""
+    as Poisson where few and normal with the variance given the sum where many."""
     lo, hi = np.full(len(c), -60.0), np.full(len(c), 60.0)  # logit of the tilt z: w z (1 - z)^(discount - 1) = c
     for _ in range(60):
         m = (lo + hi) / 2
@@ -320,372 +144,466 @@ def _seat_many(c: np.ndarray, log_w: np.ndarray, discount: float, rng: np.random
     mean = np.exp(log_w) * -np.expm1(discount * log_rest) / discount
     spread = np.exp(log_w) * (z * np.exp((discount - 1) * log_rest) + z * z * (1 - discount) * np.exp((discount - 2) * log_rest))
     deviation = np.sqrt(np.maximum(mean - c * c / np.maximum(spread, 1e-300), 1e-12))
-    many = np.rint(mean + (1 - mean / c) + deviation * rng.standard_normal(len(c)))
-    return np.clip(np.where(mean < 20, 1 + rng.poisson(np.minimum(mean, 20)), many), 1, c).astype(np.int64)
+    many = np.rint(mean + (1 - mean / c) + deviation * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v))
+    rate = np.minimum(mean, 20)
+    few, p, total = np.zeros(len(c)), np.exp(-rate), np.exp(-rate)
+    for k in range(1, 80):  # the inverse of the Poisson distribution
+        few += total < u
+        p = p * rate / k
+        total = total + p
+    return np.clip(np.where(mean < 20, 1 + few, many), 1, c).astype(np.int64)
 
 
 _stirling: dict[float, np.ndarray] = {}
 
 
-def seat(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of c customers of one dish each, where a new table weighs ``weight`` and a table of n customers n - discount."""
+def seated(c: np.ndarray, weight: np.ndarray, discount: float, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Tables of c customers of one dish each, where a new table weighs ``weight`` and a table of n customers n - discount; u and v are uniform."""
     if discount not in _stirling:
         _stirling.clear()
         _stirling[discount] = _log_stirling(discount, EXACT)
     t = np.minimum(c, 1).astype(np.int64)
     log_w = np.log(np.maximum(weight, 1e-300))
-    few = np.minimum(c, EXACT)
+    few = np.minimum(c, EXACT + 1)
     order = np.argsort(few, kind="stable")
     values, start = np.unique(few[order], return_index=True)
-    for v, a, b in zip(values.tolist(), start, [*start[1:], len(order)]):
-        if v < 2:
+    for n, a, b in zip(values.tolist(), start, [*start[1:], len(order)]):
+        if not 2 <= n <= EXACT:
             continue
-        step = (1 << 18) // v
+        step = (1 << 18) // n
         for k in range(a, b, step):
             mine = order[k : min(b, k + step)]
-            logs = _stirling[discount][v, 1 : v + 1] + np.outer(log_w[mine], np.arange(1, v + 1))
+            logs = _stirling[discount][n, 1 : n + 1] + np.outer(log_w[mine], np.arange(1, n + 1))
             p = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
-            t[mine] = 1 + (p < rng.random(len(mine))[:, None] * p[:, -1:]).sum(axis=1)
+            t[mine] = 1 + (p < u[mine][:, None] * p[:, -1:]).sum(axis=1)
     big = (c > EXACT).nonzero()[0]
     if len(big):
-        t[big] = _seat_many(c[big].astype(float), log_w[big], discount, rng)
+        t[big] = _seat_many(c[big].astype(float), log_w[big], discount, u[big], v[big])
     return t
 
 
-def _buckets(hashes: np.ndarray, many: int) -> np.ndarray:
-    """Buckets of hashes, in order of hashes."""
-    return ((hashes >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)).astype(np.int64)
+def seat(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    return seated(c, weight, discount, rng.random(len(c)), rng.random(len(c)))
 
 
-def _sent(bucket: np.ndarray, *values: np.ndarray):
-    """(bucket, data) for each bucket with entries; buckets ascend."""
-    start = np.concatenate([[True], bucket[1:] != bucket[:-1]]).nonzero()[0] if len(bucket) else []
-    for a, b in zip(start, [*start[1:], len(bucket)]):
-        yield int(bucket[a]), _zip(*(_planes(x[a:b]) for x in values))
+class Totals(NamedTuple):
+    """What all groups need to know: of training its tokens, its distinct words and both discounts; of a sweep customers and tables of the parent."""
 
+    tokens: int
+    vocabulary: int
+    discount: float
+    parent_discount: float
+    customers: int
+    tables: int
 
-def _replied(sent: DataFrame, kinds: int, answer) -> str:
-    """Folder of replies to (bucket, part, data): for all data of a bucket, answer gives each part's reply."""
+    def base_weight(self) -> float:
+        return (STRENGTH + self.parent_discount * self.tables) / (self.vocabulary + 1)
 
-    def meet(key, table):
-        data = [[_numbers(x) for x in _unzip(d, *["u1"] * kinds)] for d in table.column("data").to_pylist()]
-        ends = np.cumsum([len(d[0]) for d in data])[:-1]
-        found = zip(*(np.split(x, ends) for x in answer(*map(np.concatenate, zip(*data)))))
-        reply = [_zip(*map(_planes, x)) for x in found]
+    def parent(self, customers, tables):
+        """Parent probabilities of words that have so many customers and tables there."""
+        return (np.maximum(customers - self.parent_discount * tables, 0) + self.base_weight()) / (STRENGTH + self.customers)
+
+    def predictive(self, count, tables, context_customers, context_tables, parent):
+        """Probability of a word that a context has seated count times at so many tables."""
+        return (np.maximum(count - self.discount * tables, 0) + (STRENGTH + self.discount * context_tables) * parent) / (STRENGTH + context_customers)
+
+
+# --- chunks
+
+
+class _Chunk:
+    """Texts or pieces of them, as numbers of the chunk's words."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = defaultdict(count().__next__)
+        self.rows: list[tuple] = []  # row, doc_id, held out, length, number of the word before
+        self.texts: list[np.ndarray] = []
+        self.tokens = 0
+
+    def add(self, row: int, doc_id, held: bool, words: list[bytes], before: bytes) -> None:
+        self.rows.append((row, doc_id, held, len(words), self.number[before]))
+        self.texts.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
+        self.tokens += len(words)
+
+    def full(self) -> bool:
+        return self.tokens >= CHUNK_TOKENS or len(self.rows) >= CHUNK_DOCS
+
+    def record(self, name: int) -> pa.RecordBatch:
+        """Words are numbered in the order of their hashes."""
+        hashes = np.array([xxhash.xxh64_intdigest(x) for x in self.number], np.uint64)
+        self.number.clear()
+        order = np.argsort(hashes)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        hashes, tokens = hashes[order], place[np.concatenate(self.texts)]
+        self.texts.clear()
+        row, ids, held, length, before = zip(*self.rows)
+        before = place[list(before)]
+        pairs = np.unique(_keys(tokens, np.array(length), before))
+        contexts, followers = np.unique(pairs >> 32, return_counts=True)
+        often = followers >= HOT_PAIRS
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([name], pa.int64()), pa.array([row], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([_zip(hashes, tokens, np.array(length), before)], pa.binary()),
+                pa.array([len(pairs)], pa.int64()), pa.array([hashes[contexts[often]].view(np.int64)], pa.list_(pa.int64())), pa.array([followers[often]], pa.list_(pa.int64())),
+            ],
+            names=["chunk", "row", "ids", "held", "data", "pairs", "often", "followers"],
+        )
+
+
+_CHUNK = "chunk long, row array<long>, ids array<long>, held array<boolean>, data binary, pairs long, often array<long>, followers array<long>"
+
+
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text and its end, in pieces of some PIECE bytes; A to Z only are lowered, and split() cuts at the asked white space."""
+    at = 0
+    while len(text) - at > PIECE:
+        m = _SPACE.search(text, at + PIECE)
+        stop = m.start() if m else len(text)
+        yield text[at:stop].lower().split()
+        at = stop
+    yield [*text[at:].lower().split(), END]
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """The texts of docs (doc_id, held_out, text), each token as its number."""
+
+    def rows(batches):
+        chunk, names, row = _Chunk(), count(TaskContext.get().partitionId() << 32), count(TaskContext.get().partitionId() << 40)
+        for b in batches:
+            for i, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary())):
+                number, before = next(row), BEGIN
+                for words in _pieces(text.as_py() or b""):
+                    if words:
+                        chunk.add(number, i, held, words, before)
+                        before = words[-1]
+                    if chunk.full():
+                        yield chunk.record(next(names))
+                        chunk = _Chunk()
+                        give_back()
+        if chunk.rows:
+            yield chunk.record(next(names))
+        del chunk
         give_back()
-        return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "data": pa.array(reply, pa.binary())})
 
-    path = f"{shared_dir(sent.sparkSession)}/replies-{uuid4().hex}"
-    replies = sent.groupBy("bucket").applyInArrow(meet, "part int, bucket int, data binary")
-    replies.repartition("part").write.partitionBy("part").parquet(path)
-    return path
+    return keep(docs.mapInArrow(rows, _CHUNK), "chunks")
 
 
-def _received(path: str, part: int, kinds: int) -> list[tuple[int, list[np.ndarray]]]:
-    """A part's replies by bucket."""
-    files, root = pafs.FileSystem.from_uri(path)
-    found = files.get_file_info(pafs.FileSelector(f"{root}/part={part}", allow_not_found=True))
-    rows = [r for f in found if f.path.endswith(".parquet") for r in pq.ParquetFile(files.open_input_file(f.path)).read(["bucket", "data"]).to_pylist()]
-    return [(r["bucket"], [_numbers(x) for x in _unzip(r["data"], *["u1"] * kinds)]) for r in sorted(rows, key=lambda r: r["bucket"])]
+def _keys(tokens: np.ndarray, length: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """context << 32 | word of each token."""
+    u = np.roll(tokens, 1)
+    u[np.cumsum(length) - length] = before
+    return u << 32 | tokens
 
 
-def _meet_first(hashes, *counts):
-    """Over all parts: customers, single types and repeated types of rare contexts; the place of those with repeated types among such, from 1."""
-    place = np.unique(hashes, return_inverse=True)[1]
-    sums = [np.bincount(place, x).astype(np.int64) for x in counts]
-    return [x[place] for x in (*sums, np.where(sums[2] > 0, np.cumsum(sums[2] > 0), 0))]
+class _Pairs:
+    """A chunk's distinct pairs, in the order in which parts are told of them: by part, context and word."""
 
+    def __init__(self, data: bytes, parts: int, hot: np.ndarray) -> None:
+        self.hashes, tokens, self.length, before = _unzip(data, "hnnn")
+        keys, at = np.unique(_keys(tokens, self.length, before), return_inverse=True)
+        u, w = keys >> 32, keys & 0xFFFFFFFF
+        part = (_hash(self.hashes) % np.uint64(parts)).astype(np.int32)[u]
+        spread = np.isin(self.hashes, hot)[u]
+        part[spread] = _pair(self.hashes[u[spread]], self.hashes[w[spread]]) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.at = place[at]  # of each token
+        self.part, self.context, self.word = part[order], u[order], w[order]
+        first = np.zeros(len(self.hashes), np.int64)
+        first[self.word[::-1]] = np.arange(len(order))[::-1]
+        self.asks = np.zeros(len(order), bool)  # one pair of each word asks for the word's count
+        self.asks[first[self.word]] = True
 
-def _meet(place, tables):
-    """Tables of repeated types over all parts."""
-    return [np.bincount(place, tables).astype(np.int64)[place]]
 
+def _requests(chunks: DataFrame, parts: int, shared) -> DataFrame:
+    """part, chunk, contexts, followers, words of its pairs, 2 * training count + whether it asks (from 255 on in more)."""
 
-class _Rare:
-    """A part's rare contexts, in order of their hashes, as replies over all parts give them."""
+    def rows(batches):
+        for b in batches:
+            for chunk, held, data in zip(*b.columns):
+                pairs = _Pairs(data.as_py(), parts, shared.value)
+                taught = np.repeat(~np.array(held.as_py()), pairs.length)
+                value = 2 * np.bincount(pairs.at[taught], minlength=len(pairs.part)) + pairs.asks
+                edge = np.concatenate([[True], pairs.part[1:] != pairs.part[:-1]])
+                new = edge | np.concatenate([[True], pairs.context[1:] != pairs.context[:-1]])
+                start, heads = edge.nonzero()[0], new.nonzero()[0]
+                bounds = np.append(start, len(value))
+                context_bounds, large = np.searchsorted(heads, bounds), value >= 255
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(pairs.part[start]), pa.array([chunk.as_py()] * len(start), pa.int64()), _cut(pairs.hashes[pairs.context[heads]], context_bounds), _cut(np.diff(np.append(heads, len(value))).astype("<u4"), context_bounds),
+                        _cut(pairs.hashes[pairs.word], bounds), _cut(np.minimum(value, 255).astype("u1"), bounds), _cut(value[large].astype("<u4"), _bounds(large)[bounds]),
+                    ],
+                    names=["part", "chunk", "contexts", "followers", "words", "counts", "more"],
+                )
+                del pairs, taught, value, edge, new
+                give_back()
 
-    def __init__(self, part: int, paths: list[str]) -> None:
-        self.part, self.paths = part, paths
-        replies = _received(paths[0], part, 4)
-        self.bucket = np.repeat([b for b, _ in replies], [len(x[0]) for _, x in replies]).astype(np.int64)
-        self.customers, self.single, self.repeated, self.place = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*(x for _, x in replies)) if replies else [[]] * 4))
-        self.live = self.place > 0
+    return chunks.select("chunk", "held", "data").mapInArrow(rows, "part int, chunk long, contexts binary, followers binary, words binary, counts binary, more binary")
 
-    def tables(self, k: int) -> np.ndarray:
-        """Tables after sweep k; a context without repeated types keeps one for each type."""
-        if not k:
-            return self.single + self.repeated
-        out = self.single.copy()
-        out[self.live] += np.concatenate([np.zeros(0, np.int64), *(x for _, (x,) in _received(self.paths[k], self.part, 1))])
-        return out
 
-    def message(self, tables: np.ndarray):
-        return _sent(self.bucket[self.live], self.place[self.live], tables[self.live])
+# --- parts
 
 
-class _Part:
-    """A part's own seating: of repeated pairs; single ones have a table each."""
+def _parts(requests: DataFrame, shared) -> DataFrame:
+    """A row for each part.
 
-    def __init__(self, part: int, repeated: bytes, fixed: _Fixed, paths: list[str]) -> None:
-        self.part, self.fixed, self.rare = part, fixed, _Rare(part, paths)
-        self.words, self.singles, self.word, self.context, self.count, self.single_contexts = _unzip(repeated, "<u8", "<u4", "<u4", "<u4", "<u4", "<u4")
-        self.frequent = _within(self.words, fixed.words)
-        self.tables = np.ones(len(self.word), np.int64)
-        self._parents()
-        self.parent_tables = np.minimum(self.customers, 1)
+    keys: hashes of its words, their training counts and numbers of pairs; hashes of its hot contexts, their customers and numbers of pairs.
+    live: context, word, count and random key of each repeated pair; each context's customers and single pairs; single pairs of words; hot contexts.
+    pairs: context, word and count of all. chunk, sizes, routes: the pairs that each chunk sent, and whether they ask.
+    """
 
-    def _parents(self) -> None:
-        self.customers = self.singles.astype(np.int64) + np.bincount(self.word, self.tables, len(self.words)).astype(np.int64)
+    def merge(key, table):
+        table = table.sort_by("chunk")
+        sizes = _sizes(table.column("counts"), 1)
+        value = _joined(table.column("counts"), "u1").astype(np.int64)
+        value[value == 255] = _joined(table.column("more"), "<u4")
+        words, w = np.unique(_joined(table.column("words"), "<u8"), return_inverse=True)
+        contexts, u = np.unique(_joined(table.column("contexts"), "<u8"), return_inverse=True)
+        u = np.repeat(u, _joined(table.column("followers"), "<u4"))
+        pairs, at = np.unique(u << 32 | w, return_inverse=True)
+        del u, w
+        c = np.bincount(at, value >> 1, len(pairs)).astype(np.int64)
+        u, w = pairs >> 32, pairs & 0xFFFFFFFF
+        single, repeated = c == 1, c > 1
+        many = lambda x, n, weights=None: np.bincount(x, weights, n).astype(np.int64)
+        customers, alone = many(u, len(contexts), c), many(u[single], len(contexts))
+        hot = np.isin(contexts, shared.value).nonzero()[0]
+        keys = _zip(words, many(w, len(words), c), many(w[c > 0], len(words)), contexts[hot], customers[hot], many(u[c > 0], len(contexts))[hot])
+        random = (_pair(contexts[u[repeated]], words[w[repeated]]) >> np.uint64(32)).astype(np.int64)
+        live = _zip(u[repeated], w[repeated], c[repeated], random, customers, alone, many(w[single], len(words)), hot)
+        step = np.diff(at, prepend=0)
+        first = _bounds(sizes)[:-1]
+        step[first] = at[first]
+        row = {"part": [key[0].as_py()], "keys": [keys], "live": [live], "pairs": [_zip(np.diff(u, prepend=0), w, c)], "ones": [int(single.sum())], "twos": [int((c == 2).sum())], "chunk": [table.column("chunk").to_pylist()], "sizes": [sizes], "routes": [_zip(step, value & 1)]}
+        del at, step, value, pairs, table
+        give_back()
+        return pa.table(row, schema=schema)
 
-    def parent(self, state: _State) -> np.ndarray:
-        """Parent probabilities of the part's words."""
-        often = self.frequent >= 0
-        c = np.where(often, state.word_customers[self.frequent] if len(state.word_customers) else 0, self.customers)
-        t = np.where(often, state.word_tables[self.frequent] if len(state.word_tables) else 0, self.parent_tables)
-        return _parent(c, t, state, self.fixed)
+    binary, numbers = pa.binary(), pa.list_(pa.int64())
+    schema = pa.schema([("part", pa.int32()), ("keys", binary), ("live", binary), ("pairs", binary), ("ones", pa.int64()), ("twos", pa.int64()), ("chunk", numbers), ("sizes", numbers), ("routes", binary)])
+    kind = "part int, keys binary, live binary, pairs binary, ones long, twos long, chunk array<long>, sizes array<long>, routes binary"
+    return keep(requests.groupBy("part").applyInArrow(merge, kind), "parts")
 
-    def context_tables(self, k: int, state: _State) -> np.ndarray:
-        """Tables of all contexts after sweep k, the rare ones of this part last."""
-        return np.concatenate([state.tables, self.rare.tables(k)])
 
-    def sweep(self, k: int, before: _State) -> None:
-        rng = np.random.default_rng([SEED, self.part, k])
-        others = np.maximum(self.context_tables(k - 1, before)[self.context] - self.tables, 0)
-        self.tables = seat(self.count.astype(np.int64), (STRENGTH + self.fixed.discount * others) * self.parent(before)[self.word], self.fixed.discount, rng)
-        self._parents()
-        self.parent_tables = seat(self.customers, np.full(len(self.words), _base_weight(before, self.fixed)), self.fixed.parent_discount, rng)
+def _introduced(parts: DataFrame, buckets: int) -> DataFrame:
+    """Each part's words and hot contexts, to the buckets of their hashes, which rise with the hashes."""
+    bucket = lambda x: ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-    def totals(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sums for all; own tables of repeated types in rare contexts."""
-        often, frequent = self.frequent >= 0, len(self.fixed.contexts)
-        tables = np.bincount(self.context, self.tables, frequent + len(self.rare.place)).astype(np.int64)
-        return np.concatenate([tables[:frequent] + self.single_contexts, np.bincount(self.frequent[often], self.customers[often], len(self.fixed.words)), [self.customers[~often].sum(), self.parent_tables[~often].sum()]]), tables[frequent:]
+    def rows(batches):
+        for b in batches:
+            for part, keys in zip(*b.columns):
+                words, counts, pairs, hot, customers, tables = _unzip(keys.as_py(), "hnnhnn")
+                at, hot_at = bucket(words), bucket(hot)
+                told = np.union1d(at, hot_at)
+                bounds, hot_bounds = (np.append(np.searchsorted(x, told), len(x)) for x in (at, hot_at))
+                cut = [_cut(x, bounds) for x in (words, counts, pairs)] + [_cut(x, hot_bounds) for x in (hot, customers, tables)]
+                yield pa.RecordBatch.from_arrays([pa.array(told, pa.int32()), pa.array([part.as_py()] * len(told), pa.int32()), *cut], names=["bucket", "part", "words", "counts", "sums", "hot", "hot_customers", "hot_sums"])
 
+    return parts.select("part", "keys").mapInArrow(rows, "bucket int, part int, words binary, counts binary, sums binary, hot binary, hot_customers binary, hot_sums binary")
 
-def _base_weight(state: _State, fixed: _Fixed) -> float:
-    return (STRENGTH + fixed.parent_discount * state.parent_tables) / (fixed.vocabulary + 1)
 
+_STATE = "bucket int, part int, parts array<int>, sizes array<long>, hot_sizes array<long>, state binary, totals array<long>, customers binary, tables binary, hot binary, counts binary, hot_customers binary"
+_ARROW = pa.schema(
+    [("bucket", pa.int32()), ("part", pa.int32()), ("parts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())), ("hot_sizes", pa.list_(pa.int64())), ("state", pa.binary()), ("totals", pa.list_(pa.int64()))]
+    + [(x, pa.binary()) for x in ("customers", "tables", "hot", "counts", "hot_customers")]
+)
 
-def _parent(c, t, state: _State, fixed: _Fixed):
-    return (np.maximum(c - fixed.parent_discount * t, 0) + _base_weight(state, fixed)) / (STRENGTH + state.customers)
 
+def _replies(bucket: int, parts: list[int], own: dict, cut: dict[str, pa.Array]) -> pa.Table:
+    """A bucket's own row and one for each part."""
+    first = pa.table({f.name: pa.array([own.get(f.name)], f.type) for f in _ARROW} | {"bucket": pa.array([bucket], pa.int32())}, schema=_ARROW)
+    n = len(parts)
+    given = {"bucket": pa.array([bucket] * n, pa.int32()), "part": pa.array(parts, pa.int32())} | cut
+    return pa.concat_tables([first, pa.table([given.get(f.name, pa.nulls(n, f.type)) for f in _ARROW], schema=_ARROW)])
 
-def _summed(rows: DataFrame, size: int, parts: int) -> np.ndarray:
-    """Sum of vectors of one size, by slices, so that the driver holds one of each; those of many tasks are summed by groups of tasks first."""
 
-    def add(key, table):
-        total = sum(np.frombuffer(x.as_py(), "<f8") for x in table.column("data"))
-        return pa.table({"slice": [key[0].as_py()], "data": [total.tobytes()]}, schema=pa.schema([("slice", pa.int32()), ("data", pa.binary())]))
+def _registered(introduced: DataFrame) -> DataFrame:
+    """Each bucket's state and totals (tokens, words, words of one pair, of two, customers, tables), and its replies, where every pair has one table."""
 
-    out = np.zeros(-(-size // SLICE) * SLICE)
-    if parts > DIRECT:
-        rows = rows.groupBy("slice", F.pmod(F.spark_partition_id(), F.lit(int(parts**0.5))).alias("some")).applyInArrow(add, "slice int, data binary")
-    for r in rows.groupBy("slice").applyInArrow(add, "slice int, data binary").collect():
-        out[r["slice"] * SLICE : r["slice"] * SLICE + SLICE] = np.frombuffer(r["data"], "<f8")
-    return out[:size]
+    def meet(key, table):
+        table = table.sort_by("part")
+        sizes, hot_sizes = _sizes(table.column("words"), 8), _sizes(table.column("hot"), 8)
+        words, place = np.unique(_joined(table.column("words"), "<u8"), return_inverse=True)
+        hot, hot_place = np.unique(_joined(table.column("hot"), "<u8"), return_inverse=True)
+        counts, pairs = (np.bincount(place, _joined(table.column(x), "<i8"), len(words)).astype(np.int64) for x in ("counts", "sums"))
+        hot_customers, hot_tables = (np.bincount(hot_place, _joined(table.column(x), "<i8"), len(hot)).astype(np.int64) for x in ("hot_customers", "hot_sums"))
+        tables = np.minimum(pairs, 1)
+        parts = table.column("part").to_pylist()
+        own = {
+            "parts": parts, "sizes": sizes, "hot_sizes": hot_sizes, "state": _zip((_hash(words) >> np.uint64(32)).astype(np.int64), place, hot_place),
+            "totals": [int(counts.sum()), int((counts > 0).sum()), int((pairs == 1).sum()), int((pairs == 2).sum()), int(pairs.sum()), int(tables.sum())],
+        }
+        b, h = _bounds(sizes), _bounds(hot_sizes)
+        out = {"customers": _cut(pairs[place], b), "tables": _cut(tables[place], b), "counts": _cut(counts[place], b), "hot": _cut(hot_tables[hot_place], h), "hot_customers": _cut(hot_customers[hot_place], h)}
+        give_back()
+        return _replies(key[0].as_py(), parts, own, out)
 
+    return keep(introduced.groupBy("bucket").applyInArrow(meet, _STATE), "registered")
 
-def _slices(total: np.ndarray) -> pa.RecordBatch:
-    padded = np.concatenate([total, np.zeros(-len(total) % SLICE)])
-    return pa.RecordBatch.from_arrays([pa.array(range(len(padded) // SLICE), pa.int32()), pa.array([x.astype("<f8").tobytes() for x in padded.reshape(-1, SLICE)], pa.binary())], names=["slice", "data"])
 
+def _last(table: pa.Table, column: str) -> dict:
+    """The row where a column isn't null."""
+    return table.filter(pc.is_valid(table.column(column))).to_pylist()[0]
 
-def _accumulated(parts: DataFrame, columns: list[str], vector) -> DataFrame:
-    """A task's sum of vector(row of columns)."""
 
-    def rows(batches):
-        total = None
-        for b in batches:
-            for r in zip(*b.columns):
-                v = vector(*(x.as_py() for x in r))
-                total = v if total is None else total + v
-        if total is not None:
-            yield _slices(total)
+class _Seating:
+    """A part's repeated pairs and contexts."""
 
-    return parts.select(*columns).mapInArrow(rows, "slice int, data binary")
+    def __init__(self, live: bytes) -> None:
+        self.context, self.word, self.count, self.random, self.customers, self.alone, self.word_alone, self.hot = _unzip(live, "nnnnnnnn")
+        self.tables = np.ones(len(self.word), np.int64)
 
+    def context_tables(self, hot: np.ndarray) -> np.ndarray:
+        out = self.alone + np.bincount(self.context, self.tables, len(self.alone)).astype(np.int64)
+        out[self.hot] = hot
+        return out
 
-def _merge_parts(packed: DataFrame, shared) -> DataFrame:
-    """A row for each part: its packs, and what sweeps need (repeated), and counts to be summed over all (counts)."""
 
-    def merge(key, table):
-        words, pairs, contexts = shared.value
-        packs, taught = table.column("data").to_pylist(), np.array(table.column("taught").to_pylist(), np.int64)
-        o, many = _occurrences(packs, len(contexts)), len(contexts)
-        c = np.bincount(o.type, o.times * (o.doc < taught[o.chunk]), len(o.word)).astype(np.int64)
-        often = _within(o.words, words)
-        pair = np.full(len(o.word), -1)
-        mine = (often >= 0)[o.word] & (o.context < many)
-        pair[mine] = _within(_pair(o.words[o.word[mine]], contexts[o.context[mine]]), pairs)
-        alone = pair < 0
-        single, repeated = alone & (c == 1), alone & (c > 1)
-        known = np.bincount(o.word, c, len(o.words)) > 0
-        light = often < 0
-        by_word = np.bincount(o.word[alone & (c > 0)], minlength=len(o.words))
-        one_pair = pair >= 0
-        place = np.zeros((len(pairs), 2))  # word and context of a frequent pair, where it occurs, by its first part only: largest is taken
-        place[pair[one_pair], 0], place[pair[one_pair], 1] = often[o.word[one_pair]] + 1, o.context[one_pair] + 1
-        customers = np.bincount(o.context, c, many + len(o.rare))
-        singles, repeats = (np.bincount(o.context[x], minlength=many + len(o.rare)) for x in (single, repeated))
-        counts = np.concatenate([
-            customers[:many], singles[:many] + repeats[:many],
-            np.bincount(often[~light], np.bincount(o.word, c, len(o.words))[~light], len(words)), np.bincount(often[~light], by_word[~light], len(words)),
-            np.bincount(pair[one_pair], c[one_pair], len(pairs)), (place[:, 0] > 0).astype(float), place[:, 0], place[:, 1],
-            [c.sum(), (known & light).sum(), single.sum(), (alone & (c == 2)).sum(), (light & (by_word == 1)).sum(), (light & (by_word == 2)).sum(), by_word[light].sum()],
-        ])
+def _swept(parts: DataFrame, replies: DataFrame, before: DataFrame | None, k: int, totals: Totals) -> DataFrame:
+    """Parts' tables after sweep k (part, tables), and their sums to buckets (bucket, part, sums, hot_sums)."""
+
+    def sweep(key, table):
+        told = table.filter(pc.is_valid(table.column("bucket"))).sort_by("bucket")
+        s = _Seating(_last(table, "live")["live"])
+        if not first:
+            (s.tables,) = _unzip(_last(table, "seats")["seats"], "n")
+        parent = totals.parent(_joined(told.column("customers"), "<i8"), _joined(told.column("tables"), "<i8"))
+        others = np.maximum(s.context_tables(_joined(told.column("hot"), "<i8"))[s.context] - s.tables, 0)
+        s.tables = seated(s.count, (STRENGTH + totals.discount * others) * parent[s.word], totals.discount, uniform(s.random, k, 0), uniform(s.random, k, 1))
+        sums = s.word_alone + np.bincount(s.word, s.tables, len(s.word_alone)).astype(np.int64)
+        hot = (s.alone + np.bincount(s.context, s.tables, len(s.alone)).astype(np.int64))[s.hot]
+        n, part = told.num_rows, key[0].as_py()
+        cut = [_cut(sums, _bounds(_sizes(told.column("customers"), 8))), _cut(hot, _bounds(_sizes(told.column("hot"), 8)))]
+        own = pa.table([pa.array([None], pa.int32()), pa.array([part], pa.int32()), pa.array([_zip(s.tables)], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], schema=schema)
+        sent = pa.table([told.column("bucket"), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.binary()), *cut], schema=schema)
         give_back()
-        data = _zip(o.words.astype("<u8"), np.bincount(o.word[single], minlength=len(o.words)).astype("<u4"), o.word[repeated].astype("<u4"), o.context[repeated].astype("<u4"), c[repeated].astype("<u4"), singles[:many].astype("<u4"))
-        rare = _zip(o.rare.astype("<u8"), *(x[many:].astype("<u4") for x in (customers, singles, repeats)))
-        schema = pa.schema([("part", pa.int32()), ("repeated", pa.binary()), ("rare", pa.binary()), ("counts", pa.binary()), ("chunk", pa.list_(pa.int64())), ("taught", pa.list_(pa.int32())), ("ids", pa.list_(pa.list_(pa.int64()))), ("packs", pa.list_(pa.binary()))])
-        return pa.table({"part": [key[0].as_py()], "repeated": [data], "rare": [rare], "counts": [_zip(counts)], "chunk": [table.column("chunk").to_pylist()], "taught": [taught], "ids": [table.column("ids").to_pylist()], "packs": [packs]}, schema=schema)
+        return pa.concat_tables([own, sent])
 
-    kind = "part int, repeated binary, rare binary, counts binary, chunk array<long>, taught array<int>, ids array<array<long>>, packs array<binary>"
-    return keep(packed.groupBy("part").applyInArrow(merge, kind), "parts")
+    first = before is None
+    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("seats", pa.binary()), ("sums", pa.binary()), ("hot_sums", pa.binary())])
+    rows = parts.select("part", "live").unionByName(replies.where("part is not null").select("bucket", "part", "customers", "tables", "hot"), allowMissingColumns=True)
+    if not first:
+        rows = rows.unionByName(before.where("bucket is null").select("part", "seats"), allowMissingColumns=True)
+    else:
+        rows = rows.withColumn("seats", F.lit(None).cast("binary"))
+    return keep(rows.groupBy("part").applyInArrow(sweep, "bucket int, part int, seats binary, sums binary, hot_sums binary"), "swept")
 
 
-def _introduced(parts: DataFrame, many: int) -> str:
-    """Folder of the replies that tell parts of their rare contexts."""
+def _answered(registered: DataFrame, swept: DataFrame, k: int, totals: Totals) -> DataFrame:
+    """Buckets' replies after sweep k, and their totals (customers, tables)."""
 
-    def rows(batches):
-        for b in batches:
-            for number, rare in zip(*b.columns):
-                hashes, *counts = _unzip(rare.as_py(), "<u8", "<u4", "<u4", "<u4")
-                for bucket, data in _sent(_buckets(hashes, many), hashes.view(np.int64), *counts):
-                    yield pa.RecordBatch.from_arrays([pa.array([number.as_py()], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["part", "bucket", "data"])
-
-    return _replied(parts.select("part", "rare").mapInArrow(rows, "part int, bucket int, data binary"), 4, _meet_first)
-
-
-def _fixed(parts: DataFrame, many: int, words: np.ndarray, pairs: np.ndarray, known: np.ndarray) -> tuple[_Fixed, _State]:
-    """Counts over all parts, and the state in which every type has one table."""
-    w, p, u = len(words), len(pairs), len(known)
-    size = 2 * u + 2 * w + 4 * p + 7
-    v = _summed(_accumulated(parts, ["counts"], lambda data: _unzip(data, "<f8")[0]), size, many)
-    contexts, types, word_counts, word_types, pair_counts, seen, pair_word, pair_context, last = np.split(v, np.cumsum([u, u, w, w, p, p, p, p]))
-    tokens, light, n1, n2, m1, m2, light_types = last
-    seen = np.maximum(seen, 1)
-    pair_word, pair_context = np.round(pair_word / seen).astype(np.int64) - 1, np.round(pair_context / seen).astype(np.int64) - 1
-    vocabulary = int(light + (word_counts > 0).sum())
-    discount = lambda a, b: float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else 0.5
-    fixed = _Fixed(words, word_counts, pairs, pair_counts, pair_word, pair_context, known, contexts, int(tokens), vocabulary, discount(n1, n2), discount(m1, m2))
-    one = np.minimum(pair_counts, 1)
-    customers = word_types + np.bincount(pair_word[pair_word >= 0], one[pair_word >= 0], w)[:w]
-    tables = types + np.bincount(np.maximum(pair_context, 0), one, u)
-    return fixed, _State(tables, customers, np.minimum(customers, 1), float(light_types + customers.sum()), float(light + (customers > 0).sum()), one.astype(np.int64))
-
-
-def _next_state(k: int, fixed: _Fixed, before: _State, v: np.ndarray) -> _State:
-    """State after sweep k from the parts' totals; frequent pairs and the parent tables of frequent words are seated here."""
-    rng = np.random.default_rng([SEED, 2**31, k])
-    many = len(fixed.contexts)
-    tables, customers, (light_customers, light_tables) = v[:many].copy(), v[many:-2].copy(), v[-2:]
-    pair_tables = before.pair_tables
-    if len(fixed.pairs):
-        parent = _parent(before.word_customers, before.word_tables, before, fixed)[fixed.pair_word]
-        others = np.maximum(before.tables[fixed.pair_context] - before.pair_tables, 0)
-        pair_tables = seat(fixed.pair_counts.astype(np.int64), (STRENGTH + fixed.discount * others) * parent, fixed.discount, rng)
-        tables += np.bincount(fixed.pair_context, pair_tables, many)
-        customers += np.bincount(fixed.pair_word, pair_tables, len(fixed.words))
-    word_tables = seat(customers.astype(np.int64), np.full(len(customers), _base_weight(before, fixed)), fixed.parent_discount, rng)
-    return _State(tables, customers, word_tables, float(light_customers + customers.sum()), float(light_tables + word_tables.sum()), pair_tables)
-
-
-def _contributions(parts: DataFrame, shared) -> DataFrame:
-    """chunk, ids, data: for each part and chunk the documents' sums of log10 probabilities, of log10(count + 1), of tokens and known tokens."""
+    def meet(key, table):
+        own = _last(table, "state")
+        sent = table.filter(pc.is_valid(table.column("part"))).sort_by("part")
+        random, place, hot_place = _unzip(own["state"], "nnn")
+        customers = np.bincount(place, _joined(sent.column("sums"), "<i8"), len(random)).astype(np.int64)
+        hot = np.bincount(hot_place, _joined(sent.column("hot_sums"), "<i8")).astype(np.int64)
+        tables = seated(customers, np.full(len(customers), totals.base_weight()), totals.parent_discount, uniform(random, k, 2), uniform(random, k, 3))
+        b, h = _bounds(own["sizes"]), _bounds(own["hot_sizes"])
+        give_back()
+        return _replies(key[0].as_py(), own["parts"], {"totals": [int(customers.sum()), int(tables.sum())]}, {"customers": _cut(customers[place], b), "tables": _cut(tables[place], b), "hot": _cut(hot[hot_place], h)})
+
+    rows = registered.where("part is null").select("bucket", "parts", "sizes", "hot_sizes", "state").unionByName(swept.where("bucket is not null").select("bucket", "part", "sums", "hot_sums"), allowMissingColumns=True)
+    return keep(rows.groupBy("bucket").applyInArrow(meet, _STATE), "answered")
+
+
+def _scored(parts: DataFrame, registered: DataFrame, samples: list[tuple[int, DataFrame, DataFrame, Totals]]) -> DataFrame:
+    """chunk, part, logs: of each pair that the chunk told of its log10 probability, and counts: those that it asks for."""
+    totals = {k: x for k, _, _, x in samples}
+
+    def answer(key, table):
+        own = _last(table, "live")
+        s, (gaps, w, c), (at, asks) = _Seating(own["live"]), _unzip(own["pairs"], "nnn"), _unzip(own["routes"], "nn")
+        u, sizes = np.cumsum(gaps), np.array(own["sizes"], np.int64)
+        told = table.filter(pc.is_valid(table.column("bucket"))).sort_by("bucket")
+        first = told.filter(pc.equal(told.column("sweep"), 0))
+        s.customers[s.hot] = _joined(first.column("hot_customers"), "<i8")
+        counts = _joined(first.column("counts"), "<i8")
+        mean, tables, repeated = np.zeros(len(w)), (c == 1).astype(np.int64), c > 1
+        for k, total in totals.items():
+            mine = told.filter(pc.equal(told.column("sweep"), k))
+            seats = table.filter(pc.and_(pc.is_valid(table.column("seats")), pc.equal(table.column("sweep"), k)))
+            (s.tables,) = _unzip(seats.column("seats").to_pylist()[0], "n")
+            tables[repeated] = s.tables
+            parent = total.parent(_joined(mine.column("customers"), "<i8"), _joined(mine.column("tables"), "<i8"))
+            mean += total.predictive(c, tables, s.customers[u], s.context_tables(_joined(mine.column("hot"), "<i8"))[u], parent[w])
+        logs = np.log10(mean / len(totals))
+        bounds = _bounds(sizes)
+        at = np.cumsum(at)  # the steps of each chunk begin anew
+        base = np.concatenate([[0], at])[bounds[:-1]]
+        at -= np.repeat(base, sizes)
+        asking = asks > 0
+        out = pa.table([pa.array(own["chunk"], pa.int64()), pa.array([key[0].as_py()] * len(sizes), pa.int32()), _cut(logs[at], bounds), _cut(counts[w[at[asking]]], _bounds(asks)[bounds])], names=["chunk", "part", "logs", "counts"])
+        del own, s, gaps, u, w, c, at, asks, told, first, table, mean, tables, repeated, parent, logs
+        give_back()
+        return out
 
-    def rows(batches):
-        fixed, states, paths = shared.value
-        for b in batches:
-            for number, repeated, chunks, ids, packs, learned in zip(*b.columns):
-                part, o = _Part(number.as_py(), repeated.as_py(), fixed, paths), _occurrences(packs.as_py(), len(fixed.contexts))
-                key = part.word.astype(np.int64) << 32 | part.context
-                types = o.word << 32 | o.context
-                at = _within(types, key)
-                c = np.where(at >= 0, part.count[at] if len(key) else 0, 0).astype(float)
-                often = part.frequent[o.word]
-                pair = np.full(len(types), -1)
-                mine = (often >= 0) & (o.context < len(fixed.contexts))
-                pair[mine] = _within(_pair(o.words[o.word[mine]], fixed.contexts[o.context[mine]]), fixed.pairs)
-                customers = np.concatenate([fixed.context_customers, part.rare.customers])[o.context]
-                taught = np.bincount(o.type, o.doc < np.array(learned.as_py(), np.int64)[o.chunk], len(types)) > 0
-                c[(at < 0) & (pair < 0) & taught] = 1.0
-                c = np.where(pair >= 0, fixed.pair_counts[pair] if len(fixed.pairs) else 0, c)
-                single = ((at < 0) & (pair < 0) & taught).astype(float)
-                mean = np.zeros(len(types))
-                for k in range(1, SWEEPS + 1):
-                    part.sweep(k, states[k - 1])
-                    if k > BURN_IN:
-                        s = states[k]
-                        t = np.where(at >= 0, part.tables[at] if len(key) else 0, single)
-                        t = np.where(pair >= 0, s.pair_tables[pair] if len(fixed.pairs) else 0, t)
-                        parent = part.parent(s)[o.word]
-                        mean += (np.maximum(c - fixed.discount * t, 0) + (STRENGTH + fixed.discount * part.context_tables(k, s)[o.context]) * parent) / (STRENGTH + customers)
-                logs = np.log10(mean / (SWEEPS - BURN_IN))
-                seen = np.bincount(o.word, np.where(pair >= 0, 0, c), len(o.words))
-                seen = np.where(part.frequent >= 0, fixed.word_counts[part.frequent] if len(fixed.words) else 0, seen)
-                base = np.log10(seen + 1)[o.word]
-                known = (seen > 0)[o.word].astype(float)
-                bounds = np.searchsorted(o.chunk, np.arange(len(chunks) + 1))
-                for k, (chunk, own) in enumerate(zip(chunks, ids)):
-                    e = slice(bounds[k], bounds[k + 1])
-                    doc, ty, times = o.doc[e], o.type[e], o.times[e]
-                    sums = [np.bincount(doc, times * x[ty]) for x in (logs, base, known)]
-                    n = np.bincount(doc, times)
-                    some = n.nonzero()[0]
-                    score, counted, known_tokens = (x[some] for x in sums)
-                    data = _zip(*map(_planes, (np.diff(some, prepend=0), np.rint(-score * 2**SCORE_PLACES), np.rint(counted * 2**BASE_PLACES), n[some], n[some] - known_tokens)))
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([own.as_py()], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["chunk", "ids", "data"])
-                del part, o, types, key, at, c, often, mine, pair, customers, taught, single, mean, t, parent, logs, seen, base, known, sums
-                give_back()
+    rows = parts.select("part", "live", "pairs", "chunk", "sizes", "routes").withColumn("sweep", F.lit(None).cast("int"))
+    rows = rows.unionByName(registered.where("part is not null").select("bucket", "part", "counts", "hot_customers", F.lit(0).alias("sweep")), allowMissingColumns=True)
+    for k, swept, answered, _ in samples:
+        rows = rows.unionByName(swept.where("bucket is null").select("part", "seats", F.lit(k).alias("sweep")), allowMissingColumns=True)
+        rows = rows.unionByName(answered.where("part is not null").select("bucket", "part", "customers", "tables", "hot", F.lit(k).alias("sweep")), allowMissingColumns=True)
+    return rows.groupBy("part").applyInArrow(answer, "chunk long, part int, logs binary, counts binary")
 
-    return parts.select("part", "repeated", "chunk", "ids", "packs", "taught").mapInArrow(rows, "chunk long, ids array<long>, data binary")
 
+def _gathered(chunks: DataFrame, scored: DataFrame, parts: int, shared) -> DataFrame:
+    """row, doc_id, held_out, n_tokens, n_known, logs (of counts + 1), score of each text or piece."""
 
-def score(docs: DataFrame) -> DataFrame:
+    def gather(key, table):
+        own = _last(table, "data")
+        told = table.filter(pc.is_valid(table.column("part"))).sort_by("part")
+        pairs = _Pairs(own["data"], parts, shared.value)
+        logs = _joined(told.column("logs"), "<f8")
+        counts = np.zeros(len(pairs.hashes), np.int64)
+        counts[pairs.word[pairs.asks]] = _joined(told.column("counts"), "<i8")
+        doc, n = np.repeat(np.arange(len(pairs.length)), pairs.length), len(pairs.length)
+        word = pairs.word[pairs.at]
+        known, base = np.bincount(doc, (counts > 0)[word], n).astype(np.int64), np.bincount(doc, np.log10(counts + 1.0)[word], n)
+        score = np.bincount(doc, logs[pairs.at], n)
+        out = pa.table([pa.array(own["row"], pa.int64()), pa.array(own["ids"], pa.int64()), pa.array(own["held"], pa.bool_()), pa.array(pairs.length, pa.int64()), known, base, score], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
+        del own, told, table, pairs, logs, doc, word
+        give_back()
+        return out
+
+    rows = chunks.select("chunk", "row", "ids", "held", "data").unionByName(scored, allowMissingColumns=True)
+    return rows.groupBy("chunk").applyInArrow(gather, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+
+
+def _discount(ones: int, twos: int) -> float:
+    return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones + twos else 0.5
+
+
+def _sum(frame: DataFrame, n: int) -> list[int]:
+    """The sums of a table's totals."""
+    return [x or 0 for x in frame.where("part is null").select(*[F.sum(F.col("totals")[i]) for i in range(n)]).first()]
+
+
+def score(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row of documents (doc_id, text)."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     held = (fold("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out")
-    texts = docs.select("doc_id", held, "text")
-    count_parts, words, pairs, contexts = _frequent(texts)
-    frequent = spark.sparkContext.broadcast((words, pairs, contexts))
-    parts = _merge_parts(_pack(texts, count_parts, frequent), frequent)
-    fixed, state = _fixed(parts, count_parts, words, pairs, contexts)
-    states, paths = [state], [_introduced(parts, -(-count_parts // BUCKET_PARTS))]
-    for k in range(1, SWEEPS + 1):
-        shared = spark.sparkContext.broadcast((fixed, states, paths))
-
-        def rows(batches, shared=shared, k=k):
-            fixed, states, paths = shared.value
-            total = None
-            for b in batches:
-                for number, repeated in zip(*b.columns):
-                    part = _Part(number.as_py(), repeated.as_py(), fixed, paths)
-                    for i in range(1, k + 1):
-                        part.sweep(i, states[i - 1])
-                    v, rare = part.totals()
-                    total = v if total is None else total + v
-                    for bucket, data in part.rare.message(rare):
-                        yield pa.RecordBatch.from_arrays([pa.array([number.as_py()], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["part", "slice", "data"])
-            if total is not None:
-                own = _slices(total)
-                yield pa.RecordBatch.from_arrays([pa.nulls(own.num_rows, pa.int32()), *own.columns], names=["part", "slice", "data"])
-
-        swept = keep(parts.select("part", "repeated").mapInArrow(rows, "part int, slice int, data binary"), "swept")
-        v = _summed(swept.where("part is null").drop("part"), len(contexts) + len(words) + 2, count_parts)
-        paths = [*paths, _replied(swept.where("part is not null").withColumnRenamed("slice", "bucket"), 2, _meet)]
-        states = [*states, _next_state(k, fixed, states[-1], v)]
-    found = _contributions(parts, spark.sparkContext.broadcast((fixed, states, paths)))
-
-    def gather(key, table):
-        ids = next(x for x in table.column("ids").to_pylist() if x is not None)
-        sums = np.zeros((4, len(ids)))
-        for data in table.column("data").to_pylist():
-            gaps, score, counted, n, unknown = map(_numbers, _unzip(data, *["u1"] * 5))
-            for row, x in zip(sums, (score * -(0.5**SCORE_PLACES), counted * 0.5**BASE_PLACES, n, n - unknown)):
-                row[np.cumsum(gaps)] += x
-        tokens = sums[2].astype(np.int64)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": tokens, "n_known": sums[3].astype(np.int64), "logs": sums[1], "score": sums[0]})
-
-    rows = found.groupBy("chunk").applyInArrow(gather, "doc_id long, n_tokens long, n_known long, logs double, score double")
-    base = F.col("logs") - F.col("n_tokens") * float(np.log10(fixed.tokens + fixed.vocabulary + 1))
-    return rows.select("doc_id", held, "n_tokens", "n_known", F.lit(fixed.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    chunks = _chunks(docs.select("doc_id", held, "text"))
+    entries = chunks.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    count_parts = max(LEAST_PARTS, -(-entries // PART_ENTRIES))
+    often = chunks.select(F.explode(F.arrays_zip("often", "followers")).alias("x")).groupBy("x.often").agg(F.sum("x.followers").alias("n"))
+    hot = often.where(F.col("n") >= max(1, entries // count_parts // HOT)).select("often").toArrow().column(0).to_numpy().view(np.uint64)  # HOT for each part at most
+    shared = context.broadcast(np.sort(hot))
+    parts = _parts(_requests(chunks, count_parts, shared), shared)
+    registered = _registered(_introduced(parts, -(-count_parts // BUCKET_PARTS)))
+    tokens, vocabulary, once, twice, customers, tables = _sum(registered, 6)
+    ones, twos = (x or 0 for x in parts.agg(F.sum("ones"), F.sum("twos")).first())
+    totals = Totals(tokens, vocabulary, _discount(ones, twos), _discount(once, twice), customers, tables)
+    swept, replies, samples = None, registered, []
+    for k in range(1, sweeps + 1):
+        swept = _swept(parts, replies, swept, k, totals)
+        replies = _answered(registered, swept, k, totals)
+        totals = totals._replace(**dict(zip(("customers", "tables"), _sum(replies, 2))))
+        if k > burn_in:
+            samples.append((k, swept, replies, totals))
+    found = _gathered(chunks, _scored(parts, registered, samples), count_parts, shared)
+    whole = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "logs", "score")])
+    base = F.col("logs") - F.col("n_tokens") * float(np.log10(tokens + vocabulary + 1))
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
