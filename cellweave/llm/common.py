@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.durable import durable, shared_dir
+
 #: Words are runs of anything but space and the ASCII controls 9 to 13; ``bytes.split()`` cuts the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,16 +23,6 @@ BROADCAST_ROWS = 50_000
 _SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="cellweave-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def prepare(spark: SparkSession) -> None:
     """Applies _SETTINGS where the session has none of its own."""
     own = dict(spark.sparkContext.getConf().getAll())
@@ -49,13 +38,39 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_memory: dict[str, dict] = {}
+
+
+def memory(owner: str) -> dict:
+    """What an operator's Python worker remembers between batches; workers are shared, so another operator's memory goes."""
+    if owner not in _memory:
+        _memory.clear()
+        give_back()
+    return _memory.setdefault(owner, {})
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and return that table: lineage ends here, and survives lost executors."""
+    prepare(df.sparkSession)
+    return durable(df, name)
+
+
+def keep_grouped(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``keep``, in buckets of a column: what is grouped or joined by it later is shuffled to this table, which stays where it is."""
     spark = df.sparkSession
     prepare(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    unique = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", f"{shared_dir(spark)}/{unique}").saveAsTable(unique)
+    return spark.table(unique)
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """A single column ``packed`` of whole rows, so that no other name can clash; ``select("packed.*")`` gives them back."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("packed"))
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, prepare
+from .common import fold, packed, prepare
 
 HELD_OUT = (4, 2)
 BITS, ORDERS = 15, (1, 2, 3)
@@ -220,5 +220,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language is recognised with a probability of at least ``least``; columns as they are."""
     predicted = _predictor(docs, train(docs))
-    judged = docs.select(F.struct(*docs.columns).alias("row"), predicted("text").alias("x"))
-    return judged.where((F.col("x.lang") != UNKNOWN) & (F.col("x.score") >= least)).select("row.*")
+    judged = packed(docs).select("packed", predicted("packed.text").alias("x"))
+    return judged.where((F.col("x.lang") != UNKNOWN) & (F.col("x.score") >= least)).select("packed.*")

@@ -4,12 +4,14 @@ Every document draws an exponential key -ln(u)/w, where u comes from a hash of i
 A source whose target exceeds its size takes whole epochs first; the rest of the target is filled with documents in
 the order of their keys up to a cut-off. The cut-off is found without sorting a source in one task: keys fall into
 about sqrt(n) buckets of near-equal expected size, bucket sums locate the one bucket in which the budget ends, and only
-that bucket is sorted. Documents are then judged against their source's cut-off.
+that bucket's keys are sorted. Documents are then judged against their source's cut-off. Rows of equal id and text share a key:
+they are sorted as one entry with a count, and where the cut-off falls among them, as many of them are taken as the budget allows,
+numbered by partition first and then inside partitions.
 
 Defined results: null text has size 0; a null source is a source of its own, ordered last; a null id hashes as the
-text 'null'. Rows that agree in id and text share a key and are taken together. Whole documents are taken, so a
-source misses its target by half a document at most. An empty table gives an empty result. Other columns are ignored
-by ``mix`` and carried along by ``mix_documents``.
+text 'null'. Whole documents are taken, so a source misses its target by half a document at most, repeated rows or not; which
+of equal rows are taken is arbitrary but fixed for an input as it is stored. An empty table gives an empty result. Other columns
+are ignored by ``mix`` and carried along by ``mix_documents`` under any name.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_small, keep
+from .common import WORD, join_small, keep, packed
 
 #: Weights of sources by rank, repeating; share of all words to take; most epochs of a source.
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
@@ -36,15 +38,13 @@ def _weight(text: Column, size: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(LEAST), 1 - symbols / (2.0 * F.greatest(size, F.lit(1)))), F.lit(LEAST))
 
 
-def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """Adds __size, __key, __tie to all columns."""
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
+def _keyed(rows: DataFrame, doc_id: str, source: str, text: str, seed: int) -> DataFrame:
+    """doc_id, source, size, key and tie of rows, and the rows themselves, where they have a column ``packed``."""
+    digest = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-    return (
-        docs.withColumn("__size", _size(F.col("text")))
-        .withColumn("__key", -F.log(u) / _weight(F.col("text"), F.col("__size")))
-        .withColumn("__tie", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    )
+    carried = [c for c in rows.columns if c == "packed"]
+    sized = rows.select(*carried, F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), _size(F.col(text)).alias("size"))
+    return sized.select(*carried, "doc_id", "source", "size", (-F.log(u) / _weight(F.col("text"), F.col("size"))).alias("key"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("tie"))
 
 
 def _targets(sizes: DataFrame) -> DataFrame:
@@ -66,49 +66,66 @@ def _targets(sizes: DataFrame) -> DataFrame:
     )
 
 
+def _bucket() -> Column:
+    return F.floor((1 - F.exp(-F.col("key") * LEAST)) * F.col("buckets"))
+
+
 def plan(narrow: DataFrame) -> DataFrame:
-    """A row per source: source_size, target, __epochs, and the cut-off (__cut, __cut_tie), null if nothing is drawn."""
-    sources = keep(_targets(narrow.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("__n"))), "mix-sources")
-    sources = sources.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    sources = sources.withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size")).withColumn("__buckets", F.ceil(F.sqrt("__n")))
-    bucketed = join_small(narrow, sources.select("source", "__rest", "__buckets"), ["source"], "inner").withColumn("__bucket", F.floor((1 - F.exp(-F.col("__key") * LEAST)) * F.col("__buckets")))
-    before = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    """A row per source: source_size, target, epochs, buckets, edge (the bucket of the cut-off) and cut, the last entry (key, tie, doc_id) that
+    is taken, and how many of its rows; nothing is drawn where cut is null."""
+    sources = keep(_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n"))), "mix-sources")
+    sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    sources = sources.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("buckets", F.ceil(F.sqrt("__n")))
+    bucketed = join_small(narrow, sources.select("source", "rest", "buckets"), ["source"], "inner").withColumn("bucket", _bucket())
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     edges = (
-        bucketed.groupBy("source", "__bucket", "__rest").agg(F.sum("__size").alias("__sum"))
-        .withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
-        .where(F.col("__before") <= F.col("__rest"))
-        .groupBy("source").agg(F.max(F.struct("__bucket", "__before")).alias("__edge"))
-    )
-    edges = keep(edges.select("source", "__edge.*").withColumnRenamed("__bucket", "__edge_bucket"), "mix-edges")
-    inside = join_small(bucketed, edges, ["source"], "inner").where(F.col("__bucket") == F.col("__edge_bucket"))
-    sooner = Window.partitionBy("source").orderBy("__key", "__tie", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (
-        inside.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__size").over(sooner), F.lit(0)))
-        .where(F.col("__before") + F.col("__size") / 2.0 <= F.col("__rest"))
-        .groupBy("source").agg(F.max(F.struct("__key", "__tie")).alias("__last"))
-        .select("source", F.col("__last.__key").alias("__cut"), F.col("__last.__tie").alias("__cut_tie"))
+        bucketed.groupBy("source", "bucket", "rest").agg(F.sum("size").alias("sum"))
+        .withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+        .where(F.col("before") <= F.col("rest"))
+        .groupBy("source").agg(F.max(F.struct("bucket", "before")).alias("x"))
     )
-    return keep(join_small(join_small(sources, edges.drop("__before"), ["source"]), keep(cuts, "mix-cuts"), ["source"]).drop("__n", "__rest"), "mix-plan")
+    edges = keep(edges.select("source", F.col("x.bucket").alias("edge"), F.col("x.before").alias("before")), "mix-edges")
+    inside = join_small(bucketed, edges, ["source"], "inner").where(F.col("bucket") == F.col("edge"))
+    entries = inside.groupBy("source", "rest", "before", "key", "tie", "doc_id", "size").agg(F.count("*").alias("n"))
+    sooner = Window.partitionBy("source").orderBy("key", "tie", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("before") + F.coalesce(F.sum(F.col("n") * F.col("size")).over(sooner), F.lit(0))
+    fits = lambda k: F.col("at") + k * F.col("size") + F.col("size") / 2.0 <= F.col("rest")  # of the k-th row, from 0
+    about = F.greatest(F.least(F.floor((F.col("rest") - F.col("at")) / F.greatest(F.col("size"), F.lit(1)) + 0.5), F.col("n")), F.lit(0))
+    taken = F.when(F.col("size") == 0, F.when(fits(F.lit(0)), F.col("n")).otherwise(0)).when((about < F.col("n")) & fits(about), about + 1).when((about > 0) & ~fits(about - 1), about - 1).otherwise(about)
+    cuts = entries.withColumn("at", at).withColumn("taken", taken).where("taken > 0").groupBy("source").agg(F.max(F.struct("key", F.struct("tie", "doc_id").alias("tie"), "taken", "n")).alias("cut"))
+    return keep(join_small(join_small(sources.drop("__n", "rest"), edges.drop("before"), ["source"]), keep(cuts, "mix-cuts"), ["source"]), "mix-plan")
 
 
 def _taken(keyed: DataFrame, planned: DataFrame) -> DataFrame:
-    """Adds source_size, target and __copies. A bucket whose documents were all too large leaves only those before it."""
-    bucket = F.floor((1 - F.exp(-F.col("__key") * LEAST)) * F.col("__buckets"))
-    drawn = (bucket < F.col("__edge_bucket")) | ((bucket == F.col("__edge_bucket")) & F.coalesce(F.struct("__key", "__tie") <= F.struct("__cut", "__cut_tie"), F.lit(False)) & F.col("__cut").isNotNull())
-    return join_small(keyed, planned, ["source"], "inner").withColumn("__copies", F.col("__epochs") + F.coalesce(drawn, F.lit(False)).cast("long"))
+    """Adds source_size, target and copies. A bucket whose documents were all too large leaves only those before it."""
+    entry = F.struct("key", F.struct("tie", "doc_id").alias("tie"))
+    last = F.struct(F.col("cut.key").alias("key"), F.col("cut.tie").alias("tie"))
+    rows = join_small(keyed, planned, ["source"], "inner").withColumn("bucket", _bucket())
+    inside = (F.col("bucket") == F.col("edge")) & F.col("cut").isNotNull()
+    shared = F.coalesce(inside & entry.eqNullSafe(last) & (F.col("cut.taken") < F.col("cut.n")), F.lit(False))
+    drawn = F.coalesce((F.col("bucket") < F.col("edge")) | (inside & (entry <= last)), F.lit(False))
+    whole = rows.where(~shared).withColumn("copies", F.col("epochs") + drawn.cast("long"))
+    if planned.where("cut.taken < cut.n").isEmpty():
+        return whole
+    # equal rows at a cut-off: written, so that their numbers stay
+    some = keep(rows.where(shared), "mix-shared").withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.shiftrightunsigned("row", 33))
+    parts = some.groupBy("source", "part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("source", "part").orderBy("row"))
+    numbered = join_small(some, keep(parts.drop("count"), "mix-parts"), ["source", "part"]).withColumn("copies", F.col("epochs") + (number <= F.col("cut.taken")).cast("long"))
+    return whole.unionByName(numbered.drop("row", "part", "before"))
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of documents (doc_id, source, text)."""
-    narrow = keep(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-keys")
-    return _taken(narrow, plan(narrow)).select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("__copies")).alias("taken"))
+    narrow = keep(_keyed(docs.select("doc_id", "source", "text"), "doc_id", "source", "text", seed), "mix-keys")
+    return _taken(narrow, plan(narrow)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mixed corpus itself: rows of docs, each as often as it is taken, with the columns of docs."""
-    narrow = keep(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-keys")
-    taken = _taken(_keyed(docs, seed), plan(narrow)).where(F.col("__copies") > 0)
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*docs.columns)
+    narrow = keep(_keyed(docs.select("doc_id", "source", "text"), "doc_id", "source", "text", seed), "mix-keys")
+    taken = _taken(_keyed(packed(docs), "packed.doc_id", "packed.source", "packed.text", seed), plan(narrow)).where("copies > 0")
+    return taken.select("packed", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("packed.*")
 
 
 SQL = r"""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import memory, prepare
 
 SPACE = "▁"
 #: Parts and pairs remembered by a worker; beyond it, at the next text, the memory starts afresh. Longer parts than LONG are not kept.
@@ -245,14 +245,12 @@ def _is_character(raw: bytearray, n: int) -> bool:
         return False
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def _codec(key: str, shared) -> Codec:
     """A worker's own codec for a broadcast model."""
-    if key not in _codecs:
-        _codecs[key] = Codec(shared.value)
-    return _codecs[key]
+    codecs = memory("piece_codec")
+    if key not in codecs:
+        codecs[key] = Codec(shared.value)
+    return codecs[key]
 
 
 def _shared(spark: SparkSession, path: str):

@@ -13,14 +13,15 @@ How it scales. Three kinds of groups, each of bounded size, exchange messages by
 hashes of hot contexts (HOT for each part at most) reaches the driver.
 
 * A chunk holds up to CHUNK_TOKENS tokens of whole texts, a longer text being cut into pieces, as numbers into its own words.
-  It is written once. It tells the parts of its distinct (context, word) pairs and their counts, and is told their log probabilities.
+  It is written once. It tells the parts of its distinct (context, word) pairs and their counts, and is told how all of the corpus seats them.
 * A part holds about PART_ENTRIES such pairs, those of the contexts hashed to it, counted over all chunks. A hot context is
-  spread over parts by word. Pairs are combined within chunks first, so that a part's size does not follow a pair's frequency.
+  spread over parts by its words. Pairs are combined within chunks first, so that a part's size does not follow a pair's frequency.
 * A bucket holds the parent restaurant's words in a range of hashes, and the totals of hot contexts. Parts send it
   their sums, and it sends what all of them add up to.
 
-Messages are whole numbers until the last one, of doubles: nothing is rounded. There are no more of them than distinct pairs in
-chunks, or words in parts, so they grow in proportion to the text.
+Messages are whole numbers, counts of customers and tables; probabilities are computed in the chunks, and nothing is rounded. There
+are no more numbers than distinct pairs in chunks, or words in parts, so they grow in proportion to the text. Chunks and
+parts are written in buckets of their number, so that replies travel to them and they stay where they are.
 
 Defined results: null and empty texts consist of the end alone; rows are scored each, also where ids repeat or are
 null; without training texts every probability is the base's, 1; an empty table gives an empty result. Only doc_id and
@@ -43,13 +44,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, give_back, keep
+from .common import fold, give_back, keep, keep_grouped
 
 HELD_OUT = (7, 2)
 SWEEPS, BURN_IN = 4, 1
 STRENGTH, SEED = 1.0, 11
 EXACT = 256
-CHUNK_TOKENS, CHUNK_DOCS, PART_ENTRIES, LEAST_PARTS = 1_500_000, 60_000, 1_000_000, 8
+CHUNK_TOKENS, CHUNK_DOCS, PART_ENTRIES, LEAST_PARTS = 2_000_000, 60_000, 1_000_000, 8
 #: Parts for each bucket; share of a part at which a context is hot, and the fewest of its pairs in a chunk that count towards it.
 BUCKET_PARTS, HOT, HOT_PAIRS = 4, 4, 16
 PIECE = 1 << 22
@@ -90,10 +91,23 @@ def _cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def _narrow(values: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """Slices of non-negative numbers as bytes, and of those from 255 on in full."""
+    large = values >= 255
+    return [_cut(np.minimum(values, 255).astype("u1"), bounds), _cut(values[large].astype("<i8"), _bounds(large)[bounds])]
+
+
 def _joined(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), kind)
 
 
+def _widened(column, more) -> np.ndarray:
+    """The numbers of ``_narrow``, one after another."""
+    out = _joined(column, "u1").astype(np.int64)
+    out[out == 255] = _joined(more, "<i8")
+    return out
+
+
 def _bounds(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
@@ -286,7 +300,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
         del chunk
         give_back()
 
-    return keep(docs.mapInArrow(rows, _CHUNK), "chunks")
+    return keep_grouped(docs.mapInArrow(rows, _CHUNK), "chunks", "chunk")
 
 
 def _keys(tokens: np.ndarray, length: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -311,6 +325,8 @@ class _Pairs:
         place[order] = np.arange(len(order), dtype=np.int32)
         self.at = place[at]  # of each token
         self.part, self.context, self.word = part[order], u[order], w[order]
+        self.edge = np.concatenate([[True], self.part[1:] != self.part[:-1]])
+        self.head = self.edge | np.concatenate([[True], self.context[1:] != self.context[:-1]])
         first = np.zeros(len(self.hashes), np.int64)
         first[self.word[::-1]] = np.arange(len(order))[::-1]
         self.asks = np.zeros(len(order), bool)  # one pair of each word asks for the word's count
@@ -318,7 +334,7 @@ class _Pairs:
 
 
 def _requests(chunks: DataFrame, parts: int, shared) -> DataFrame:
-    """part, chunk, contexts, followers, words of its pairs, 2 * training count + whether it asks (from 255 on in more)."""
+    """part, chunk, contexts, followers, words of its pairs, 2 * training count + whether it asks."""
 
     def rows(batches):
         for b in batches:
@@ -326,19 +342,17 @@ def _requests(chunks: DataFrame, parts: int, shared) -> DataFrame:
                 pairs = _Pairs(data.as_py(), parts, shared.value)
                 taught = np.repeat(~np.array(held.as_py()), pairs.length)
                 value = 2 * np.bincount(pairs.at[taught], minlength=len(pairs.part)) + pairs.asks
-                edge = np.concatenate([[True], pairs.part[1:] != pairs.part[:-1]])
-                new = edge | np.concatenate([[True], pairs.context[1:] != pairs.context[:-1]])
-                start, heads = edge.nonzero()[0], new.nonzero()[0]
+                start, heads = pairs.edge.nonzero()[0], pairs.head.nonzero()[0]
                 bounds = np.append(start, len(value))
-                context_bounds, large = np.searchsorted(heads, bounds), value >= 255
+                context_bounds = np.searchsorted(heads, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(pairs.part[start]), pa.array([chunk.as_py()] * len(start), pa.int64()), _cut(pairs.hashes[pairs.context[heads]], context_bounds), _cut(np.diff(np.append(heads, len(value))).astype("<u4"), context_bounds),
-                        _cut(pairs.hashes[pairs.word], bounds), _cut(np.minimum(value, 255).astype("u1"), bounds), _cut(value[large].astype("<u4"), _bounds(large)[bounds]),
+                        _cut(pairs.hashes[pairs.word], bounds), *_narrow(value, bounds),
                     ],
                     names=["part", "chunk", "contexts", "followers", "words", "counts", "more"],
                 )
-                del pairs, taught, value, edge, new
+                del pairs, taught, value
                 give_back()
 
     return chunks.select("chunk", "held", "data").mapInArrow(rows, "part int, chunk long, contexts binary, followers binary, words binary, counts binary, more binary")
@@ -350,16 +364,15 @@ def _requests(chunks: DataFrame, parts: int, shared) -> DataFrame:
 def _parts(requests: DataFrame, shared) -> DataFrame:
     """A row for each part.
 
-    keys: hashes of its words, their training counts and numbers of pairs; hashes of its hot contexts, their customers and numbers of pairs.
-    live: context, word, count and random key of each repeated pair; each context's customers and single pairs; single pairs of words; hot contexts.
-    pairs: context, word and count of all. chunk, sizes, routes: the pairs that each chunk sent, and whether they ask.
+    keys: hashes of its words, their training counts and numbers of pairs; hashes of its contexts. live: context, word and count of each repeated
+    pair; each context's customers and single pairs; single pairs of words; numbers of hot contexts, their pairs. pairs: context, word and count
+    of all. chunk, sizes, routes: the pairs that each chunk sent, and whether they ask. ones, twos: pairs of so many customers.
     """
 
     def merge(key, table):
         table = table.sort_by("chunk")
         sizes = _sizes(table.column("counts"), 1)
-        value = _joined(table.column("counts"), "u1").astype(np.int64)
-        value[value == 255] = _joined(table.column("more"), "<u4")
+        value = _widened(table.column("counts"), table.column("more"))
         words, w = np.unique(_joined(table.column("words"), "<u8"), return_inverse=True)
         contexts, u = np.unique(_joined(table.column("contexts"), "<u8"), return_inverse=True)
         u = np.repeat(u, _joined(table.column("followers"), "<u4"))
@@ -367,17 +380,16 @@ def _parts(requests: DataFrame, shared) -> DataFrame:
         del u, w
         c = np.bincount(at, value >> 1, len(pairs)).astype(np.int64)
         u, w = pairs >> 32, pairs & 0xFFFFFFFF
-        single, repeated = c == 1, c > 1
-        many = lambda x, n, weights=None: np.bincount(x, weights, n).astype(np.int64)
-        customers, alone = many(u, len(contexts), c), many(u[single], len(contexts))
+        single, repeated, some = c == 1, c > 1, c > 0
         hot = np.isin(contexts, shared.value).nonzero()[0]
-        keys = _zip(words, many(w, len(words), c), many(w[c > 0], len(words)), contexts[hot], customers[hot], many(u[c > 0], len(contexts))[hot])
-        random = (_pair(contexts[u[repeated]], words[w[repeated]]) >> np.uint64(32)).astype(np.int64)
-        live = _zip(u[repeated], w[repeated], c[repeated], random, customers, alone, many(w[single], len(words)), hot)
+        live = _zip(u[repeated], w[repeated], c[repeated], _sums(u, c, contexts), _sums(u[single], None, contexts), _sums(w[single], None, words), hot, _sums(u[some], None, contexts)[hot])
         step = np.diff(at, prepend=0)
         first = _bounds(sizes)[:-1]
         step[first] = at[first]
-        row = {"part": [key[0].as_py()], "keys": [keys], "live": [live], "pairs": [_zip(np.diff(u, prepend=0), w, c)], "ones": [int(single.sum())], "twos": [int((c == 2).sum())], "chunk": [table.column("chunk").to_pylist()], "sizes": [sizes], "routes": [_zip(step, value & 1)]}
+        row = {
+            "part": [key[0].as_py()], "keys": [_zip(words, _sums(w, c, words), _sums(w[some], None, words), contexts)], "live": [live], "pairs": [_zip(np.diff(u, prepend=0), w, c)],
+            "ones": [int(single.sum())], "twos": [int((c == 2).sum())], "chunk": [table.column("chunk").to_pylist()], "sizes": [sizes], "routes": [_zip(step, value & 1)],
+        }
         del at, step, value, pairs, table
         give_back()
         return pa.table(row, schema=schema)
@@ -385,7 +397,31 @@ def _parts(requests: DataFrame, shared) -> DataFrame:
     binary, numbers = pa.binary(), pa.list_(pa.int64())
     schema = pa.schema([("part", pa.int32()), ("keys", binary), ("live", binary), ("pairs", binary), ("ones", pa.int64()), ("twos", pa.int64()), ("chunk", numbers), ("sizes", numbers), ("routes", binary)])
     kind = "part int, keys binary, live binary, pairs binary, ones long, twos long, chunk array<long>, sizes array<long>, routes binary"
-    return keep(requests.groupBy("part").applyInArrow(merge, kind), "parts")
+    return keep_grouped(requests.groupBy("part").applyInArrow(merge, kind), "parts", "part")
+
+
+def _sums(at: np.ndarray, values: np.ndarray | None, of: np.ndarray) -> np.ndarray:
+    return np.bincount(at, values, len(of)).astype(np.int64)
+
+
+class _Seating:
+    """A part's repeated pairs and contexts."""
+
+    def __init__(self, row: dict) -> None:
+        self.context, self.word, self.count, self.customers, self.alone, self.word_alone, self.hot, self.hot_pairs = _unzip(row["live"], "nnnnnnnn")
+        self.words, self.counts, self.word_pairs, self.contexts = _unzip(row["keys"], "hnnh")
+        self.tables = np.ones(len(self.word), np.int64)
+
+    def random(self) -> np.ndarray:
+        return _pair(self.contexts[self.context], self.words[self.word]) >> np.uint64(32)
+
+    def own_tables(self) -> np.ndarray:
+        return self.alone + _sums(self.context, self.tables, self.contexts)
+
+    def context_tables(self, hot: np.ndarray) -> np.ndarray:
+        out = self.own_tables()
+        out[self.hot] = hot
+        return out
 
 
 def _introduced(parts: DataFrame, buckets: int) -> DataFrame:
@@ -394,182 +430,199 @@ def _introduced(parts: DataFrame, buckets: int) -> DataFrame:
 
     def rows(batches):
         for b in batches:
-            for part, keys in zip(*b.columns):
-                words, counts, pairs, hot, customers, tables = _unzip(keys.as_py(), "hnnhnn")
-                at, hot_at = bucket(words), bucket(hot)
+            for part, keys, live in zip(*b.columns):
+                s = _Seating({"keys": keys.as_py(), "live": live.as_py()})
+                hot = s.contexts[s.hot]
+                at, hot_at = bucket(s.words), bucket(hot)
                 told = np.union1d(at, hot_at)
                 bounds, hot_bounds = (np.append(np.searchsorted(x, told), len(x)) for x in (at, hot_at))
-                cut = [_cut(x, bounds) for x in (words, counts, pairs)] + [_cut(x, hot_bounds) for x in (hot, customers, tables)]
-                yield pa.RecordBatch.from_arrays([pa.array(told, pa.int32()), pa.array([part.as_py()] * len(told), pa.int32()), *cut], names=["bucket", "part", "words", "counts", "sums", "hot", "hot_customers", "hot_sums"])
+                cut = [_cut(s.words, bounds), *_narrow(np.column_stack([s.counts, s.word_pairs]).ravel(), 2 * bounds), _cut(hot, hot_bounds), _cut(np.column_stack([s.customers[s.hot], s.hot_pairs]).ravel(), 2 * hot_bounds)]
+                yield pa.RecordBatch.from_arrays([pa.array(told, pa.int32()), pa.array([part.as_py()] * len(told), pa.int32()), *cut], names=["bucket", "part", "words", "sums", "more", "hot", "hot_sums"])
 
-    return parts.select("part", "keys").mapInArrow(rows, "bucket int, part int, words binary, counts binary, sums binary, hot binary, hot_customers binary, hot_sums binary")
+    return parts.select("part", "keys", "live").mapInArrow(rows, "bucket int, part int, words binary, sums binary, more binary, hot binary, hot_sums binary")
 
 
-_STATE = "bucket int, part int, parts array<int>, sizes array<long>, hot_sizes array<long>, state binary, totals array<long>, customers binary, tables binary, hot binary, counts binary, hot_customers binary"
+_STATE = "bucket int, part int, parts array<int>, sizes array<long>, hot_sizes array<long>, state binary, totals array<long>, words binary, more binary, hot binary"
 _ARROW = pa.schema(
     [("bucket", pa.int32()), ("part", pa.int32()), ("parts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())), ("hot_sizes", pa.list_(pa.int64())), ("state", pa.binary()), ("totals", pa.list_(pa.int64()))]
-    + [(x, pa.binary()) for x in ("customers", "tables", "hot", "counts", "hot_customers")]
+    + [(x, pa.binary()) for x in ("words", "more", "hot")]
 )
 
 
-def _replies(bucket: int, parts: list[int], own: dict, cut: dict[str, pa.Array]) -> pa.Table:
-    """A bucket's own row and one for each part."""
+def _replies(bucket: int, own: dict, parts: list[int], sizes, hot_sizes, place: np.ndarray, hot_place: np.ndarray, words: list[np.ndarray], hot: list[np.ndarray]) -> pa.Table:
+    """A bucket's own row, and for each part a row of the numbers of its words, a word's numbers together, and of its hot contexts."""
     first = pa.table({f.name: pa.array([own.get(f.name)], f.type) for f in _ARROW} | {"bucket": pa.array([bucket], pa.int32())}, schema=_ARROW)
-    n = len(parts)
-    given = {"bucket": pa.array([bucket] * n, pa.int32()), "part": pa.array(parts, pa.int32())} | cut
+    n, small, more = len(parts), *_narrow(np.column_stack([x[place] for x in words]).ravel(), len(words) * _bounds(sizes))
+    given = {"bucket": pa.array([bucket] * n, pa.int32()), "part": pa.array(parts, pa.int32()), "words": small, "more": more, "hot": _cut(np.column_stack([x[hot_place] for x in hot]).ravel(), len(hot) * _bounds(hot_sizes))}
     return pa.concat_tables([first, pa.table([given.get(f.name, pa.nulls(n, f.type)) for f in _ARROW], schema=_ARROW)])
 
 
 def _registered(introduced: DataFrame) -> DataFrame:
-    """Each bucket's state and totals (tokens, words, words of one pair, of two, customers, tables), and its replies, where every pair has one table."""
+    """Each bucket's state and totals (tokens, words, words of one pair, of two, customers, tables). Its replies, where every pair has one
+    table: customers, tables and training counts of words, tables and customers of hot contexts."""
 
     def meet(key, table):
         table = table.sort_by("part")
         sizes, hot_sizes = _sizes(table.column("words"), 8), _sizes(table.column("hot"), 8)
         words, place = np.unique(_joined(table.column("words"), "<u8"), return_inverse=True)
         hot, hot_place = np.unique(_joined(table.column("hot"), "<u8"), return_inverse=True)
-        counts, pairs = (np.bincount(place, _joined(table.column(x), "<i8"), len(words)).astype(np.int64) for x in ("counts", "sums"))
-        hot_customers, hot_tables = (np.bincount(hot_place, _joined(table.column(x), "<i8"), len(hot)).astype(np.int64) for x in ("hot_customers", "hot_sums"))
+        told, hot_told = _widened(table.column("sums"), table.column("more")), _joined(table.column("hot_sums"), "<i8")
+        counts, pairs = (_sums(place, told[k::2], words) for k in (0, 1))
+        hot_customers, hot_tables = (_sums(hot_place, hot_told[k::2], hot) for k in (0, 1))
         tables = np.minimum(pairs, 1)
         parts = table.column("part").to_pylist()
         own = {
             "parts": parts, "sizes": sizes, "hot_sizes": hot_sizes, "state": _zip((_hash(words) >> np.uint64(32)).astype(np.int64), place, hot_place),
             "totals": [int(counts.sum()), int((counts > 0).sum()), int((pairs == 1).sum()), int((pairs == 2).sum()), int(pairs.sum()), int(tables.sum())],
         }
-        b, h = _bounds(sizes), _bounds(hot_sizes)
-        out = {"customers": _cut(pairs[place], b), "tables": _cut(tables[place], b), "counts": _cut(counts[place], b), "hot": _cut(hot_tables[hot_place], h), "hot_customers": _cut(hot_customers[hot_place], h)}
         give_back()
-        return _replies(key[0].as_py(), parts, own, out)
+        return _replies(key[0].as_py(), own, parts, sizes, hot_sizes, place, hot_place, [pairs, tables, counts], [hot_tables, hot_customers])
 
     return keep(introduced.groupBy("bucket").applyInArrow(meet, _STATE), "registered")
 
 
-def _last(table: pa.Table, column: str) -> dict:
+def _first(table: pa.Table, column: str) -> dict:
     """The row where a column isn't null."""
     return table.filter(pc.is_valid(table.column(column))).to_pylist()[0]
 
 
-class _Seating:
-    """A part's repeated pairs and contexts."""
+def _told(table: pa.Table, sweep: int) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """Numbers of words (a row each) and of hot contexts (likewise) that buckets sent after a sweep, and their rows."""
+    mine = table.filter(pc.and_(pc.is_valid(table.column("bucket")), pc.equal(table.column("sweep"), sweep))).sort_by("bucket")
+    return _widened(mine.column("words"), mine.column("more")).reshape(-1, 2 if sweep else 3), _joined(mine.column("hot"), "<i8").reshape(-1, 1 if sweep else 2), mine
 
-    def __init__(self, live: bytes) -> None:
-        self.context, self.word, self.count, self.random, self.customers, self.alone, self.word_alone, self.hot = _unzip(live, "nnnnnnnn")
-        self.tables = np.ones(len(self.word), np.int64)
 
-    def context_tables(self, hot: np.ndarray) -> np.ndarray:
-        out = self.alone + np.bincount(self.context, self.tables, len(self.alone)).astype(np.int64)
-        out[self.hot] = hot
-        return out
+def _sent_to_parts(answered: DataFrame, k: int) -> DataFrame:
+    return answered.where("part is not null").select("part", "bucket", "words", "more", "hot", F.lit(None).cast("binary").alias("seats"), F.lit(k).alias("sweep"))
+
+
+def _kept_seats(swept: DataFrame, k: int) -> DataFrame:
+    none = F.lit(None).cast("binary")
+    return swept.where("bucket is null").select("part", "bucket", none.alias("words"), none.alias("more"), none.alias("hot"), "seats", F.lit(k).alias("sweep"))
+
 
+def _seats(table: pa.Table, sweep: int) -> np.ndarray:
+    return _unzip(_first(table.filter(pc.equal(table.column("sweep"), sweep)), "seats")["seats"], "n")[0]
 
-def _swept(parts: DataFrame, replies: DataFrame, before: DataFrame | None, k: int, totals: Totals) -> DataFrame:
-    """Parts' tables after sweep k (part, tables), and their sums to buckets (bucket, part, sums, hot_sums)."""
-
-    def sweep(key, table):
-        told = table.filter(pc.is_valid(table.column("bucket"))).sort_by("bucket")
-        s = _Seating(_last(table, "live")["live"])
-        if not first:
-            (s.tables,) = _unzip(_last(table, "seats")["seats"], "n")
-        parent = totals.parent(_joined(told.column("customers"), "<i8"), _joined(told.column("tables"), "<i8"))
-        others = np.maximum(s.context_tables(_joined(told.column("hot"), "<i8"))[s.context] - s.tables, 0)
-        s.tables = seated(s.count, (STRENGTH + totals.discount * others) * parent[s.word], totals.discount, uniform(s.random, k, 0), uniform(s.random, k, 1))
-        sums = s.word_alone + np.bincount(s.word, s.tables, len(s.word_alone)).astype(np.int64)
-        hot = (s.alone + np.bincount(s.context, s.tables, len(s.alone)).astype(np.int64))[s.hot]
-        n, part = told.num_rows, key[0].as_py()
-        cut = [_cut(sums, _bounds(_sizes(told.column("customers"), 8))), _cut(hot, _bounds(_sizes(told.column("hot"), 8)))]
-        own = pa.table([pa.array([None], pa.int32()), pa.array([part], pa.int32()), pa.array([_zip(s.tables)], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], schema=schema)
-        sent = pa.table([told.column("bucket"), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.binary()), *cut], schema=schema)
+
+def _swept(parts: DataFrame, answered: DataFrame, swept: DataFrame | None, k: int, totals: Totals) -> DataFrame:
+    """Parts' seats after sweep k (part, seats), and their sums to buckets (bucket, part, sums, more, hot_sums)."""
+
+    def sweep(key, own, table):
+        s = _Seating(own.to_pylist()[0])
+        if k > 1:
+            s.tables = _seats(table, k - 1)
+        words, hot, rows = _told(table, k - 1)
+        parent = totals.parent(words[:, 0], words[:, 1])
+        others = np.maximum(s.context_tables(hot[:, 0])[s.context] - s.tables, 0)
+        random = s.random()
+        s.tables = seated(s.count, (STRENGTH + totals.discount * others) * parent[s.word], totals.discount, uniform(random, k, 0), uniform(random, k, 1))
+        n, part, per = rows.num_rows, key[0].as_py(), words.shape[1]
+        sums = _narrow(s.word_alone + _sums(s.word, s.tables, s.words), _bounds(_sizes(rows.column("words"), per)))
+        hot_sums = _cut(s.own_tables()[s.hot], _bounds(_sizes(rows.column("hot"), 8 * hot.shape[1])))
+        none = pa.nulls(1, pa.binary())
+        mine = pa.table([pa.array([None], pa.int32()), pa.array([part], pa.int32()), pa.array([_zip(s.tables)], pa.binary()), none, none, none], schema=schema)
+        sent = pa.table([rows.column("bucket"), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.binary()), *sums, hot_sums], schema=schema)
         give_back()
-        return pa.concat_tables([own, sent])
+        return pa.concat_tables([mine, sent])
 
-    first = before is None
-    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("seats", pa.binary()), ("sums", pa.binary()), ("hot_sums", pa.binary())])
-    rows = parts.select("part", "live").unionByName(replies.where("part is not null").select("bucket", "part", "customers", "tables", "hot"), allowMissingColumns=True)
-    if not first:
-        rows = rows.unionByName(before.where("bucket is null").select("part", "seats"), allowMissingColumns=True)
-    else:
-        rows = rows.withColumn("seats", F.lit(None).cast("binary"))
-    return keep(rows.groupBy("part").applyInArrow(sweep, "bucket int, part int, seats binary, sums binary, hot_sums binary"), "swept")
+    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("seats", pa.binary()), ("sums", pa.binary()), ("more", pa.binary()), ("hot_sums", pa.binary())])
+    told = _sent_to_parts(answered, k - 1)
+    if swept is not None:
+        told = told.union(_kept_seats(swept, k - 1))
+    found = parts.select("part", "keys", "live").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(sweep, "bucket int, part int, seats binary, sums binary, more binary, hot_sums binary")
+    return keep(found, "swept")
 
 
 def _answered(registered: DataFrame, swept: DataFrame, k: int, totals: Totals) -> DataFrame:
-    """Buckets' replies after sweep k, and their totals (customers, tables)."""
+    """Buckets' totals after sweep k (customers, tables), and their replies: customers and tables of words, tables of hot contexts."""
 
     def meet(key, table):
-        own = _last(table, "state")
+        own = _first(table, "state")
         sent = table.filter(pc.is_valid(table.column("part"))).sort_by("part")
         random, place, hot_place = _unzip(own["state"], "nnn")
-        customers = np.bincount(place, _joined(sent.column("sums"), "<i8"), len(random)).astype(np.int64)
+        customers = _sums(place, _widened(sent.column("sums"), sent.column("more")), random)
         hot = np.bincount(hot_place, _joined(sent.column("hot_sums"), "<i8")).astype(np.int64)
         tables = seated(customers, np.full(len(customers), totals.base_weight()), totals.parent_discount, uniform(random, k, 2), uniform(random, k, 3))
-        b, h = _bounds(own["sizes"]), _bounds(own["hot_sizes"])
         give_back()
-        return _replies(key[0].as_py(), own["parts"], {"totals": [int(customers.sum()), int(tables.sum())]}, {"customers": _cut(customers[place], b), "tables": _cut(tables[place], b), "hot": _cut(hot[hot_place], h)})
+        return _replies(key[0].as_py(), {"totals": [int(customers.sum()), int(tables.sum())]}, own["parts"], own["sizes"], own["hot_sizes"], place, hot_place, [customers, tables], [hot])
 
-    rows = registered.where("part is null").select("bucket", "parts", "sizes", "hot_sizes", "state").unionByName(swept.where("bucket is not null").select("bucket", "part", "sums", "hot_sums"), allowMissingColumns=True)
+    rows = registered.where("part is null").select("bucket", "parts", "sizes", "hot_sizes", "state").unionByName(swept.where("bucket is not null").select("bucket", "part", "sums", "more", "hot_sums"), allowMissingColumns=True)
     return keep(rows.groupBy("bucket").applyInArrow(meet, _STATE), "answered")
 
 
-def _scored(parts: DataFrame, registered: DataFrame, samples: list[tuple[int, DataFrame, DataFrame, Totals]]) -> DataFrame:
-    """chunk, part, logs: of each pair that the chunk told of its log10 probability, and counts: those that it asks for."""
-    totals = {k: x for k, _, _, x in samples}
+_SEATED = ("pairs", "repeated", "contexts", "words")
+
+
+def _known(parts: DataFrame, registered: DataFrame, samples: list[tuple[int, DataFrame, DataFrame, Totals]]) -> DataFrame:
+    """chunk, part, and narrow numbers: the count of each pair that the chunk told of; the tables of repeated ones, of all samples together; customers
+    of their contexts and tables in samples; of words asked for counts, then customers and tables in samples."""
+    sweeps = [k for k, *_ in samples]
 
-    def answer(key, table):
-        own = _last(table, "live")
-        s, (gaps, w, c), (at, asks) = _Seating(own["live"]), _unzip(own["pairs"], "nnn"), _unzip(own["routes"], "nn")
+    def answer(key, own, table):
+        own = own.to_pylist()[0]
+        s, (gaps, w, c), (at, asks) = _Seating(own), _unzip(own["pairs"], "nnn"), _unzip(own["routes"], "nn")
         u, sizes = np.cumsum(gaps), np.array(own["sizes"], np.int64)
-        told = table.filter(pc.is_valid(table.column("bucket"))).sort_by("bucket")
-        first = told.filter(pc.equal(told.column("sweep"), 0))
-        s.customers[s.hot] = _joined(first.column("hot_customers"), "<i8")
-        counts = _joined(first.column("counts"), "<i8")
-        mean, tables, repeated = np.zeros(len(w)), (c == 1).astype(np.int64), c > 1
-        for k, total in totals.items():
-            mine = told.filter(pc.equal(told.column("sweep"), k))
-            seats = table.filter(pc.and_(pc.is_valid(table.column("seats")), pc.equal(table.column("sweep"), k)))
-            (s.tables,) = _unzip(seats.column("seats").to_pylist()[0], "n")
-            tables[repeated] = s.tables
-            parent = total.parent(_joined(mine.column("customers"), "<i8"), _joined(mine.column("tables"), "<i8"))
-            mean += total.predictive(c, tables, s.customers[u], s.context_tables(_joined(mine.column("hot"), "<i8"))[u], parent[w])
-        logs = np.log10(mean / len(totals))
+        first, hot, _ = _told(table, 0)
+        s.customers[s.hot] = hot[:, 1]
+        words, contexts, tables = [first[:, 2]], [s.customers], []
+        for k in sweeps:
+            s.tables = _seats(table, k)
+            told, hot, _ = _told(table, k)
+            words += [told[:, 0], told[:, 1]]
+            contexts.append(s.context_tables(hot[:, 0]))
+            tables.append(s.tables)
         bounds = _bounds(sizes)
         at = np.cumsum(at)  # the steps of each chunk begin anew
-        base = np.concatenate([[0], at])[bounds[:-1]]
-        at -= np.repeat(base, sizes)
-        asking = asks > 0
-        out = pa.table([pa.array(own["chunk"], pa.int64()), pa.array([key[0].as_py()] * len(sizes), pa.int32()), _cut(logs[at], bounds), _cut(counts[w[at[asking]]], _bounds(asks)[bounds])], names=["chunk", "part", "logs", "counts"])
-        del own, s, gaps, u, w, c, at, asks, told, first, table, mean, tables, repeated, parent, logs
+        at -= np.repeat(np.concatenate([[0], at])[bounds[:-1]], sizes)
+        times, head = c[at], np.concatenate([[True], u[at][1:] != u[at][:-1]])
+        head[bounds[:-1]] = True
+        repeated, asking = times > 1, asks > 0
+        place = np.cumsum(c > 1) - 1
+        cut = [*_narrow(times, bounds)]
+        for values, rows, mask in ((tables, place[at[repeated]], repeated), (contexts, u[at[head]], head), (words, w[at[asking]], asking)):
+            cut += _narrow(np.column_stack([x[rows] for x in values]).ravel(), len(values) * _bounds(mask)[bounds])
+        out = pa.table([pa.array(own["chunk"], pa.int64()), pa.array([key[0].as_py()] * len(sizes), pa.int32()), *cut], names=["chunk", "part", *names])
+        del own, s, gaps, u, w, c, at, asks, first, words, contexts, tables, times, head, repeated, asking, place, cut, table
         give_back()
         return out
 
-    rows = parts.select("part", "live", "pairs", "chunk", "sizes", "routes").withColumn("sweep", F.lit(None).cast("int"))
-    rows = rows.unionByName(registered.where("part is not null").select("bucket", "part", "counts", "hot_customers", F.lit(0).alias("sweep")), allowMissingColumns=True)
+    names = [f"{x}{more}" for x in _SEATED for more in ("", "_more")]
+    told = _sent_to_parts(registered, 0)
     for k, swept, answered, _ in samples:
-        rows = rows.unionByName(swept.where("bucket is null").select("part", "seats", F.lit(k).alias("sweep")), allowMissingColumns=True)
-        rows = rows.unionByName(answered.where("part is not null").select("bucket", "part", "customers", "tables", "hot", F.lit(k).alias("sweep")), allowMissingColumns=True)
-    return rows.groupBy("part").applyInArrow(answer, "chunk long, part int, logs binary, counts binary")
+        told = told.union(_kept_seats(swept, k)).union(_sent_to_parts(answered, k))
+    rows = parts.select("part", "keys", "live", "pairs", "chunk", "sizes", "routes")
+    return rows.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(answer, f"chunk long, part int, {', '.join(f'{x} binary' for x in names)}")
 
 
-def _gathered(chunks: DataFrame, scored: DataFrame, parts: int, shared) -> DataFrame:
+def _scored(chunks: DataFrame, known: DataFrame, parts: int, shared, samples: list[Totals]) -> DataFrame:
     """row, doc_id, held_out, n_tokens, n_known, logs (of counts + 1), score of each text or piece."""
 
-    def gather(key, table):
-        own = _last(table, "data")
-        told = table.filter(pc.is_valid(table.column("part"))).sort_by("part")
+    def gather(key, own, told):
+        own, told = own.to_pylist()[0], told.sort_by("part")
         pairs = _Pairs(own["data"], parts, shared.value)
-        logs = _joined(told.column("logs"), "<f8")
-        counts = np.zeros(len(pairs.hashes), np.int64)
-        counts[pairs.word[pairs.asks]] = _joined(told.column("counts"), "<i8")
-        doc, n = np.repeat(np.arange(len(pairs.length)), pairs.length), len(pairs.length)
-        word = pairs.word[pairs.at]
-        known, base = np.bincount(doc, (counts > 0)[word], n).astype(np.int64), np.bincount(doc, np.log10(counts + 1.0)[word], n)
-        score = np.bincount(doc, logs[pairs.at], n)
+        n = len(samples)
+        count, repeated, contexts, words = (_widened(told.column(x), told.column(f"{x}_more")) for x in _SEATED)
+        repeated, contexts, words = repeated.reshape(-1, n), contexts.reshape(-1, 1 + n), words.reshape(-1, 1 + 2 * n)
+        context = np.cumsum(pairs.head) - 1
+        word = np.zeros(len(pairs.hashes), np.int64)
+        word[pairs.word[pairs.asks]] = np.arange(len(words))
+        word = word[pairs.word]
+        p, tables = np.zeros(len(count)), np.minimum(count, 1)
+        for k, total in enumerate(samples):
+            tables[count > 1] = repeated[:, k]
+            parent = total.parent(words[:, 1 + 2 * k], words[:, 2 + 2 * k])
+            p += total.predictive(count, tables, contexts[context, 0], contexts[context, 1 + k], parent[word])
+        doc, docs = np.repeat(np.arange(len(pairs.length)), pairs.length), len(pairs.length)
+        score = np.bincount(doc, np.log10(p / n)[pairs.at], docs)
+        known, base = np.bincount(doc, (words[:, 0] > 0)[word][pairs.at], docs).astype(np.int64), np.bincount(doc, np.log10(words[:, 0] + 1.0)[word][pairs.at], docs)
         out = pa.table([pa.array(own["row"], pa.int64()), pa.array(own["ids"], pa.int64()), pa.array(own["held"], pa.bool_()), pa.array(pairs.length, pa.int64()), known, base, score], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
-        del own, told, table, pairs, logs, doc, word
+        del own, told, pairs, count, repeated, contexts, words, context, word, p, tables, doc
         give_back()
         return out
 
-    rows = chunks.select("chunk", "row", "ids", "held", "data").unionByName(scored, allowMissingColumns=True)
-    return rows.groupBy("chunk").applyInArrow(gather, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    kind = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
+    return chunks.select("chunk", "row", "ids", "held", "data").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(gather, kind)
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -596,14 +649,14 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> Data
     tokens, vocabulary, once, twice, customers, tables = _sum(registered, 6)
     ones, twos = (x or 0 for x in parts.agg(F.sum("ones"), F.sum("twos")).first())
     totals = Totals(tokens, vocabulary, _discount(ones, twos), _discount(once, twice), customers, tables)
-    swept, replies, samples = None, registered, []
+    swept, answered, samples = None, registered, []
     for k in range(1, sweeps + 1):
-        swept = _swept(parts, replies, swept, k, totals)
-        replies = _answered(registered, swept, k, totals)
-        totals = totals._replace(**dict(zip(("customers", "tables"), _sum(replies, 2))))
+        swept = _swept(parts, answered, swept, k, totals)
+        answered = _answered(registered, swept, k, totals)
+        totals = totals._replace(**dict(zip(("customers", "tables"), _sum(answered, 2))))
         if k > burn_in:
-            samples.append((k, swept, replies, totals))
-    found = _gathered(chunks, _scored(parts, registered, samples), count_parts, shared)
+            samples.append((k, swept, answered, totals))
+    found = _scored(chunks, _known(parts, registered, samples), count_parts, shared, [x for *_, x in samples])
     whole = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "logs", "score")])
     base = F.col("logs") - F.col("n_tokens") * float(np.log10(tokens + vocabulary + 1))
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, keep
+from .common import join_small, keep, packed
 
 SPACE, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -131,10 +131,10 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, with their columns."""
     counted = keep(docs.select("lang", "source", text_counts("text").alias("x")).select("lang", "source", "x.*"), "rule-counts")
     lim = limits(counted)
-    packed = lim.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct(*[c for c in lim.columns if c not in ("lang", "source")]).alias("__limits"))
-    own = docs.select(F.struct(*docs.columns).alias("__row"), F.col("lang").alias("__lang"), F.col("source").alias("__source"), text_counts("text").alias("__counts"))
-    joined = join_small(own, packed, ["__lang", "__source"]).select("__row", "__counts.*", "__limits.*")
-    return joined.where(verdict(joined.columns)).select("__row.*")
+    bounds = lim.select("lang", "source", F.struct(*[c for c in lim.columns if c not in ("lang", "source")]).alias("limits"))
+    own = packed(docs).select("packed", F.col("packed.lang").alias("lang"), F.col("packed.source").alias("source"), text_counts("packed.text").alias("counts"))
+    joined = join_small(own, bounds, ["lang", "source"]).select("packed", "counts.*", "limits.*")
+    return joined.where(verdict(joined.columns)).select("packed.*")
 
 
 def _sql() -> str:

@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep
+from ..plans.components import components
+from .common import give_back, keep, quoted
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Of ``deduplicate``: words of a shingle, and the least Jaccard similarity as a fraction.
@@ -89,28 +90,6 @@ def _first_shared(x: Column, key: Column) -> Column:
     return struck == wanted
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, root) for every v in links (a, b), root the smallest of its component; v that are roots included."""
-    links = keep(links.where("a <> b"), "links")
-    roots = keep(links.select(F.col("a").alias("v")).union(links.select("b")).distinct().withColumn("root", F.col("v")), "roots")
-    while not links.isEmpty():
-        both = links.union(links.select("b", "a"))
-        hooks = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("b")).select("v", F.least("v", "b").alias("up"))
-        hooks = keep(hooks, "hooks")
-        while True:  # pointer jumping: chains halve each time
-            up = hooks.select(F.col("v").alias("up"), F.col("up").alias("upper"))
-            jumped = keep(hooks.join(up, "up").select("v", F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved")), "hooks")
-            hooks = jumped.select("v", "up")
-            if jumped.where("moved").isEmpty():
-                break
-        moved = hooks.select(F.col("v").alias("root"), "up")
-        roots = keep(roots.join(moved, "root", "left").select("v", F.coalesce("up", "root").alias("root")), "roots")
-        a = hooks.select(F.col("v").alias("a"), F.col("up").alias("ra"))
-        b = hooks.select(F.col("v").alias("b"), F.col("up").alias("rb"))
-        links = keep(links.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
-    return roots
-
-
 def fingerprint_roots(fps: DataFrame) -> DataFrame:
     """(fp, root) for all distinct fingerprints fps (fp)."""
     fps = keep(fps, "fingerprints")
@@ -199,22 +178,29 @@ def _alike(texts: DataFrame, rows: DataFrame, width: int, alike: tuple[int, int]
     return pairs.join(x, "a").join(y, "b").where(alike[1] * both >= alike[0] * (F.size("a_items") + F.size("b_items") - both)).select("a", "b")
 
 
+def _identity(docs: DataFrame):
+    """Of equal rows the same, of others not: two 64-bit hashes of all columns."""
+    columns = [F.to_json(F.struct(F.col(quoted(c)).alias("x"))) if isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType)) else F.col(quoted(c)) for c in docs.columns]
+    return F.struct(F.xxhash64(F.lit(1), *columns).alias("x"), F.xxhash64(F.lit(2), *columns).alias("y"))
+
+
 def deduplicate(docs: DataFrame, width: int = WORDS, alike: tuple[int, int] = ALIKE) -> DataFrame:
     """One row of docs for each component, with its columns; fingerprints within BITS link, and sets of shingles that are alike."""
-    identity = F.xxhash64(*[F.to_json(F.struct(c)) if isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType)) else F.col(c) for c in docs.columns])
-    sampled = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // SAMPLE_ROWS))) == 0)
+    rows = docs.select(_identity(docs).alias("row"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("packed")).select("row", "packed", F.col("packed.doc_id").alias("doc_id"), F.col("packed.text").alias("text"))
+    sampled = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // SAMPLE_ROWS))) == 0)
     often = sampled.select(F.explode(_shingled(width)("text")).alias("key")).groupBy("key").count().where(F.col("count") >= SAMPLE_LEAST)
     hot = often.orderBy(F.desc("count"), "key").limit(HOT).toArrow().column("key").to_numpy().view(np.uint64)[::-1].copy()
-    hashed = docs.select("doc_id", identity.alias("row"), simhash("text").alias("fp"), _prefixed(width, alike, hot)("text").alias("s"))
-    hashed = keep(hashed.select("doc_id", "row", "fp", "s.*"), "simhash")
+    hashed = keep(rows.select("doc_id", "row", simhash("text").alias("fp"), _prefixed(width, alike, hot)("text").alias("s")).select("doc_id", "row", "fp", "s.*"), "simhash")
     groups = keep(hashed.groupBy("fp", "set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("first")), "simhash-groups")
     named = keep(groups.join(fingerprint_roots(groups.select("fp").distinct()), "fp").select("set", "root", "first"), "simhash-named")
     least = named.groupBy("root").agg(F.min("set").alias("a"))
     stars = named.join(least, "root").select("a", F.col("set").alias("b")).where("a <> b")
     one = groups.groupBy("set").agg(F.min("first.row").alias("row"))
-    rows = hashed.join(one, ["set", "row"]).dropDuplicates(["set"]).select("set", "n", "prefix", "row")
-    links = stars.union(_alike(docs.select(identity.alias("row"), "text"), keep(rows, "alike-index"), width, alike)).distinct()
+    index = hashed.join(one, ["set", "row"]).dropDuplicates(["set"]).select("set", "n", "prefix", "row")
+    links = stars.union(_alike(rows.select("row", "text"), keep(index, "alike-index"), width, alike)).distinct()
     final = named.join(components(links).select(F.col("v").alias("set"), F.col("root").alias("top")), "set", "left")
-    chosen = final.groupBy(F.coalesce("top", "set").alias("top")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    kept = docs.withColumn("__row", identity).join(keep(chosen, "simhash-chosen").distinct(), "__row", "left_semi")
-    return kept.dropDuplicates(["__row"]).select(*docs.columns)
+    chosen = final.groupBy(F.coalesce("top", "set").alias("top")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    many = hashed.groupBy("row").count().where("count > 1").select("row", F.lit(True).alias("many"))
+    chosen = keep(chosen.distinct().join(many, "row", "left"), "simhash-chosen")
+    kept = rows.select("row", "packed").join(chosen, "row")
+    return kept.where("many is null").select("packed").union(kept.where("many").dropDuplicates(["row"]).select("packed")).select("packed.*")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, keep
+from .common import fold, keep, memory
 
 HELD_OUT = (5, 0)
 PER_CLASS = 4_000
@@ -168,14 +168,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(_compact(sample, np.array(sorted(telling), np.int32)), rate, telling)
 
 
-_scorers: dict[tuple, Scorer] = {}
-
-
 def _scorer(key: str, shared) -> Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(shared.value)
-    return _scorers[key]
+    scorers = memory("toxicity")
+    if key not in scorers:
+        scorers.clear()
+        scorers[key] = Scorer(shared.value)
+    return scorers[key]
 
 
 def classify(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
