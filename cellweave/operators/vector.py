@@ -1,8 +1,8 @@
 """Vector to raster.
 
 Points are arithmetic and an aggregate. Lines explode into cells by an integer formula. Polygons fill by scan lines: edges meet
-the row centres they cross, and the crossings of a row pair up to ranges of columns. Exact areas and anti-aliased lines run
-in Arrow kernels, a polygon's row band or a segment at a time.
+the row centres they cross, and the crossings of a row pair up to ranges of columns. Anti-aliased lines explode into steps along their
+longer side. Exact areas run in an Arrow kernel, a polygon's row band at a time.
 
 Layers are tables: points (x, y, field), lines (line_id, seq, x, y, field), polygons (fid, rings array<array<struct<x, y>>>, field);
 the first ring is the outline, others are holes.
@@ -180,49 +180,33 @@ def cutout_polygon(r: Raster, coverage: DataFrame) -> Raster:
     return Raster.of(out, r.meta, "float64" if r.dtype == "float64" else "float32")
 
 
-def wu_line(x0: float, y0: float, x1: float, y1: float) -> list[tuple[int, int, float]]:
-    """(x, y, weight) of an anti-aliased line between points given in cells, cell centres being whole."""
-    steep = abs(y1 - y0) > abs(x1 - x0)
-    if steep:
-        x0, y0, x1, y1 = y0, x0, y1, x1
-    if x0 > x1:
-        x0, y0, x1, y1 = x1, y1, x0, y0
-    slope = (y1 - y0) / (x1 - x0) if x1 != x0 else 1.0
-    out = []
-
-    def plot(x: int, y: float, share: float) -> None:
-        low = math.floor(y)
-        for cell, w in ((low, 1 - (y - low)), (low + 1, y - low)):
-            if w * share > 0:
-                out.append((cell, x, w * share) if steep else (x, cell, w * share))
-
-    first, last = math.floor(x0 + 0.5), math.floor(x1 + 0.5)
-    plot(first, y0 + slope * (first - x0), 1 - (x0 + 0.5 - first))
-    if last != first:
-        plot(last, y1 + slope * (last - x1), x1 + 0.5 - last)
-    for x in range(first + 1, last):
-        plot(x, y0 + slope * (x - x0), 1.0)
-    return out
-
-
 def line_weights(lines: DataFrame, meta: RasterMeta, *fields: str) -> DataFrame:
-    """(line_id, row, col, w, km, fields): anti-aliased weight of each cell in each line, and the line's length."""
-    left, _, _, top = meta.bounds
-    size = meta.cell_size
-
-    def rows(batches):
-        for b in batches:
-            ids, rs, cs, ws = [], [], [], []
-            for i, x0, y0, x1, y1 in zip(*[c.to_pylist() for c in b.columns]):
-                for x, y, w in wu_line((x0 - left) / size - 0.5, (top - y0) / size - 0.5, (x1 - left) / size - 0.5, (top - y1) / size - 0.5):
-                    if 0 <= x < meta.cols and 0 <= y < meta.rows:
-                        ids.append(i), rs.append(y), cs.append(x), ws.append(w)
-            yield pa.RecordBatch.from_pydict({"line_id": pa.array(ids, pa.int64()), "row": pa.array(rs, pa.int32()), "col": pa.array(cs, pa.int32()), "w": pa.array(ws, pa.float64())})
-
+    """(line_id, row, col, w, km, fields): anti-aliased weight of each cell in each line, and the line's length.
+
+    A segment is followed along its longer side (rows on a tie). In each step of one cell it weighs what it covers of that step, which
+    is shared by the two cells across in proportion to their distance, so that weights depend on the line and not on how it is cut into
+    segments. Segments beyond one side of the map, and those of no length, weigh nothing; ends off the map are moved onto its edge.
+    """
+    left, bottom, right, top = meta.bounds
+    size, col = meta.cell_size, F.col
     segments = _segments(lines, *fields)
-    cells = segments.select(F.col("line_id").cast("bigint"), "x0", "y0", "x1", "y1").mapInArrow(rows, "line_id bigint, row int, col int, w double").groupBy("line_id", "row", "col").agg(F.sum("w").alias("w"))
-    length = F.sum(F.sqrt(F.pow(F.col("x1") - F.col("x0"), F.lit(2)) + F.pow(F.col("y1") - F.col("y0"), F.lit(2)))) / 1000
-    about = segments.groupBy(F.col("line_id").cast("bigint").alias("line_id")).agg(length.alias("km"), *[F.first(f).alias(f) for f in fields])
+    onto = lambda c, low, high: F.greatest(F.least(col(c), F.lit(float(high))), F.lit(float(low)))
+    meets = (F.greatest("x0", "x1") >= left) & (F.greatest("y0", "y1") >= bottom) & (F.least("x0", "x1") <= right) & (F.least("y0", "y1") <= top)
+    x, y = (lambda c: (onto(c, left, right) - left) / size - 0.5), (lambda c: (top - onto(c, bottom, top)) / size - 0.5)
+    ends = segments.where(((col("x0") != col("x1")) | (col("y0") != col("y1"))) & meets).select(col("line_id").cast("bigint").alias("line_id"), x("x0").alias("x0"), y("y0").alias("y0"), x("x1").alias("x1"), y("y1").alias("y1"))
+    flat = F.abs(col("x1") - col("x0")) > F.abs(col("y1") - col("y0"))
+    along = ends.select("line_id", flat.alias("flat"), F.struct(F.when(flat, col("x0")).otherwise(col("y0")).alias("a"), F.when(flat, col("y0")).otherwise(col("x0")).alias("b")).alias("p"), F.struct(F.when(flat, col("x1")).otherwise(col("y1")).alias("a"), F.when(flat, col("y1")).otherwise(col("x1")).alias("b")).alias("q"))
+    risen = along.select("line_id", "flat", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).where("p.a < q.a")
+    steps = risen.withColumn("k", F.explode(F.sequence(F.floor(col("p.a") + 0.5), F.floor(col("q.a") + 0.5))))
+    at = col("p.b") + (col("q.b") - col("p.b")) / (col("q.a") - col("p.a")) * (col("k") - col("p.a"))
+    share = F.least(col("q.a"), col("k") + 0.5) - F.greatest(col("p.a"), col("k") - 0.5)
+    across = steps.select("line_id", "flat", "k", at.alias("at"), F.floor(at).alias("low"), share.alias("share")).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    w = col("share") * F.when(col("side") == 1, col("at") - col("low")).otherwise(1 - (col("at") - col("low")))
+    cell = col("low") + col("side")
+    found = across.select("line_id", F.when(col("flat"), cell).otherwise(col("k")).cast("int").alias("row"), F.when(col("flat"), col("k")).otherwise(cell).cast("int").alias("col"), w.alias("w"))
+    cells = _inside(found.where("w > 0"), meta).groupBy("line_id", "row", "col").agg(F.sum("w").alias("w"))
+    length = F.sum(F.sqrt(F.pow(col("x1") - col("x0"), F.lit(2)) + F.pow(col("y1") - col("y0"), F.lit(2)))) / 1000
+    about = segments.groupBy(col("line_id").cast("bigint").alias("line_id")).agg(length.alias("km"), *[F.first(f).alias(f) for f in fields])
     return cells.join(about, "line_id")
 
 

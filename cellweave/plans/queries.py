@@ -383,7 +383,27 @@ _line_rows = [(1, 0, 50.0, 50.0, 3.0), (1, 1, 350.0, 150.0, 3.0), (1, 2, 950.0,
 _lines = lambda g: _frame(g.spark, _line_rows, "line_id long, seq int, x double, y double, field double")
 _on_lines = "lines(line_id, x0, y0, x1, y1, field) AS (VALUES (1, 50.0, 50.0, 350.0, 150.0, 3.0), (1, 350.0, 150.0, 950.0, 250.0, 3.0), (2, 150.0, 450.0, 150.0, 50.0, 5.0), (2, 150.0, 50.0, 1150.0, 50.0, 5.0)), sg AS (SELECT line_id, field, CAST(floor(((SELECT rows FROM n) * 100 - y0) / 100) AS INT) AS r0, CAST(floor(x0 / 100) AS INT) AS c0, CAST(floor(((SELECT rows FROM n) * 100 - y1) / 100) AS INT) AS r1, CAST(floor(x1 / 100) AS INT) AS c1 FROM lines), lc AS (SELECT DISTINCT line_id, field, r0 + ((2 * k * abs(r1 - r0) + m) // (2 * m)) * sign(r1 - r0) AS row, c0 + ((2 * k * abs(c1 - c0) + m) // (2 * m)) * sign(c1 - c0) AS col FROM (SELECT *, greatest(abs(r1 - r0), abs(c1 - c0)) AS m FROM sg), range(100) AS x(k) WHERE k <= m)"
 q("draw_lines", lambda g: vector.draw_lines(g.a, _lines(g)), "SELECT g.row, g.col, CAST(CASE WHEN EXISTS (SELECT 1 FROM lc WHERE lc.row = g.row AND lc.col = g.col) THEN 1 ELSE a END AS BIGINT) AS value FROM g", ctes=_on_lines)
-q("rasterize_lines_aa", lambda g: vector.rasterize_lines_aa(_lines(g), g.meta, "field", normalise=True))
+_smooth_points = {1: (3.0, [(50, 50), (350, 150), (350, 150), (950, 250)]), 2: (5.0, [(150, 450), (150, 50), (1150, 50)]), 3: (2.0, [(1210, 130), (1230, 135), (1260, 180), (1290, 210), (1297.5, 216), (1300, 300), (1420, 290)]), 4: (4.0, [(-150, 210), (260, 330), (300, -90), (-20, -70)])}
+_smooth_rows = [(i, k, float(x), float(y), f) for i, (f, xy) in _smooth_points.items() for k, (x, y) in enumerate(xy)]
+_smooth = lambda g: _frame(g.spark, _smooth_rows, "line_id long, seq int, x double, y double, field double")
+_by_weight = f"""pt(line_id, seq, x, y, field) AS (VALUES {", ".join(f"({i}, {k}, {x}::DOUBLE, {y}::DOUBLE, {f}::DOUBLE)" for i, k, x, y, f in _smooth_rows)}),
+s0 AS (SELECT line_id, field, x AS x0, y AS y0, lead(x) OVER (PARTITION BY line_id ORDER BY seq) AS x1, lead(y) OVER (PARTITION BY line_id ORDER BY seq) AS y1, (SELECT rows FROM n) * 100.0::DOUBLE AS top FROM pt),
+km AS (SELECT line_id, sum(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)) / 1000 AS km FROM s0 WHERE x1 IS NOT NULL GROUP BY ALL),
+s1 AS (SELECT line_id, field, least(greatest(x0, 0), 4000) / 100 - 0.5::DOUBLE AS x0, (top - least(greatest(y0, 0), top)) / 100 - 0.5::DOUBLE AS y0, least(greatest(x1, 0), 4000) / 100 - 0.5::DOUBLE AS x1, (top - least(greatest(y1, 0), top)) / 100 - 0.5::DOUBLE AS y1
+  FROM s0 WHERE x1 IS NOT NULL AND (x0 <> x1 OR y0 <> y1) AND greatest(x0, x1) >= 0 AND greatest(y0, y1) >= 0 AND least(x0, x1) <= 4000 AND least(y0, y1) <= top),
+s2 AS (SELECT line_id, field, abs(x1 - x0) > abs(y1 - y0) AS flat, * FROM s1),
+s3 AS (SELECT line_id, field, flat, CASE WHEN flat THEN x0 ELSE y0 END AS a0, CASE WHEN flat THEN y0 ELSE x0 END AS b0, CASE WHEN flat THEN x1 ELSE y1 END AS a1, CASE WHEN flat THEN y1 ELSE x1 END AS b1 FROM s2),
+s4 AS (SELECT *, unnest(range(CAST(floor(least(a0, a1) + 0.5) AS BIGINT), CAST(floor(greatest(a0, a1) + 0.5) AS BIGINT) + 1)) AS k FROM s3 WHERE a0 <> a1),
+s5 AS (SELECT line_id, field, flat, k, b0 + (b1 - b0) / (a1 - a0) * (k - a0) AS v, least(greatest(a0, a1), k + 0.5) - greatest(least(a0, a1), k - 0.5) AS share FROM s4),
+s6 AS (SELECT line_id, field, flat, k, floor(v) AS c, share * (1 - (v - floor(v))) AS w FROM s5 UNION ALL SELECT line_id, field, flat, k, floor(v) + 1, share * (v - floor(v)) FROM s5),
+aa AS (SELECT line_id, field, km, g.row, g.col, sum(w) AS w, sum(sum(w)) OVER (PARTITION BY line_id) AS whole FROM s6 JOIN km USING (line_id) JOIN g ON g.row = CASE WHEN flat THEN c ELSE k END AND g.col = CASE WHEN flat THEN k ELSE c END WHERE w > 0 GROUP BY line_id, field, km, g.row, g.col)"""
+for _key, _more, _sum in (("", {}, "w"), ("_normalised", {"field": "field", "normalise": True}, "w / whole * field"), ("_by_length", {"by_length": True}, "w * km")):
+    q(f"rasterize_lines_aa{_key}", lambda g, m=_more: vector.rasterize_lines_aa(_smooth(g), g.meta, **m), f"SELECT g.row, g.col, round(x, 6) AS value FROM g LEFT JOIN (SELECT row, col, sum({_sum}) AS x FROM aa GROUP BY ALL) AS l ON l.row = g.row AND l.col = g.col", digits=6, ctes=_by_weight)
+_low_zones = lambda g: g.full_zone.with_value(F.expr(f"CASE WHEN row < {g.meta.rows - 2} THEN 11 ELSE 12 END"))
+_spread_low = "SELECT g.row, g.col, round(CASE WHEN g.row >= (SELECT rows - 2 FROM n) THEN 90.0::DOUBLE * x / (SELECT sum(l.x) FROM l WHERE l.row >= (SELECT rows - 2 FROM n)) END, 6) AS value FROM g LEFT JOIN l ON l.row = g.row AND l.col = g.col"
+q("linear_distribution_aa", lambda g: vector.linear_distribution(_low_zones(g), _smooth(g), {12: 90.0}, anti_aliased=True), _spread_low, digits=6, ctes=_by_weight + ", l AS (SELECT row, col, sum(w) AS x FROM aa GROUP BY ALL)")
+q("proportional_distribution_aa", lambda g: vector.proportional_distribution(_smooth(g), g.meta, "field", anti_aliased=True), "SELECT g.row, g.col, round(x, 6) AS value FROM g LEFT JOIN (SELECT row, col, sum(w / whole * field) AS x FROM aa GROUP BY ALL) AS l ON l.row = g.row AND l.col = g.col", digits=6, ctes=_by_weight)
+q("weighted_prop_distribution_aa", lambda g: vector.weighted_proportional_distribution(_low_zones(g), _smooth(g), "field", {12: 90.0}, anti_aliased=True), _spread_low, digits=6, ctes=_by_weight + ", l AS (SELECT row, col, sum(w * field) AS x FROM aa GROUP BY ALL)")
 q("linear_distribution", lambda g: vector.linear_distribution(g.full_zone.with_value(F.expr(f"CASE WHEN row < {g.meta.rows - 2} THEN 11 ELSE 12 END")), _lines(g), {12: 90.0}), "SELECT g.row, g.col, round(CASE WHEN g.row >= (SELECT rows - 2 FROM n) THEN 90.0::DOUBLE * x / (SELECT sum(l.x) FROM l WHERE l.row >= (SELECT rows - 2 FROM n)) END, 6) AS value FROM g LEFT JOIN l ON l.row = g.row AND l.col = g.col", digits=6, ctes=_on_lines + ", l AS (SELECT row, col, count(*) AS x FROM lc GROUP BY ALL)")
 q("proportional_distribution", lambda g: vector.proportional_distribution(_lines(g), g.meta, "field"), "SELECT g.row, g.col, round(x, 6) AS value FROM g LEFT JOIN (SELECT row, col, sum(field::DOUBLE / k) AS x FROM (SELECT *, count(*) OVER (PARTITION BY line_id) AS k FROM lc) GROUP BY ALL) AS l ON l.row = g.row AND l.col = g.col", digits=6, ctes=_on_lines)
 q("weighted_prop_distribution", lambda g: vector.weighted_proportional_distribution(g.full_zone.with_value(F.expr(f"CASE WHEN row < {g.meta.rows - 2} THEN 11 ELSE 12 END")), _lines(g), "field", {12: 90.0}), "SELECT g.row, g.col, round(CASE WHEN g.row >= (SELECT rows - 2 FROM n) THEN 90.0::DOUBLE * x / (SELECT sum(l.x) FROM l WHERE l.row >= (SELECT rows - 2 FROM n)) END, 6) AS value FROM g LEFT JOIN l ON l.row = g.row AND l.col = g.col", digits=6, ctes=_on_lines + ", l AS (SELECT row, col, sum(field)::DOUBLE AS x FROM lc GROUP BY ALL)")
