@@ -3,8 +3,10 @@
 Texts become lower-case letters with a space for any run of other characters; n-grams of 1 to 3 letters are hashed to 2**BITS
 features. Document frequencies are counted over all labelled texts outside the held-out fold (each task sends one vector of fixed size). The
 regression is trained by follow-the-regularised-leader with an elastic net, which leaves most weights at zero, on at
-most PER_LANGUAGE labelled texts of each language (an expected bound, drawn by a hash of the id). A fifth of these is kept
-back to find the temperature that calibrates probabilities. Every text is judged whole.
+most PER_LANGUAGE labelled texts of each language and MOST_ROWS in all (an expected bound, drawn by a hash of the id, and where ids repeat so much that it
+is passed twice over, by row). A fifth of these is kept back to find the temperature that calibrates probabilities. The
+MOST_LANGUAGES labels with most texts are classes, so that a model has a bounded size; texts of others teach document frequencies only.
+Every text is judged whole.
 
 Defined results: null texts and texts without a letter are 'und' with score 0.0, as is everything if nothing can be
 learned; labels are learned as they stand, one class for each; ties go to the first language by code point; repeated
@@ -27,7 +29,7 @@ from .common import fold, packed, prepare
 
 HELD_OUT = (4, 2)
 BITS, ORDERS = 15, (1, 2, 3)
-PER_LANGUAGE, PASSES = 1_000, 4
+PER_LANGUAGE, MOST_ROWS, MOST_LANGUAGES, PASSES = 1_000, 16_000, 128, 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.1, 0.1
 UNKNOWN = "und"
 _DIM = 1 << BITS
@@ -166,14 +168,20 @@ def train(docs: DataFrame) -> Model:
     """From documents (doc_id, text, lang) whose lang is not null, outside the held-out fold."""
     prepare(docs.sparkSession)
     taught = docs.where(F.col("lang").isNotNull() & (fold("doc_id", HELD_OUT[0]) != HELD_OUT[1])).select("doc_id", "lang", "text")
-    n = {r["lang"]: r["count"] for r in taught.where("text is not null").groupBy("lang").count().collect()}  # a row for each language
+    spoken = taught.where("text is not null").groupBy("lang").count()
+    n = {r["lang"]: r["count"] for r in spoken.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(n)
     found = _document_frequencies(taught.select("text"))
     idf = np.log((1 + found[-1]) / (1 + found[:-1])) + 1
     if not languages:
         return Model([], idf, np.zeros((_DIM, 0)), np.zeros(0), 1.0)
-    rate = F.create_map(*[F.lit(x) for c in languages for x in (c, int(min(1.0, PER_LANGUAGE / n[c]) * 2**31))])[F.col("lang")]
+    each = min(PER_LANGUAGE, MOST_ROWS // len(languages))
+    rate = F.create_map(*[F.lit(x) for c in languages for x in (c, int(min(1.0, each / n[c]) * 2**31))])[F.col("lang")]  # MOST_LANGUAGES entries
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(2**31))
+    drawn = taught.withColumn("draw", draw).where(F.col("lang").isin(languages) & (F.col("draw") < rate) & F.col("text").isNotNull())
+    share = min(1.0, 2 * each * len(languages) / max(drawn.count(), 1))
+    if share < 1:
+        drawn = drawn.withColumn("draw", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(2**31))).where(F.col("draw") < int(share * 2**31))
 
     def read(batches):
         for b in batches:
@@ -185,7 +193,7 @@ def train(docs: DataFrame) -> Model:
             columns = list(zip(*found)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.binary()))], names=["lang", "draw", "at", "n"])
 
-    sample = taught.where((draw < rate) & F.col("text").isNotNull()).select("lang", draw.alias("draw"), "text").mapInArrow(read, "lang string, draw long, at binary, n binary")
+    sample = drawn.select("lang", "draw", "text").mapInArrow(read, "lang string, draw long, at binary, n binary")
     rows = []
     for r in sample.orderBy("draw", "lang", F.sha2("n", 256)).toArrow().to_pylist():  # PER_LANGUAGE expected rows a language, of 2**BITS features at most
         full = np.zeros(_DIM, np.int64)

@@ -564,6 +564,7 @@ def _known(parts: DataFrame, registered: DataFrame, samples: list[tuple[int, Dat
         s, (gaps, w, c), (at, asks) = _Seating(own), _unzip(own["pairs"], "nnn"), _unzip(own["routes"], "nn")
         u, sizes = np.cumsum(gaps), np.array(own["sizes"], np.int64)
         first, hot, _ = _told(table, 0)
+        s.customers = s.customers.copy()
         s.customers[s.hot] = hot[:, 1]
         words, contexts, tables = [first[:, 2]], [s.customers], []
         for k in sweeps:

@@ -4,25 +4,31 @@ Fingerprints within BITS differing bits, cut into BITS // 2 + 1 = 3 segments, ag
 most. Each distinct fingerprint is therefore indexed under 64 keys, each a segment with one bit struck out; fingerprints
 that link share a key. Copies of one fingerprint count once, so a hot text costs one entry. Then
 
-1. every key links its members to its smallest one where they are within BITS (an aggregate, no pairs), and components
+1. every key links its members to its smallest one where they are within BITS (no other pairs), and components
    of these links are found;
-2. an equality join on keys verifies the remaining pairs and emits those between different components, each under the
-   first key it shares; Spark splits a hot key's rows over tasks and spills what it buffers;
+2. keys whose members are in several components verify the remaining pairs between components, but none within the component of
+   the smallest member, so that a large group of near copies costs its size and not its square; each pair counts under the first key
+   that it shares;
 3. both sets of links together give the components.
 
-Components come from contracting links: every root takes its smallest neighbour, chains are shortened by pointer
-jumping, links are rewritten to roots, until none is left. All tables stay distributed and are written between rounds.
+The index is written in buckets of its key and read from there, so it is shuffled once. Components come from contracting links: every
+root takes its smallest neighbour, chains are shortened by pointer jumping, links are rewritten to roots, until none is left.
+All tables stay distributed and are written between rounds.
 
 Defined results: null, empty and wordless texts have fingerprint zero and are linked like any other; repeated rows link
 to each other; a null doc_id takes part but names no component unless all of its ids are null; an empty table gives an
-empty result. ``deduplicate`` keeps one row of each component, the one of smallest (doc_id, row hash), nulls last. Its
-components also link texts whose sets of word shingles are alike (Jaccard): such sets share a shingle among the first
-n - ceil(similarity n) + 1 of any common order, so an equality join on those finds every pair, and the whole sets verify it.
-The order puts shingles that are frequent in a sample last, which changes the work and never the result.
+empty result. ``deduplicate`` keeps one row of each component, the one of smallest (doc_id, row hash), nulls last, with all columns under
+any name. Its components also link texts whose sets of word shingles are alike (Jaccard): such sets share a shingle among the first
+n - ceil(similarity n) + 1 of any common order, which are the keys of an index as above; pairs whose own 128-bit SimHashes differ in more
+than FAR bits of 64, or twice that in all, are passed over (sets of similarity 0.8 differ in 9.7 of 64, with a deviation of 2.9: some one in
+ten million of them is lost), and whole sets verify the others. The order puts shingles that are frequent in a sample last, which
+changes the work and never the result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,12 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.components import components
-from .common import give_back, keep, quoted
+from .common import give_back, keep, keep_grouped, quoted
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Of ``deduplicate``: words of a shingle, and the least Jaccard similarity as a fraction.
 WORDS, ALIKE = 5, (4, 5)
-SAMPLE_ROWS, SAMPLE_LEAST, HOT = 20_000, 3, 100_000
+SAMPLE_ROWS, SAMPLE_LEAST, HOT, FAR = 20_000, 3, 100_000, 26
 #: (first bit, width) of the segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 
@@ -90,26 +96,40 @@ def _first_shared(x: Column, key: Column) -> Column:
     return struck == wanted
 
 
-def fingerprint_roots(fps: DataFrame) -> DataFrame:
-    """(fp, root) for all distinct fingerprints fps (fp)."""
-    fps = keep(fps, "fingerprints")
-    indexed = fps.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
-    least = indexed.groupBy("key").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    least = keep(least, "variant-least")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= BITS
-    stars = indexed.join(least, "key").where(near & (F.col("fp") != F.col("least"))).select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    stars = keep(stars.distinct(), "stars")
-    first = components(stars)
-    rooted = keep(fps.join(first.withColumnRenamed("v", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "first-roots")
-    entry = rooted.select("fp", "root", F.explode(_variants(F.col("fp"))).alias("key"))
-    a, b = (entry.select("key", F.col("fp").alias(f"{x}_fp"), F.col("root").alias(f"{x}_root")) for x in "ab")
-    x = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
-    # one way round only, by root, so that a pair is verified once; the condition is part of the join, which emits links only
-    on = (a.key == b.key) & (F.col("a_root") < F.col("b_root")) & (F.bit_count(x) <= BITS) & _first_shared(x, a.key)
-    crossing = a.join(b, on).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+def _roots(items: DataFrame, entries: DataFrame, near: Callable[[Column, Column], Column], links: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """(item, root) for all items, by links between items that share a key of entries (key, item, print).
+
+    near(x, key): whether two prints of XOR x may link; links(pairs): the pairs (a, b) of items that do.
+    """
+    spark = items.sparkSession
+    index = keep_grouped(entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key"), f"{name}_index", "key")
+    least = index.groupBy("key").agg(F.min(F.struct("item", "print")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    x = F.col("print").bitwiseXOR(F.col("least.print"))
+    stars = index.join(least, "key").where((F.col("item") != F.col("least.item")) & near(x, None)).select(F.col("least.item").alias("a"), F.col("item").alias("b"))
+    first = components(links(keep(stars.distinct(), f"{name}-stars")))
+    rooted = keep(items.join(first.withColumnRenamed("v", "item"), "item", "left").select("item", F.coalesce("root", "item").alias("root")), f"{name}-first")
+    # keys of several components: all pairs between them but those within the component of the smallest item
+    shared = index.join(index.groupBy("key").count().where("count > 1").select("key"), "key").join(rooted, "item")
+    member = keep_grouped(shared.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key"), f"{name}_members", "key")
+    mixed = member.groupBy("key").agg(F.min(F.struct("item", "root"))["root"].alias("main"), (F.min("root") != F.max("root")).alias("mixed")).where("mixed").drop("mixed")
+    a = member.join(mixed, "key").where("root <> main").select("key", "main", F.col("item").alias("a"), F.col("print").alias("a_print"), F.col("root").alias("a_root"))
+    b = member.select("key", F.col("item").alias("b"), F.col("print").alias("b_print"), F.col("root").alias("b_root"))
+    on = (a.key == b.key) & (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("main")) | (F.col("a_root") < F.col("b_root"))) & near(F.col("a_print").bitwiseXOR(F.col("b_print")), a.key)
+    met = keep(a.join(b, on).select("a", "b").distinct(), f"{name}-pairs")
+    found = links(met)
+    up = lambda c: rooted.select(F.col("item").alias(c), F.col("root").alias(f"{c}_root"))
+    crossing = found.join(up("a"), "a").join(up("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
     second = components(crossing)
     final = rooted.join(second.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left")
-    return keep(final.select("fp", F.coalesce("top", "root").alias("root")), "final-roots")
+    return keep(final.select("item", F.coalesce("top", "root").alias("root")), f"{name}-roots")
+
+
+def fingerprint_roots(fps: DataFrame) -> DataFrame:
+    """(fp, root) for all distinct fingerprints fps (fp)."""
+    items = keep(fps.select(F.col("fp").alias("item")), "fingerprints")
+    entries = items.select(F.explode(_variants(F.col("item"))).alias("key"), "item", F.col("item").alias("print"))
+    near = lambda x, key: (F.bit_count(x) <= BITS) & (F.lit(True) if key is None else _first_shared(x, key))
+    return _roots(items, entries, near, lambda pairs: pairs, "simhash").withColumnRenamed("item", "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -142,40 +162,56 @@ def _shingled(width: int):
     return sets
 
 
+def _print(x: np.ndarray) -> int:
+    """SimHash of hashes, each once, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(x), 1 << 16):
+        ones += np.unpackbits(x[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(x)).view(">i8")[0])
+
+
 def _prefixed(width: int, alike: tuple[int, int], hot: np.ndarray):
-    """UDF of (set, n, prefix): a hash of the text's set of shingles, its size and its first shingles; hot ones come last, in their order."""
+    """UDF of (set, n, print, print2, prefix): a hash of the text's set of shingles, its size, SimHashes and first shingles; hot ones come last, in their order."""
     place = np.argsort(hot)
     known = hot[place]
+    kinds = [("set", T.LongType()), ("n", T.IntegerType()), ("print", T.LongType()), ("print2", T.LongType()), ("prefix", T.ArrayType(T.LongType()))]
 
-    @F.arrow_udf(T.StructType([T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
+    @F.arrow_udf(T.StructType([T.StructField(n, t) for n, t in kinds]))
     def prefixes(texts: pa.Array) -> pa.Array:
-        sets, sizes, first = [], [], []
+        sets, sizes, prints, others, first = [], [], [], [], []
         for t in texts.cast(pa.large_binary()):
             x = shingles(t.as_py(), width)
             sets.append(xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED))
             sizes.append(len(x))
+            prints.append(_print(x))
+            others.append(_print(x * np.uint64(0x9E3779B97F4A7C15) ^ x >> np.uint64(32)))
             if len(known) and len(x):
                 at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                 common = known[at] == x
                 x = np.concatenate([x[~common], hot[np.sort(place[at[common]])]])
             first.append(x[: len(x) + alike[0] * len(x) // -alike[1] + 1].view(np.int64))
-        return pa.StructArray.from_arrays([pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["set", "n", "prefix"])
+        give_back()
+        return pa.StructArray.from_arrays([pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(others, pa.int64()), pa.array(first, pa.list_(pa.int64()))], [n for n, _ in kinds])
 
     return prefixes
 
 
-def _alike(texts: DataFrame, rows: DataFrame, width: int, alike: tuple[int, int]) -> DataFrame:
-    """Links (a, b) of sets that are alike, for one row of each set: rows (set, n, prefix, row), texts (row, text)."""
-    entry = rows.select("set", "n", F.explode("prefix").alias("key"))
-    a, b = (entry.select("key", F.col("set").alias(x), F.col("n").alias(f"{x}_n")) for x in "ab")
-    size = (alike[1] * F.least("a_n", "b_n") >= alike[0] * F.greatest("a_n", "b_n")) & (F.col("a") < F.col("b"))
-    pairs = keep(a.join(b, "key").where(size).select("a", "b").distinct(), "alike-candidates")
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    chosen = keep(rows.select("set", "row").join(wanted, "set"), "alike-rows")
-    sets = keep(texts.join(chosen, "row").dropDuplicates(["set"]).select("set", _shingled(width)("text").alias("items")), "alike-sets")
-    x, y = (sets.select(F.col("set").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
-    both = F.size(F.array_intersect("a_items", "b_items"))
-    return pairs.join(x, "a").join(y, "b").where(alike[1] * both >= alike[0] * (F.size("a_items") + F.size("b_items") - both)).select("a", "b")
+def _alike(texts: DataFrame, rows: DataFrame, width: int, alike: tuple[int, int]) -> Callable[[DataFrame], DataFrame]:
+    """The pairs (a, b) of sets that are alike: rows (set, n, print, print2, row), texts (row, text), a row for each set."""
+
+    def links(pairs: DataFrame) -> DataFrame:
+        about = lambda c: rows.select(F.col("set").alias(c), F.col("n").alias(f"{c}_n"), F.col("print").alias(f"{c}_x"), F.col("print2").alias(f"{c}_y"))
+        far = F.bit_count(F.col("a_x").bitwiseXOR(F.col("b_x"))) + F.bit_count(F.col("a_y").bitwiseXOR(F.col("b_y")))
+        size = alike[1] * F.least("a_n", "b_n") >= alike[0] * F.greatest("a_n", "b_n")
+        near = keep(pairs.join(about("a"), "a").join(about("b"), "b").where(size & (far <= 2 * FAR)).select("a", "b"), "alike-candidates")
+        wanted = near.select(F.col("a").alias("set")).union(near.select("b")).distinct()
+        chosen = keep(rows.select("set", "row").join(wanted, "set"), "alike-rows")
+        sets = keep(texts.join(chosen, "row").dropDuplicates(["set"]).select("set", _shingled(width)("text").alias("items")), "alike-sets")
+        x, y = (sets.select(F.col("set").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
+        both = F.size(F.array_intersect("a_items", "b_items"))
+        return keep(near.join(x, "a").join(y, "b").where(alike[1] * both >= alike[0] * (F.size("a_items") + F.size("b_items") - both)).select("a", "b"), "alike-links")
+
+    return links
 
 
 def _identity(docs: DataFrame):
@@ -193,13 +229,17 @@ def deduplicate(docs: DataFrame, width: int = WORDS, alike: tuple[int, int] = AL
     hashed = keep(rows.select("doc_id", "row", simhash("text").alias("fp"), _prefixed(width, alike, hot)("text").alias("s")).select("doc_id", "row", "fp", "s.*"), "simhash")
     groups = keep(hashed.groupBy("fp", "set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("first")), "simhash-groups")
     named = keep(groups.join(fingerprint_roots(groups.select("fp").distinct()), "fp").select("set", "root", "first"), "simhash-named")
-    least = named.groupBy("root").agg(F.min("set").alias("a"))
-    stars = named.join(least, "root").select("a", F.col("set").alias("b")).where("a <> b")
     one = groups.groupBy("set").agg(F.min("first.row").alias("row"))
-    index = hashed.join(one, ["set", "row"]).dropDuplicates(["set"]).select("set", "n", "prefix", "row")
-    links = stars.union(_alike(rows.select("row", "text"), keep(index, "alike-index"), width, alike)).distinct()
-    final = named.join(components(links).select(F.col("v").alias("set"), F.col("root").alias("top")), "set", "left")
-    chosen = final.groupBy(F.coalesce("top", "set").alias("top")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    index = keep(hashed.join(one, ["set", "row"]).dropDuplicates(["set"]).select("set", "n", "print", "print2", "prefix", "row"), "alike-sets")
+    near = lambda x, key: F.bit_count(x) <= FAR
+    entries = index.select(F.explode("prefix").alias("key"), F.col("set").alias("item"), "print")
+    alike_roots = _roots(index.select(F.col("set").alias("item")), entries, near, _alike(rows.select("row", "text"), index, width, alike), "alike")
+    # components of the fingerprints' and of the sets' together, as links between their roots
+    both = keep(named.join(alike_roots.select(F.col("item").alias("set"), F.col("root").alias("own")), "set"), "simhash-both")
+    least = both.groupBy("root").agg(F.min("own").alias("a"))
+    joint = components(both.select("root", F.col("own").alias("b")).distinct().join(least, "root").select("a", "b"))
+    final = both.join(joint.select(F.col("v").alias("own"), F.col("root").alias("top")), "own", "left")
+    chosen = final.groupBy(F.coalesce("top", "own").alias("top")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     many = hashed.groupBy("row").count().where("count > 1").select("row", F.lit(True).alias("many"))
     chosen = keep(chosen.distinct().join(many, "row", "left"), "simhash-chosen")
     kept = rows.select("row", "packed").join(chosen, "row")

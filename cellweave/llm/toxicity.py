@@ -1,10 +1,11 @@
 """Toxicity by multiple-instance learning: sentence scores combined by noisy-or, trained from document labels.
 
 A document is toxic unless all of its sentences are harmless: P = 1 - (1 - leak) * prod(1 - p_s), p_s = sigmoid(BIAS + sum
-of the weights of the sentence's features). Features are words and their beginnings of 3 to 8 letters, hashed; only
-those that tell the classes apart by at least LEAST_Z standard errors in LEAST_DOCS documents or more get a weight. Training
+of the weights of the sentence's features). Features are words and their beginnings of 3 to 8 letters, hashed; only those that
+LEAST_DOCS documents or more hold, toxic ones more often, by a likelihood ratio whose signed root is at least LEAST_Z, get a weight, and
+holding any of them has a weight of its own, so that a sentence without them is all but certain to be harmless. Training
 maximises the likelihood of document labels with an elastic net, on at most PER_CLASS labelled documents of each class
-(an expected bound, drawn by a hash of the id and weighed by the inverse rate, so that priors stay those of all rows).
+(an expected bound, drawn by a hash of the row and weighed by the inverse rate, so that priors stay those of all rows).
 Every text is scored whole. ``locate`` names the offending sentences.
 
 Defined results: null and empty texts have no sentence and score the leak; unlabelled rows and labels other than 0 and
@@ -25,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, keep, memory
+from .common import fold, join_small, keep, memory
 
 HELD_OUT = (5, 0)
 PER_CLASS = 4_000
-SPACE_BITS, STARTS, LEAST_DOCS, LEAST_Z = 24, range(3, 9), 3, 3.5
+SPACE_BITS, STARTS, LEAST_DOCS, LEAST_Z, MOST_Z = 24, range(3, 9), 3, 3.5, 16.0
+ANY = -1  #: the feature of every sentence that holds one with a weight
 #: A sentence without features has log odds BIAS, so that length alone makes no text toxic; LEAK stands for labels without cause.
-L1, L2, STEPS, BIAS, LEAK = 0.02, 1e-3, 300, -13.0, 0.01
+L1, L2, STEPS, BIAS, LEAK = 0.02, 1e-4, 300, -13.0, 0.01
 REMEMBERED = 400_000
 _WORD, _SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?\n]+")
 
@@ -68,8 +70,10 @@ class Scorer:
         return found
 
     def sentence(self, text: str) -> float:
-        hits = {f for w in _WORD.findall(text.lower()) for f in self._hits(w)}
-        return float(1 / (1 + np.exp(-np.clip(self.model.bias + sum(self.model.weights[f] for f in sorted(hits)), -700, 700))))
+        return float(1 / (1 + np.exp(-np.clip(self._log_odds({f for w in _WORD.findall(text.lower()) for f in self._hits(w)}), -700, 700))))
+
+    def _log_odds(self, found: set[int]) -> float:
+        return self.model.bias + (sum(self.model.weights[f] for f in sorted(found)) + self.model.weights.get(ANY, 0.0) if found else 0.0)
 
     def document(self, text: str | None) -> float:
         low = (text or "").lower()
@@ -81,18 +85,24 @@ class Scorer:
             return float(-np.expm1(-(harmless + len(parts) * self.silent)))
         for s in parts:
             found = {f for w in _WORD.findall(s) if w in risky for f in known(w) or hits(w)}
-            harmless += np.logaddexp(0, self.model.bias + sum(self.model.weights[f] for f in sorted(found))) if found else self.silent
+            harmless += np.logaddexp(0, self._log_odds(found)) if found else self.silent
         return float(-np.expm1(-harmless))
 
 
 def _sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
-    """The training sample (label, kinds: distinct features, features and sizes: those of each sentence), and each class's sampling rate."""
+    """The training sample (label, kinds: distinct features, features and sizes: those of each sentence), and each class's sampling rate.
+
+    First ids are drawn, then, where ids repeat so much that the documents are more than twice as many as expected, documents.
+    """
     wanted = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", HELD_OUT[0]) != HELD_OUT[1])).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    wanted = keep(wanted, "toxic-labels")
-    n = {r["label"]: r["count"] for r in wanted.groupBy("label").count().collect()}
+    wanted = keep(wanted.where("doc_id is not null").groupBy("doc_id", "label").agg(F.count("*").alias("times")), "toxic-labels")
+    n = {r["label"]: r["n"] for r in wanted.groupBy("label").agg(F.count("*").alias("n")).collect()}
     rate = {c: min(1.0, PER_CLASS / k) for c, k in n.items()}
     cut = F.when(F.col("label") == 1, int(rate.get(1, 1) * 2**31)).otherwise(int(rate.get(0, 1) * 2**31))
-    drawn = wanted.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(2**31)) < cut)  # 2 * PER_CLASS expected rows
+    drawn = keep(wanted.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(2**31)) < cut), "toxic-drawn")  # 2 * PER_CLASS expected rows
+    rows = join_small(docs.select("doc_id"), drawn, ["doc_id"], "inner").agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    share = min(1.0, 4 * PER_CLASS / max(rows, 1))
+    rate = {c: r * share for c, r in rate.items()}
 
     def read(batches):
         for b in batches:
@@ -101,19 +111,23 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, f
                 flat = np.array([f for s in own for f in s], "<i4")
                 yield pa.RecordBatch.from_arrays([pa.array([label.as_py()], pa.int32()), pa.array([np.unique(flat)], pa.list_(pa.int32())), pa.array([flat.tobytes()], pa.binary()), pa.array([np.array([len(s) for s in own], "<i4").tobytes()], pa.binary())], names=["label", "kinds", "features", "sizes"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("label", "text")
+    texts = join_small(docs.select("doc_id", "text"), drawn, ["doc_id"], "inner").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    if share < 1:
+        texts = texts.withColumn("draw", F.pmod(F.xxhash64(F.monotonically_increasing_id(), "copy"), F.lit(2**31))).where(F.col("draw") < int(share * 2**31))
+    texts = texts.select("label", "text")
     return keep(texts.mapInArrow(read, "label int, kinds array<int>, features binary, sizes binary"), "toxic-sample"), rate
 
 
 def _telling(sample: DataFrame) -> dict[int, float]:
-    """Feature to z-score: log odds of document counts over their standard error, where at least LEAST_Z in at least LEAST_DOCS documents."""
+    """Feature to signed root of its likelihood ratio by document counts, where at least LEAST_Z in at least LEAST_DOCS documents."""
     total = sample.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("a"), F.count("*").alias("n")).first()
     a, b = float(total["a"]), float(total["n"] - total["a"])
-    counted = sample.select("label", F.explode("kinds").alias("f")).groupBy("f").agg(F.sum("label").alias("t"), (F.count("*") - F.sum("label")).alias("c"))
-    odds = F.log((F.col("t") + 0.5) / (a - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (b - F.col("c") + 0.5))
-    z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    chosen = counted.where(F.col("t") + F.col("c") >= LEAST_DOCS).select("f", z.alias("z")).where(F.col("z") >= LEAST_Z)
-    return {r["f"]: r["z"] for r in chosen.collect()}  # some thousand of the sample's features
+    counted = sample.select("label", F.explode("kinds").alias("f")).groupBy("f").agg(F.sum("label").cast("double").alias("t"), (F.count("*") - F.sum("label")).cast("double").alias("c"))
+    t, c, n = F.col("t"), F.col("c"), F.col("t") + F.col("c")
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    ratio = part(t, n * (a / (a + b))) + part(c, n * (b / (a + b))) + part(a - t, (a + b - n) * (a / (a + b))) + part(b - c, (a + b - n) * (b / (a + b))) if a and b else F.lit(0.0)
+    chosen = counted.where((n >= LEAST_DOCS) & (t * b > c * a)).select("f", F.sqrt(F.greatest(2 * ratio, F.lit(0.0))).alias("z")).where(F.col("z") >= LEAST_Z)
+    return {r["f"]: min(r["z"], MOST_Z) for r in chosen.collect()}  # some thousand of the sample's features
 
 
 def _compact(sample: DataFrame, chosen: np.ndarray) -> pa.Table:
@@ -137,7 +151,7 @@ def fit(table: pa.Table, rate: dict[int, float], telling: dict[int, float]) -> M
     y = table.column("label").to_numpy().astype(float)
     each = np.array([1 / rate[int(c)] for c in y])
     if len(set(y)) < 2:
-        return Model({}, -700.0, float(min(y.mean() if len(y) else 0.0, 1 - 1e-9)))
+        return Model({}, float("-inf"), float(min(y.mean() if len(y) else 0.0, 1 - 1e-9)))
     each /= each.sum()
     chosen = np.array(sorted(telling), np.int64)
     none = np.array([], "<i4")
@@ -147,19 +161,28 @@ def fit(table: pa.Table, rate: dict[int, float], telling: dict[int, float]) -> M
     s = np.repeat(np.arange(len(d)), np.concatenate([*sizes, none]).astype(int))
     f = np.searchsorted(chosen, np.concatenate([*(np.frombuffer(x, "<i4") for x in table.column("features").to_pylist()), none]))
     rest = table.column("n").to_numpy() - spoken
-    w = np.array([telling[int(c)] for c in chosen]) / 2
-    squares = np.full(len(chosen), 1e-8)
+    w = np.append([telling[int(c)] / 2 for c in chosen], -BIAS / 2)  # the last is that of ANY
+    squares = np.full(len(w), 1e-8)
     for _ in range(STEPS):
-        z = BIAS + np.bincount(s, weights=w[f], minlength=len(d))
-        harmless = np.bincount(d, weights=np.logaddexp(0, z), minlength=len(y)) + rest * np.logaddexp(0, BIAS) - np.log1p(-LEAK)
-        # d log P(y) / d harmless: 1 / (e^h - 1) for toxic documents, -1 for the others
-        slope = each * np.where(y == 1, 1 / np.expm1(np.clip(harmless, 1e-9, 700)), -1.0)
-        grad = np.bincount(f, weights=(slope[d] / (1 + np.exp(-z)))[s], minlength=len(chosen)) - L2 * w / 100
+        _, grad = likelihood(w, y, each, d, s, f, rest)
+        grad[:-1] -= L2 * w[:-1] / 100
         squares += grad**2
         step = 0.5 / np.sqrt(squares)
         w = w + step * grad
-        w = np.sign(w) * np.maximum(np.abs(w) - step * L1 / len(y), 0)
-    return Model({int(c): float(x) for c, x in zip(chosen, w) if x}, BIAS, LEAK)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - step[:-1] * L1 / len(y), 0)
+    return Model({int(c): float(x) for c, x in zip([*chosen, ANY], w)}, BIAS, LEAK)
+
+
+def likelihood(w: np.ndarray, y: np.ndarray, each: np.ndarray, d: np.ndarray, s: np.ndarray, f: np.ndarray, rest: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log likelihood of labels y, of rows that count ``each``, under noisy-or, and its gradient. d: documents of the sentences that hold features; s, f:
+    sentences and features of all occurrences; rest: other sentences of each document; the last weight is that of holding any."""
+    z = BIAS + w[-1] + np.bincount(s, weights=w[f], minlength=len(d))
+    harmless = np.bincount(d, weights=np.logaddexp(0, z), minlength=len(y)) + rest * np.logaddexp(0, BIAS) - np.log1p(-LEAK)
+    value = float((each * np.where(y == 1, np.log(-np.expm1(-np.clip(harmless, 1e-9, 700))), -harmless)).sum())
+    # d log P(y) / d harmless: 1 / (e^h - 1) for toxic documents, -1 for the others
+    slope = each * np.where(y == 1, 1 / np.expm1(np.clip(harmless, 1e-9, 700)), -1.0)
+    of_sentence = slope[d] / (1 + np.exp(-z))
+    return value, np.append(np.bincount(f, weights=of_sentence[s], minlength=len(w) - 1), of_sentence.sum())
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:

@@ -180,11 +180,11 @@ def test_search(spark):
     table = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("dim", F.lit(2))
     whole = [(i, [math.floor(1024 * float(np.float32(c))) for c in x]) for i, x in data if i is not None and x and all(c is not None and math.isfinite(c) for c in x)]
     expected = []
-    for q in sorted({i for i, _ in whole if i % 100 == 0}):
-        x = min(v for i, v in whole if i == q)
-        found = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in whole if i != q and len(v) == len(x))[:10]
-        expected += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(found)]
-    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in mtree.top_k(table).collect()) == expected
+    for own, (q, x) in enumerate(whole):  # also each of the rows that repeat an id
+        if q % 100 == 0:
+            found = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, v)))), i) for k, (i, v) in enumerate(whole) if k != own and len(v) == len(x))[:10]
+            expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found)]
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in mtree.top_k(table).collect()) == sorted(expected)
     assert rows(mtree.top_k(table.limit(0))) == []
 
 
@@ -327,8 +327,7 @@ def test_toxicity(spark, none):
     for i in range(400):
         parts = [prose(1000 * i + k, 12) + "." for k in range(6)]
         toxic = i % 4 == 0
-        if toxic:
-            parts[r.randrange(6)] += f" you {r.choice(bad)} thing."
+        parts[r.randrange(6)] += f" you {r.choice(bad if toxic else EN)} thing."  # the frame tells nothing
         data.append((i, "\n".join(parts), "en", "s", None))
         labels.append((i, int(toxic)))
     docs = spark.createDataFrame(data + [(900, None, None, None, None), (901, "", None, None, None), (None, "zork.", None, None, None), (902, "the of. " * 20_000, None, None, None)], SCHEMA)
