@@ -8,12 +8,11 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..meta import SPARK_TYPES, RasterError, RasterMeta, default_nodata
 from ..operators.normalise import remap_to_byte
-from ..plans.ranking import global_rank
 from ..raster import Raster, grid
 
 HEADER = ("ncols", "nrows", "xllcorner", "yllcorner", "xllcenter", "yllcenter", "cellsize", "nodata_value", "dx", "dy")
@@ -40,7 +39,7 @@ def parse_asc_header(lines: list[str]) -> tuple[RasterMeta, int]:
 def read_metadata(spark: SparkSession, path: str) -> RasterMeta:
     """Header only: the first lines of the file."""
     if path.endswith(".asc"):
-        return parse_asc_header([r[0] for r in spark.read.text(path).take(len(HEADER))])[0]
+        return _asc_header(spark, path)[0]
     if "." in path.rsplit("/", 1)[-1] and not path.endswith(".parquet"):
         raise RasterError(f"format of {path} is not supported")
     text = spark.read.text(f"{path}/_meta").first()[0]
@@ -48,27 +47,37 @@ def read_metadata(spark: SparkSession, path: str) -> RasterMeta:
     return RasterMeta(**d["meta"])
 
 
+def _asc_header(spark: SparkSession, path: str) -> tuple[RasterMeta, int]:
+    """From the first lines of the first file that has any; a folder's files follow each other by name."""
+    for file in sorted(spark.read.text(path).inputFiles()):
+        if lines := spark.read.text(file).take(len(HEADER)):
+            return parse_asc_header([r[0] for r in lines])
+    raise RasterError(f"no ASCII grid in {path}")
+
+
 def read_asc(spark: SparkSession, path: str, dtype: str = "float64") -> Raster:
-    """An ASCII grid. Lines are numbered by their place in the file over all splits, so large files are read in parallel."""
-    meta, n = parse_asc_header([r[0] for r in spark.read.text(path).take(len(HEADER))])
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
-    numbered = global_rank(lines, "block", "at", name="line").where(F.col("line") > n)
-    words = numbered.select((F.col("line") - n - 1).alias("line"), F.split(F.trim("value"), r"\s+").alias("words"))
+    """An ASCII grid, of one file or a folder of parts. A line's number is its place in its split and what splits before hold: one count for each
+    split is exchanged, no line is."""
+    meta, n = _asc_header(spark, path)
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each split
+    numbered = lines.join(splits.select("file", "block", "first", before.alias("before")), ["file", "block"]).withColumn("line", F.col("before") + F.col("at") - F.col("first") - n).where("line >= 0")
+    words = numbered.select("line", F.split(F.trim("value"), r"\s+").alias("words"))
     cells = words.select("line", F.posexplode("words").alias("k", "word"))  # a line holds a row of the grid
     frame = cells.select(F.col("line").cast("int").alias("row"), F.col("k").cast("int").alias("col"), F.expr("try_cast(word as double)").alias("value")).where(F.col("row") < meta.rows)
     return Raster.ingest(frame, meta, dtype)
 
 
 def write_asc(r: Raster, path: str) -> None:
-    """A folder of text parts that, put one after the other, are the grid file: the header line by line, then a line for each row."""
+    """A folder of text parts that, put one after the other by name, are the grid file: the header, then a line for each row."""
     nodata = r.meta.nodata if r.meta.nodata is not None and not math.isnan(r.meta.nodata) else -9999
     m = r.meta
-    spark = r.frame.sparkSession
-    head = [(-6, f"ncols {m.cols}"), (-5, f"nrows {m.rows}"), (-4, f"xllcorner {m.xll!r}"), (-3, f"yllcorner {m.yll!r}"), (-2, f"cellsize {m.cell_size!r}"), (-1, f"NODATA_value {nodata:g}")]
+    head = "\n".join([f"ncols {m.cols}", f"nrows {m.rows}", f"xllcorner {m.xll!r}", f"yllcorner {m.yll!r}", f"cellsize {m.cell_size!r}", f"NODATA_value {nodata:g}"])  # one value, so that it stays whole
     text = F.coalesce(F.col("value").cast("string"), F.lit(f"{nodata:g}"))
     lines = r.cells().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", text.alias("t")))).alias("x"))  # a row of the grid is a line of the file
     body = lines.select(F.col("row").alias("line"), F.array_join(F.transform("x", lambda c: c["t"]), " ").alias("value"))
-    spark.createDataFrame(head, "line int, value string").union(body).orderBy("line").select("value").write.mode("overwrite").text(path)
+    r.frame.sparkSession.createDataFrame([(-1, head)], "line int, value string").union(body).orderBy("line").select("value").write.mode("overwrite").text(path)
 
 
 def write_parquet(r: Raster, path: str, block: int = 256, bands: dict[int, Raster] | None = None) -> None:
