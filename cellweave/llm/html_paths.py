@@ -52,7 +52,7 @@ _CLOSES_P = frozenset("address article aside blockquote center details div dl fi
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags that may stand beside content paths.
 BESIDE = _HEADINGS | frozenset("ul ol li dl dt dd blockquote table thead tbody tfoot tr td th caption figure figcaption pre".split())
-LINKS, SHUN, FAVOUR, SHARE = 0.5, 0.02, 8.0, 0.25
+LINKS, SHUN, FAVOUR, SHARE, WIDTH = 0.5, 0.02, 8.0, 0.25, 0.3
 
 
 class Block(NamedTuple):
@@ -186,7 +186,7 @@ def content_paths(blocks: list[Block], paths: Paths) -> np.ndarray:
     length = np.bincount(at, [len(b.text) - b.linked for b in blocks], n)
     marks = np.bincount(at, [len(_PUNCTUATION.findall(b.text)) for b in blocks], n)
     fused = length / count * (marks + 0.5) / count
-    kernel = np.exp(-np.arange(-1, 2) ** 2 / 0.5)
+    kernel = np.exp(-np.arange(-1, 2) ** 2 / WIDTH)
     smooth = np.convolve(fused[at], kernel, "full")[1:-1] / np.convolve(np.ones(len(at)), kernel, "full")[1:-1]
     score = np.bincount(at, smooth, n) / count * paths.weight
     total = score * length

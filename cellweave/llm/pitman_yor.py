@@ -239,8 +239,8 @@ class _Chunk:
         self.texts.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
         self.tokens += len(words)
 
-    def full(self) -> bool:
-        return self.tokens >= CHUNK_TOKENS or len(self.rows) >= CHUNK_DOCS
+    def full(self, tokens: int) -> bool:
+        return self.tokens >= tokens or len(self.rows) >= CHUNK_DOCS
 
     def record(self, name: int) -> pa.RecordBatch:
         """Words are numbered in the order of their hashes."""
@@ -268,18 +268,18 @@ class _Chunk:
 _CHUNK = "chunk long, row array<long>, ids array<long>, held array<boolean>, data binary, pairs long, often array<long>, followers array<long>"
 
 
-def _pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text and its end, in pieces of some PIECE bytes; A to Z only are lowered, and split() cuts at the asked white space."""
+def _pieces(text: bytes, size: int) -> Iterator[list[bytes]]:
+    """The words of a text and its end, in pieces of about so many bytes; A to Z only are lowered, and split() cuts at the asked white space."""
     at = 0
-    while len(text) - at > PIECE:
-        m = _SPACE.search(text, at + PIECE)
+    while len(text) - at > size:
+        m = _SPACE.search(text, at + size)
         stop = m.start() if m else len(text)
         yield text[at:stop].lower().split()
         at = stop
     yield [*text[at:].lower().split(), END]
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
+def _chunks(docs: DataFrame, tokens: int, piece: int) -> DataFrame:
     """The texts of docs (doc_id, held_out, text), each token as its number."""
 
     def rows(batches):
@@ -287,11 +287,11 @@ def _chunks(docs: DataFrame) -> DataFrame:
         for b in batches:
             for i, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary())):
                 number, before = next(row), BEGIN
-                for words in _pieces(text.as_py() or b""):
+                for words in _pieces(text.as_py() or b"", piece):
                     if words:
                         chunk.add(number, i, held, words, before)
                         before = words[-1]
-                    if chunk.full():
+                    if chunk.full(tokens):
                         yield chunk.record(next(names))
                         chunk = _Chunk()
                         give_back()
@@ -635,13 +635,13 @@ def _sum(frame: DataFrame, n: int) -> list[int]:
     return [x or 0 for x in frame.where("part is null").select(*[F.sum(F.col("totals")[i]) for i in range(n)]).first()]
 
 
-def score(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
+def score(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, chunk_tokens: int = CHUNK_TOKENS, piece: int = PIECE, part_entries: int = PART_ENTRIES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row of documents (doc_id, text)."""
     context = docs.sparkSession.sparkContext
     held = (fold("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out")
-    chunks = _chunks(docs.select("doc_id", held, "text"))
+    chunks = _chunks(docs.select("doc_id", held, "text"), chunk_tokens, piece)
     entries = chunks.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-    count_parts = max(LEAST_PARTS, -(-entries // PART_ENTRIES))
+    count_parts = max(LEAST_PARTS, -(-entries // part_entries))
     often = chunks.select(F.explode(F.arrays_zip("often", "followers")).alias("x")).groupBy("x.often").agg(F.sum("x.followers").alias("n"))
     hot = often.where(F.col("n") >= max(1, entries // count_parts // HOT)).select("often").toArrow().column(0).to_numpy().view(np.uint64)  # HOT for each part at most
     shared = context.broadcast(np.sort(hot))
