@@ -39,7 +39,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
 
-#: Language identification, components and tokens are beyond SQL; tests hold the pipeline against brute force.
+#: Language identification, components and tokens are beyond SQL; a test holds each stage of the pipeline against brute force.
 ORACLE_SQL = None
 
 

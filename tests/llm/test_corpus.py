@@ -483,6 +483,154 @@ def test_quality_classifier(spark, none):
     assert len(rows(qda.classify(docs, labels.where("quality = 1")))) == 304
 
 
+def components_slowly(texts):
+    """Smallest index linked to each text, within four bits of the fingerprint or by five-word sets of Jaccard similarity 0.8."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    prints, root = [simple_print(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4 or 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage's decisions by other means: SQL for limits and mixture, pairs for components, the library for ids; languages are given."""
+    import corpus_pipeline
+
+    duckdb, pandas, sentencepiece = pytest.importorskip("duckdb"), pytest.importorskip("pandas"), pytest.importorskip("sentencepiece")
+    r = random.Random(21)
+    near = [(200 + k, " ".join(w if r.random() > 0.01 else "changed" for w in ROWS[4 + 3 * k][1].split()), ROWS[4 + 3 * k][2], "s1", None) for k in range(6)]
+    data = [x for x in ROWS + near + ODD + [(300, prose(7, 90).replace(" ", " ## "), "en", "s0", None)] if x[0] is not None]
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    spoken = {x["doc_id"] for x in rows(langid.identify(docs)) if x["lang_pred"] != "und" and x["score"] >= 0.5}
+    con = duckdb.connect()
+
+    def asked(sql, left):
+        con.register("documents", pandas.DataFrame(left, columns=["doc_id", "text", "lang", "source", "n_chars"]))
+        found = con.execute(sql)
+        names = [d[0] for d in found.description]
+        return [dict(zip(names, x)) for x in found.fetchall()]
+
+    left = [x for x in data if x[0] in spoken]
+    good = {x["doc_id"] for x in asked(quality_rules.SQL, left) if x["kept"]}
+    left = sorted((x for x in left if x[0] in good), key=lambda x: x[0])
+    left = [x for i, x in enumerate(left) if components_slowly([y[1] for y in left])[i] == i]
+    assert 0 < len(left) < len(good) < len(spoken) < len(data)
+    copies = {x["doc_id"]: x["taken"] // x["size"] for x in asked(mixing.SQL, left) if x["size"]}
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_codec.default_path())
+    expected = Counter()
+    for i, t, *_ in left:
+        expected[i, hashlib.sha256(" ".join(map(str, sp.encode(t, add_eos=True))).encode()).hexdigest()] += copies[i]
+    assert Counter((x["doc_id"], x["ids_sha256"]) for x in rows(corpus_pipeline.run(spark, str(tmp_path)))) == +expected
+
+
+def test_noisy_or_against_brute_force():
+    """Likelihood sentence by sentence, its gradient by differences, and scores of texts by the product over their sentences."""
+    r = np.random.default_rng(4)
+    documents = [[sorted(r.choice(5, r.integers(0, 4), replace=False).tolist()) for _ in range(r.integers(1, 6))] for _ in range(12)]  # features of sentences
+    y, each, w = r.integers(0, 2, 12).astype(float), r.random(12) / 12, r.normal(0, 2, 6) + 3
+    spoken = [[s for s in x if s] for x in documents]
+    d = np.repeat(np.arange(12), [len(x) for x in spoken])
+    flat = [s for x in spoken for s in x]
+    args = (y, each, d, np.repeat(np.arange(len(flat)), [len(x) for x in flat]), np.array([f for x in flat for f in x]), np.array([len(x) - len(z) for x, z in zip(documents, spoken)]))
+    value, gradient = toxicity.likelihood(w, *args)
+    slow = 0.0
+    for x, t, e in zip(documents, y, each):
+        harmless = 1 - toxicity.LEAK
+        for s in x:
+            harmless *= 1 - 1 / (1 + math.exp(-(toxicity.BIAS + (sum(w[f] for f in s) + w[5] if s else 0))))
+        slow += e * math.log(1 - harmless if t else harmless)
+    assert math.isclose(value, slow, rel_tol=1e-9)
+    step = 1e-6
+    differences = [(toxicity.likelihood(w + step * v, *args)[0] - toxicity.likelihood(w - step * v, *args)[0]) / (2 * step) for v in np.eye(6)]
+    assert np.allclose(gradient, differences, rtol=1e-5, atol=1e-9)
+    model = toxicity.Model({toxicity.word_features("zork")[0]: 4.0, toxicity.word_features("blarg")[0]: -1.0, toxicity.ANY: 9.0}, toxicity.BIAS, toxicity.LEAK)
+    scorer, harmless = toxicity.Scorer(model), 1 - toxicity.LEAK
+    for log_odds in (toxicity.BIAS + 13, toxicity.BIAS + 13, toxicity.BIAS + 8, toxicity.BIAS, toxicity.BIAS + 8):
+        harmless *= 1 - 1 / (1 + math.exp(-log_odds))
+    assert math.isclose(scorer.document("Zork, zork. The zork\nblarg! Nothing here? A blarg"), 1 - harmless, rel_tol=1e-9)
+
+
+def test_discriminant_against_brute_force(spark):
+    """Moments, shrunken covariances and the difference of log densities, by the formulas with inverses and determinants."""
+    r = np.random.default_rng(6)
+    k = len(qda.FEATURES)
+    x, y = r.normal(0, 1, (60, k)) @ r.normal(0, 1, (k, k)), r.integers(0, 2, 60)
+    found = qda.moments(spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(y, x)], "label int, x array<double>").repartition(5))
+    model = qda.fit(found)
+    cov = {c: np.cov(x[y == c].T, bias=True) for c in (0, 1)}
+    n = {c: int((y == c).sum()) for c in (0, 1)}
+    loose = lambda m: (1 - qda.DIAGONAL_SHRINK) * m + qda.DIAGONAL_SHRINK * np.diag(np.diag(m)) + 1e-3 * np.eye(k)
+    pooled = loose((n[0] * cov[0] + n[1] * cov[1]) / 60)
+    side = []
+    for c in (0, 1):
+        assert np.allclose(found[c][1] / n[c], x[y == c].mean(axis=0))
+        share = qda.CLASS_SHRINK + (1 - qda.CLASS_SHRINK) * k / (k + n[c])
+        m = loose((1 - share) * cov[c] + share * pooled)
+        z = x - x[y == c].mean(axis=0)
+        side.append(math.log((n[c] + 0.5) / 61) - qda.TEMPER / 2 * (np.linalg.slogdet(m)[1] + np.einsum("ij,jk,ik->i", z, np.linalg.inv(m), z)))
+    assert np.allclose(model.log_odds(x), side[1] - side[0], rtol=1e-6)
+
+
+def test_language_features_and_training_against_brute_force(monkeypatch):
+    """n-grams of cleaned text; FTRL coordinate by coordinate; the temperature beats its neighbours."""
+    text = "Ça va: l'été 2024, NON?"
+    clean = " " + "".join(c.lower() if c.isalpha() else " " for c in text) + " "
+    while "  " in clean:
+        clean = clean.replace("  ", " ")
+    grams = [clean[i : i + n] for n in langid.ORDERS for i in range(len(clean) - n + 1)]
+    assert langid.counts(text).sum() == len(grams) and len(langid.counts(text).nonzero()[0]) <= len(set(grams))
+    monkeypatch.setattr(langid, "_DIM", 6)
+    monkeypatch.setattr(langid, "L1", 1.0)  # so that some weights are zero
+    r = np.random.default_rng(2)
+    data = [(at := np.sort(r.choice(6, 3, replace=False)), r.random(3), int(at[0] > 1)) for _ in range(20)]
+    weights, bias = langid.ftrl(data, 2)
+    z, n = [[0.0] * 2 for _ in range(7)], [[0.0] * 2 for _ in range(7)]
+
+    def weight(i, c):
+        if i == 6:
+            return -z[i][c] / ((langid.BETA + math.sqrt(n[i][c])) / langid.ALPHA)
+        if abs(z[i][c]) <= langid.L1:
+            return 0.0
+        return -(z[i][c] - math.copysign(langid.L1, z[i][c])) / ((langid.BETA + math.sqrt(n[i][c])) / langid.ALPHA + langid.L2)
+
+    for k in range(langid.PASSES):
+        for row in np.random.default_rng(k).permutation(20):
+            at, x, y = data[row]
+            terms = [*zip(at.tolist(), x.tolist()), (6, 1.0)]
+            w = {i: [weight(i, c) for c in (0, 1)] for i, _ in terms}
+            e = [math.exp(sum(v * w[i][c] for i, v in terms)) for c in (0, 1)]
+            for i, v in terms:
+                for c in (0, 1):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    sigma = (math.sqrt(n[i][c] + g * g) - math.sqrt(n[i][c])) / langid.ALPHA
+                    z[i][c] += g - sigma * w[i][c]
+                    n[i][c] += g * g
+    assert np.allclose(weights, [[weight(i, c) for c in (0, 1)] for i in range(6)]) and np.allclose(bias, [weight(6, c) for c in (0, 1)]) and (weights == 0).any()
+    logits, y = r.normal(0, 3, (200, 3)), r.integers(0, 3, 200)
+    y[:120] = logits[:120].argmax(axis=1)
+    best = langid._temperature(logits, y)
+    loss = lambda t: -np.log(langid._softmax(logits / t)[np.arange(200), y]).mean()
+    assert loss(best) <= min(loss(best * 1.02), loss(best / 1.02))
+
+
+def test_language_classes_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    data = [(i, prose(i, 30, FR if i % 2 else EN), "fr" if i % 2 else "en", "s", None) for i in range(60)] + [(100 + i, prose(i, 30), f"dirty{i}", "s", None) for i in range(20)] + [(7, prose(7, 30, FR), "fr", "s", None)] * 50
+    got = rows(langid.identify(spark.createDataFrame(data, SCHEMA)))
+    assert len(got) == len(data) and {r["lang_pred"] for r in got} == {"en", "fr"}
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
