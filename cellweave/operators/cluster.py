@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..plans.components import components
 from ..plans.durable import durable
 from ..plans.ranking import global_rank
-from ..plans.tiles import SIDE, Tile, by_tiles, circle, shifted
+from ..plans.tiles import Tile, by_tiles, circle, shifted, side_for
 from ..raster import Raster, align
 
 STRAIGHT, DIAGONAL = [(0, 1), (1, 0)], [(1, 1), (1, -1)]
@@ -45,7 +45,7 @@ def labelled(cells: DataFrame, meta, offsets: list[tuple[int, int]], member: Cal
     offsets: one of every pair (dr, dc), (-dr, -dc). linked(tile, dr, dc) tells where a cell is linked to that at the offset.
     """
     halo = max(max(abs(a), abs(b)) for a, b in offsets)
-    side = max(SIDE, 2 * halo)
+    side = side_for(halo)
     names = [c for c in cells.columns if c not in ("row", "col")]
 
     def kernel(t: Tile) -> pa.Table:

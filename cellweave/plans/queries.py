@@ -13,6 +13,7 @@ from ..operators import cluster, distance, drainage, focal, local, multires, nor
 from ..raster import Raster
 from ..sources import grids as io
 from ..sources import resample as rs
+from . import tiles
 from .grids import PartGrid, part_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,7 +273,14 @@ q(
     "SELECT g.row, g.col, CAST(CASE WHEN g.cls > 0 AND g.wall > 0 THEN coalesce(m.r, 0) ELSE k.r END AS BIGINT) AS value FROM g LEFT JOIN k USING (id) LEFT JOIN (SELECT id, r FROM (SELECT x.id, k.r, count(*) AS n FROM g AS x JOIN g AS y ON y.row BETWEEN x.row - 1 AND x.row + 1 AND y.col BETWEEN x.col - 1 AND x.col + 1 JOIN k ON k.id = y.id WHERE x.wall > 0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, r) = 1) AS m USING (id)",
     ctes=_clusters(_free, "cls > 0 AND wall = 0") + ", k AS (SELECT id, dense_rank() OVER (ORDER BY root) AS r FROM cc)",
 )
-q("fuzzy_cluster_obstacles", lambda g: cluster.fuzzy_cluster_id_with_obstacles(g.target, g.wall, 450))
+#: The walk from x to y (d2 <= 20) goes diagonally first; it is blocked by a wall on it and where it passes between two.
+_blocked = "EXISTS (SELECT 1 FROM range(1, 5) AS s(k), g AS w, g AS u WHERE k <= greatest(abs({y}.row - {x}.row), abs({y}.col - {x}.col)) AND w.wall <> 0 AND u.wall <> 0 AND ((w.row = {x}.row + sign({y}.row - {x}.row) * least(k, abs({y}.row - {x}.row)) AND w.col = {x}.col + sign({y}.col - {x}.col) * least(k, abs({y}.col - {x}.col)) AND u.id = w.id) OR (k <= least(abs({y}.row - {x}.row), abs({y}.col - {x}.col)) AND w.row = {x}.row + sign({y}.row - {x}.row) * (k - 1) AND w.col = {x}.col + sign({y}.col - {x}.col) * k AND u.row = {x}.row + sign({y}.row - {x}.row) * k AND u.col = {x}.col + sign({y}.col - {x}.col) * (k - 1))))"
+_ground = _clusters(_free.replace("x.cls = y.cls AND x.cls > 0 AND ", ""), "wall = 0").replace("cc", "gc").replace("e AS (", "ge AS (", 1).replace(" e ON e.", " ge ON ge.").replace("SELECT e.b", "SELECT ge.b").replace("e.b AND", "e.b AND").replace("GROUP BY e.b", "GROUP BY ge.b").replace("o.id = e.b", "o.id = ge.b")
+q(
+    "fuzzy_cluster_obstacles", lambda g: cluster.fuzzy_cluster_id_with_obstacles(g.target, g.wall, 450),
+    "SELECT g.row, g.col, CAST(k.r AS BIGINT) AS value FROM g LEFT JOIN (SELECT id, dense_rank() OVER (ORDER BY root) AS r FROM cc) AS k USING (id)",
+    ctes=_ground + ", it AS (SELECT g.*, gc.root AS ground FROM g JOIN gc USING (id) WHERE target > 0 AND wall = 0), near AS (SELECT x.id AS a, y.id AS b FROM it AS x JOIN it AS y ON x.id < y.id AND x.target = y.target AND x.ground = y.ground AND pow(x.row - y.row, 2) + pow(x.col - y.col, 2) <= 20 WHERE NOT (" + _blocked.format(x="x", y="y") + " AND " + _blocked.format(x="y", y="x") + ")), e AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near), " + _cc.format(member="target > 0"),
+)
 
 # distances
 
@@ -286,14 +294,26 @@ q("travel_distance", lambda g: distance.travel_distance(g.target, g.cost), "SELE
 _nearest = "SELECT c.row, c.col, {0} AS value FROM g AS c JOIN (SELECT c.id, arg_min(t.id, (round(sqrt(2) * least(abs(c.row - t.row), abs(c.col - t.col)) + abs(abs(c.row - t.row) - abs(c.col - t.col)), 6), t.id)) AS s FROM g AS c, g AS t WHERE t.target <> 0 GROUP BY c.id) AS k USING (id) JOIN g AS s ON s.id = k.s"
 q("closest_target", lambda g: distance.closest_target(g.target), _nearest.format("CAST(s.target AS BIGINT)"))
 q("value_at_closest_target", lambda g: distance.value_at_closest_target(g.target, g.f), _nearest.format("s.f::DOUBLE"))
-q("value_at_closest_travel_target", lambda g: distance.value_at_closest_travel_target(g.target, g.cost, g.a))
-q("value_at_closest_lt_travel_target", lambda g: distance.value_at_closest_lt_travel_target(g.target, g.cost, g.a, 15.0))
 _reach = lambda start, cost, most: f"{_steps}, p(src, id, row, col, t, d) USING KEY (src, id) AS (SELECT id, id, row, col, cost, 0.0::DOUBLE FROM g WHERE {start} UNION (SELECT p.src, y.id, any_value(y.row), any_value(y.col), any_value(y.cost), min(round(p.d + m.step * {cost}, 9)) FROM p, m, g AS y LEFT JOIN recurring.p AS o ON o.id = y.id AND o.src = p.src WHERE y.row = p.row + m.dr AND y.col = p.col + m.dc AND round(p.d + m.step * {cost}, 9) <= {most} AND (o.d IS NULL OR round(p.d + m.step * {cost}, 9) < o.d) GROUP BY p.src, y.id))"
+_alloc = lambda most: f"{_steps}, p(id, row, col, d, s) USING KEY (id) AS (SELECT id, row, col, 0.0::DOUBLE, id FROM g WHERE target <> 0 UNION (SELECT id, row, col, m.d, m.s FROM (SELECT y.id, any_value(y.row) AS row, any_value(y.col) AS col, min({{'d': round(p.d + m.step * y.cost, 9), 's': p.s}}) AS m FROM p, m, g AS y LEFT JOIN recurring.p AS o ON o.id = y.id WHERE y.row = p.row + m.dr AND y.col = p.col + m.dc AND round(p.d + m.step * y.cost, 9) < {most} AND (o.d IS NULL OR round(p.d + m.step * y.cost, 9) < o.d OR (round(p.d + m.step * y.cost, 9) = o.d AND p.s < o.s)) GROUP BY y.id)))"
+_allocated = "SELECT g.row, g.col, CAST(CASE WHEN p.s IS NULL THEN 0 ELSE s.a END AS BIGINT) AS value FROM g LEFT JOIN p USING (id) LEFT JOIN g AS s ON s.id = p.s"
+q("value_at_closest_travel_target", lambda g: distance.value_at_closest_travel_target(g.target, g.cost, g.a), _allocated, ctes=_alloc("1e300"))
+q("value_at_closest_lt_travel_target", lambda g: distance.value_at_closest_lt_travel_target(g.target, g.cost, g.a, 15.0), _allocated, ctes=_alloc("15"))
 q("sum_within_travel_distance", lambda g: distance.sum_within_travel_distance(g.target, g.cost, g.a, 8.0), "SELECT g.row, g.col, CAST(coalesce(x, 0) AS BIGINT) AS value FROM g LEFT JOIN (SELECT src, sum(a) AS x FROM p JOIN g USING (id) GROUP BY src) AS s ON s.src = g.id", ctes=_reach("target <> 0", "(p.t + y.cost) / 2", "8"))
 q("sum_within_travel_distance_adjacent", lambda g: distance.sum_within_travel_distance(g.target, g.cost, g.a, 8.0, True), "SELECT g.row, g.col, CAST(coalesce(x, 0) AS BIGINT) AS value FROM g LEFT JOIN (SELECT src, sum(a) AS x FROM (SELECT DISTINCT p.src, y.id, y.a FROM p JOIN g AS y ON abs(p.row - y.row) + abs(p.col - y.col) <= 1) GROUP BY src) AS s ON s.src = g.id", ctes=_reach("target <> 0", "(p.t + y.cost) / 2", "8"))
 q("sum_targets_within_travel_distance", lambda g: distance.sum_targets_within_travel_distance(g.target, g.cost, 9.0), "SELECT g.row, g.col, CAST(coalesce(x, 0) AS BIGINT) AS value FROM g LEFT JOIN (SELECT p.id, sum(s.target) AS x FROM p JOIN g AS s ON s.id = p.src GROUP BY p.id) AS r USING (id)", ctes=_reach("target <> 0", "y.cost", "9"))
 q("node_value_distance_decay", lambda g: distance.node_value_distance_decay(g.target, g.cost, 9.0, 5.4, 0.45), "SELECT g.row, g.col, round(CAST(coalesce(x, 0) AS FLOAT)::DOUBLE, 3) AS value FROM g LEFT JOIN (SELECT p.id, max(s.target / (1 + exp(0.45 * p.d - 5.4))) AS x FROM p JOIN g AS s ON s.id = p.src GROUP BY p.id) AS r USING (id)", ctes=_reach("target <> 0", "y.cost", "9"), digits=3)
 
+# the same in tiles so small that every raster crosses some
+
+for _key in ("majority_filter", "max_in_buffer", "sum_in_buffer_circular", "csum_in_buffer", "filter_linear", "filter_exp_normalised", "filter_circular_agg", "cluster_id", "cluster_id_diag", "cluster_size", "fuzzy_cluster_id", "cluster_id_obstacles", "fuzzy_cluster_obstacles", "distance", "distance_obstacles", "travel_distance", "closest_target", "value_at_closest_travel_target"):
+
+    def _tiled(spark: SparkSession, sf_dir: str, f=QUERIES[_key]) -> DataFrame:
+        with tiles.sized(16):
+            return f(spark, sf_dir)
+
+    QUERIES[f"{_key}_tiles"], SQL[f"{_key}_tiles"] = _tiled, SQL[_key]
+
 # drainage: w lists every (cell, cell downstream of it) with the length of the way and the product of fractions passed
 
 _next = "CASE WHEN ldd = 5 THEN NULL ELSE id + 40 + (ldd - 2) END"
@@ -346,8 +366,15 @@ q("resample_mode", lambda g: rs.resample(g.cls, _coarse(g), "mode"), "SELECT row
 q("resample_nearest", lambda g: rs.resample(g.a, _coarse(g), "nearest"), "SELECT row // 5 AS row, col // 5 AS col, CAST(a AS BIGINT) AS value FROM g WHERE row % 5 = 2 AND col % 5 = 2")
 _finer = lambda g: g.meta.replace(rows=g.meta.rows * 2, cols=g.meta.cols * 2, cell_size=50.0)
 q("resample_bilinear", lambda g: rs.resample(g.h, _finer(g), "bilinear"), "SELECT CAST(t.r AS INT) AS row, CAST(t.c AS INT) AS col, round(sum(v.h * (1 - abs((t.r - 0.5) / 2 - v.row)) * (1 - abs((t.c - 0.5) / 2 - v.col))) / sum(CASE WHEN v.h IS NOT NULL THEN (1 - abs((t.r - 0.5) / 2 - v.row)) * (1 - abs((t.c - 0.5) / 2 - v.col)) END), 6) AS value FROM (SELECT row * 2 + i AS r, col * 2 + j AS c FROM g, range(2) AS x(i), range(2) AS y(j)) AS t LEFT JOIN g AS v ON abs((t.r - 0.5) / 2 - v.row) < 1 AND abs((t.c - 0.5) / 2 - v.col) < 1 GROUP BY t.r, t.c", digits=6)
-for _algorithm in ("cubic", "cubic_spline", "lanczos"):
-    q(f"resample_{_algorithm}", lambda g, m=_algorithm: rs.resample(g.h, _finer(g), m))
+_kernels = {
+    "cubic": (2, "CASE WHEN {x} < 1 THEN 1.5 * {x} ** 3 - 2.5 * {x} ** 2 + 1 ELSE -0.5 * {x} ** 3 + 2.5 * {x} ** 2 - 4 * {x} + 2 END"),
+    "cubic_spline": (2, "CASE WHEN {x} < 1 THEN (4 - 6 * {x} ** 2 + 3 * {x} ** 3) / 6 ELSE (2 - {x}) ** 3 / 6 END"),
+    "lanczos": (3, "CASE WHEN {x} = 0 THEN 1 ELSE 3 * sin(pi() * {x}) * sin(pi() * {x} / 3) / (pi() * {x}) ** 2 END"),
+}
+for _algorithm, (_reach_of, _curve) in _kernels.items():
+    _x, _y = "abs((t.c - 0.5::DOUBLE) / 2 - v.col)", "abs((t.r - 0.5::DOUBLE) / 2 - v.row)"
+    _wxy = f"({_curve.format(x=_x)}) * ({_curve.format(x=_y)})"
+    q(f"resample_{_algorithm}", lambda g, m=_algorithm: rs.resample(g.h, _finer(g), m), f"SELECT CAST(t.r AS INT) AS row, CAST(t.c AS INT) AS col, round(sum(v.h * {_wxy}) / sum(CASE WHEN v.h IS NOT NULL THEN {_wxy} END), 6) AS value FROM (SELECT row * 2 + i AS r, col * 2 + j AS c FROM g, range(2) AS x(i), range(2) AS y(j)) AS t LEFT JOIN g AS v ON {_x} < {_reach_of} AND {_y} < {_reach_of} GROUP BY t.r, t.c", digits=6)
 
 # vectors
 

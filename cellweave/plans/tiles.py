@@ -6,7 +6,8 @@ halo)^2 cells whatever the raster's size, one shuffle brings it together, and a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,21 @@ from ..meta import RasterMeta
 SIDE = 256
 
 
+def side_for(halo: int) -> int:
+    return max(SIDE, 2 * halo)
+
+
+@contextmanager
+def sized(side: int) -> Iterator[None]:
+    """Other tiles for the operators called inside; results are the same."""
+    global SIDE
+    before, SIDE = SIDE, side
+    try:
+        yield
+    finally:
+        SIDE = before
+
+
 class Tile:
     """Arrays of one tile: ``layer[name]`` has values, ``has[name]`` tells data from nodata, ``inner`` cuts the halo off."""
 
@@ -67,7 +83,7 @@ class Tile:
 
 def by_tiles(cells: DataFrame, meta: RasterMeta, halo: int, kernel: Callable[[Tile], pa.RecordBatch | pa.Table], schema: str, side: int | None = None) -> DataFrame:
     """kernel's rows for every tile of cells (row, col, any numeric layers)."""
-    side = side or max(SIDE, 2 * halo)
+    side = side or side_for(halo)
     names = [c for c in cells.columns if c not in ("row", "col")]
 
     def spread(c: str, n: int):

@@ -92,18 +92,19 @@ def test_focal(spark):
         focal.voronoi(spark, RasterMeta(3, 3), [(0, 0), (0, 0)])
 
 
-def test_tiles_agree_with_one_tile(spark, monkeypatch):
+def test_tiles_agree_with_one_tile(spark):
     from cellweave.plans import tiles
 
     r = np.random.default_rng(1)
     grid = [[None if r.random() < 0.1 else int(r.integers(0, 3)) for _ in range(23)] for _ in range(17)]
     a = ras(spark, grid)
     targets, cost = ras(spark, (r.random((17, 23)) < 0.02).astype(int).tolist()), ras(spark, r.integers(1, 9, (17, 23)).tolist(), "float64")
-    runs = [lambda: focal.majority_filter(a, 200), lambda: focal.sum_in_buffer(a, 300), lambda: cluster.cluster_id(a, True), lambda: cluster.cluster_size(a), lambda: cluster.fuzzy_cluster_id(a, 200), lambda: distance.travel_distance(targets, cost), lambda: distance.closest_target(targets), lambda: zonal.csum_in_buffer(a, a, 200)]
+    walls = ras(spark, (r.random((17, 23)) < 0.2).astype(int).tolist(), "uint8", nodata=255)
+    runs = [lambda: focal.majority_filter(a, 200), lambda: focal.sum_in_buffer(a, 300), lambda: cluster.cluster_id(a, True), lambda: cluster.cluster_size(a), lambda: cluster.fuzzy_cluster_id(a, 200), lambda: distance.travel_distance(targets, cost), lambda: distance.closest_target(targets), lambda: zonal.csum_in_buffer(a, a, 200), lambda: focal.max_in_buffer(a, 300), lambda: focal.spread_filter(a, "linear", 2), lambda: focal.spread_filter(a, "exponential", 3, normalise=True), lambda: focal.filter_circular(a, 2, "sum"), lambda: cluster.cluster_id_with_obstacles(a, walls), lambda: cluster.fuzzy_cluster_id_with_obstacles(a, walls, 300), lambda: distance.distance(targets, walls), lambda: distance.value_at_closest_lt_travel_target(targets, cost, a, 20.0)]
     whole = [show(f(), 3) for f in runs]
-    monkeypatch.setattr(tiles, "SIDE", 5)
-    monkeypatch.setattr(cluster, "SIDE", 5)
-    assert [show(f(), 3) for f in runs] == whole
+    with tiles.sized(5):
+        assert [show(f(), 3) for f in runs] == whole
+    assert tiles.SIDE == 256
 
 
 def test_clusters(spark):
@@ -138,16 +139,32 @@ def test_distance(spark):
             distance.sum_within_travel_distance(ones, cost, ones, bad)
 
 
-LDD = [[2, 2, 2, 1, 1], [2, 2, 1, 1, 1], [3, 2, 1, 4, 1], [3, 2, 1, 4, 4], [6, 5, 4, 4, 4]]
+LDD = [[3, 3, 2, 1, 2], [3, 6, 2, 4, 1], [6, 3, 3, 2, 4], [9, 6, 6, 5, 4], [8, 9, 6, 8, 7]]  # keypad directions, 5 is the pit
+KEYPAD = {7: (-1, -1), 8: (-1, 0), 9: (-1, 1), 4: (0, -1), 6: (0, 1), 1: (1, -1), 2: (1, 0), 3: (1, 1)}
+
+
+def rivers(ldd):
+    """Each cell's way down, itself first, as (row, col, length so far)."""
+    for r in range(len(ldd)):
+        for c in range(len(ldd[0])):
+            way, y, x = [(r, c, 0.0)], r, c
+            while ldd[y][x] != 5:
+                dy, dx = KEYPAD[ldd[y][x]]
+                y, x = y + dy, x + dx
+                way.append((y, x, way[-1][2] + math.hypot(dy, dx)))
+            yield way
 
 
 def test_drainage(spark):
-    ldd4 = ras(spark, [[2, 2, 2, 2], [2, 2, 2, 2], [3, 2, 1, 4], [6, 5, 4, 4]], "uint8", nodata=255)
-    freight = ras(spark, [[1] * 4, [2, 3, 4, 5], [1] * 4, [1] * 4], "float64")
-    assert show(drainage.accuflux(ldd4, freight)) == [[1, 1, 1, 1], [3, 4, 5, 6], [4, 5, 13, 7], [1, 26, 2, 1]]
-    s = math.sqrt(2)
-    expected = [[0] * 5, [1, 1, s, s, 0], [2, 2 * s, 2 * s, s, 0], [0, 3 * s, 1 + s, s, 0], [0, 1 + 3 * s, 2, 1, 0]]
-    assert np.allclose(show(drainage.max_upstream_dist(ras(spark, LDD, "uint8", nodata=255, cell=1.0))), expected)
+    ldd = ras(spark, LDD, "uint8", nodata=255, cell=1.0)
+    amounts = [[1 + (3 * r + c) % 4 for c in range(5)] for r in range(5)]
+    flux, longest = [[0.0] * 5 for _ in range(5)], [[0.0] * 5 for _ in range(5)]
+    for way in rivers(LDD):
+        for y, x, length in way:
+            flux[y][x] += amounts[way[0][0]][way[0][1]]
+            longest[y][x] = max(longest[y][x], length)
+    assert show(drainage.accuflux(ldd, ras(spark, amounts, "float64", cell=1.0))) == flux
+    assert np.allclose(show(drainage.max_upstream_dist(ldd)), longest)
     loop = ras(spark, [[6, 4]], "uint8", nodata=255)
     with pytest.raises(RasterError):
         drainage.accuflux(loop, ras(spark, [[1, 1]], "float64"))
