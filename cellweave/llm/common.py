@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable, shared_dir
+from ..plans.durable import durable, folder
 
 #: Words are runs of anything but space and the ASCII controls 9 to 13; ``bytes.split()`` cuts the same way.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,7 +60,7 @@ def keep_grouped(df: DataFrame, name: str, column: str) -> DataFrame:
     spark = df.sparkSession
     prepare(spark)
     unique = f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", f"{shared_dir(spark)}/{unique}").saveAsTable(unique)
+    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", f"{folder(spark)}/{unique}").option("compression", "zstd").saveAsTable(unique)
     return spark.table(unique)
 
 

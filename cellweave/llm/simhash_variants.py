@@ -4,25 +4,25 @@ Fingerprints within BITS differing bits, cut into BITS // 2 + 1 = 3 segments, ag
 most. Each distinct fingerprint is therefore indexed under 64 keys, each a segment with one bit struck out; fingerprints
 that link share a key. Copies of one fingerprint count once, so a hot text costs one entry. Then
 
-1. every key links its members to its smallest one where they are within BITS (no other pairs), and components
-   of these links are found;
-2. keys whose members are in several components verify the remaining pairs between components, but none within the component of
-   the smallest member, so that a large group of near copies costs its size and not its square; each pair counts under the first key
-   that it shares;
-3. both sets of links together give the components.
-
-The index is written in buckets of its key and read from there, so it is shuffled once. Components come from contracting links: every
+1. every member of a key is held against the key's smallest one, and each fingerprint links to some (TRIES) of those that are within
+   BITS; components of these links are found. This costs the size of a group of near copies and not its square;
+2. members of keys of more than CROWD do the same with a random member of the key, for up to ROUNDS rounds while links are found;
+3. pairs of a key's members in different components are verified, under the first key that they share. In a key of more than CROWD
+   members, those in the key's most frequent component are only held against the others;
+4. all links together give the components.
+
+Joins emit near pairs only. Components come from contracting links: every
 root takes its smallest neighbour, chains are shortened by pointer jumping, links are rewritten to roots, until none is left.
-All tables stay distributed and are written between rounds.
+All tables stay distributed and are written between rounds; those of no more use are deleted.
 
 Defined results: null, empty and wordless texts have fingerprint zero and are linked like any other; repeated rows link
 to each other; a null doc_id takes part but names no component unless all of its ids are null; an empty table gives an
 empty result. ``deduplicate`` keeps one row of each component, the one of smallest (doc_id, row hash), nulls last, with all columns under
 any name. Its components also link texts whose sets of word shingles are alike (Jaccard): such sets share a shingle among the first
 n - ceil(similarity n) + 1 of any common order, which are the keys of an index as above; pairs whose own 128-bit SimHashes differ in more
-than FAR bits of 64, or twice that in all, are passed over (sets of similarity 0.8 differ in 9.7 of 64, with a deviation of 2.9: some one in
-ten million of them is lost), and whole sets verify the others. The order puts shingles that are frequent in a sample last, which
-changes the work and never the result.
+than FAR bits are passed over (sets of similarity 0.8 differ in 19.5, with a deviation of 4.1: some one in ten thousand of them is lost,
+fewer of those more alike; sets that have nothing else in common differ in 64, with 5.7), and whole sets verify the others. The order puts shingles that are frequent in a sample
+of one text in SAMPLE last, which changes the work and never the result.
 """
 
 from __future__ import annotations
@@ -37,12 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.components import components
-from .common import give_back, keep, keep_grouped, quoted
+from ..plans.durable import scratch
+from .common import give_back, keep, quoted
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Of ``deduplicate``: words of a shingle, and the least Jaccard similarity as a fraction.
 WORDS, ALIKE = 5, (4, 5)
-SAMPLE_ROWS, SAMPLE_LEAST, HOT, FAR = 20_000, 3, 100_000, 26
+SAMPLE, SAMPLE_LEAST, HOT, FAR, TRIES, CROWD, ROUNDS = 8, 3, 100_000, 36, 6, 256, 3
 #: (first bit, width) of the segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 
@@ -96,40 +97,69 @@ def _first_shared(x: Column, key: Column) -> Column:
     return struck == wanted
 
 
-def _roots(items: DataFrame, entries: DataFrame, near: Callable[[Column, Column], Column], links: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """(item, root) for all items, by links between items that share a key of entries (key, item, print).
+def _roots(items: DataFrame, entries: DataFrame, near: Callable[[Column, Column, Column | None], Column], links: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """(item, root) for all items (item, root: what is known to belong together), by links between items that share a key of entries (key, item, print).
 
-    near(x, key): whether two prints of XOR x may link; links(pairs): the pairs (a, b) of items that do.
+    near(x, y, key): whether two prints may link; links(pairs): the pairs (a, b) of items that do.
     """
-    spark = items.sparkSession
-    index = keep_grouped(entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key"), f"{name}_index", "key")
-    least = index.groupBy("key").agg(F.min(F.struct("item", "print")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    x = F.col("print").bitwiseXOR(F.col("least.print"))
-    stars = index.join(least, "key").where((F.col("item") != F.col("least.item")) & near(x, None)).select(F.col("least.item").alias("a"), F.col("item").alias("b"))
-    first = components(links(keep(stars.distinct(), f"{name}-stars")))
-    rooted = keep(items.join(first.withColumnRenamed("v", "item"), "item", "left").select("item", F.coalesce("root", "item").alias("root")), f"{name}-first")
-    # keys of several components: all pairs between them but those within the component of the smallest item
-    shared = index.join(index.groupBy("key").count().where("count > 1").select("key"), "key").join(rooted, "item")
-    member = keep_grouped(shared.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key"), f"{name}_members", "key")
-    mixed = member.groupBy("key").agg(F.min(F.struct("item", "root"))["root"].alias("main"), (F.min("root") != F.max("root")).alias("mixed")).where("mixed").drop("mixed")
-    a = member.join(mixed, "key").where("root <> main").select("key", "main", F.col("item").alias("a"), F.col("print").alias("a_print"), F.col("root").alias("a_root"))
-    b = member.select("key", F.col("item").alias("b"), F.col("print").alias("b_print"), F.col("root").alias("b_root"))
-    on = (a.key == b.key) & (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("main")) | (F.col("a_root") < F.col("b_root"))) & near(F.col("a_print").bitwiseXOR(F.col("b_print")), a.key)
-    met = keep(a.join(b, on).select("a", "b").distinct(), f"{name}-pairs")
-    found = links(met)
-    up = lambda c: rooted.select(F.col("item").alias(c), F.col("root").alias(f"{c}_root"))
-    crossing = found.join(up("a"), "a").join(up("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-    second = components(crossing)
-    final = rooted.join(second.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left")
-    return keep(final.select("item", F.coalesce("top", "root").alias("root")), f"{name}-roots")
+    keys = keep(entries.groupBy("key").agg(F.min(F.struct("item", "print")).alias("least"), F.count("*").alias("n")).where("n > 1"), f"{name}-keys")
+    up = lambda roots, c: roots.select(F.col("item").alias(c), F.col("root").alias(f"{c}_root"))
+    e, k = entries, keys.select(F.col("key").alias("of"), "least")
+    met = e.join(k, (e.key == k.of) & (F.col("item") != F.col("least.item")) & near(F.col("print"), F.col("least.print"), None)).select(F.col("least.item").alias("a"), F.col("item").alias("b"))
+    apart = keep(met.distinct(), f"{name}-met").join(up(items, "a"), "a").join(up(items, "b"), "b").where("a_root <> b_root")
+    tried = apart.groupBy("b").agg(*[F.min_by("a", F.xxhash64("a_root", F.lit(n))).alias(f"t{n}") for n in range(TRIES)])
+    stars = tried.select(F.explode(F.array_distinct(F.array(*[f"t{n}" for n in range(TRIES)]))).alias("a"), "b")
+    first = _joined_roots(items, links(keep(stars, f"{name}-stars")), f"{name}-first")
+    crowds = keep(keys.where(F.col("n") > CROWD).select("key"), f"{name}-crowds")
+    crowded = not crowds.isEmpty()
+    if crowded:
+        crowd = keep(entries.join(crowds, "key"), f"{name}-crowd")
+        for turn in range(ROUNDS):
+            now = crowd.join(first, "item")
+            pivots = now.groupBy("key").agg(F.min_by(F.struct("item", "print", "root"), F.xxhash64("item", F.lit(turn))).alias("pivot")).withColumnRenamed("key", "of")
+            met = now.join(pivots, (F.col("key") == F.col("of")) & (F.col("root") != F.col("pivot.root")) & near(F.col("print"), F.col("pivot.print"), None))
+            tried = met.groupBy("item").agg(*[F.min_by("pivot.item", F.xxhash64("pivot.item", F.lit(n))).alias(f"t{n}") for n in range(TRIES)])
+            found = links(keep(tried.select(F.explode(F.array_distinct(F.array(*[f"t{n}" for n in range(TRIES)]))).alias("a"), F.col("item").alias("b")), f"{name}-tried"))
+            if found.isEmpty():
+                break
+            first = _joined_roots(first, found, f"{name}-first")
+    rooted = entries.join(first, "item")
+    side = lambda rows, c: rows.select("key", *[F.col(x).alias(f"{c}_{x}") for x in ("item", "print", "root")])
+    near_pair = near(F.col("a_print"), F.col("b_print"), F.col("key"))
+    thin = rooted.join(crowds, "key", "left_anti") if crowded else rooted
+    a, b = side(thin, "a"), side(thin, "b").withColumnRenamed("key", "of")
+    pairs = a.join(b, (F.col("key") == F.col("of")) & (F.col("a_root") < F.col("b_root")) & near_pair).select(F.col("a_item").alias("a"), F.col("b_item").alias("b"))
+    if crowded:
+        many = keep(crowd.join(first, "item"), f"{name}-crowded")
+        main = many.groupBy("key").agg(F.mode("root", True).alias("main"))
+        a, b = side(many.join(main, "key").where("root <> main"), "a").join(main, "key"), side(many, "b").withColumnRenamed("key", "of")
+        other = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("main")) | (F.col("a_root") < F.col("b_root")))
+        pairs = pairs.union(a.join(b, (F.col("key") == F.col("of")) & other & near_pair).select(F.col("a_item").alias("a"), F.col("b_item").alias("b")))
+    return _joined_roots(first, links(keep(pairs.distinct(), f"{name}-pairs")), f"{name}-second")
+
+
+def _joined_roots(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """roots (item, root) with those made one that links (a, b) between items join."""
+    up = lambda c: roots.select(F.col("item").alias(c), F.col("root").alias(f"{c}_root"))
+    tops = components(links.join(up("a"), "a").join(up("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    return keep(roots.join(tops.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").select("item", F.coalesce("top", "root").alias("root")), name)
+
+
+def _apart(x: Column, y: Column, n: int) -> Column:
+    """Differing bits of two prints of n longs."""
+    out = F.bit_count(x[0].bitwiseXOR(y[0]))
+    for k in range(1, n):
+        out += F.bit_count(x[k].bitwiseXOR(y[k]))
+    return out
 
 
 def fingerprint_roots(fps: DataFrame) -> DataFrame:
     """(fp, root) for all distinct fingerprints fps (fp)."""
-    items = keep(fps.select(F.col("fp").alias("item")), "fingerprints")
-    entries = items.select(F.explode(_variants(F.col("item"))).alias("key"), "item", F.col("item").alias("print"))
-    near = lambda x, key: (F.bit_count(x) <= BITS) & (F.lit(True) if key is None else _first_shared(x, key))
-    return _roots(items, entries, near, lambda pairs: pairs, "simhash").withColumnRenamed("item", "fp")
+    with scratch(fps.sparkSession) as lasting:
+        items = keep(fps.select(F.col("fp").alias("item"), F.col("fp").alias("root")), "fingerprints")
+        entries = items.select(F.explode(_variants(F.col("item"))).alias("key"), "item", F.array("item").alias("print"))
+        near = lambda x, y, key: (_apart(x, y, 1) <= BITS) & (F.lit(True) if key is None else _first_shared(x[0].bitwiseXOR(y[0]), key))
+        return lasting(_roots(items, entries, near, lambda pairs: pairs, "simhash").withColumnRenamed("item", "fp"), "simhash-roots")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -196,18 +226,25 @@ def _prefixed(width: int, alike: tuple[int, int], hot: np.ndarray):
     return prefixes
 
 
+def _can_be_alike(x: Column, y: Column, alike: tuple[int, int]) -> Column:
+    """Whether sets of so many items (x[2], y[2]), of which at least so many are in no other set (x[3], y[3]), can be alike."""
+    more = x[2] - y[2]
+    apart = 2 * F.greatest(x[3], y[3] + more) - more  # items in one of both only, at least
+    whole = x[2] + y[2]
+    return (alike[1] * F.least(x[2], y[2]) >= alike[0] * F.greatest(x[2], y[2])) & (alike[1] * (whole - apart) >= alike[0] * (whole + apart))
+
+
 def _alike(texts: DataFrame, rows: DataFrame, width: int, alike: tuple[int, int]) -> Callable[[DataFrame], DataFrame]:
-    """The pairs (a, b) of sets that are alike: rows (set, n, print, print2, row), texts (row, text), a row for each set."""
+    """The pairs (a, b) of items that are alike: rows (item, n, row), texts (row, text), a row for each item."""
 
     def links(pairs: DataFrame) -> DataFrame:
-        about = lambda c: rows.select(F.col("set").alias(c), F.col("n").alias(f"{c}_n"), F.col("print").alias(f"{c}_x"), F.col("print2").alias(f"{c}_y"))
-        far = F.bit_count(F.col("a_x").bitwiseXOR(F.col("b_x"))) + F.bit_count(F.col("a_y").bitwiseXOR(F.col("b_y")))
+        about = lambda c: rows.select(F.col("item").alias(c), F.col("n").alias(f"{c}_n"))
         size = alike[1] * F.least("a_n", "b_n") >= alike[0] * F.greatest("a_n", "b_n")
-        near = keep(pairs.join(about("a"), "a").join(about("b"), "b").where(size & (far <= 2 * FAR)).select("a", "b"), "alike-candidates")
-        wanted = near.select(F.col("a").alias("set")).union(near.select("b")).distinct()
-        chosen = keep(rows.select("set", "row").join(wanted, "set"), "alike-rows")
-        sets = keep(texts.join(chosen, "row").dropDuplicates(["set"]).select("set", _shingled(width)("text").alias("items")), "alike-sets")
-        x, y = (sets.select(F.col("set").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
+        near = keep(pairs.join(about("a"), "a").join(about("b"), "b").where(size).select("a", "b"), "alike-candidates")
+        wanted = near.select(F.col("a").alias("item")).union(near.select("b")).distinct()
+        chosen = keep(rows.select("item", "row").join(wanted, "item"), "alike-rows")
+        sets = keep(texts.join(chosen, "row").dropDuplicates(["item"]).select("item", _shingled(width)("text").alias("items")), "alike-sets")
+        x, y = (sets.select(F.col("item").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
         both = F.size(F.array_intersect("a_items", "b_items"))
         return keep(near.join(x, "a").join(y, "b").where(alike[1] * both >= alike[0] * (F.size("a_items") + F.size("b_items") - both)).select("a", "b"), "alike-links")
 
@@ -223,24 +260,34 @@ def _identity(docs: DataFrame):
 def deduplicate(docs: DataFrame, width: int = WORDS, alike: tuple[int, int] = ALIKE) -> DataFrame:
     """One row of docs for each component, with its columns; fingerprints within BITS link, and sets of shingles that are alike."""
     rows = docs.select(_identity(docs).alias("row"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("packed")).select("row", "packed", F.col("packed.doc_id").alias("doc_id"), F.col("packed.text").alias("text"))
-    sampled = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // SAMPLE_ROWS))) == 0)
-    often = sampled.select(F.explode(_shingled(width)("text")).alias("key")).groupBy("key").count().where(F.col("count") >= SAMPLE_LEAST)
+    with scratch(docs.sparkSession) as lasting:
+        chosen = lasting(_chosen(rows, width, alike), "simhash-chosen")
+    kept = rows.select("row", "packed").join(chosen, "row")
+    return kept.where("many is null").select("packed").union(kept.where("many").dropDuplicates(["row"]).select("packed")).select("packed.*")
+
+
+def _chosen(rows: DataFrame, width: int, alike: tuple[int, int]) -> DataFrame:
+    """(row, many) of the rows (row, doc_id, text) that stay; many: there are several equal ones."""
+    often = rows.where(F.pmod(F.xxhash64("doc_id", "row"), F.lit(SAMPLE)) == 0).select(F.explode(_shingled(width)("text")).alias("key")).groupBy("key").count().where(F.col("count") >= SAMPLE_LEAST)
     hot = often.orderBy(F.desc("count"), "key").limit(HOT).toArrow().column("key").to_numpy().view(np.uint64)[::-1].copy()
     hashed = keep(rows.select("doc_id", "row", simhash("text").alias("fp"), _prefixed(width, alike, hot)("text").alias("s")).select("doc_id", "row", "fp", "s.*"), "simhash")
-    groups = keep(hashed.groupBy("fp", "set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("first")), "simhash-groups")
+    narrow = hashed.select("doc_id", "row", "fp", "set", "n")
+    groups = keep(narrow.groupBy("fp", "set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("first")), "simhash-groups")
     named = keep(groups.join(fingerprint_roots(groups.select("fp").distinct()), "fp").select("set", "root", "first"), "simhash-named")
-    one = groups.groupBy("set").agg(F.min("first.row").alias("row"))
-    index = keep(hashed.join(one, ["set", "row"]).dropDuplicates(["set"]).select("set", "n", "print", "print2", "prefix", "row"), "alike-sets")
-    near = lambda x, key: F.bit_count(x) <= FAR
-    entries = index.select(F.explode("prefix").alias("key"), F.col("set").alias("item"), "print")
-    alike_roots = _roots(index.select(F.col("set").alias("item")), entries, near, _alike(rows.select("row", "text"), index, width, alike), "alike")
-    # components of the fingerprints' and of the sets' together, as links between their roots
-    both = keep(named.join(alike_roots.select(F.col("item").alias("set"), F.col("root").alias("own")), "set"), "simhash-both")
-    least = both.groupBy("root").agg(F.min("own").alias("a"))
-    joint = components(both.select("root", F.col("own").alias("b")).distinct().join(least, "root").select("a", "b"))
-    final = both.join(joint.select(F.col("v").alias("own"), F.col("root").alias("top")), "own", "left")
-    chosen = final.groupBy(F.coalesce("top", "own").alias("top")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    many = hashed.groupBy("row").count().where("count > 1").select("row", F.lit(True).alias("many"))
-    chosen = keep(chosen.distinct().join(many, "row", "left"), "simhash-chosen")
-    kept = rows.select("row", "packed").join(chosen, "row")
-    return kept.where("many is null").select("packed").union(kept.where("many").dropDuplicates(["row"]).select("packed")).select("packed.*")
+    one = keep(groups.groupBy("set").agg(F.min("first.row").alias("row")).withColumn("item", F.monotonically_increasing_id()), "alike-numbers")
+    index = keep(narrow.join(one, ["set", "row"]).dropDuplicates(["item"]).select("item", "set", "n", "row"), "alike-items")
+    # a set belongs to the component of its text's fingerprint; where texts of one set have several, it joins them
+    least = named.groupBy("set").agg(F.min("root").alias("a"))
+    tops = components(named.join(least, "set").select("a", F.col("root").alias("b")))
+    known = keep(index.join(least, "set").join(tops.select(F.col("v").alias("a"), F.col("root").alias("top")), "a", "left").select("item", "set", F.coalesce("top", "a").alias("root")), "alike-known")
+    prefix = hashed.join(one, ["set", "row"]).dropDuplicates(["item"]).select(F.explode("prefix").alias("key"), "item", "print", "print2", F.col("n").cast("long").alias("n"), F.size("prefix").alias("first"))
+    shared = keep(prefix.groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high")).where("low < high").select("key"), "alike-shared")
+    met = keep(prefix.join(shared, "key"), "alike-met")
+    alone = met.groupBy("item").agg((F.first("first") - F.count("*")).alias("alone"))  # first shingles that no other set has
+    entries = keep(met.join(alone, "item").select("key", "item", F.array("print", "print2", "n", "alone").alias("print")), "alike-index")
+    near = lambda x, y, key: (_apart(x, y, 2) <= FAR) & _can_be_alike(x, y, alike)
+    own = _roots(known.select("item", "root"), entries, near, _alike(rows.select("row", "text"), index, width, alike), "alike")
+    final = named.join(known.select("set", "item").join(own, "item").select("set", F.col("root").alias("top")), "set")
+    stay = final.groupBy("top").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    many = narrow.groupBy("row").count().where("count > 1").select("row", F.lit(True).alias("many"))
+    return stay.distinct().join(many, "row", "left")
