@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +26,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+def folder(spark: SparkSession) -> str:
+    """Where tables are written now."""
+    return _folder.get() or shared_dir(spark)
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a table in the shared folder, read with its own schema (no inference)."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those written by the function that it gives."""
+    outer, path = _folder.get(), f"{folder(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _folder.set(path)
+
+    def lasting(df: DataFrame, name: str) -> DataFrame:
+        inner = _folder.set(outer)
+        try:
+            return durable(df, name)
+        finally:
+            _folder.reset(inner)
+
+    try:
+        yield lasting
+    finally:
+        _folder.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)  # any file system that Spark can write to
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
