@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, packed, prepare
+from .common import fold, memory, packed, prepare
 
 HELD_OUT = (4, 2)
 BITS, ORDERS = 15, (1, 2, 3)
@@ -107,6 +107,7 @@ def _document_frequencies(texts: DataFrame) -> np.ndarray:
     """Texts holding each feature, and last the number of texts."""
 
     def partial(batches):
+        memory("language")
         total = np.zeros(_DIM + 1, np.int64)
         for b in batches:
             for t in b.column(0):
@@ -212,6 +213,7 @@ def _predictor(docs: DataFrame, model: Model):
 
     @F.arrow_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predicted(texts: pa.Array) -> pa.Array:
+        memory("language")
         rows = [shared.value.predict(x.as_py()) for x in texts]
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["lang", "score"])
 

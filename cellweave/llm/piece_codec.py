@@ -30,7 +30,7 @@ from .common import memory, prepare
 
 SPACE = "▁"
 #: Parts and pairs remembered by a worker; beyond it, at the next text, the memory starts afresh. Longer parts than LONG are not kept.
-REMEMBERED, LONG = 300_000, 48
+REMEMBERED, LONG = 200_000, 48
 
 
 class Model(NamedTuple):

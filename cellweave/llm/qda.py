@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, keep
+from .common import fold, keep, memory
 
 HELD_OUT = (4, 2)
 CLASS_SHRINK, DIAGONAL_SHRINK, TEMPER = 0.1, 0.1, 0.5
@@ -67,6 +67,7 @@ def features(data: bytes | None) -> tuple[float, ...]:
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def text_features(texts: pa.Array) -> pa.Array:
+    memory("quality classifier")
     return pa.array([features(t.as_py()) for t in texts.cast(pa.large_binary())], pa.list_(pa.float64()))
 
 

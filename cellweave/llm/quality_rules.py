@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, keep, packed
+from .common import join_small, keep, memory, packed
 
 SPACE, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -58,6 +58,7 @@ _FIELDS = pa.struct([(c, pa.int64()) for c in COUNTS])
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def text_counts(texts: pa.Array) -> pa.Array:
+    memory("quality")
     rows = [count_text(t.as_py()) for t in texts.cast(pa.large_binary())]
     return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)] or [pa.array([], pa.int64())] * len(COUNTS), fields=list(_FIELDS))
 

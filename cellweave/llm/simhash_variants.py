@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from ..plans.components import components
 from ..plans.durable import scratch
-from .common import give_back, keep, quoted
+from .common import give_back, keep, memory, quoted
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Of ``deduplicate``: words of a shingle, and the least Jaccard similarity as a fraction.
@@ -69,6 +69,7 @@ def fingerprint(data: bytes | None) -> int:
 @F.arrow_udf(T.LongType())
 def simhash(texts: pa.Array) -> pa.Array:
     """Fingerprints as signed longs."""
+    memory("simhash")
     found = np.array([fingerprint(t.as_py()) for t in texts.cast(pa.large_binary())], np.uint64)
     return pa.array(found.view(np.int64))
 
@@ -187,6 +188,7 @@ def shingles(data: bytes | None, width: int) -> np.ndarray:
 def _shingled(width: int):
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def sets(texts: pa.Array) -> pa.Array:
+        memory("simhash")
         return pa.array([shingles(t.as_py(), width).view(np.int64) for t in texts.cast(pa.large_binary())], pa.list_(pa.int64()))
 
     return sets
@@ -208,6 +210,7 @@ def _prefixed(width: int, alike: tuple[int, int], hot: np.ndarray):
 
     @F.arrow_udf(T.StructType([T.StructField(n, t) for n, t in kinds]))
     def prefixes(texts: pa.Array) -> pa.Array:
+        memory("simhash")
         sets, sizes, prints, others, first = [], [], [], [], []
         for t in texts.cast(pa.large_binary()):
             x = shingles(t.as_py(), width)
