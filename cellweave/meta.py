@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
@@ -39,6 +40,21 @@ def default_nodata(dtype: str) -> float:
     return float("nan") if is_float(dtype) else float(RANGES[dtype][1])
 
 
+EARTH = 6378137.0
+
+
+def to_geographic(x, y):
+    """Degrees of Web Mercator metres; numbers or columns."""
+    m = F if isinstance(x, Column) or isinstance(y, Column) else math
+    return x / EARTH * (180 / math.pi), (2 * m.atan(m.exp(y / EARTH)) - math.pi / 2) * (180 / math.pi)
+
+
+def to_mercator(lon, lat):
+    """Web Mercator metres of degrees; numbers or columns."""
+    m = F if isinstance(lon, Column) or isinstance(lat, Column) else math
+    return lon * (math.pi / 180 * EARTH), m.log(m.tan(math.pi / 4 + lat * (math.pi / 360))) * EARTH
+
+
 @dataclass(frozen=True)
 class RasterMeta:
     rows: int
@@ -61,6 +77,22 @@ class RasterMeta:
         """Left, bottom, right, top."""
         return self.xll, self.yll, self.xll + self.cols * self.cell_size, self.yll + self.rows * self.cell_size
 
+    @property
+    def epsg(self) -> int | None:
+        """The number in a projection such as EPSG:3857."""
+        code = self.projection.upper().removeprefix("EPSG:")
+        return int(code) if code.isdigit() else None
+
+    @property
+    def bounds_geo(self) -> tuple[float, float, float, float]:
+        """Bounds in degrees, of rasters in EPSG:4326 or EPSG:3857."""
+        if self.epsg == 4326:
+            return self.bounds
+        if self.epsg == 3857:
+            left, bottom, right, top = self.bounds
+            return *to_geographic(left, bottom), *to_geographic(right, top)
+        raise RasterError(f"no closed form from {self.projection or 'no projection'} to degrees")
+
     def xy(self, row, col):
         """Coordinates of a cell's centre; numbers or columns. Row 0 is the top."""
         return self.xll + (col + 0.5) * self.cell_size, self.yll + self.rows * self.cell_size - (row + 0.5) * self.cell_size

@@ -32,6 +32,12 @@ def remap_to_byte(value: Column, lo: float, hi: float, first: int = 0, last: int
     return F.when(v.isNotNull(), F.when(v.between(lo, hi), scaled).otherwise(0)).cast("smallint")
 
 
+def remap_to_float(value: Column, lo: float, hi: float, first: float = 0.0, last: float = 1.0) -> Column:
+    """[lo, hi] to first..last; first outside, and everywhere if lo equals hi."""
+    v = value.cast("double")
+    return F.when(v.isNotNull(), F.when(v.between(lo, hi), first + (v - lo) * ((last - first) / (hi - lo) if hi != lo else 0.0)).otherwise(first))
+
+
 def normalise_to_byte(r: Raster) -> Raster:
     lo, hi = _range(r)
     return r.with_value(F.lit(None) if lo is None else remap_to_byte(r.value, lo, hi), "uint8", r.meta.replace(nodata=255))

@@ -94,12 +94,31 @@ def polygon_cells(polygons: DataFrame, meta: RasterMeta, *fields: str) -> DataFr
     return ranges.select("fid", *fields, "row", F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
-def rasterize(polygons: DataFrame, field: str, meta: RasterMeta, add: bool = False, empty: float | None = None, constant: float | None = None) -> Raster:
-    """Burns a field (or a constant) into the cells whose centre lies inside: of the last polygon by fid, or the sum."""
+def touched_cells(polygons: DataFrame, meta: RasterMeta, *fields: str) -> DataFrame:
+    """(fid, row, col, fields) of the cells that polygons touch: those whose centre lies inside, and those that an edge enters (the cell
+    below or to the right owns its upper and left sides)."""
+    ring = polygons.select("fid", *fields, F.explode("rings").alias("ring")).withColumn("n", F.size("ring"))
+    closed = ring.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    a, b = F.col("ring")[F.col("k")], F.col("ring")[F.col("k") + 1 - F.when(F.col("k") + 1 == F.col("n"), F.col("n")).otherwise(0)]
+    left, _, _, top = meta.bounds
+    size = meta.cell_size
+    at = (lambda p, n: ((p["x"] - left) / size).alias(f"x{n}")), (lambda p, n: ((top - p["y"]) / size).alias(f"y{n}"))
+    edges = closed.select("fid", *fields, *[f(p, n) for f in at for p, n in ((a, 0), (b, 1))])
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    rows = edges.withColumn("row", F.explode(F.sequence(F.floor(low), F.floor(high))))
+    x_at = lambda y: F.when(F.col("y0") == F.col("y1"), F.col("x0")).otherwise(F.col("x0") + (y - F.col("y0")) * F.try_divide(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+    first, last = x_at(F.greatest(low, F.col("row").cast("double"))), x_at(F.least(high, F.col("row") + 1.0))
+    ends = rows.withColumn("p", F.when(F.col("y0") == F.col("y1"), F.least("x0", "x1")).otherwise(F.least(first, last))).withColumn("q", F.when(F.col("y0") == F.col("y1"), F.greatest("x0", "x1")).otherwise(F.greatest(first, last)))
+    crossed = ends.select("fid", *fields, F.col("row").cast("int").alias("row"), F.explode(F.sequence(F.floor("p").cast("int"), F.floor("q").cast("int"))).alias("col"))
+    return _inside(crossed, meta).union(polygon_cells(polygons, meta, *fields)).dropDuplicates(["fid", "row", "col"])
+
+
+def rasterize(polygons: DataFrame, field: str, meta: RasterMeta, add: bool = False, empty: float | None = None, constant: float | None = None, all_touched: bool = False) -> Raster:
+    """Burns a field (or a constant) into the cells whose centre lies inside, or all that are touched: of the last polygon by fid, or the sum."""
     if add and empty is not None and math.isnan(empty):
         raise RasterError("adding to NaN")
     p = polygons if constant is None else polygons.withColumn(field, F.lit(float(constant)))
-    hit = polygon_cells(p, meta, field).groupBy("row", "col").agg((F.sum(field) if add else F.max_by(field, "fid")).alias("x"))
+    hit = (touched_cells if all_touched else polygon_cells)(p, meta, field).groupBy("row", "col").agg((F.sum(field) if add else F.max_by(field, "fid")).alias("x"))
     return over_grid(hit, meta, "float64", 0.0 if add and empty is None else empty)
 
 

@@ -209,6 +209,57 @@ q("majority_filter", lambda g: focal.majority_filter(g.b, 200), f"SELECT c.row,
 _seeds = [(0, 3), (2, 30), (4, 12), (3, 38)]
 q("voronoi", lambda g: focal.voronoi(g.spark, g.meta, _seeds), "SELECT row, col, CAST(arg_min(i, (pow(row - r, 2) + pow(col - c, 2), i)) AS BIGINT) AS value FROM g, (VALUES " + ", ".join(f"({i}, {r}, {c})" for i, (r, c) in enumerate(_seeds)) + ") AS s(i, r, c) GROUP BY row, col")
 
+# formats, extents and projections
+
+
+def _kept_file(g: PartGrid, name: str) -> str:
+    import uuid
+
+    from .durable import shared_dir
+
+    return f"{shared_dir(g.spark)}/{uuid.uuid4().hex}-{name}"
+
+
+def _banded(g: PartGrid) -> Raster:
+    io.write_parquet(g.a, path := _kept_file(g, "bands.parquet"), bands={2: g.b})
+    return io.read(g.spark, path, band=2)
+
+
+def _mapped(g: PartGrid) -> Raster:
+    from ..sources import tables
+
+    lines = [(0, "0\t1,5"), (1, "1\tnan"), (2, "2\t-3"), (3, "4\t0,25")]
+    g.spark.createDataFrame(lines, "k int, value string").coalesce(1).select("value").write.text(path := _kept_file(g, "map.tab"))
+    return reclass.reclass(tables.read_mapping(g.spark, path), g.b)
+
+
+def _in_parts(g: PartGrid) -> Raster:
+    """An ASCII grid of a file for each row: written with a partition for each."""
+    kept = g.spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), g.spark.conf.get("spark.sql.shuffle.partitions")
+    for value in (("false", "16"), kept):
+        g.spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", value[0])
+        g.spark.conf.set("spark.sql.shuffle.partitions", value[1])
+        if value is not kept:
+            io.write(g.a, path := _kept_file(g, "parts.asc"))
+    return io.read(g.spark, path, "int32")
+
+
+q("read_band", _banded, value=_int("b"))
+q("read_tab", _mapped, value="CASE b WHEN 0 THEN 1.5 WHEN 2 THEN -3 WHEN 4 THEN 0.25 END", real=True)
+q("read_asc_parts", _in_parts, value=_int("a"))
+q("translate", lambda g: io.translate(g.a, g.meta.replace(rows=3, cols=20, xll=100.0, yll=g.meta.bounds[3] - 600.0, cell_size=200.0)), "SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, CAST(a AS BIGINT) AS value FROM range(3) AS x(r), range(20) AS y(c) LEFT JOIN g ON g.row = 2 * r + 1 AND g.col = 2 * c + 2")
+q("resize", lambda g: g.a.resize(4, 50, 7), "SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, CAST(CASE WHEN g.id IS NULL THEN 7 ELSE a END AS BIGINT) AS value FROM range(4) AS x(r), range(50) AS y(c) LEFT JOIN g ON g.row = r AND g.col = c")
+q("add_to_cell", lambda g: g.a.add_to_cell(1, 3, 5).add_to_cell(0, 0, 2), value=_int("CASE WHEN row = 1 AND col = 3 THEN coalesce(a, 0) + 5 WHEN row = 0 AND col = 0 THEN coalesce(a, 0) + 2 ELSE a END"))
+q("remap_to_float", lambda g: g.a.with_value(normalise.remap_to_float(g.a.value, 5, 40, 1.0, 3.0), "float32"), value="CASE WHEN a BETWEEN 5 AND 40 THEN 1 + (a - 5) * (2.0::DOUBLE / 35) WHEN a IS NOT NULL THEN 1 END", digits=4, real=True)
+q("rasterize_touched", lambda g: vector.rasterize(_polygons(g), "field", g.meta, add=True, all_touched=True), "SELECT row, col, coalesce(sum(field), 0)::DOUBLE AS value FROM ce LEFT JOIN bx ON l + 100 > x0 AND l < x1 AND b + 100 > y0 AND b < y1 GROUP BY row, col", ctes="bx(fid, x0, y0, x1, y1, field) AS (VALUES (1, 130.0::DOUBLE, 120.0::DOUBLE, 960.0::DOUBLE, 430.0::DOUBLE, 2.0::DOUBLE), (2, 700.0::DOUBLE, 20.0::DOUBLE, 1580.0::DOUBLE, 380.0::DOUBLE, 3.0::DOUBLE)), ce AS (SELECT row, col, col * 100.0::DOUBLE AS l, ((SELECT rows FROM n) - row - 1) * 100.0::DOUBLE AS b FROM g)")
+_degrees = lambda g: g.a.with_meta(xll=3.0, yll=50.0, cell_size=0.05, projection="EPSG:4326")
+_earth, _rad = "6378137.0::DOUBLE", "(pi() / 180)"
+q(
+    "warp_raster", lambda g: io.warp_raster(_degrees(g), 3857),
+    f"SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, CAST(a AS BIGINT) AS value FROM (SELECT r, c, CAST(floor((50 + 0.05::DOUBLE * (SELECT rows FROM n) - (2 * atan(exp((y1 - (r + 0.5) * s) / {_earth})) - pi() / 2) / {_rad}) / 0.05::DOUBLE) AS INT) AS sr, CAST(floor(((x0 + (c + 0.5) * s) / {_earth} / {_rad} - 3) / 0.05::DOUBLE) AS INT) AS sc FROM e, range(CAST(ceil((y1 - y0) / s - 1e-9) AS BIGINT)) AS y(r), range(40) AS x(c)) LEFT JOIN g ON g.row = sr AND g.col = sc",
+    ctes=f"e AS (SELECT 3 * {_rad} * {_earth} AS x0, 2.0::DOUBLE / 40 * {_rad} * {_earth} AS s, ln(tan(pi() / 4 + 50 * {_rad} / 2)) * {_earth} AS y0, ln(tan(pi() / 4 + (50 + 0.05::DOUBLE * rows) * {_rad} / 2)) * {_earth} AS y1 FROM n)",
+)
+
 # rescaling, weights, masks
 
 q("normalise", lambda g: normalise.normalise(g.f), value="(f - (SELECT min(f) FROM g)) / (SELECT max(f) - min(f) FROM g)", digits=5, real=True)

@@ -205,6 +205,23 @@ class Raster:
     def set_value(self, row: int, col: int, value: float | None) -> Raster:
         return self.with_value(F.when((F.col("row") == row) & (F.col("col") == col), F.lit(value)).otherwise(self.value))
 
+    def add_to_cell(self, row: int, col: int, value: float) -> Raster:
+        """The value added to one cell; nodata there counts as 0."""
+        return self.with_value(F.when((F.col("row") == row) & (F.col("col") == col), F.coalesce(self.value, F.lit(0)) + F.lit(value)).otherwise(self.value))
+
+    def resize(self, rows: int, cols: int, fill: float | None = None) -> Raster:
+        """So many rows and columns from the top left cell; new cells have the fill, or nodata."""
+        meta = self.meta.replace(rows=rows, cols=cols, yll=self.meta.bounds[3] - rows * self.meta.cell_size)
+        known = self.frame.where((F.col("row") < rows) & (F.col("col") < cols)).select("row", "col", self.value.alias("value"), F.lit(True).alias("known"))
+        frame = grid(self.frame.sparkSession, meta).join(known, ["row", "col"], "left")
+        return Raster.of(frame.select("row", "col", F.when(F.col("known"), F.col("value")).otherwise(F.lit(fill)).alias("value")), meta, self.dtype)
+
+    def __copy__(self) -> Raster:
+        return Raster(self.frame, self.value, self.meta, self.dtype)
+
+    def __deepcopy__(self, memo) -> Raster:
+        return self.__copy__()  # rasters never change
+
     def with_meta(self, **changes) -> Raster:
         """Changed georeference, projection or nodata value; rows and columns stay."""
         if {"rows", "cols"} & set(changes):

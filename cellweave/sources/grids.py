@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..meta import SPARK_TYPES, RasterError, RasterMeta, default_nodata
+from ..meta import SPARK_TYPES, RasterError, RasterMeta, default_nodata, to_geographic, to_mercator
 from ..operators.normalise import remap_to_byte
 from ..raster import Raster, grid
 
@@ -50,7 +50,7 @@ def read_metadata(spark: SparkSession, path: str) -> RasterMeta:
 def _asc_header(spark: SparkSession, path: str) -> tuple[RasterMeta, int]:
     """From the first lines of the first file that has any; a folder's files follow each other by name."""
     for file in sorted(spark.read.text(path).inputFiles()):
-        if lines := spark.read.text(file).take(len(HEADER)):
+        if lines := spark.read.text(file).where(F.trim("value") != "").take(len(HEADER)):
             return parse_asc_header([r[0] for r in lines])
     raise RasterError(f"no ASCII grid in {path}")
 
@@ -129,6 +129,64 @@ def window(r: Raster, extent: RasterMeta) -> Raster:
     return Raster.of(grid(r.frame.sparkSession, meta).join(moved, ["row", "col"], "left"), meta, r.dtype)
 
 
+def translate(r: Raster, extent: RasterMeta) -> Raster:
+    """The raster on another extent: cropped and padded on its own lattice, else by the nearest cell."""
+    try:
+        return window(r, extent)
+    except RasterError:
+        from .resample import resample
+
+        return resample(r, extent, "nearest")
+
+
+def warp_raster(r: Raster, epsg: int) -> Raster:
+    """The raster in another projection by the nearest cell: as it is for its own, by closed form between EPSG:4326 and EPSG:3857. Columns
+    keep their number, and cells are square."""
+    if r.meta.epsg == epsg:
+        return r
+    if {r.meta.epsg, epsg} != {4326, 3857}:
+        raise RasterError(f"no closed form from {r.meta.projection or 'no projection'} to EPSG:{epsg}")
+    there, back = (to_mercator, to_geographic) if epsg == 3857 else (to_geographic, to_mercator)
+    left, bottom, right, top = r.meta.bounds
+    (x0, y0), (x1, y1) = there(left, bottom), there(right, top)
+    size = (x1 - x0) / r.meta.cols
+    nodata = r.meta.nodata if r.meta.nodata is not None else default_nodata(r.dtype)
+    rows = max(1, math.ceil((y1 - y0) / size - 1e-9))
+    meta = r.meta.replace(rows=rows, xll=x0, yll=y1 - rows * size, cell_size=size, projection=f"EPSG:{epsg}", nodata=nodata)
+    row, col = r.meta.rc(*back(*meta.xy(F.col("row"), F.col("col"))))
+    source = r.cells().select(F.col("row").alias("sr"), F.col("col").alias("sc"), "value")
+    cells = grid(r.frame.sparkSession, meta).withColumn("sr", row).withColumn("sc", col)
+    return Raster.of(cells.join(source, ["sr", "sc"], "left").select("row", "col", "value"), meta, r.dtype)
+
+
+def read_array(spark: SparkSession, path: str, dtype: str | None = None, extent: RasterMeta | None = None):
+    """A masked numpy array and its metadata: for small rasters."""
+    r = read(spark, path, dtype, extent)
+    return r.to_array(), r.meta
+
+
+def write_array(spark: SparkSession, array, meta: RasterMeta, path: str, dtype: str | None = None) -> None:
+    write(Raster.from_array(spark, array, meta, dtype), path)
+
+
+def read_bytes(spark: SparkSession, data: bytes, dtype: str = "float64") -> Raster:
+    """An ASCII grid in memory."""
+    import numpy as np
+
+    lines = [x for x in data.decode().splitlines() if x.strip()]
+    meta, n = parse_asc_header(lines[: len(HEADER)])
+    values = np.array([x.split() for x in lines[n : n + meta.rows]], float)
+    return Raster.from_array(spark, np.ma.masked_invalid(values), meta, dtype)
+
+
+def write_colormapped(r: Raster, path: str, palette: list[tuple[int, int, int, int]], low: float | None = None, high: float | None = None) -> None:
+    """The colours of ``apply_colormap`` as four bands of a Parquet raster: red, green, blue, alpha."""
+    colours = apply_colormap(r, palette, low, high)
+    meta = r.meta.replace(nodata=None)
+    bands = {n: Raster.of(colours.select("row", "col", F.col(c).alias("value")), meta, "uint8") for n, c in enumerate("rgba", 1)}
+    write_parquet(bands[1], path, bands={n: b for n, b in bands.items() if n > 1})
+
+
 def sub_raster(r: Raster, extent: RasterMeta) -> Raster:
     """The part that both share."""
     dr, dc = r.meta.aligned(extent)

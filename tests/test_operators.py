@@ -258,6 +258,70 @@ def test_sources(spark, tmp_path):
         assert {v for r in show(flat, 6) for v in r} <= {5.0, N}
 
 
+def test_grids_of_many_parts(spark, tmp_path):
+    """Every part but the first lacks the header; blank lines and several splits of a file are numbered through."""
+    r = np.random.default_rng(5)
+    a = ras(spark, r.integers(0, 9, (400, 7)).tolist())
+    for key, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", "9"), ("spark.sql.files.maxPartitionBytes", "600b")):
+        spark.conf.set(key, value)
+    try:
+        grids.write(a, f"{tmp_path}/parts.asc")
+        assert len([x for x in __import__("os").listdir(f"{tmp_path}/parts.asc") if x.startswith("part-")]) >= 4
+        assert show(grids.read(spark, f"{tmp_path}/parts.asc", "int32")) == show(a)
+        with open(f"{tmp_path}/one.asc", "w") as f:
+            f.write("ncols 7\n\nnrows 400\ncellsize 100\nNODATA_value -9999\n" + "\n".join(" ".join(map(str, x)) + "\n" * (i % 3 == 0) for i, x in enumerate(show(a))))
+        assert show(grids.read(spark, f"{tmp_path}/one.asc", "int32")) == show(a)
+    finally:
+        for key in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.maxPartitionBytes"):
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    with pytest.raises(RasterError):
+        (tmp_path / "empty.asc").write_text("")
+        grids.read(spark, f"{tmp_path}/empty.asc")
+
+
+def test_arrays_bytes_bands_and_command_line(spark, tmp_path, capsys):
+    from cellweave.__main__ import main
+
+    meta = RasterMeta(2, 3, nodata=-1.0)
+    grids.write_array(spark, np.ma.masked_less(np.array([[1.0, -1.0, 2.5], [4.0, 0.0, 3.0]]), 0), meta, f"{tmp_path}/a.asc")
+    found, same = grids.read_array(spark, f"{tmp_path}/a.asc")
+    assert found.tolist() == [[1.0, N, 2.5], [4.0, 0.0, 3.0]] and same == meta
+    assert show(grids.read_bytes(spark, b"ncols 2\nnrows 2\ncellsize 1\nNODATA_value 9\n1 9\n3 4\n")) == [[1, N], [3, 4]]
+    grids.write_colormapped(ras(spark, [[0, 255, N]]), f"{tmp_path}/c.parquet", [(i, 255 - i, 7, 255) for i in range(256)], 0, 255)
+    assert [show(grids.read(spark, f"{tmp_path}/c.parquet", band=k))[0] for k in (1, 2, 3, 4)] == [[0, 255, 0], [255, 0, 0], [7, 7, 0], [255, 255, 0]]
+    assert main(["convert", f"{tmp_path}/a.asc", f"{tmp_path}/b.parquet", "--type", "float32", "--epsg", "31370"], spark) == [f"{tmp_path}/b.parquet written"]
+    assert {"epsg", "rows: 2", "type: float32", "sum: 10.5"} & set(main(["info", f"{tmp_path}/b.parquet"], spark)) == {"rows: 2", "type: float32", "sum: 10.5"}
+    assert grids.read(spark, f"{tmp_path}/b.parquet").meta.epsg == 31370 and capsys.readouterr().out
+    import copy
+
+    assert show(copy.deepcopy(ras(spark, [[1]]))) == [[1]]
+
+
+def test_projections(spark):
+    meta = RasterMeta(4, 5, 3.0, 50.0, 0.5, -1.0, "EPSG:4326")
+    r = Raster.from_array(spark, np.arange(20).reshape(4, 5), meta, "int32")
+    assert grids.warp_raster(r, 4326) is r and meta.bounds_geo == (3.0, 50.0, 5.5, 52.0)
+    there = grids.warp_raster(r, 3857)
+    assert np.allclose(there.meta.bounds_geo[0::2], (3.0, 5.5)) and math.isclose(there.meta.bounds_geo[3], 52.0) and there.meta.cols == 5 and there.meta.rows > 4
+    assert [row[0] for row in show(there)][0] == 0 and {v for row in show(there) for v in row} - {N} == set(range(20))
+    with pytest.raises(RasterError):
+        grids.warp_raster(r, 31370)
+    with pytest.raises(RasterError):
+        _ = RasterMeta(1, 1).bounds_geo
+
+
+def test_short_segments_weigh_as_one_line(spark):
+    """However a line is cut, with repeated points, the weights are those of the whole."""
+    meta = RasterMeta(6, 6, cell_size=1.0)
+    ends = ((0.7, 1.2), (5.1, 3.4))
+    cuts = [0, 0, 0.013, 0.02, 0.1, 0.1, 0.33, 0.5, 0.77, 0.78, 0.99, 1]
+    points = [(1, k, ends[0][0] + t * (ends[1][0] - ends[0][0]), ends[0][1] + t * (ends[1][1] - ends[0][1])) for k, t in enumerate(cuts)]
+    whole = [(1, 0, *ends[0]), (1, 1, *ends[1])]
+    a, b = (show(vector.rasterize_lines_aa(spark.createDataFrame(x, "line_id long, seq int, x double, y double"), meta), 9) for x in (points, whole))
+    assert a == b and math.isclose(sum(v or 0 for row in a for v in row), 4.4)
+
+
 def test_global_rank(spark):
     ranked = global_rank(spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("k")), "k").collect()
     assert [r["rank"] for r in sorted(ranked, key=lambda r: r["k"])] == list(range(1, 1001))
