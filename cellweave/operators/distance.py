@@ -1,13 +1,15 @@
 """Distance, cost distance and allocation on the 8-neighbour grid.
 
-Single-field operators relax tile by tile: a round brings each tile together with a one-cell halo, relaxes it to rest in
-numpy and writes the state; rounds end when no cell changed, so their number follows the tiles that a shortest path crosses,
-not its cells. Operators with a field of their own for every source walk a frontier of (source, cell) by joins.
+Single-field operators relax tile by tile: a round brings each tile whose halo changed together with that one-cell halo, relaxes it to
+rest in numpy and writes it; tiles at rest are neither exchanged nor written. Rounds end when no halo changed, so their number follows
+the tiles that a shortest path crosses, not its cells. Operators with a field of their own for every source walk a frontier of (source, cell) by joins.
 Ties of allocation go to the source of the smallest row-major index.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,12 +17,14 @@ from pyspark.sql import functions as F
 
 from ..meta import RasterError
 from ..plans.durable import durable
-from ..plans.tiles import Tile, by_tiles, shifted
+from ..plans.tiles import Tile, by_tiles, dealt_to_tiles, shifted, side_for
 from ..raster import Raster, align
 
 STEPS = [(dr, dc, float(np.sqrt(dr * dr + dc * dc))) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)]
 #: Path costs are compared at this many decimals, so that equal sums of different order tie.
 DECIMALS = 9
+#: Rounds after which the parts of a state are written as one table again.
+COMPACT = 4
 
 
 def _relaxed(cells: DataFrame, meta, diagonals: bool, limit: float | None) -> DataFrame:
@@ -52,10 +56,16 @@ def _relaxed(cells: DataFrame, meta, diagonals: bool, limit: float | None) -> Da
 
     index = F.col("row").cast("bigint") * meta.cols + F.col("col")
     state = cells.select("row", "col", F.col("cost").cast("double").alias("cost"), F.col("wall").cast("bigint").alias("wall"), F.when(F.col("start"), F.lit(0.0)).alias("dist"), F.when(F.col("start"), index).alias("seed"))
+    side, active, turn = side_for(1), None, 0
+    own = [F.floor(F.col(c) / side).cast("int").alias(t) for c, t in (("row", "tr"), ("col", "tc"))]
     while True:
-        found = durable(by_tiles(state, meta, 1, kernel, "row int, col int, cost double, wall bigint, dist double, seed bigint, changed bigint"), "distance")
-        state = found.drop("changed")
-        if found.where("changed <> 0").isEmpty():
+        found = durable(by_tiles(state, meta, 1, kernel, "row int, col int, cost double, wall bigint, dist double, seed bigint, changed bigint", side, active), "distance")
+        rested = found.drop("changed") if active is None else state.select("*", *own).join(active, ["tr", "tc"], "left_anti").drop("tr", "tc").union(found.drop("changed"))
+        turn += 1
+        state = durable(rested, "distance-state") if turn % COMPACT == 0 else rested
+        moved = dealt_to_tiles(found.where("changed <> 0").select("row", "col"), meta, 1, side).select(F.col("__tr").alias("tr"), F.col("__tc").alias("tc"), *[c.alias(f"own_{n}") for c, n in zip(own, ("tr", "tc"))])
+        active = durable(moved.where("tr <> own_tr or tc <> own_tc").select("tr", "tc").distinct(), "active")
+        if active.isEmpty():
             return state.select("row", "col", "dist", "seed")
 
 
@@ -130,19 +140,30 @@ def _reached(sources: DataFrame, resistance: Raster, most: float, mean: bool) ->
     ground = resistance.cells().select("row", "col", F.col("value").cast("double").alias("t"))
     if not ground.where("t < 0").isEmpty():
         raise RasterError("resistance may not be negative")
-    reached = durable(sources.join(ground, ["row", "col"], "left").select("src", "row", "col", F.lit(0.0).alias("cost"), "t"), "reached")
-    frontier = reached.where("t is not null")
+    frontier = durable(sources.join(ground, ["row", "col"], "left").select("src", "row", "col", F.lit(0.0).alias("cost"), "t"), "reached")
+    parts, whole = [frontier], None  # what was reached: a table of many rounds, and a part for each since
+    frontier = frontier.where("t is not null")
     steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(s).alias("step")) for a, b, s in STEPS])
     passable = ground.where("t is not null").withColumnRenamed("t", "t2")
+    best = lambda rows: rows.groupBy("src", "row", "col").agg(F.min("cost").alias("cost"))
+
+    def so_far() -> DataFrame:
+        rows = [x.select("src", "row", "col", "cost") for x in ([whole] if whole is not None else []) + parts]
+        return reduce(DataFrame.union, rows)
+
     while not frontier.isEmpty():
         out = frontier.withColumn("s", F.explode(steps)).select("src", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), "cost", "t", F.col("s.step").alias("step"))
         price = F.col("step") * ((F.col("t") + F.col("t2")) / 2 if mean else F.col("t2"))
         found = out.join(passable, ["row", "col"]).select("src", "row", "col", F.round(F.col("cost") + price, DECIMALS).alias("cost"), F.col("t2").alias("t"))
         found = found.where(F.col("cost") <= most).groupBy("src", "row", "col").agg(F.min("cost").alias("cost"), F.first("t").alias("t"))
-        old = reached.select("src", "row", "col", F.col("cost").alias("old"))
-        frontier = durable(found.join(old, ["src", "row", "col"], "left").where("old is null or cost < old").drop("old"), "frontier")
-        reached = durable(reached.union(frontier).groupBy("src", "row", "col").agg(F.min("cost").alias("cost"), F.first("t").alias("t")), "reached")
-    return reached.select("src", "row", "col", "cost")
+        # a row that is no better than any part's is none of the frontier
+        for old in ([whole] if whole is not None else []) + parts:
+            found = found.join(old.select("src", "row", "col", F.col("cost").alias("old")), ["src", "row", "col"], "left").where("old is null or cost < old").drop("old")
+        frontier = durable(found, "frontier")
+        parts.append(frontier)
+        if len(parts) > COMPACT:
+            whole, parts = durable(best(so_far()), "reached"), []
+    return best(so_far())
 
 
 def _sources(r: Raster) -> DataFrame:

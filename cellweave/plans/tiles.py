@@ -81,17 +81,26 @@ class Tile:
         return pa.RecordBatch.from_pydict(cols)
 
 
-def by_tiles(cells: DataFrame, meta: RasterMeta, halo: int, kernel: Callable[[Tile], pa.RecordBatch | pa.Table], schema: str, side: int | None = None) -> DataFrame:
-    """kernel's rows for every tile of cells (row, col, any numeric layers)."""
-    side = side or side_for(halo)
-    names = [c for c in cells.columns if c not in ("row", "col")]
+def dealt_to_tiles(cells: DataFrame, meta: RasterMeta, halo: int, side: int) -> DataFrame:
+    """cells with columns __tr and __tc, a row for each tile that a cell lies in or in the halo of."""
+    if not halo:
+        return cells.withColumn("__tr", F.floor(F.col("row") / side).cast("int")).withColumn("__tc", F.floor(F.col("col") / side).cast("int"))
 
     def spread(c: str, n: int):
         first = F.greatest(F.floor((F.col(c) - halo) / side), F.lit(0)).cast("int")
         last = F.least(F.floor((F.col(c) + halo) / side), F.lit((n - 1) // side)).cast("int")
         return F.sequence(first, last)
 
-    dealt = cells.withColumn("__tr", F.explode(spread("row", meta.rows))).withColumn("__tc", F.explode(spread("col", meta.cols))) if halo else cells.withColumn("__tr", F.floor(F.col("row") / side).cast("int")).withColumn("__tc", F.floor(F.col("col") / side).cast("int"))
+    return cells.withColumn("__tr", F.explode(spread("row", meta.rows))).withColumn("__tc", F.explode(spread("col", meta.cols)))
+
+
+def by_tiles(cells: DataFrame, meta: RasterMeta, halo: int, kernel: Callable[[Tile], pa.RecordBatch | pa.Table], schema: str, side: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """kernel's rows for every tile of cells (row, col, any numeric layers), or for the tiles of only (tr, tc)."""
+    side = side or side_for(halo)
+    names = [c for c in cells.columns if c not in ("row", "col")]
+    dealt = dealt_to_tiles(cells, meta, halo, side)
+    if only is not None:
+        dealt = dealt.join(only.select(F.col("tr").alias("__tr"), F.col("tc").alias("__tc")), ["__tr", "__tc"], "left_semi")
 
     def run(key, table):
         out = kernel(Tile(meta, side, halo, key[0].as_py(), key[1].as_py(), names, table))
