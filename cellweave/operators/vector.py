@@ -2,7 +2,7 @@
 
 Points are arithmetic and an aggregate. Lines explode into cells by an integer formula. Polygons fill by scan lines: edges meet
 the row centres they cross, and the crossings of a row pair up to ranges of columns. Anti-aliased lines explode into steps along their
-longer side. Exact areas run in an Arrow kernel, a polygon's row band at a time.
+longer side. Exact areas are sums over the pieces of edges.
 
 Layers are tables: points (x, y, field), lines (line_id, seq, x, y, field), polygons (fid, rings array<array<struct<x, y>>>, field);
 the first ring is the outline, others are holes.
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,53 +128,46 @@ def clip_polygon(r: Raster, polygons: DataFrame) -> Raster:
     return Raster.of(out, r.meta, r.dtype)
 
 
-def _cut(ring: list[tuple[float, float]], axis: int, at: float, above: bool) -> list[tuple[float, float]]:
-    """The part of a ring on one side of an axis-parallel line."""
-    out = []
-    for p, q in zip(ring, ring[1:] + ring[:1]):
-        inside, after = (p[axis] >= at) == above or p[axis] == at, (q[axis] >= at) == above or q[axis] == at
-        if inside:
-            out.append(p)
-        if inside != after:
-            t = (at - p[axis]) / (q[axis] - p[axis])
-            out.append((at, p[1] + t * (q[1] - p[1])) if axis == 0 else (p[0] + t * (q[0] - p[0]), at))
-    return out
-
-
-def _area(ring: list[tuple[float, float]]) -> float:
-    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1]))) / 2
+#: Smaller shares of a cell are rounding.
+LEAST_SHARE = 1e-9
 
 
 def polygon_coverage(polygons: DataFrame, meta: RasterMeta, adjust: bool = False) -> DataFrame:
     """(fid, row, col, coverage, cell_coverage): the share of the polygon's area that lies in the cell, and of the cell's area that
-    lies in the polygon. adjust: cells that several polygons share are divided so that their cell coverages sum to 1."""
-    left, _, right, top = meta.bounds
-    size = meta.cell_size
+    lies in the polygon. adjust: cells that several polygons share are divided so that their cell coverages sum to 1.
 
-    def rows(batches):
-        for b in batches:
-            out: dict[str, list] = {"fid": [], "row": [], "col": [], "coverage": [], "cell_coverage": []}
-            for fid, row, rings in zip(*[c.to_pylist() for c in b.columns]):
-                points = [[(p["x"], p["y"]) for p in ring] for ring in rings]
-                total = _area(points[0]) - sum(map(_area, points[1:]))
-                band = [_cut(_cut(ring, 1, top - (row + 1) * size, True), 1, top - row * size, False) for ring in points]
-                xs = [p[0] for p in band[0]]
-                if not xs or not total:
-                    continue
-                for col in range(max(0, math.floor((min(xs) - left) / size)), min(meta.cols - 1, math.floor((max(xs) - left) / size)) + 1):
-                    parts = [_area(_cut(_cut(ring, 0, left + col * size, True), 0, left + (col + 1) * size, False)) for ring in band]
-                    area = parts[0] - sum(parts[1:])
-                    if area > 0:
-                        for k, v in zip(out, (fid, row, col, area / total, area / (size * size))):
-                            out[k].append(v)
-            yield pa.RecordBatch.from_pydict({"fid": pa.array(out["fid"], pa.int64()), "row": pa.array(out["row"], pa.int32()), "col": pa.array(out["col"], pa.int32()), "coverage": pa.array(out["coverage"], pa.float64()), "cell_coverage": pa.array(out["cell_coverage"], pa.float64())})
-
-    outline = F.col("rings")[0]
-    ys = F.transform(outline, lambda p: p["y"])
-    first = F.greatest(F.floor((top - F.array_max(ys)) / size), F.lit(0)).cast("int")
-    last = F.least(F.floor((top - F.array_min(ys)) / size), F.lit(meta.rows - 1)).cast("int")
-    bands = polygons.select(F.col("fid").cast("bigint").alias("fid"), "rings", first.alias("a"), last.alias("b")).where("a <= b").select("fid", F.explode(F.sequence("a", "b")).alias("row"), "rings")
-    found = bands.mapInArrow(rows, "fid bigint, row int, col int, coverage double, cell_coverage double")
+    Edges are cut at rows and columns; a piece covers what lies to its right: part of its own cell, and the height of the piece in
+    the cells after it. So a cell's area is a sum over its own pieces and one over those before it in its row.
+    """
+    left, _, _, top = meta.bounds
+    size, col = meta.cell_size, F.col
+    near = lambda ring, k, n: ring[k + 1 - F.when(k + 1 == n, n).otherwise(0)]
+    area = lambda ring: F.aggregate(F.sequence(F.lit(0), F.size(ring) - 1), F.lit(0.0), lambda s, k: s + ring[k]["x"] * near(ring, k, F.size(ring))["y"] - near(ring, k, F.size(ring))["x"] * ring[k]["y"]) / 2
+    rings = polygons.select(col("fid").cast("bigint").alias("fid"), F.posexplode("rings").alias("place", "ring")).where(F.size("ring") > 2).withColumn("area", area(col("ring"))).where("area <> 0")
+    outline = F.when(col("place") == 0, 1).otherwise(-1)
+    total = rings.groupBy("fid").agg(F.sum(outline * F.abs("area")).alias("total")).where("total > 0")
+    closed = rings.withColumn("n", F.size("ring")).withColumn("k", F.explode(F.sequence(F.lit(0), F.size("ring") - 1)))
+    p, q = col("ring")[col("k")], near(col("ring"), col("k"), col("n"))
+    x, y = (lambda c: (c["x"] - left) / size), (lambda c: (top - c["y"]) / size)
+    edges = closed.select("fid", (outline * F.signum("area")).alias("sign"), x(p).alias("x0"), y(p).alias("y0"), x(q).alias("x1"), y(q).alias("y1")).where("y0 <> y1")
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    first, last = F.greatest(F.floor(low), F.lit(0)), F.least(F.ceil(high) - 1, F.lit(meta.rows - 1))
+    bands = edges.where(first <= last).withColumn("row", F.explode(F.sequence(first, last)))
+    at = lambda v: col("x0") + (v - col("y0")) * (col("x1") - col("x0")) / (col("y1") - col("y0"))
+    ya, yb = F.greatest(low, col("row").cast("double")), F.least(high, col("row") + 1.0)
+    pieces = bands.select("fid", "row", (col("sign") * F.signum(col("y1") - col("y0")) * (yb - ya)).alias("dy"), F.least(at(ya), at(yb)).alias("a"), F.greatest(at(ya), at(yb)).alias("b"))
+    cells = pieces.where(col("a") < meta.cols).withColumn("c", F.explode(F.sequence(F.greatest(F.floor("a"), F.lit(-1)), F.greatest(F.least(F.floor("b"), F.lit(meta.cols - 1)), F.lit(-1)))))
+    start, stop = F.when(col("c") < 0, col("a")).otherwise(F.greatest(col("a"), col("c").cast("double"))), F.least(col("b"), col("c") + 1.0)
+    share = col("dy") * F.when(col("b") == col("a"), 1.0).otherwise(F.try_divide(stop - start, col("b") - col("a")))
+    inside = F.when(col("c") < 0, 1.0).otherwise(1 - ((start + stop) / 2 - col("c")))  # of the cell, to the right of the piece
+    own = cells.select("fid", "row", F.greatest("c", F.lit(0)).alias("c"), share.alias("d"), (share * inside).alias("s")).groupBy("fid", "row", "c").agg(F.sum("d").alias("d"), F.sum("s").alias("s"))
+    along = Window.partitionBy("fid", "row").orderBy("c")
+    ranged = own.withColumn("before", F.coalesce(F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("next", F.coalesce(F.lead("c").over(along), F.lit(meta.cols)))
+    after = F.abs(col("before") + col("d"))
+    run = F.when((after > LEAST_SHARE) & (col("next") > col("c") + 1), F.transform(F.sequence(col("c") + 1, col("next") - 1), lambda c: F.struct(c.alias("c"), after.alias("v"))))
+    spread = ranged.select("fid", "row", F.explode(F.concat(F.array(F.struct(col("c"), F.abs(col("before") + col("s")).alias("v"))), F.coalesce(run, F.array().cast("array<struct<c:bigint,v:double>>")))).alias("e"))
+    found = spread.select("fid", col("row").cast("int").alias("row"), col("e.c").cast("int").alias("col"), col("e.v").alias("cell_coverage")).where(col("cell_coverage") > LEAST_SHARE)
+    found = found.join(total, "fid").select("fid", "row", "col", (col("cell_coverage") * (size * size) / col("total")).alias("coverage"), "cell_coverage")
     if not adjust:
         return found
     shared = Window.partitionBy("row", "col")

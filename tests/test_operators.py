@@ -322,6 +322,39 @@ def test_short_segments_weigh_as_one_line(spark):
     assert a == b and math.isclose(sum(v or 0 for row in a for v in row), 4.4)
 
 
+def test_polygon_areas_against_clipping(spark):
+    """Stars with holes, in both directions, partly off the map, and one on the lattice."""
+    r, meta, polygons = np.random.default_rng(3), RasterMeta(7, 9, -3.0, 1.0, 2.0), []
+    for f in range(8):
+        x, y, n = r.uniform(-4, 16), r.uniform(0, 16), int(r.integers(3, 9))
+        star = lambda n, least, more: [(x + (least + more * r.random()) * math.cos(2 * math.pi * k / n), y + (least + more * r.random()) * math.sin(2 * math.pi * k / n)) for k in range(n)]  # noqa: E731, B023
+        ring = star(n, 2, 5)
+        polygons.append((f, [ring[:: -1 if f % 2 else 1]] + [star(5, 0.7, 0)] * (f % 3 == 0)))
+    polygons.append((20, [[(1.0, 3.0), (5.0, 3.0), (5.0, 7.0), (1.0, 7.0)]]))
+    frame = spark.createDataFrame([(f, [[{"x": a, "y": b} for a, b in g] for g in gs]) for f, gs in polygons], "fid long, rings array<array<struct<x:double,y:double>>>")
+    found = {(x["fid"], x["row"], x["col"]): (x["coverage"], x["cell_coverage"]) for x in vector.polygon_coverage(frame, meta).collect()}
+
+    def half(ring, axis, at, above):
+        out = []
+        for p, q in zip(ring, ring[1:] + ring[:1]):
+            if (p[axis] >= at) == above:
+                out.append(p)
+            if (p[axis] >= at) != (q[axis] >= at):
+                t = (at - p[axis]) / (q[axis] - p[axis])
+                out.append(tuple(at if k == axis else p[k] + t * (q[k] - p[k]) for k in (0, 1)))
+        return out
+
+    area = lambda ring: abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1]))) / 2
+    for f, gs in polygons:
+        for row in range(7):
+            for col in range(9):
+                x, y = -3 + 2 * col, 15 - 2 * row
+                parts = [area(half(half(half(half(g, 0, x, True), 0, x + 2, False), 1, y - 2, True), 1, y, False)) for g in gs]
+                cell = parts[0] - sum(parts[1:])
+                a, b = found.get((f, row, col), (0.0, 0.0))
+                assert math.isclose(b, cell / 4, abs_tol=1e-8) and math.isclose(a, cell / (area(gs[0]) - sum(map(area, gs[1:]))), abs_tol=1e-8)
+
+
 def test_global_rank(spark):
     ranked = global_rank(spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("k")), "k").collect()
     assert [r["rank"] for r in sorted(ranked, key=lambda r: r["k"])] == list(range(1, 1001))
