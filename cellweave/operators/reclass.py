@@ -1,13 +1,16 @@
 """Reclassification: lookup joins and ranges.
 
 A table is deduplicated to its first row per key and joined null-safely: whether it is broadcast is left to its measured
-size. Ranges of a short table compile to one CASE expression inside the scan's stage.
+size. Ranges of a short table compile to one CASE expression inside the scan's stage, those of a long one to a vectorised search.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from ..meta import SPARK_TYPES, RasterError, fits, is_float
 from ..raster import Raster, align
 
 NODATA = -9999
-#: Ranges up to this number become one CASE expression.
+#: Ranges up to this number become one CASE expression, more are looked up by binary search.
 MOST_RANGES = 1000
 
 
@@ -75,10 +78,34 @@ def nreclass(table: Sequence[tuple[float, float, float | None]], r: Raster) -> R
                 if not _missing(x) and not fits(x, r.dtype):
                     raise RasterError(f"{x} doesn't fit type {r.dtype}")
     if len(table) > MOST_RANGES:
-        raise RasterError(f"more than {MOST_RANGES} ranges")
+        return r.with_value(_looked_up(table, SPARK_TYPES[r.dtype])(r.value))
     t, out = SPARK_TYPES[r.dtype], None
     for low, high, value in table:
         inside = (r.value > F.lit(low).cast(t)) & (r.value <= F.lit(high).cast(t))
         x = F.lit(None if _missing(value) else value).cast(t)
         out = F.when(inside, x) if out is None else out.when(inside, x)
     return r.with_value(F.lit(None) if out is None else out)
+
+
+def _looked_up(table: Sequence[tuple[float, float, float | None]], kind: str):
+    """The same for long tables: ranges are cut into disjoint ones, of which a binary search finds a value's."""
+    edges = np.unique([x for low, high, _ in table for x in (low, high)])
+    starts = sorted((np.searchsorted(edges, low), i) for i, (low, high, _) in enumerate(table) if low < high)
+    value, open_rows, k = np.full(len(edges), np.nan), [], 0
+    for at in range(len(edges) - 1):  # the first row of those that cover (edges[at], edges[at + 1]]
+        while k < len(starts) and starts[k][0] <= at:
+            heapq.heappush(open_rows, starts[k][1])
+            k += 1
+        while open_rows and table[open_rows[0]][1] <= edges[at]:
+            heapq.heappop(open_rows)
+        if open_rows and not _missing(x := table[open_rows[0]][2]):
+            value[at] = x
+
+    @F.arrow_udf(kind)
+    def find(cells: pa.Array) -> pa.Array:
+        v = np.asarray(cells.cast(pa.float64()).fill_null(np.nan))
+        at = np.searchsorted(edges, v, side="left") - 1
+        out = np.where((at >= 0) & (at < len(edges) - 1) & ~np.isnan(v), value[np.clip(at, 0, len(edges) - 1)], np.nan)
+        return pa.array(out, mask=np.isnan(out)).cast(cells.type)
+
+    return find

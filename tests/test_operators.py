@@ -204,6 +204,11 @@ def test_reclass(spark):
     assert show(reclass.reclass(table, ras(spark, [[0, 1, 2, 3, N]]))) == [[10, N, 12, N, 19]]
     assert reclass.reclass([(0, 1.5)], ras(spark, [[0]])).dtype == "float32"
     assert show(reclass.nreclass([(-2, 0, 1), (0, 2, 2), (1, 5, N)], ras(spark, [[-2.0, 0.0, 0.5, 2.5, 9.0, N]], "float64"))) == [[N, 1, 2, N, N, N]]
+    r = np.random.default_rng(9)
+    cells = ras(spark, [[None if r.random() < 0.1 else float(x) for x in r.integers(-30, 1200, 40)] for _ in range(30)], "float64")
+    ranges = [(float(a), float(a + b), N if k % 17 == 0 else float(k)) for k, (a, b) in enumerate(zip(r.integers(-20, 1100, 1500), r.integers(0, 40, 1500)))]
+    expected = [[next((z for x, y, z in ranges if v is not None and x < v <= y), None) for v in row] for row in show(cells)]
+    assert show(reclass.nreclass(ranges, cells)) == expected and show(reclass.nreclass([(int(a), int(b), None if c is None else int(c)) for a, b, c in ranges], cells.astype("int32"))) == expected
     for bad in ([], [(1,)], [(1, 2), (1, 2, 3)]):
         with pytest.raises(RasterError):
             reclass.reclass(bad, ras(spark, [[0]]))
