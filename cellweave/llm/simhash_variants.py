@@ -98,14 +98,14 @@ def _first_shared(x: Column, key: Column) -> Column:
     return struck == wanted
 
 
-def _roots(items: DataFrame, entries: DataFrame, near: Callable[[Column, Column, Column | None], Column], links: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """(item, root) for all items (item, root: what is known to belong together), by links between items that share a key of entries (key, item, print).
+def _roots(items: DataFrame, entries: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column, Column | None], Column], links: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """(item, root) for all items (item, root: what is known to belong together), by links between items that share a key.
 
-    near(x, y, key): whether two prints may link; links(pairs): the pairs (a, b) of items that do.
+    entries(items): (key, item, print, root) of items; near(x, y, key): whether two prints may link; links(pairs): the pairs (a, b) of items that do.
     """
-    keys = keep(entries.groupBy("key").agg(F.min(F.struct("item", "print")).alias("least"), F.count("*").alias("n")).where("n > 1"), f"{name}-keys")
+    keys = keep(entries(items).groupBy("key").agg(F.min(F.struct("item", "print")).alias("least"), F.count("*").alias("n")).where("n > 1"), f"{name}-keys")
     up = lambda roots, c: roots.select(F.col("item").alias(c), F.col("root").alias(f"{c}_root"))
-    e, k = entries, keys.select(F.col("key").alias("of"), "least")
+    e, k = entries(items).drop("root"), keys.select(F.col("key").alias("of"), "least")
     met = e.join(k, (e.key == k.of) & (F.col("item") != F.col("least.item")) & near(F.col("print"), F.col("least.print"), None)).select(F.col("least.item").alias("a"), F.col("item").alias("b"))
     apart = keep(met.distinct(), f"{name}-met").join(up(items, "a"), "a").join(up(items, "b"), "b").where("a_root <> b_root")
     tried = apart.groupBy("b").agg(*[F.min_by("a", F.xxhash64("a_root", F.lit(n))).alias(f"t{n}") for n in range(TRIES)])
@@ -114,7 +114,7 @@ def _roots(items: DataFrame, entries: DataFrame, near: Callable[[Column, Column,
     crowds = keep(keys.where(F.col("n") > CROWD).select("key"), f"{name}-crowds")
     crowded = not crowds.isEmpty()
     if crowded:
-        crowd = keep(entries.join(crowds, "key"), f"{name}-crowd")
+        crowd = keep(entries(items).drop("root").join(crowds, "key"), f"{name}-crowd")
         for turn in range(ROUNDS):
             now = crowd.join(first, "item")
             pivots = now.groupBy("key").agg(F.min_by(F.struct("item", "print", "root"), F.xxhash64("item", F.lit(turn))).alias("pivot")).withColumnRenamed("key", "of")
@@ -124,7 +124,7 @@ def _roots(items: DataFrame, entries: DataFrame, near: Callable[[Column, Column,
             if found.isEmpty():
                 break
             first = _joined_roots(first, found, f"{name}-first")
-    rooted = entries.join(first, "item")
+    rooted = entries(first)
     side = lambda rows, c: rows.select("key", *[F.col(x).alias(f"{c}_{x}") for x in ("item", "print", "root")])
     near_pair = near(F.col("a_print"), F.col("b_print"), F.col("key"))
     thin = rooted.join(crowds, "key", "left_anti") if crowded else rooted
@@ -158,7 +158,7 @@ def fingerprint_roots(fps: DataFrame) -> DataFrame:
     """(fp, root) for all distinct fingerprints fps (fp)."""
     with scratch(fps.sparkSession) as lasting:
         items = keep(fps.select(F.col("fp").alias("item"), F.col("fp").alias("root")), "fingerprints")
-        entries = items.select(F.explode(_variants(F.col("item"))).alias("key"), "item", F.array("item").alias("print"))
+        entries = lambda rows: rows.select(F.explode(_variants(F.col("item"))).alias("key"), "item", F.array("item").alias("print"), "root")
         near = lambda x, y, key: (_apart(x, y, 1) <= BITS) & (F.lit(True) if key is None else _first_shared(x[0].bitwiseXOR(y[0]), key))
         return lasting(_roots(items, entries, near, lambda pairs: pairs, "simhash").withColumnRenamed("item", "fp"), "simhash-roots")
 
@@ -287,7 +287,8 @@ def _chosen(rows: DataFrame, width: int, alike: tuple[int, int]) -> DataFrame:
     shared = keep(prefix.groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high")).where("low < high").select("key"), "alike-shared")
     met = keep(prefix.join(shared, "key"), "alike-met")
     alone = met.groupBy("item").agg((F.first("first") - F.count("*")).alias("alone"))  # first shingles that no other set has
-    entries = keep(met.join(alone, "item").select("key", "item", F.array("print", "print2", "n", "alone").alias("print")), "alike-index")
+    index_of = keep(met.join(alone, "item").select("key", "item", F.array("print", "print2", "n", "alone").alias("print")), "alike-index")
+    entries = lambda rows: index_of.join(rows, "item").select("key", "item", "print", "root")
     near = lambda x, y, key: (_apart(x, y, 2) <= FAR) & _can_be_alike(x, y, alike)
     own = _roots(known.select("item", "root"), entries, near, _alike(rows.select("row", "text"), index, width, alike), "alike")
     final = named.join(known.select("set", "item").join(own, "item").select("set", F.col("root").alias("top")), "set")
