@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable, folder
+from ..plans.durable import durable, folder, passing
 
 #: Words are runs of anything but space and the ASCII controls 9 to 13; ``bytes.split()`` cuts the same way.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,17 +18,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only below this many rows of narrow columns (some 10 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
 
-#: Arrow batches to Python end at 8 MB, so that a worker's memory doesn't follow the length of texts; shuffle files go when their query has ended,
-#: since what is read again is a written table.
-_SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Applies _SETTINGS where the session has none of its own."""
-    own = dict(spark.sparkContext.getConf().getAll())
-    for key, value in _SETTINGS.items():
-        if key not in own:
-            spark.conf.set(key, value)
+    """Arrow batches to Python end at BATCH bytes, so that a worker's memory doesn't follow the length of texts; a session's own setting stays."""
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, BATCH)
 
 
 def give_back() -> None:
@@ -60,7 +56,8 @@ def keep_grouped(df: DataFrame, name: str, column: str) -> DataFrame:
     spark = df.sparkSession
     prepare(spark)
     unique = f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", f"{folder(spark)}/{unique}").option("compression", "zstd").saveAsTable(unique)
+    with passing(spark):
+        df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", f"{folder(spark)}/{unique}").option("compression", "zstd").saveAsTable(unique)
     return spark.table(unique)
 
 

@@ -120,7 +120,7 @@ def _document_frequencies(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["at", "n"])
 
     out = np.zeros(_DIM + 1)
-    for r in texts.mapInArrow(partial, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():  # 2**BITS + 1 rows at most
+    for r in texts.mapInArrow(partial, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # 2**BITS + 1 rows at most
         out[r["at"]] = r["n"]
     return out
 
