@@ -34,10 +34,25 @@ def folder(spark: SparkSession) -> str:
     return _folder.get() or shared_dir(spark)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go as soon as each has ended, since what is read again is the written table."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a table in the shared folder, read with its own schema (no inference)."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with passing(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
