@@ -120,7 +120,7 @@ q("create_fill", lambda g: Raster.filled(g.spark, g.meta, "int32", 7), value="7:
 q("from_table", lambda g: Raster.ingest(g.frame.withColumn("x", F.coalesce("a", F.lit(-9999))), g.meta, "int32", "x"), value=_int("a"))
 q("cast", lambda g: g.f.astype("int32"), value=_int("trunc(f)"))
 q("fill", lambda g: local.fill_values(g.a, 5), value=_int("CASE WHEN a IS NOT NULL THEN 5 END"))
-q("fill_random", lambda g: local.fill_random(g.a, 1, 6, seed=1))
+q("fill_random", lambda g: local.fill_random(g.a, 1, 6, seed=1).cells().select("row", "col", F.col("value").between(1, 6).alias("inside")), "SELECT row, col, true AS inside FROM g")
 q("set_value", lambda g: g.a.set_value(1, 2, 77), value=_int("CASE WHEN row = 1 AND col = 2 THEN 77 ELSE a END"))
 q("rc_to_xy", lambda g: g.frame.select("row", "col", *[c.alias(n) for n, c in zip("xy", g.meta.xy(F.col("row"), F.col("col")))]), "SELECT row, col, (col + 0.5) * 100.0::DOUBLE AS x, (SELECT rows FROM n) * 100.0::DOUBLE - (row + 0.5) * 100.0::DOUBLE AS y FROM g")
 q("xy_to_rc", lambda g: g.frame.select("id", *[c.alias(n) for n, c in zip(("row", "col"), g.meta.rc(F.col("id") * 3.0, F.col("id") * 5.0))]), "SELECT id, CAST(floor(((SELECT rows FROM n) * 100.0::DOUBLE - id * 5.0) / 100.0::DOUBLE) AS INT) AS row, CAST(floor(id * 3.0::DOUBLE / 100.0::DOUBLE) AS INT) AS col FROM g")

@@ -44,9 +44,13 @@ _RINGS = "array<array<array<double>>>"
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """(fid, kind, rings array<array<struct<x, y>>>, properties map<string, string>), a row for each part of a feature: the rings of a
-    polygon, the points of a line as one ring, a point as one ring of one point."""
-    text = spark.read.text(path, wholetext=True)
-    features = text.select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("f"))
+    polygon, the points of a line as one ring, a point as one ring of one point. A file of a feature on each line (.geojsonl, .ndjson) is
+    read by many tasks, a collection by one."""
+    if path.endswith((".geojsonl", ".ndjson", ".jsonl")):
+        features = spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("f"))
+    else:
+        text = spark.read.text(path, wholetext=True)
+        features = text.select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("f"))
     kind, coordinates = F.get_json_object("f", "$.geometry.type"), F.get_json_object("f", "$.geometry.coordinates")
     base = features.select(F.monotonically_increasing_id().alias("fid"), kind.alias("kind"), coordinates.alias("c"), F.from_json(F.get_json_object("f", "$.properties"), "map<string,string>").alias("properties"))
     nested = (

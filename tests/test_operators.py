@@ -255,6 +255,9 @@ def test_sources(spark, tmp_path):
         f.write('{"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"v": 3}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]]}}, {"type": "Feature", "properties": {"v": 4}, "geometry": {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}}, {"type": "Feature", "properties": {"v": 5}, "geometry": {"type": "Point", "coordinates": [1, 1]}}]}')
     layer = tables.read_geojson(spark, f"{tmp_path}/g.json")
     assert stats.raster_sum(vector.rasterize_polygons(tables.polygons_of(layer, "v"), "v", RasterMeta(4, 4, cell_size=1.0))) == 3
+    with open(f"{tmp_path}/g.geojsonl", "w") as f:
+        f.write('{"type": "Feature", "properties": {"v": 5}, "geometry": {"type": "Point", "coordinates": [1, 1]}}\n\n{"type": "Feature", "properties": {"v": 6}, "geometry": {"type": "Point", "coordinates": [2, 1]}}\n')
+    assert sorted(x["v"] for x in tables.points_of(tables.read_geojson(spark, f"{tmp_path}/g.geojsonl"), "v").collect()) == [5, 6]
     assert tables.lines_of(layer, "v").count() == 2 and tables.points_of(layer, "v").first()["v"] == 5
     up = resample(ras(spark, [[1, 2], [3, 4]], "float64"), RasterMeta(4, 4, cell_size=50.0), "nearest")
     assert show(up) == [[1, 1, 2, 2], [1, 1, 2, 2], [3, 3, 4, 4], [3, 3, 4, 4]]
@@ -360,6 +363,20 @@ def test_polygon_areas_against_clipping(spark):
                 assert math.isclose(b, cell / 4, abs_tol=1e-8) and math.isclose(a, cell / (area(gs[0]) - sum(map(area, gs[1:]))), abs_tol=1e-8)
 
 
+def test_stream_of_points_by_time_window(spark, tmp_path):
+    from cellweave.streaming.points import stream_point_sums
+
+    rows = [(50.0, 50.0, 2.0, "2024-01-01 10:05:00"), (60.0, 40.0, 3.0, "2024-01-01 10:55:00"), (50.0, 50.0, 4.0, "2024-01-01 11:00:00"), (950.0, 50.0, 9.0, "2024-01-01 11:00:00"), (150.0, 50.0, 1.0, "2024-01-01 10:30:00")]
+    points = spark.createDataFrame(rows, "x double, y double, v double, t string").withColumn("t", F.to_timestamp("t"))
+    points.write.parquet(f"{tmp_path}/points")
+    stream = spark.readStream.schema(points.schema).parquet(f"{tmp_path}/points")
+    sums = stream_point_sums(stream, "v", RasterMeta(2, 3), time="t", late="10 minutes", window="1 hour")
+    sums.writeStream.outputMode("complete").format("memory").queryName("window_sums").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    found = sorted((x["window"]["start"].hour, x["row"], x["col"], x["x"]) for x in spark.table("window_sums").collect())
+    assert found == [(10, 1, 0, 5.0), (10, 1, 1, 1.0), (11, 1, 0, 4.0)]
+    assert sorted((x["row"], x["col"], x["x"]) for x in stream_point_sums(points, "v", RasterMeta(2, 3)).collect()) == [(1, 0, 9.0), (1, 1, 1.0)]
+
+
 def test_global_rank(spark):
     ranked = global_rank(spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("k")), "k").collect()
     assert [r["rank"] for r in sorted(ranked, key=lambda r: r["k"])] == list(range(1, 1001))
