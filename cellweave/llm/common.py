@@ -58,7 +58,9 @@ def keep_grouped(df: DataFrame, name: str, column: str) -> DataFrame:
     unique = f"{name}_{uuid.uuid4().hex}"
     with passing(spark):
         df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", f"{folder(spark)}/{unique}").option("compression", "zstd").saveAsTable(unique)
-    return spark.table(unique)
+    table = spark.table(unique)
+    spark.sql(f"DROP TABLE {unique}")  # the name only: the files are not the catalogue's
+    return table
 
 
 def quoted(name: str) -> str:

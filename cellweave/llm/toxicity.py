@@ -111,9 +111,11 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, f
                 flat = np.array([f for s in own for f in s], "<i4")
                 yield pa.RecordBatch.from_arrays([pa.array([label.as_py()], pa.int32()), pa.array([np.unique(flat)], pa.list_(pa.int32())), pa.array([flat.tobytes()], pa.binary()), pa.array([np.array([len(s) for s in own], "<i4").tobytes()], pa.binary())], names=["label", "kinds", "features", "sizes"])
 
-    texts = join_small(docs.select("doc_id", "text"), drawn, ["doc_id"], "inner").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("number"))
+    copies = F.sequence(F.lit(1), F.col("times").cast("int"))  # labels that a document repeats
     if share < 1:
-        texts = texts.withColumn("draw", F.pmod(F.xxhash64(F.monotonically_increasing_id(), "copy"), F.lit(2**31))).where(F.col("draw") < int(share * 2**31))
+        copies = F.filter(copies, lambda c: F.pmod(F.xxhash64("number", c), F.lit(2**31)) < int(share * 2**31))
+    texts = join_small(numbered, drawn, ["doc_id"], "inner").withColumn("copy", F.explode(copies))
     texts = texts.select("label", "text")
     return keep(texts.mapInArrow(read, "label int, kinds array<int>, features binary, sizes binary"), "toxic-sample"), rate
 
