@@ -6,7 +6,7 @@ that link share a key. Copies of one fingerprint count once, so a hot text costs
 
 1. every member of a key is held against the key's smallest one, and each fingerprint links to some (TRIES) of those that are within
    BITS; components of these links are found. This costs the size of a group of near copies and not its square;
-2. members of keys of more than CROWD do the same with a random member of the key, for up to ROUNDS rounds while links are found;
+2. members of keys of more than CROWD do the same with a random member of the key;
 3. pairs of a key's members in different components are verified, under the first key that they share. In a key of more than CROWD
    members, those in the key's most frequent component are only held against the others;
 4. all links together give the components.
@@ -43,7 +43,7 @@ from .common import give_back, keep, memory, quoted
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Of ``deduplicate``: words of a shingle, and the least Jaccard similarity as a fraction.
 WORDS, ALIKE = 5, (4, 5)
-SAMPLE, SAMPLE_LEAST, HOT, FAR, TRIES, CROWD, ROUNDS = 8, 3, 100_000, 36, 6, 256, 3
+SAMPLE, SAMPLE_LEAST, HOT, FAR, TRIES, CROWD = 8, 3, 100_000, 36, 6, 256
 #: (first bit, width) of the segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 
@@ -115,15 +115,12 @@ def _roots(items: DataFrame, entries: Callable[[DataFrame], DataFrame], near: Ca
     crowded = not crowds.isEmpty()
     if crowded:
         crowd = keep(entries(items).drop("root").join(crowds, "key"), f"{name}-crowd")
-        for turn in range(ROUNDS):
-            now = crowd.join(first, "item")
-            pivots = now.groupBy("key").agg(F.min_by(F.struct("item", "print", "root"), F.xxhash64("item", F.lit(turn))).alias("pivot")).withColumnRenamed("key", "of")
-            met = now.join(pivots, (F.col("key") == F.col("of")) & (F.col("root") != F.col("pivot.root")) & near(F.col("print"), F.col("pivot.print"), None))
-            tried = met.groupBy("item").agg(*[F.min_by("pivot.item", F.xxhash64("pivot.item", F.lit(n))).alias(f"t{n}") for n in range(TRIES)])
-            found = links(keep(tried.select(F.explode(F.array_distinct(F.array(*[f"t{n}" for n in range(TRIES)]))).alias("a"), F.col("item").alias("b")), f"{name}-tried"))
-            if found.isEmpty():
-                break
-            first = _joined_roots(first, found, f"{name}-first")
+        now = crowd.join(first, "item")
+        pivots = now.groupBy("key").agg(F.min_by(F.struct("item", "print", "root"), F.xxhash64("item")).alias("pivot")).withColumnRenamed("key", "of")
+        met = now.join(pivots, (F.col("key") == F.col("of")) & (F.col("root") != F.col("pivot.root")) & near(F.col("print"), F.col("pivot.print"), None))
+        tried = met.groupBy("item").agg(*[F.min_by("pivot.item", F.xxhash64("pivot.item", F.lit(n))).alias(f"t{n}") for n in range(TRIES)])
+        stars = keep(tried.select(F.explode(F.array_distinct(F.array(*[f"t{n}" for n in range(TRIES)]))).alias("a"), F.col("item").alias("b")), f"{name}-tried")
+        first = _joined_roots(first, links(stars), f"{name}-first")
     rooted = entries(first)
     side = lambda rows, c: rows.select("key", *[F.col(x).alias(f"{c}_{x}") for x in ("item", "print", "root")])
     near_pair = near(F.col("a_print"), F.col("b_print"), F.col("key"))
@@ -245,8 +242,7 @@ def _alike(texts: DataFrame, rows: DataFrame, width: int, alike: tuple[int, int]
         size = alike[1] * F.least("a_n", "b_n") >= alike[0] * F.greatest("a_n", "b_n")
         near = keep(pairs.join(about("a"), "a").join(about("b"), "b").where(size).select("a", "b"), "alike-candidates")
         wanted = near.select(F.col("a").alias("item")).union(near.select("b")).distinct()
-        chosen = keep(rows.select("item", "row").join(wanted, "item"), "alike-rows")
-        sets = keep(texts.join(chosen, "row").dropDuplicates(["item"]).select("item", _shingled(width)("text").alias("items")), "alike-sets")
+        sets = keep(texts.join(rows.select("item", "row").join(wanted, "item"), "row").dropDuplicates(["item"]).select("item", _shingled(width)("text").alias("items")), "alike-sets")
         x, y = (sets.select(F.col("item").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
         both = F.size(F.array_intersect("a_items", "b_items"))
         return keep(near.join(x, "a").join(y, "b").where(alike[1] * both >= alike[0] * (F.size("a_items") + F.size("b_items") - both)).select("a", "b"), "alike-links")
@@ -283,11 +279,13 @@ def _chosen(rows: DataFrame, width: int, alike: tuple[int, int]) -> DataFrame:
     least = named.groupBy("set").agg(F.min("root").alias("a"))
     tops = components(named.join(least, "set").select("a", F.col("root").alias("b")))
     known = keep(index.join(least, "set").join(tops.select(F.col("v").alias("a"), F.col("root").alias("top")), "a", "left").select("item", "set", F.coalesce("top", "a").alias("root")), "alike-known")
-    prefix = hashed.join(one, ["set", "row"]).dropDuplicates(["item"]).select(F.explode("prefix").alias("key"), "item", "print", "print2", F.col("n").cast("long").alias("n"), F.size("prefix").alias("first"))
+    numbered = hashed.join(one, ["set", "row"]).dropDuplicates(["item"])
+    about = keep(numbered.select("item", "print", "print2", F.col("n").cast("long").alias("n"), F.size("prefix").alias("first")), "alike-about")
+    prefix = numbered.select(F.explode("prefix").alias("key"), "item")
     shared = keep(prefix.groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high")).where("low < high").select("key"), "alike-shared")
     met = keep(prefix.join(shared, "key"), "alike-met")
-    alone = met.groupBy("item").agg((F.first("first") - F.count("*")).alias("alone"))  # first shingles that no other set has
-    index_of = keep(met.join(alone, "item").select("key", "item", F.array("print", "print2", "n", "alone").alias("print")), "alike-index")
+    told = about.join(met.groupBy("item").agg(F.count("*").alias("shared")), "item").select("item", F.array("print", "print2", "n", F.col("first") - F.col("shared")).alias("print"))  # last: first shingles that no other set has
+    index_of = keep(met.join(told, "item").select("key", "item", "print"), "alike-index")
     entries = lambda rows: index_of.join(rows, "item").select("key", "item", "print", "root")
     near = lambda x, y, key: (_apart(x, y, 2) <= FAR) & _can_be_alike(x, y, alike)
     own = _roots(known.select("item", "root"), entries, near, _alike(rows.select("row", "text"), index, width, alike), "alike")
