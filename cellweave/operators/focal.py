@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..meta import RANGES, SPARK_TYPES, RasterError, RasterMeta, is_float
+from ..meta import RANGES, RasterError, RasterMeta, is_float
 from ..plans.tiles import Tile, by_tiles, circle, shifted
 from ..raster import Raster, grid
 
@@ -31,10 +31,6 @@ def _wide(dtype: str) -> str:
     return "int32" if dtype == "uint8" else dtype
 
 
-def _type(dtype: str) -> str:
-    return f"row int, col int, value {SPARK_TYPES[dtype]}"
-
-
 def _square(cells: DataFrame, reach: int, **aggregates: Column) -> DataFrame:
     """(row, col, value) with sums of the named columns over (2 * reach + 1)^2 cells."""
     across = cells.select("row", "col", "value", *[F.sum(c).over(along_row().rangeBetween(-reach, reach)).alias(k) for k, c in aggregates.items()])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..meta import RasterError, is_float
-from ..plans.tiles import by_tiles, circle, shifted
+from ..plans.tiles import by_tiles, circle
 from ..raster import Raster, align
 
 

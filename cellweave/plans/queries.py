@@ -121,6 +121,7 @@ q("from_table", lambda g: Raster.ingest(g.frame.withColumn("x", F.coalesce("a",
 q("cast", lambda g: g.f.astype("int32"), value=_int("trunc(f)"))
 q("fill", lambda g: local.fill_values(g.a, 5), value=_int("CASE WHEN a IS NOT NULL THEN 5 END"))
 q("fill_random", lambda g: local.fill_random(g.a, 1, 6, seed=1).cells().select("row", "col", F.col("value").between(1, 6).alias("inside")), "SELECT row, col, true AS inside FROM g")
+q("make_nodata", lambda g: local.make_nodata(g.a), value="CAST(NULL AS BIGINT)")
 q("set_value", lambda g: g.a.set_value(1, 2, 77), value=_int("CASE WHEN row = 1 AND col = 2 THEN 77 ELSE a END"))
 q("rc_to_xy", lambda g: g.frame.select("row", "col", *[c.alias(n) for n, c in zip("xy", g.meta.xy(F.col("row"), F.col("col")))]), "SELECT row, col, (col + 0.5) * 100.0::DOUBLE AS x, (SELECT rows FROM n) * 100.0::DOUBLE - (row + 0.5) * 100.0::DOUBLE AS y FROM g")
 q("xy_to_rc", lambda g: g.frame.select("id", *[c.alias(n) for n, c in zip(("row", "col"), g.meta.rc(F.col("id") * 3.0, F.col("id") * 5.0))]), "SELECT id, CAST(floor(((SELECT rows FROM n) * 100.0::DOUBLE - id * 5.0) / 100.0::DOUBLE) AS INT) AS row, CAST(floor(id * 3.0::DOUBLE / 100.0::DOUBLE) AS INT) AS col FROM g")
@@ -398,7 +399,6 @@ _lookup = "CASE {0} WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0 WHEN 2 THEN 100 END"
 q("categories_to_weights", lambda g: multires.categories_to_weights(g.cls, _weights), value=_lookup.format("cls"))
 q("aggregate_multi_resolution", lambda g: multires.aggregate_multi_resolution(g.cls, _weights, _coarse(g)), _block.format(f"sum({_lookup.format('cls')})"))
 _amounts = {11: 60.0, 12: 90.0, 23: 1000.0}
-_present = lambda g: {k: v for k, v in _amounts.items()}
 _of = "CASE {0} WHEN 11 THEN 60.0::DOUBLE WHEN 12 THEN 90 WHEN 23 THEN 1000 END"
 _dist = lambda w, digits=6: f"SELECT row, col, round(nullif(CASE WHEN s > 0 THEN amount * w / s WHEN c > 0 THEN CASE WHEN w IS NOT NULL THEN amount / c END ELSE amount / nullif(k - c, 0) END, 0), {digits}) AS value FROM (SELECT row, col, w, {_of.format('zone')} AS amount, sum(w) OVER (PARTITION BY zone) AS s, count(w) OVER (PARTITION BY zone) AS c, count(*) OVER (PARTITION BY zone) AS k FROM (SELECT row, col, zone, {w} AS w FROM g))"
 q("weighted_distribution", lambda g: multires.weighted_distribution(g.zone, g.weight, _amounts), _dist("weight"), digits=6)
@@ -460,6 +460,7 @@ SQL["stream_points"] = SQL["add_points"]
 _line_rows = [(1, 0, 50.0, 50.0, 3.0), (1, 1, 350.0, 150.0, 3.0), (1, 2, 950.0, 250.0, 3.0), (2, 0, 150.0, 450.0, 5.0), (2, 1, 150.0, 50.0, 5.0), (2, 2, 1150.0, 50.0, 5.0)]
 _lines = lambda g: _frame(g.spark, _line_rows, "line_id long, seq int, x double, y double, field double")
 _on_lines = "lines(line_id, x0, y0, x1, y1, field) AS (VALUES (1, 50.0, 50.0, 350.0, 150.0, 3.0), (1, 350.0, 150.0, 950.0, 250.0, 3.0), (2, 150.0, 450.0, 150.0, 50.0, 5.0), (2, 150.0, 50.0, 1150.0, 50.0, 5.0)), sg AS (SELECT line_id, field, CAST(floor(((SELECT rows FROM n) * 100 - y0) / 100) AS INT) AS r0, CAST(floor(x0 / 100) AS INT) AS c0, CAST(floor(((SELECT rows FROM n) * 100 - y1) / 100) AS INT) AS r1, CAST(floor(x1 / 100) AS INT) AS c1 FROM lines), lc AS (SELECT DISTINCT line_id, field, r0 + ((2 * k * abs(r1 - r0) + m) // (2 * m)) * sign(r1 - r0) AS row, c0 + ((2 * k * abs(c1 - c0) + m) // (2 * m)) * sign(c1 - c0) AS col FROM (SELECT *, greatest(abs(r1 - r0), abs(c1 - c0)) AS m FROM sg), range(100) AS x(k) WHERE k <= m)"
+q("draw_points", lambda g: vector.draw_points(g.a, _frame(g.spark, [(150.0, 120.0), (160.0, 130.0), (3950.0, 10.0), (-10.0, 50.0)], "x double, y double")), "SELECT row, col, CAST(CASE WHEN (col = 1 AND row = (SELECT rows FROM n) - 2) OR (col = 39 AND row = (SELECT rows FROM n) - 1) THEN 1 ELSE a END AS BIGINT) AS value FROM g")
 q("draw_lines", lambda g: vector.draw_lines(g.a, _lines(g)), "SELECT g.row, g.col, CAST(CASE WHEN EXISTS (SELECT 1 FROM lc WHERE lc.row = g.row AND lc.col = g.col) THEN 1 ELSE a END AS BIGINT) AS value FROM g", ctes=_on_lines)
 _smooth_points = {1: (3.0, [(50, 50), (350, 150), (350, 150), (950, 250)]), 2: (5.0, [(150, 450), (150, 50), (1150, 50)]), 3: (2.0, [(1210, 130), (1230, 135), (1260, 180), (1290, 210), (1297.5, 216), (1300, 300), (1420, 290)]), 4: (4.0, [(-150, 210), (260, 330), (300, -90), (-20, -70)])}
 _smooth_rows = [(i, k, float(x), float(y), f) for i, (f, xy) in _smooth_points.items() for k, (x, y) in enumerate(xy)]

@@ -18,19 +18,6 @@ AGGREGATES = {
 KERNELS = {"bilinear": 1, "cubic": 2, "cubic_spline": 2, "lanczos": 3}
 
 
-def kernel_weight(name: str, x: float) -> float:
-    x = abs(x)
-    if x >= KERNELS[name]:
-        return 0.0
-    if name == "bilinear":
-        return 1 - x
-    if name == "cubic":
-        return 1.5 * x**3 - 2.5 * x**2 + 1 if x < 1 else -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2
-    if name == "cubic_spline":
-        return (4 - 6 * x**2 + 3 * x**3) / 6 if x < 1 else (2 - x) ** 3 / 6
-    return 1.0 if x == 0 else 3 * math.sin(math.pi * x) * math.sin(math.pi * x / 3) / (math.pi * x) ** 2
-
-
 def _weight(name: str, x):
     x = F.abs(x)
     inside = x < KERNELS[name]

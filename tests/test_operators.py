@@ -57,7 +57,7 @@ def test_one_frame_needs_no_join(spark):
     assert "Join" not in plan and "Exchange" not in plan
 
 
-def test_zonal(spark):
+def test_zonal(spark, tmp_path):
     c, v = ras(spark, [[1, 1, 1, 0, 2]]), ras(spark, [[1.1, 1.2, 1.3, 2.1, 3.1]], "float64")
     assert show(zonal.csum(c, v), 6) == [[3.6, 3.6, 3.6, 0, 3.1]]
     assert show(zonal.cmax(c, v)) == [[1.3, 1.3, 1.3, 0, 3.1]] and show(zonal.cmin(c, v)) == [[1.1, 1.1, 1.1, 0, 3.1]]
@@ -73,6 +73,10 @@ def test_zonal(spark):
     assert row("Sum") == {0: 0, 1: 48, 2: 31} and row("Count") == {0: 1, 1: 3, 2: 1} and row("CountNonZero") == {1: 2, 2: 1} and row("MinNonZero") == {1: 12, 2: 31} and row("AverageInCat1") == {1: 16}
     with pytest.raises(RasterError):
         zonal.csum(v, v)
+    zonal.write_table_row(x, cat, "Sum", f"{tmp_path}/row.tab", "first")
+    zonal.write_table_row(x, cat, "Count", f"{tmp_path}/row.tab", "second", append=True)
+    assert (tmp_path / "row.tab").read_text() == "\t0\t1\t2\nfirst\t0\t48\t31\nsecond\t1\t3\t1\n"
+    assert local.tolerant_equal_to(v, v + 1e-9, 1e-6) and not local.tolerant_equal_to(v, v + 1.0, 1e-6)
 
 
 MAJORITY = [[1, 1, 0, 2, 2, -3], [1, 1, 5, 2, 2, -3], [4, 4, 5, 3, 3, -3], [4, 4, 5, 3, 3, N], [0, 0, 6, 6, N, N], [0, 0, 6, N, N, N]]
