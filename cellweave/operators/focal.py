@@ -19,6 +19,7 @@ from ..meta import RANGES, RasterError, RasterMeta, is_float
 from ..plans.tiles import Tile, by_tiles, circle, shifted
 from ..raster import Raster, grid
 
+
 def along_row():
     return Window.partitionBy("row").orderBy("col")
 
