@@ -235,17 +235,14 @@ def _can_be_alike(x: Column, y: Column, alike: tuple[int, int]) -> Column:
 
 
 def _alike(texts: DataFrame, rows: DataFrame, width: int, alike: tuple[int, int]) -> Callable[[DataFrame], DataFrame]:
-    """The pairs (a, b) of items that are alike: rows (item, n, row), texts (row, text), a row for each item."""
+    """The pairs (a, b) of items that are alike: rows (item, row), texts (row, text), a row for each item."""
 
     def links(pairs: DataFrame) -> DataFrame:
-        about = lambda c: rows.select(F.col("item").alias(c), F.col("n").alias(f"{c}_n"))
-        size = alike[1] * F.least("a_n", "b_n") >= alike[0] * F.greatest("a_n", "b_n")
-        near = keep(pairs.join(about("a"), "a").join(about("b"), "b").where(size).select("a", "b"), "alike-candidates")
-        wanted = near.select(F.col("a").alias("item")).union(near.select("b")).distinct()
+        wanted = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct()
         sets = keep(texts.join(rows.select("item", "row").join(wanted, "item"), "row").dropDuplicates(["item"]).select("item", _shingled(width)("text").alias("items")), "alike-sets")
         x, y = (sets.select(F.col("item").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
         both = F.size(F.array_intersect("a_items", "b_items"))
-        return keep(near.join(x, "a").join(y, "b").where(alike[1] * both >= alike[0] * (F.size("a_items") + F.size("b_items") - both)).select("a", "b"), "alike-links")
+        return keep(pairs.join(x, "a").join(y, "b").where(alike[1] * both >= alike[0] * (F.size("a_items") + F.size("b_items") - both)).select("a", "b"), "alike-links")
 
     return links
 
