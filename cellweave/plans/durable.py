@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,6 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _folder: ContextVar[str | None] = ContextVar("folder", default=None)
+_count: ContextVar[Iterator[int] | None] = ContextVar("count", default=None)
+
+#: Tables between two times that the driver gives memory back, in ``scratch``.
+RELIEF = 4
 
 
 def folder(spark: SparkSession) -> str:
@@ -53,14 +59,33 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with passing(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
+    if (count := _count.get()) and next(count) % RELIEF == 0:
+        relieve(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def relieve(spark: SparkSession) -> bool:
+    """The driver lets go of ended queries: their broadcasts stay until it happens to collect its garbage, and its C library keeps what their threads and compilers have freed.
+
+    False if the virtual machine has no command for the latter.
+    """
+    jvm = spark._jvm
+    jvm.System.gc()
+    try:
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")  # the server's own class is not public
+        call = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), call)
+    except Py4JError:
+        return False
+    return True
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Tables written inside are deleted at the end, but for those written by the function that it gives."""
+    """Tables written inside are deleted at the end, but for those written by the function that it gives; the driver gives memory back as they are written."""
     outer, path = _folder.get(), f"{folder(spark)}/scratch-{uuid.uuid4().hex}"
-    token = _folder.set(path)
+    token, counting = _folder.set(path), _count.set(itertools.count())
 
     def lasting(df: DataFrame, name: str) -> DataFrame:
         inner = _folder.set(outer)
@@ -73,5 +98,6 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         yield lasting
     finally:
         _folder.reset(token)
+        _count.reset(counting)
         place = spark._jvm.org.apache.hadoop.fs.Path(path)  # any file system that Spark can write to
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

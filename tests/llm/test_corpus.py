@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cellweave.llm import html_paths, langid, mixing, mtree, piece_codec, pitman_yor, qda, quality_rules, simhash_variants, toxicity
+from cellweave.plans import durable
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EN = "the of and to in is that was for with on as it be by this from are an at".split()
@@ -337,6 +338,20 @@ def test_simhash_components(spark, docs, none):
     assert rows(simhash_variants.near_duplicates(none)) == [] and simhash_variants.deduplicate(none).count() == 0
 
 
+def test_near_duplicates_relieve_the_driver(spark, monkeypatch):
+    """As tables are written in scratch the driver gives memory back, and nowhere else; True: the C library did, too."""
+    calls, real = [], durable.relieve
+    monkeypatch.setattr(durable, "relieve", lambda session: calls.append(real(session)))
+    durable.durable(spark.range(1))
+    assert calls == []
+    with durable.scratch(spark):
+        for _ in range(2 * durable.RELIEF):
+            durable.durable(spark.range(1))
+    assert calls == [True] * 2
+    simhash_variants.near_duplicates(spark.createDataFrame(ROWS[:3], SCHEMA)).count()
+    assert len(calls) > 2
+
+
 def test_deduplicate_links_alike_shingles(spark):
     """Texts of five-word Jaccard similarity 0.8 or more are near copies, also where more than four bits differ."""
     r, data = random.Random(12), []
