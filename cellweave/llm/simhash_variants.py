@@ -21,7 +21,8 @@ empty result. ``deduplicate`` keeps one row of each component, the one of smalle
 any name. Its components also link texts whose sets of word shingles are alike (Jaccard): such sets share a shingle among the first
 n - ceil(similarity n) + 1 of any common order, which are the keys of an index as above; pairs whose own 128-bit SimHashes differ in more
 than FAR bits are passed over (sets of similarity 0.8 differ in 19.5, with a deviation of 4.1: some one in ten thousand of them is lost,
-fewer of those more alike; sets that have nothing else in common differ in 64, with 5.7), and whole sets verify the others. The order puts shingles that are frequent in a sample
+fewer of those more alike; sets that have nothing else in common differ in 64, with 5.7). Where 64 * PARITIES parities of the numbers of
+shingles by hash differ more often than sets so alike can have shingles in one of both only, they are not alike, without error. Whole sets verify the others. The order puts shingles that are frequent in a sample
 of one text in SAMPLE last, which changes the work and never the result.
 """
 
@@ -44,6 +45,8 @@ SHINGLE, SEED, BITS = 4, 42, 4
 #: Of ``deduplicate``: words of a shingle, and the least Jaccard similarity as a fraction.
 WORDS, ALIKE = 5, (4, 5)
 SAMPLE, SAMPLE_LEAST, HOT, FAR, TRIES, CROWD = 8, 3, 100_000, 36, 6, 256
+#: Longs of a set's parities: beyond some 500 shingles they rule out little.
+PARITIES = 3
 #: (first bit, width) of the segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 
@@ -143,10 +146,10 @@ def _joined_roots(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return keep(roots.join(tops.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").select("item", F.coalesce("top", "root").alias("root")), name)
 
 
-def _apart(x: Column, y: Column, n: int) -> Column:
-    """Differing bits of two prints of n longs."""
-    out = F.bit_count(x[0].bitwiseXOR(y[0]))
-    for k in range(1, n):
+def _apart(x: Column, y: Column, n: int, first: int = 0) -> Column:
+    """Differing bits of two prints in n longs from the first."""
+    out = F.bit_count(x[first].bitwiseXOR(y[first]))
+    for k in range(first + 1, first + n):
         out += F.bit_count(x[k].bitwiseXOR(y[k]))
     return out
 
@@ -199,37 +202,44 @@ def _print(x: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(x)).view(">i8")[0])
 
 
+def _parities(x: np.ndarray) -> list[int]:
+    """Whether odd numbers of hashes, each once, fall in each of 64 * PARITIES places: sets differ in as many hashes as parities, at least."""
+    odd = np.bincount((x % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
+
+
 def _prefixed(width: int, alike: tuple[int, int], hot: np.ndarray):
-    """UDF of (set, n, print, print2, prefix): a hash of the text's set of shingles, its size, SimHashes and first shingles; hot ones come last, in their order."""
+    """UDF of (set, n, print, print2, parities, prefix): a hash of the text's set of shingles, its size, SimHashes, parities and first shingles; hot ones come last, in their order."""
     place = np.argsort(hot)
     known = hot[place]
-    kinds = [("set", T.LongType()), ("n", T.IntegerType()), ("print", T.LongType()), ("print2", T.LongType()), ("prefix", T.ArrayType(T.LongType()))]
+    kinds = [("set", T.LongType()), ("n", T.IntegerType()), ("print", T.LongType()), ("print2", T.LongType()), ("parities", T.ArrayType(T.LongType())), ("prefix", T.ArrayType(T.LongType()))]
 
     @F.arrow_udf(T.StructType([T.StructField(n, t) for n, t in kinds]))
     def prefixes(texts: pa.Array) -> pa.Array:
         memory("simhash")
-        sets, sizes, prints, others, first = [], [], [], [], []
+        sets, sizes, prints, others, parities, first = [], [], [], [], [], []
         for t in texts.cast(pa.large_binary()):
             x = shingles(t.as_py(), width)
             sets.append(xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED))
             sizes.append(len(x))
             prints.append(_print(x))
             others.append(_print(x * np.uint64(0x9E3779B97F4A7C15) ^ x >> np.uint64(32)))
+            parities.append(_parities(x))
             if len(known) and len(x):
                 at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                 common = known[at] == x
                 x = np.concatenate([x[~common], hot[np.sort(place[at[common]])]])
             first.append(x[: len(x) + alike[0] * len(x) // -alike[1] + 1].view(np.int64))
         give_back()
-        return pa.StructArray.from_arrays([pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(others, pa.int64()), pa.array(first, pa.list_(pa.int64()))], [n for n, _ in kinds])
+        return pa.StructArray.from_arrays([pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(others, pa.int64()), pa.array(parities, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], [n for n, _ in kinds])
 
     return prefixes
 
 
 def _can_be_alike(x: Column, y: Column, alike: tuple[int, int]) -> Column:
-    """Whether sets of so many items (x[2], y[2]), of which at least so many are in no other set (x[3], y[3]), can be alike."""
+    """Whether sets of so many items (x[2], y[2]), of which at least so many are in no other set (x[3], y[3]), of such parities (from x[4], y[4]), can be alike."""
     more = x[2] - y[2]
-    apart = 2 * F.greatest(x[3], y[3] + more) - more  # items in one of both only, at least
+    apart = F.greatest(2 * F.greatest(x[3], y[3] + more) - more, _apart(x, y, PARITIES, 4))  # items in one of both only, at least
     whole = x[2] + y[2]
     return (alike[1] * F.least(x[2], y[2]) >= alike[0] * F.greatest(x[2], y[2])) & (alike[1] * (whole - apart) >= alike[0] * (whole + apart))
 
@@ -277,11 +287,11 @@ def _chosen(rows: DataFrame, width: int, alike: tuple[int, int]) -> DataFrame:
     tops = components(named.join(least, "set").select("a", F.col("root").alias("b")))
     known = keep(index.join(least, "set").join(tops.select(F.col("v").alias("a"), F.col("root").alias("top")), "a", "left").select("item", "set", F.coalesce("top", "a").alias("root")), "alike-known")
     numbered = hashed.join(one, ["set", "row"]).dropDuplicates(["item"])
-    about = keep(numbered.select("item", "print", "print2", F.col("n").cast("long").alias("n"), F.size("prefix").alias("first")), "alike-about")
+    about = keep(numbered.select("item", "print", "print2", F.col("n").cast("long").alias("n"), "parities", F.size("prefix").alias("first")), "alike-about")
     prefix = numbered.select(F.explode("prefix").alias("key"), "item")
     shared = keep(prefix.groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high")).where("low < high").select("key"), "alike-shared")
     met = keep(prefix.join(shared, "key"), "alike-met")
-    told = about.join(met.groupBy("item").agg(F.count("*").alias("shared")), "item").select("item", F.array("print", "print2", "n", F.col("first") - F.col("shared")).alias("print"))  # last: first shingles that no other set has
+    told = about.join(met.groupBy("item").agg(F.count("*").alias("shared")), "item").select("item", F.concat(F.array("print", "print2", "n", F.col("first") - F.col("shared")), "parities").alias("print"))  # before the parities: first shingles that no other set has
     index_of = keep(met.join(told, "item").select("key", "item", "print"), "alike-index")
     entries = lambda rows: index_of.join(rows, "item").select("key", "item", "print", "root")
     near = lambda x, y, key: (_apart(x, y, 2) <= FAR) & _can_be_alike(x, y, alike)

@@ -385,6 +385,29 @@ def test_deduplicate_links_alike_shingles(spark):
     assert sorted(x["doc_id"] for x in rows(got)) == sorted(data[i][0] for i in range(len(data)) if find(i) == i)
 
 
+def test_few_unlike_texts_of_a_group_are_verified(spark, monkeypatch):
+    """Parities rule out most pairs of one group's texts that are not alike, and none that is."""
+    r, found, real = random.Random(31), [], simhash_variants.keep
+
+    def counted(df, name):
+        out = real(df, name)
+        if name in ("alike-stars", "alike-tried", "alike-pairs"):
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash_variants, "keep", counted)
+    texts = [" ".join(f"w{k} a{k} b{k} c{k} {r.choice('pppppppxx')}{k}" for k in range(24)) for _ in range(150)]
+    root = components_slowly(texts)
+    got = simhash_variants.deduplicate(spark.createDataFrame([(i, t, "en", "s0", None) for i, t in enumerate(texts)], SCHEMA))
+    assert sorted(x["doc_id"] for x in rows(got)) == [i for i in range(150) if root[i] == i]
+    assert 0 < sum(found) < 150, found
+    sets = [simhash_variants.shingles(t.encode(), 5) for t in texts]
+    for x in sets[:40]:
+        for y in sets:
+            apart = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(simhash_variants._parities(x), simhash_variants._parities(y), strict=True))
+            assert apart <= len(np.setxor1d(x, y))
+
+
 def test_random_prints_link_within_four_bits(spark):
     r = random.Random(9)
     prints = [r.getrandbits(64) for _ in range(300)]
