@@ -141,13 +141,19 @@ def translate(r: Raster, extent: RasterMeta) -> Raster:
 
 def warp_raster(r: Raster, epsg: int) -> Raster:
     """The raster in another projection by the nearest cell: as it is for its own, by closed form between EPSG:4326 and EPSG:3857. Columns
-    keep their number, and cells are square."""
+    keep their number, and cells are square. Poles lie at infinity in EPSG:3857: of a raster that reaches one or beyond, the map ends half a
+    cell before it, at the centres of the last cells that have a place."""
     if r.meta.epsg == epsg:
         return r
     if {r.meta.epsg, epsg} != {4326, 3857}:
         raise RasterError(f"no closed form from {r.meta.projection or 'no projection'} to EPSG:{epsg}")
     there, back = (to_mercator, to_geographic) if epsg == 3857 else (to_geographic, to_mercator)
     left, bottom, right, top = r.meta.bounds
+    if epsg == 3857:
+        most = 90 - r.meta.cell_size / 2
+        bottom, top = -most if bottom <= -90 else bottom, most if top >= 90 else top
+        if bottom >= top:
+            raise RasterError("no cells between the poles")
     (x0, y0), (x1, y1) = there(left, bottom), there(right, top)
     size = (x1 - x0) / r.meta.cols
     nodata = r.meta.nodata if r.meta.nodata is not None else default_nodata(r.dtype)

@@ -310,6 +310,17 @@ def test_arrays_bytes_bands_and_command_line(spark, tmp_path, capsys):
     assert show(copy.deepcopy(ras(spark, [[1]]))) == [[1]]
 
 
+def test_projection_near_and_beyond_poles(spark):
+    beyond = Raster.from_array(spark, np.arange(8).reshape(4, 2), RasterMeta(4, 2, 3.0, 0.0, 30.0, -1.0, "EPSG:4326"), "int32")
+    there = grids.warp_raster(beyond, 3857)
+    assert math.isclose(there.meta.bounds_geo[3], 75.0) and show(there) == [[2, 3], [4, 5], [4, 5], [6, 7]]
+    world = Raster.from_array(spark, np.arange(6).reshape(6, 1), RasterMeta(6, 1, 0.0, -90.0, 30.0, -1.0, "EPSG:4326"), "int32")
+    found = [v for (v,) in show(grids.warp_raster(world, 3857))]
+    assert set(found) == set(range(6)) and found == sorted(found)
+    with pytest.raises(RasterError):
+        grids.warp_raster(beyond.with_meta(yll=90.0), 3857)
+
+
 def test_projections(spark):
     meta = RasterMeta(4, 5, 3.0, 50.0, 0.5, -1.0, "EPSG:4326")
     r = Raster.from_array(spark, np.arange(20).reshape(4, 5), meta, "int32")
