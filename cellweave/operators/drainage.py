@@ -2,7 +2,7 @@
 
 A network is a forest. Sums, maxima and first stations along its paths come from pointer doubling: after k rounds a
 cell knows what lies within 2^k steps, so a river of any length takes a logarithm of it in rounds. Each round is two
-equi-joins and is written; pointers that still move after log2(cells) rounds run in a loop.
+equi-joins, of which none is broadcast, and is written; pointers that still move after log2(cells) rounds run in a loop.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..meta import RasterError
-from ..plans.durable import durable
+from ..plans.durable import durable, whole
 from ..raster import Raster, align
 
 #: Code to (dr, dc).
@@ -47,7 +47,7 @@ def _network(ldd: Raster, **layers: Raster) -> DataFrame:
     here = nodes.where("code is not null").withColumn("next", F.col("r2").cast("bigint") * cols + F.col("c2"))
     there = nodes.where("code is not null").select(F.col("id").alias("next"), *[F.col(n).alias(f"n_{n}") for n in layers], F.lit(True).alias("__there"))
     step = F.when((F.col("r2") != F.col("row")) & (F.col("c2") != F.col("col")), F.lit(math.sqrt(2.0))).otherwise(F.lit(1.0))
-    joined = durable(here.join(there, "next", "left").withColumn("step", step), "network")
+    joined = durable(here.join(whole(there), "next", "left").withColumn("step", step), "network")
     if not joined.where("next is not null and __there is null").isEmpty():
         raise RasterError("the drainage network flows into nodata")
     return joined.drop("__there", "r2", "c2")
@@ -69,7 +69,7 @@ def _upstream(ldd: Raster, nodes: DataFrame, value: Column, weight: Column, comb
         far = state.select(F.col("id").alias("jump"), F.col("jump").alias("__jump"), F.col("w").alias("__w"))
         s = F.col("s") + F.coalesce("__in", F.lit(0.0)) if product else F.greatest("s", "__in")
         w = F.col("w") * F.col("__w") if product else F.col("w") + F.col("__w")
-        state = durable(state.join(arriving, "id", "left").join(far, "jump", "left").select("id", F.col("__jump").alias("jump"), w.alias("w"), s.alias("s")), "flow")
+        state = durable(whole(state).join(arriving, "id", "left").join(whole(far), "jump", "left").select("id", F.col("__jump").alias("jump"), w.alias("w"), s.alias("s")), "flow")
     raise RasterError("a loop in the drainage network")
 
 
@@ -79,7 +79,7 @@ def _downstream(ldd: Raster, nodes: DataFrame, stop: Column, add: Column, times:
     state = durable(nodes.select("id", F.when(ends, F.col("id")).otherwise(F.col("next")).alias("last"), F.when(ends, 0.0).otherwise(add).alias("total"), F.when(ends, 1.0).otherwise(times).alias("product")), "path")
     for _ in range(_rounds(ldd)):
         far = state.select(F.col("id").alias("last"), F.col("last").alias("__last"), F.col("total").alias("__total"), F.col("product").alias("__product"))
-        joined = state.join(far, "last").select("id", F.col("__last").alias("last"), (F.col("total") + F.col("__total")).alias("total"), (F.col("product") * F.col("__product")).alias("product"), (F.col("last") != F.col("__last")).alias("moved"))
+        joined = state.join(whole(far), "last").select("id", F.col("__last").alias("last"), (F.col("total") + F.col("__total")).alias("total"), (F.col("product") * F.col("__product")).alias("product"), (F.col("last") != F.col("__last")).alias("moved"))
         joined = durable(joined, "path")
         state = joined.drop("moved")
         if joined.where("moved").isEmpty():
@@ -92,7 +92,7 @@ def _downstream(ldd: Raster, nodes: DataFrame, stop: Column, add: Column, times:
 def _result(ldd: Raster, found: DataFrame, value: Column, dtype: str) -> Raster:
     """value of (id, ...) on the whole grid; nodata where the ldd is."""
     index = F.col("row").cast("bigint") * ldd.meta.cols + F.col("col")
-    out = ldd.frame.select("row", "col", index.alias("id")).join(found, "id", "left").select("row", "col", value.alias("value"))
+    out = ldd.frame.select("row", "col", index.alias("id")).join(whole(found), "id", "left").select("row", "col", value.alias("value"))
     return Raster.ingest(out, ldd.meta.replace(nodata=float("nan") if dtype.startswith("float") else -9999), dtype)
 
 
@@ -123,7 +123,7 @@ def flux_origin(ldd: Raster, freight: Raster, fraction: Raster, station: Raster)
     passed = F.when(F.col("n_station") == 1, 1.0).otherwise(_poison(F.col("n_fraction")))
     start = F.col("freight") * F.col("fraction")
     path = _downstream(ldd, nodes, F.coalesce(F.col("station") == 1, F.lit(False)), F.lit(0.0), passed)
-    found = nodes.join(path, "id").join(stations, "last", "left").select("id", F.when(own, _poison(start)).when(F.col("__arrives"), _poison(start * F.col("product"))).otherwise(0.0).alias("s"))
+    found = nodes.join(whole(path), "id").join(whole(stations), "last", "left").select("id", F.when(own, _poison(start)).when(F.col("__arrives"), _poison(start * F.col("product"))).otherwise(0.0).alias("s"))
     return _result(ldd, found, F.col("s"), "float32")
 
 
@@ -136,7 +136,7 @@ def ldd_cluster(ldd: Raster, ids: Raster) -> Raster:
     nodes, stop = _station(ldd, ids)
     path = _downstream(ldd, nodes, stop, F.lit(0.0), F.lit(1.0))
     at = nodes.select(F.col("id").alias("last"), F.col("station"))
-    return _result(ldd, path.join(at, "last").select("id", F.coalesce("station", F.lit(0.0)).alias("s")), F.col("s"), "int32")
+    return _result(ldd, path.join(whole(at), "last").select("id", F.coalesce("station", F.lit(0.0)).alias("s")), F.col("s"), "int32")
 
 
 def catchment(ldd: Raster, stations: Raster) -> Raster:
@@ -145,7 +145,7 @@ def catchment(ldd: Raster, stations: Raster) -> Raster:
     state = durable(nodes.select("id", F.coalesce("next", "id").alias("last"), F.nullif(F.col("station"), F.lit(0.0)).alias("s")), "path")
     for _ in range(_rounds(ldd)):
         far = state.select(F.col("id").alias("last"), F.col("last").alias("__last"), F.col("s").alias("__s"))
-        joined = durable(state.join(far, "last").select("id", F.col("__last").alias("last"), F.coalesce("__s", "s").alias("s"), (F.col("last") != F.col("__last")).alias("moved")), "path")
+        joined = durable(state.join(whole(far), "last").select("id", F.col("__last").alias("last"), F.coalesce("__s", "s").alias("s"), (F.col("last") != F.col("__last")).alias("moved")), "path")
         state = joined.drop("moved")
         if joined.where("moved").isEmpty():
             return _result(ldd, state.select("id", F.coalesce("s", F.lit(0.0)).alias("s")), F.col("s"), "int32")
@@ -161,7 +161,7 @@ def ldd_dist(ldd: Raster, points: Raster, friction: Raster) -> Raster:
     nodes = _network(ldd, station=points, friction=friction)
     path = _downstream(ldd, nodes, F.coalesce(F.col("station") != 0, F.lit(False)), _poison(_friction(ldd)), F.lit(1.0))
     at = nodes.where("station <> 0").select(F.col("id").alias("last"))
-    return _result(ldd, path.join(at, "last").select("id", F.col("total").alias("s")), F.col("s"), "float32")
+    return _result(ldd, path.join(whole(at), "last").select("id", F.col("total").alias("s")), F.col("s"), "float32")
 
 
 def slopelength(ldd: Raster, friction: Raster) -> Raster:
@@ -182,15 +182,15 @@ def ldd_validate(ldd: Raster) -> DataFrame:
     meta = ldd.meta
     off = (F.col("r2") < 0) | (F.col("r2") >= meta.rows) | (F.col("c2") < 0) | (F.col("c2") >= meta.cols)
     there = nodes.select(F.col("id").alias("next"), F.lit(True).alias("__there"))
-    linked = nodes.withColumn("next", F.when(~off, F.col("r2").cast("bigint") * meta.cols + F.col("c2"))).join(there, "next", "left")
+    linked = nodes.withColumn("next", F.when(~off, F.col("r2").cast("bigint") * meta.cols + F.col("c2"))).join(whole(there), "next", "left")
     kind = F.when((F.col("code") < 1) | (F.col("code") > 9), "invalid").when(off, "outside").when(F.col("next").isNotNull() & F.col("__there").isNull(), "nodata")
     linked = durable(linked.withColumn("error", kind), "validate")
     sound = linked.select("id", F.when(F.col("error").isNull(), F.col("next")).alias("next"))
     path = _downstream(ldd, sound, F.lit(False), F.lit(0.0), F.lit(1.0), strict=False)
     ends = sound.where("next is null").select(F.col("id").alias("last"))
-    loops = path.join(ends, "last", "left_anti").select(F.col("last").alias("id")).distinct()
+    loops = path.join(whole(ends), "last", "left_anti").select(F.col("last").alias("id")).distinct()
     found = linked.where("error is not null").select("row", "col", "error")
-    return found.union(nodes.join(loops, "id").select("row", "col", F.lit("loop").alias("error")))
+    return found.union(nodes.join(whole(loops), "id").select("row", "col", F.lit("loop").alias("error")))
 
 
 def ldd_fix(ldd: Raster) -> Raster:
@@ -202,12 +202,12 @@ def ldd_fix(ldd: Raster) -> Raster:
     pits = errors.where("error = 'nodata'").select("row", "col")
     loops = errors.where("error = 'loop'").select("row", "col")
     if not loops.isEmpty():
-        nodes = _nodes(valid).join(loops, ["row", "col"], "left_semi")
+        nodes = _nodes(valid).join(whole(loops), ["row", "col"], "left_semi")
         from ..plans.components import components
 
         links = nodes.select(F.col("id").alias("a"), (F.col("r2").cast("bigint") * ldd.meta.cols + F.col("c2")).alias("b"))
         first = components(links).select("root").distinct()
         cols = F.lit(ldd.meta.cols)
         pits = pits.union(first.select(F.call_function("div", F.col("root"), cols).cast("int").alias("row"), (F.col("root") % cols).cast("int").alias("col")))
-    cells = valid.cells().join(pits.distinct().withColumn("__pit", F.lit(True)), ["row", "col"], "left")
+    cells = valid.cells().join(whole(pits.distinct().withColumn("__pit", F.lit(True))), ["row", "col"], "left")
     return Raster.of(cells.select("row", "col", F.when(F.col("__pit"), F.lit(5)).otherwise(F.col("value")).alias("value")), ldd.meta, ldd.dtype)

@@ -64,6 +64,11 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole(df: DataFrame) -> DataFrame:
+    """df for a join that broadcasts neither side: Spark sizes exploded rows by what they are made of, and tables by files that pack ids well, both far too low."""
+    return df.hint("merge")
+
+
 def relieve(spark: SparkSession) -> bool:
     """The driver lets go of ended queries: their broadcasts stay until it happens to collect its garbage, and its C library keeps what their threads and compilers have freed.
 

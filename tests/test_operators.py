@@ -159,6 +159,26 @@ def rivers(ldd):
             yield way
 
 
+def test_drainage_broadcasts_nothing(spark):
+    """The tables of a network pack so well that Spark takes them for small."""
+    n = 200
+    meta = RasterMeta(n, n, cell_size=1.0, nodata=255)
+    cells = spark.range(n * n).select(F.expr(f"int(id div {n})").alias("row"), F.expr(f"int(id % {n})").alias("col"), F.expr(f"if(id < {n * n - n}, 2, 5)").alias("value"), F.lit(1.0).alias("one"), F.expr(f"if(id div {n} = 150, 1, 0)").alias("station"))
+    ldd, one, station = Raster.of(cells, meta, "uint8"), Raster.of(cells, meta, "float64", "one"), Raster.of(cells, meta, "int32", "station")
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.autoBroadcastJoinThreshold": "64k", "spark.sql.maxBroadcastTableSize": "100k"}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        down = np.repeat(np.arange(n), n).reshape(n, n)
+        assert (drainage.accuflux(ldd, one).to_array() == down + 1).all() and (drainage.accufractionflux(ldd, one, one).to_array() == down + 1).all()
+        assert (drainage.max_upstream_dist(ldd).to_array() == down).all() and (drainage.slopelength(ldd, one).to_array() == down).all()
+        assert (drainage.catchment(ldd, station).to_array() == (down <= 150)).all()
+        assert (drainage.ldd_dist(ldd, station, one).to_array()[:151] == 150 - down[:151]).all()
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+
+
 def test_drainage(spark):
     ldd = ras(spark, LDD, "uint8", nodata=255, cell=1.0)
     amounts = [[1 + (3 * r + c) % 4 for c in range(5)] for r in range(5)]
