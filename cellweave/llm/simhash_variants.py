@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.components import components
-from ..plans.durable import scratch
+from ..plans.durable import scratch, whole
 from .common import give_back, keep, memory, quoted
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -108,7 +108,7 @@ def _roots(items: DataFrame, entries: Callable[[DataFrame], DataFrame], near: Ca
     """
     keys = keep(entries(items).groupBy("key").agg(F.min(F.struct("item", "print")).alias("least"), F.count("*").alias("n")).where("n > 1"), f"{name}-keys")
     up = lambda roots, c: roots.select(F.col("item").alias(c), F.col("root").alias(f"{c}_root"))
-    e, k = entries(items).drop("root"), keys.select(F.col("key").alias("of"), "least")
+    e, k = whole(entries(items).drop("root")), keys.select(F.col("key").alias("of"), "least")
     met = e.join(k, (e.key == k.of) & (F.col("item") != F.col("least.item")) & near(F.col("print"), F.col("least.print"), None)).select(F.col("least.item").alias("a"), F.col("item").alias("b"))
     apart = keep(met.distinct(), f"{name}-met").join(up(items, "a"), "a").join(up(items, "b"), "b").where("a_root <> b_root")
     tried = apart.groupBy("b").agg(*[F.min_by("a", F.xxhash64("a_root", F.lit(n))).alias(f"t{n}") for n in range(TRIES)])
@@ -118,7 +118,7 @@ def _roots(items: DataFrame, entries: Callable[[DataFrame], DataFrame], near: Ca
     crowded = not crowds.isEmpty()
     if crowded:
         crowd = keep(entries(items).drop("root").join(crowds, "key"), f"{name}-crowd")
-        now = crowd.join(first, "item")
+        now = whole(crowd).join(first, "item")
         pivots = now.groupBy("key").agg(F.min_by(F.struct("item", "print", "root"), F.xxhash64("item")).alias("pivot")).withColumnRenamed("key", "of")
         met = now.join(pivots, (F.col("key") == F.col("of")) & (F.col("root") != F.col("pivot.root")) & near(F.col("print"), F.col("pivot.print"), None))
         tried = met.groupBy("item").agg(*[F.min_by("pivot.item", F.xxhash64("pivot.item", F.lit(n))).alias(f"t{n}") for n in range(TRIES)])
@@ -129,13 +129,13 @@ def _roots(items: DataFrame, entries: Callable[[DataFrame], DataFrame], near: Ca
     near_pair = near(F.col("a_print"), F.col("b_print"), F.col("key"))
     thin = rooted.join(crowds, "key", "left_anti") if crowded else rooted
     a, b = side(thin, "a"), side(thin, "b").withColumnRenamed("key", "of")
-    pairs = a.join(b, (F.col("key") == F.col("of")) & (F.col("a_root") < F.col("b_root")) & near_pair).select(F.col("a_item").alias("a"), F.col("b_item").alias("b"))
+    pairs = whole(a).join(b, (F.col("key") == F.col("of")) & (F.col("a_root") < F.col("b_root")) & near_pair).select(F.col("a_item").alias("a"), F.col("b_item").alias("b"))
     if crowded:
-        many = keep(crowd.join(first, "item"), f"{name}-crowded")
+        many = keep(whole(crowd).join(first, "item"), f"{name}-crowded")
         main = many.groupBy("key").agg(F.mode("root", True).alias("main"))
-        a, b = side(many.join(main, "key").where("root <> main"), "a").join(main, "key"), side(many, "b").withColumnRenamed("key", "of")
+        a, b = side(whole(many).join(main, "key").where("root <> main"), "a").join(main, "key"), side(many, "b").withColumnRenamed("key", "of")
         other = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("main")) | (F.col("a_root") < F.col("b_root")))
-        pairs = pairs.union(a.join(b, (F.col("key") == F.col("of")) & other & near_pair).select(F.col("a_item").alias("a"), F.col("b_item").alias("b")))
+        pairs = pairs.union(whole(a).join(b, (F.col("key") == F.col("of")) & other & near_pair).select(F.col("a_item").alias("a"), F.col("b_item").alias("b")))
     return _joined_roots(first, links(keep(pairs.distinct(), f"{name}-pairs")), f"{name}-second")
 
 
@@ -293,7 +293,7 @@ def _chosen(rows: DataFrame, width: int, alike: tuple[int, int]) -> DataFrame:
     met = keep(prefix.join(shared, "key"), "alike-met")
     told = about.join(met.groupBy("item").agg(F.count("*").alias("shared")), "item").select("item", F.concat(F.array("print", "print2", "n", F.col("first") - F.col("shared")), "parities").alias("print"))  # before the parities: first shingles that no other set has
     index_of = keep(met.join(told, "item").select("key", "item", "print"), "alike-index")
-    entries = lambda rows: index_of.join(rows, "item").select("key", "item", "print", "root")
+    entries = lambda rows: whole(index_of).join(rows, "item").select("key", "item", "print", "root")
     near = lambda x, y, key: (_apart(x, y, 2) <= FAR) & _can_be_alike(x, y, alike)
     own = _roots(known.select("item", "root"), entries, near, _alike(rows.select("row", "text"), index, width, alike), "alike")
     final = named.join(known.select("set", "item").join(own, "item").select("set", F.col("root").alias("top")), "set")

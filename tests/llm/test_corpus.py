@@ -308,6 +308,21 @@ def simple_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_simhash_entries_are_not_broadcast(spark):
+    """Of 1,500 fingerprints there are 96,000 entries, which look as small as the fingerprints; some fall in keys of a crowd."""
+    r = random.Random(71)
+    prints = [r.getrandbits(63) for _ in range(900)] + [7 << 40 | r.getrandbits(22) for _ in range(600)]
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.maxBroadcastTableSize": "2m"}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        got = simhash_variants.fingerprint_roots(spark.createDataFrame([(p,) for p in set(prints)], "fp long")).collect()
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    assert {x.fp for x in got} == set(prints) and len({x.root for x in got if x.fp >> 22 != 7 << 18}) == 900
+
+
 def test_simhash_components(spark, docs, none):
     r = random.Random(4)
     near = [(200 + k, " ".join(w if r.random() > 0.02 else "changed" for w in ROWS[2][1].split()), "en", "s0", None) for k in range(30)]
